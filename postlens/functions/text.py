@@ -11,6 +11,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c) -> Column:
+    """White space off both ends."""
+    return F.trim(_col(c), F.lit(" \t\n\r\f\x0b"))
+
+
 def combined_text(*columns) -> Column:
     """The columns joined by a space (null as ''), '.' dropped, '/' to ', ', lower case."""
     joined = F.concat_ws(" ", *[F.coalesce(_col(c), F.lit("")) for c in columns])
@@ -125,17 +130,17 @@ def url_number(c, which: str = "last") -> Column:
 
 def split_numbered_lines(c) -> Column:
     """Non-blank lines, each cut after its first '. '."""
-    lines = F.filter(F.split(_col(c), r"\R"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(_col(c), r"\R"), lambda x: strip(x) != "")
 
     def rest(line):
         at = F.instr(line, ". ")
-        return F.trim(F.when(at > 0, F.substring(line, at + 2, F.length(line))).otherwise(line))
+        return strip(F.when(at > 0, F.substring(line, at + 2, F.length(line))).otherwise(line))
 
     return F.transform(lines, rest)
 
 
 def _split_pieces(c, pattern: str) -> Column:
-    return F.filter(F.transform(F.split(_col(c), pattern), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(_col(c), pattern), strip), lambda x: x != "")
 
 
 def split_sentences_dash(c) -> Column:

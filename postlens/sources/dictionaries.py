@@ -46,8 +46,11 @@ def synonym_json(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     names = lists.groupBy(*by, "category").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("canonical", "synonyms")))).alias("names")
     )
+    def by_category(a, b):
+        return F.when(a["category"] < b["category"], -1).when(a["category"] > b["category"], 1).otherwise(0)
+
     return names.groupBy(*by).agg(
-        F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "names"))))).alias("value")
+        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "names")), by_category))).alias("value")
     )
 
 
