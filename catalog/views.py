@@ -156,7 +156,7 @@ def v7(spark, folder):
     key = F.col("n_nationkey")
     numbers = F.array(*[(key + d) % 25 + 1 for d in (0, 1, 5)])
     def chosen(i):
-        return F.array_sort(F.transform(F.filter(numbers, lambda n: n % 4 == i), lambda n: F.concat(F.lit("brand "), n.cast("string"))))
+        return F.sort_array(F.transform(F.filter(numbers, lambda n: n % 4 == i), lambda n: F.concat(F.lit("brand "), n.cast("string"))))
     return table(spark, folder, "nation").select(
         key.cast("bigint").alias("profile_id"), chosen(0).alias("languages"), chosen(1).alias("frameworks"),
         chosen(2).alias("libraries"), chosen(3).alias("devtools"), F.array(pick(key % 5, PRIORITIES)).alias("jobs"),

@@ -32,10 +32,10 @@ def baskets_from_rows(rows: DataFrame) -> DataFrame:
 def baskets_from_postings(postings: DataFrame, categories: Sequence[str] = K.CATEGORIES) -> DataFrame:
     """The categorised posting table (joined cells ``c`` and ``pre_c``) to baskets, one per duty."""
     def cell(c):
-        return F.array_sort(F.array_distinct(F.filter(F.split(F.coalesce(F.col(c), F.lit("")), ", "), lambda t: t != "")))
+        return F.sort_array(F.array_distinct(F.filter(F.split(F.coalesce(F.col(c), F.lit("")), ", "), lambda t: t != "")))
 
     pairs = F.array(*[
-        F.struct(F.lit(c).alias("category"), cell(c).alias("required"), cell("pre_" + c).alias("preferred"))
+        F.named_struct(F.lit("category"), F.lit(c), F.lit("required"), cell(c), F.lit("preferred"), cell("pre_" + c))
         for c in categories
     ])
     duties = postings.select("id", F.explode(F.split("duty", ", ")).alias("duty"), pairs.alias("_pairs"))

@@ -62,18 +62,15 @@ def dictionary_tokenize(
         .filter(F.size(F.split("term", " ")) > 1).distinct()
     )
     w = F.col("_words")
-    groups = F.flatten(
-        F.transform(
-            F.sequence(F.lit(2), F.lit(longest)),
-            lambda n: F.when(
-                F.size(w) >= n,
-                F.transform(
-                    F.sequence(F.lit(1), F.size(w) - n + 1),
-                    lambda i: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice(w, i, n), " ").alias("term")),
-                ),
-            ).otherwise(F.array().cast("array<struct<at:int,n:int,term:string>>")),
-        )
-    )
+
+    def groups_of(n: int) -> Column:
+        """The n words from each place, picked one by one: no array is copied."""
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(
+            (i + 1).alias("at"), F.lit(n).alias("n"), F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]).alias("term")
+        ))
+
+    groups = F.flatten(F.array(*[groups_of(n) for n in range(2, longest + 1)]))
     hits = (
         rows.select(*ids, F.inline(groups))
         .join(phrases, "term")
@@ -94,15 +91,21 @@ def dictionary_tokenize(
 
     folded = F.aggregate("_hits", start, accept)
     s = F.col("_cut")
+
+    def span(first, last):
+        return F.when(
+            last >= first, F.transform(F.sequence(first, last), lambda i: F.get(w, i - 1))
+        ).otherwise(F.array().cast("array<string>"))
+
     pieces = F.flatten(
         F.transform(
             s["cuts"],
             lambda c: F.array_append(
-                F.slice(w, c["from"], c["at"] - c["from"]), F.array_join(F.slice(w, c["at"], c["n"]), " ")
+                span(c["from"], c["at"] - 1), F.array_join(span(c["at"], c["at"] + c["n"] - 1), " ")
             ),
         )
     )
-    tail = F.slice(w, s["next"], F.greatest(F.size(w) - s["next"] + 1, F.lit(0)))
+    tail = span(s["next"], F.size(w))
     merged = F.when(s.isNull(), w).otherwise(F.concat(pieces, tail))
     tokens = merged if not stop_words else F.filter(merged, lambda t: ~t.isin(list(stop_words)))
     return (
@@ -141,20 +144,24 @@ def classify_tokens_first_match(
 
     ``dictionary`` has category and name.
     """
+    ids = list(ids)
     rank = F.array_position(F.array(*[F.lit(c) for c in categories]), F.col("category")).cast("int")
     first = (
-        dictionary.withColumn("value", rank).filter("value > 0")
-        .groupBy(F.col("name").alias("key")).agg(F.min("value").alias("value"))
+        dictionary.withColumn("ord", rank).filter("ord > 0")
+        .groupBy(F.col("name").alias("token")).agg(F.min("ord").alias("ord"))
     )
-    found = attach_matches(df, ids, tokens, first)
-    ordered = F.array_sort(tokens)
-
-    def of(position):
-        return F.filter(ordered, lambda t: F.coalesce(F.try_element_at("_found", t), F.lit(0)) == position)
-
-    lists = {c: of(i + 1) for i, c in enumerate(categories)}
-    lists[rest] = of(0)
-    return found.withColumns(lists).drop("_found")
+    counted = (
+        df.select(*ids, F.explode(tokens).alias("token")).groupBy(*ids, "token").agg(F.count("*").cast("int").alias("n"))
+        .join(first, "token", "left")
+    )
+    lists = {c: F.col("ord") == i + 1 for i, c in enumerate(categories)}
+    lists[rest] = F.col("ord").isNull()
+    found = counted.groupBy(*ids).agg(*[
+        F.sort_array(F.collect_list(F.when(test, F.struct("token", "n")))).alias(c) for c, test in lists.items()
+    ])
+    empty = F.array().cast("array<string>")
+    repeat = lambda c: F.flatten(F.transform(c, lambda t: F.array_repeat(t["token"], t["n"])))
+    return df.join(found, ids, "left").withColumns({c: F.coalesce(repeat(F.col(c)), empty) for c in lists})
 
 
 def token_counts(df: DataFrame, tokens: str, out: str = "token") -> DataFrame:

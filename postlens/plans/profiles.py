@@ -14,7 +14,7 @@ def _list(c: str) -> Column:
 
 def sorted_profiles(profiles: DataFrame) -> DataFrame:
     """Lists come sorted."""
-    return profiles.withColumns({c: F.array_sort(_list(c)) for c in [*PROFILE_LISTS.values(), "jobs"]})
+    return profiles.withColumns({c: F.sort_array(_list(c)) for c in [*PROFILE_LISTS.values(), "jobs"]})
 
 
 def validate_profiles(profiles: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def rejected_profiles(profiles: DataFrame) -> DataFrame:
 
 def profile_groups(profiles: DataFrame) -> DataFrame:
     """profile_id, duty, category and ``owned_skills``: one row per job and category."""
-    groups = F.array(*[F.struct(F.lit(c).alias("category"), F.array_sort(_list(n)).alias("owned_skills"))
+    groups = F.array(*[F.named_struct(F.lit("category"), F.lit(c), F.lit("owned_skills"), F.sort_array(_list(n)))
                        for c, n in PROFILE_LISTS.items()])
     jobs = profiles.select("profile_id", F.explode("jobs").alias("duty"), groups.alias("_groups"))
     return jobs.select("profile_id", "duty", F.inline("_groups"))
@@ -60,5 +60,5 @@ def profile_keys(profiles: DataFrame) -> DataFrame:
     """The report cache key: duty and the four sorted lists, joined by ', '."""
     return profiles.select(
         "profile_id", F.get("jobs", F.lit(0)).alias("duty"),
-        *[F.array_join(F.array_sort(_list(n)), ", ").alias(c) for c, n in PROFILE_LISTS.items()],
+        *[F.array_join(F.sort_array(_list(n)), ", ").alias(c) for c, n in PROFILE_LISTS.items()],
     )

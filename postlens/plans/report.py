@@ -43,9 +43,9 @@ def duty_summary_rows(profiles: DataFrame, summaries: DataFrame) -> DataFrame:
     # --- fixed values: what is replaced in a cell before it is read ---
     cleaning = {"career": ("/n", ""), "degree": ("\\", "/"), "language": ("\\", "/")}
     cells = F.array(*[
-        F.struct(
-            F.lit(part).alias("part"),
-            parse_list_literal(F.replace(F.col(part), F.lit(cleaning[part][0]), F.lit(cleaning[part][1]))).alias("cell"),
+        F.named_struct(
+            F.lit("part"), F.lit(part), F.lit("cell"),
+            parse_list_literal(F.replace(F.col(part), F.lit(cleaning[part][0]), F.lit(cleaning[part][1]))),
         )
         for part in splitters
     ])
