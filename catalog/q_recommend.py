@@ -1 +1,53 @@
+"""Recommendations."""
 
+from pyspark.sql import functions as F
+
+from catalog.registry import query
+from catalog.views import V2_LISTS_SQL, V2_SQL, V6_SQL, V7_SQL, v2_skill_lists, v6_items, v6_queries, v7, with_ctes
+from postlens.operators import recommend as R
+from postlens.plans.profiles import profile_texts
+
+TFIDF_SQL = """pt AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(array_to_string(skills, ' ')), '\\b\\w\\w+\\b')) AS term FROM lists) GROUP BY id, term),
+n AS (SELECT count(*) + 2.0::DOUBLE AS n FROM lists),
+idf AS (SELECT term, ln(any_value(n.n) / (count(*) + 1)) + 1 AS idf, ln(any_value(n.n) / (count(*) + 2)) + 1 AS own FROM pt, n GROUP BY term),
+ot AS (SELECT profile_id, term, count(*) AS ptf FROM (SELECT profile_id, unnest(regexp_extract_all(lower(string_agg(skill, ' ')), '\\b\\w\\w+\\b')) AS term FROM own GROUP BY profile_id) GROUP BY profile_id, term),
+ow AS (SELECT profile_id, ot.term, ptf, coalesce(own, ln(n.n / 2) + 1) AS own FROM ot LEFT JOIN idf ON ot.term = idf.term, n),
+pn AS (SELECT profile_id, sum((ptf * own) ** 2) AS pnorm FROM ow GROUP BY profile_id),
+base AS (SELECT id, sum((tf * idf) ** 2) AS norm FROM pt JOIN idf USING (term) GROUP BY id),
+raw AS (SELECT ow.profile_id, pt.id, sum(ptf * ow.own * tf * ow.own) AS dot, sum((tf * ow.own) ** 2 - (tf * idf.idf) ** 2) AS shift
+  FROM pt JOIN ow ON pt.term = ow.term JOIN idf ON pt.term = idf.term GROUP BY ow.profile_id, pt.id),
+best AS (SELECT raw.profile_id, raw.id, round(dot / sqrt((norm + shift) * pnorm), 9) AS score FROM raw JOIN base ON raw.id = base.id JOIN pn ON raw.profile_id = pn.profile_id),
+every AS (SELECT profile_id, id, score FROM best UNION ALL SELECT v.profile_id, l.id, 0.0 FROM v7 v, (SELECT id FROM lists ORDER BY id LIMIT 400) l
+  WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.profile_id = v.profile_id AND b.id = l.id))"""
+
+
+@query("c01_recommend_postings_tfidf", with_ctes(V2_SQL, V2_LISTS_SQL, V7_SQL, TFIDF_SQL, body="""
+SELECT profile_id, id, round(score, 6) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, id) AS INTEGER) AS place FROM every) WHERE place <= 10"""))
+def _(spark, folder):
+    postings = v2_skill_lists(spark, folder).select("id", F.array_join("skills", " ").alias("skills"))
+    best = R.recommend_postings_tfidf(postings, profile_texts(v7(spark, folder)))
+    return best.withColumn("score", F.round("score", 6))
+
+
+@query("c05_filtered_vector_search", with_ctes(V6_SQL, body="SELECT query_id, id, round(score, 6) AS score, place FROM hits"))
+def _(spark, folder):
+    hits = R.filtered_vector_search(v6_items(spark, folder), v6_queries(spark, folder), ["label"])
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@query("c05_single_request", """
+SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], [CAST(i AS DOUBLE) - 20 FOR i IN range(64)]), 6) AS score FROM embeddings WHERE label = 3
+ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], [CAST(i AS DOUBLE) - 20 FOR i IN range(64)]), 9) DESC, vec_id LIMIT 5""")
+def _(spark, folder):
+    items = v6_items(spark, folder).select("id", "embedding", F.col("label").alias("career"), F.lit("Data AI").alias("duty"), F.lit("c, java").alias("it_language"))
+    chosen = R.filter_items(items, duty="ai", career=3, degree=0, lists={"it_language": ["java", "go"], "tool": []})
+    return R.nearest_to_vector(chosen, [i - 20.0 for i in range(64)]).select("id", F.round("score", 6).alias("score"))
+
+
+@query("c06_nearest_context_rows", with_ctes(V6_SQL, body="""
+SELECT query_id, string_agg('label: ' || label || chr(10) || 'item: ' || id || chr(10) || 'odd: ' || CASE WHEN id % 2 = 1 THEN 'yes' ELSE 'N/A' END, chr(10) || chr(10) ORDER BY place) AS context
+FROM (SELECT query_id, query_id AS label, id, place FROM hits) GROUP BY query_id"""))
+def _(spark, folder):
+    hits = R.filtered_vector_search(v6_items(spark, folder), v6_queries(spark, folder), ["label"])
+    rows = hits.withColumn("label", F.col("query_id")).withColumn("odd", F.when(F.col("id") % 2 == 1, "yes"))
+    return R.nearest_context_rows(rows, {"label": "label", "item": "id", "odd": "odd"})

@@ -152,9 +152,9 @@ hits AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
 
 # ---- V7 ----
 def v7(spark, folder):
-    """One profile per nation: a duty, and the skills whose number lies 0, 1 or 5 above its own."""
+    """One profile per nation: a duty, and the skills whose number lies 0, 1, 4 or 8 above its own."""
     key = F.col("n_nationkey")
-    numbers = F.array(*[(key + d) % 25 + 1 for d in (0, 1, 5)])
+    numbers = F.array(*[(key + d) % 25 + 1 for d in (0, 1, 4, 8)])
     def chosen(i):
         return F.sort_array(F.transform(F.filter(numbers, lambda n: n % 4 == i), lambda n: F.concat(F.lit("brand "), n.cast("string"))))
     return table(spark, folder, "nation").select(
@@ -167,7 +167,7 @@ V7_SQL = """v7 AS (SELECT CAST(n_nationkey AS BIGINT) AS profile_id,
   ['1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW'][n_nationkey % 5 + 1] AS duty, n_regionkey FROM nation),
 own AS (SELECT DISTINCT profile_id, duty, 'brand ' || num AS skill,
   ['it_language','framework','library','tool'][num % 4 + 1] AS category
-  FROM (SELECT profile_id, duty, unnest([profile_id % 25 + 1, (profile_id + 1) % 25 + 1, (profile_id + 5) % 25 + 1]) AS num FROM v7)),
+  FROM (SELECT profile_id, duty, unnest([profile_id % 25 + 1, (profile_id + 1) % 25 + 1, (profile_id + 4) % 25 + 1, (profile_id + 8) % 25 + 1]) AS num FROM v7)),
 cats AS (SELECT unnest(['it_language','framework','library','tool']) AS category),
 groups AS (SELECT v.profile_id, v.duty, c.category, coalesce(list_sort(list(o.skill) FILTER (o.skill IS NOT NULL)), []) AS owned
   FROM v7 v CROSS JOIN cats c LEFT JOIN own o ON o.profile_id = v.profile_id AND o.category = c.category GROUP BY ALL),
