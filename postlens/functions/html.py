@@ -82,9 +82,16 @@ class _TextPieces(HTMLParser):
 def strip_html(c) -> Column:
     """H2: tags removed, each text node stripped, pieces joined without a separator; null stays null."""
 
+    def one(html):
+        if html is None:
+            return None
+        if "<" not in html and "&" not in html:
+            return html.strip()
+        return "".join(_TextPieces(frozenset()).parse(html).pieces)
+
     @F.pandas_udf(T.StringType())
     def run(html: pd.Series) -> pd.Series:
-        return html.map(lambda h: None if h is None else "".join(_TextPieces(frozenset()).parse(h).pieces))
+        return html.map(one)
 
     return run(_col(c))
 
@@ -105,9 +112,13 @@ def html_sections(
     wanted = frozenset(tags) | {target}
     heads = frozenset(tags)
 
+    nothing = tuple("" for _ in names)
+
     def one(html):
+        if not html or f"<{target}" not in html.lower():
+            return nothing
         found = {name: [] for name in names}
-        page = _TextPieces(wanted).parse(html or "")
+        page = _TextPieces(wanted).parse(html)
         following, after = None, [None] * len(page.elements)
         for i in range(len(page.elements) - 1, -1, -1):
             after[i] = following

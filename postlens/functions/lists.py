@@ -8,6 +8,11 @@ from postlens import constants as K
 from postlens.functions.text import _col
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, also where lambdas in it use the value."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def literal_map(values: Mapping) -> Column:
     """A constant map column from a small Python mapping."""
     return F.create_map(*[F.lit(v) for pair in values.items() for v in pair])

@@ -5,7 +5,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, functions as F
 
 from postlens import constants as K
-from postlens.functions.lists import literal_map
+from postlens.functions.lists import bind, literal_map
 from postlens.functions.text import _col
 
 
@@ -98,12 +98,18 @@ def mask_subwords(pieces, labels, continuation: str = "##", ignored: int = K.IGN
 
     ``labels`` has one entry per word; the n-th piece that opens a word takes the n-th label.
     """
-    opens = F.transform(_col(pieces), lambda p: (~p.startswith(continuation)).cast("int"))
-    counted = F.transform(opens, lambda flag, i: F.struct(flag.alias("open"), i.alias("i")))
-    word_starts = F.transform(F.filter(counted, lambda x: x["open"] == 1), lambda x: x["i"])
-    filled = F.concat(_col(labels), F.array_repeat(F.lit(ignored), F.size(word_starts)))
-    placed = F.map_from_arrays(word_starts, F.slice(filled, F.lit(1), F.size(word_starts)))
-    return F.transform(_col(pieces), lambda p, i: F.coalesce(F.try_element_at(placed, i), F.lit(ignored)))
+    pieces, labels, skip = _col(pieces), _col(labels), F.lit(ignored)
+    places = F.transform(pieces, lambda p, i: F.when(~p.startswith(continuation), i))
+
+    def spread(starts):
+        def word(start, k):
+            end = F.coalesce(F.get(starts, k + 1), F.size(pieces))
+            return F.concat(F.array(F.coalesce(F.get(labels, k), skip)), F.array_repeat(skip, end - start - 1))
+
+        before = F.array_repeat(skip, F.coalesce(F.get(starts, F.lit(0)), F.size(pieces)))
+        return F.concat(before, F.flatten(F.transform(starts, word)))
+
+    return bind(F.filter(places, lambda i: i.isNotNull()), spread)
 
 
 def replicate_label(pieces, label) -> Column:

@@ -5,20 +5,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlens import constants as K
-from postlens.functions.lists import overlaps_list
+from postlens.functions.lists import bind, overlaps_list
 from postlens.functions.text import matches_ignore_case
 from postlens.operators.joins import optional_equality
 from postlens.operators.sets import first_per_key
 
 
 def _term_counts(text: str, pattern: str, stop_words: Sequence[str]) -> Column:
-    """Array of (term, tf) of a text."""
+    """Array of (term, tf) of a text, by counting runs of the sorted terms."""
     terms = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(f"({pattern})"), F.lit(1))
     if stop_words:
         terms = F.filter(terms, lambda t: ~t.isin(list(stop_words)))
-    return F.transform(
-        F.array_distinct(terms), lambda t: F.struct(t.alias("term"), F.size(F.filter(terms, lambda x: x == t)).alias("tf"))
-    )
+
+    def runs(ordered):
+        first = F.transform(ordered, lambda t, i: F.when((i == 0) | (t != F.get(ordered, i - 1)), i))
+        return bind(F.filter(first, lambda i: i.isNotNull()), lambda starts: F.transform(
+            starts, lambda at, k: F.struct(
+                F.get(ordered, at).alias("term"), (F.coalesce(F.get(starts, k + 1), F.size(ordered)) - at).alias("tf"))
+        ))
+
+    return bind(F.sort_array(terms), runs)
 
 
 def recommend_postings_tfidf(
