@@ -6,6 +6,7 @@ from catalog.registry import query
 from catalog.views import V2_LISTS_SQL, V2_SQL, V6_SQL, V7_SQL, v2_skill_lists, v6_items, v6_queries, v7, with_ctes
 from postlens.operators import recommend as R
 from postlens.plans.profiles import profile_texts
+from postlens.session import saved_copy
 
 TFIDF_SQL = """pt AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(array_to_string(skills, ' ')), '\\b\\w\\w+\\b')) AS term FROM lists) GROUP BY id, term),
 n AS (SELECT count(*) + 2.0::DOUBLE AS n FROM lists),
@@ -24,7 +25,7 @@ every AS (SELECT profile_id, id, score FROM best UNION ALL SELECT v.profile_id,
 @query("c01_recommend_postings_tfidf", with_ctes(V2_SQL, V2_LISTS_SQL, V7_SQL, TFIDF_SQL, body="""
 SELECT profile_id, id, round(score, 6) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, id) AS INTEGER) AS place FROM every) WHERE place <= 10"""))
 def _(spark, folder):
-    postings = v2_skill_lists(spark, folder).select("id", F.array_join("skills", " ").alias("skills"))
+    postings = saved_copy(v2_skill_lists(spark, folder).select("id", F.array_join("skills", " ").alias("skills")), "postings")
     best = R.recommend_postings_tfidf(postings, profile_texts(v7(spark, folder)))
     return best.withColumn("score", F.round("score", 6))
 

@@ -10,6 +10,7 @@ from catalog.views import (
     CATEGORY_OF, V2_SETS_SQL, V2_STATS_SQL, V7_SQL, WEIGHTS, pick, table, v2_skill_lists, v7, with_ctes,
 )
 from postlens.plans import etl, report
+from postlens.session import saved_copy
 from postlens.plans.profiles import profile_keys
 from postlens.sources.dictionaries import duty_weights
 
@@ -84,7 +85,7 @@ SELECT 'ranks' AS part, profile_id, count(*) AS n FROM marked GROUP BY ALL UNION
 UNION ALL SELECT 'duties', profile_id, least(count(*), 3) FROM (SELECT DISTINCT profile_id, s.duty FROM own o JOIN stats1 s ON o.skill = s.skill WHERE s.probability <> 0) GROUP BY ALL
 UNION ALL SELECT 'postings', profile_id, 10 FROM v7 UNION ALL SELECT 'summaries', profile_id, count(*) FROM v7 JOIN lines l ON v7.duty = l.duty GROUP BY ALL"""))
 def _(spark, folder):
-    postings = v2_skill_lists(spark, folder).select("id", F.array_join("skills", " ").alias("skills"))
+    postings = saved_copy(v2_skill_lists(spark, folder).select("id", F.array_join("skills", " ").alias("skills")), "postings")
     parts = report.profile_report(
         v7(spark, folder), both_units(spark, folder), duty_weights(spark, WEIGHTS), postings, summaries(spark, folder), SET_SHARE)
     counts = [df.groupBy("profile_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "profile_id", "n") for name, df in parts.items()]

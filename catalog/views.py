@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlens.functions.tokens import words
 from postlens.operators.skills import baskets_from_rows
+from postlens.session import spread
 
 CATEGORY_OF = ("it_language", "framework", "library", "tool")
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -24,7 +25,9 @@ WEIGHTS = {
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    frame = spark.read.parquet(f"{folder}/{name}.parquet")
+    # The text tables are one file each here; work on texts wants all cores.
+    return spread(frame) if name in ("documents", "pages", "conversations") else frame
 
 
 def pick(index, values):

@@ -1,21 +1,24 @@
 """Token tables: dictionary tokenising, synonyms, classification, annotation.
 
-A posting is one row with an array of tokens. Dictionaries are joined on exploded tokens;
-only tokens that hit the dictionary are shuffled, and they return to their row as a small
-per-row map. Long texts and common words therefore stay where they are.
+A posting is one row with an array of tokens. With a dictionary of bounded size each row is
+worked in place. A larger dictionary is joined on exploded tokens: only tokens that hit it are
+shuffled, and they return to their row as a small map. The rows are then written to the shared
+folder first, as both sides of that join read them.
 """
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from postlens import constants as K
+from postlens.functions.lookup import MAX_ENTRIES, Lookup, bounded_lookup
 from postlens.functions.tokens import normalize_token, words
+from postlens.session import saved_copy
 
+_STRINGS = "array<string>"
 
-def attach_matches(
-    df: DataFrame, ids: Sequence[str], tokens: str, dictionary: DataFrame, out: str = "_found"
-) -> DataFrame:
+
+def attach_matches(df: DataFrame, ids: Sequence[str], tokens: str, dictionary: DataFrame, out: str = "_found") -> DataFrame:
     """Add a map token -> value of the row's distinct tokens that are keys of ``dictionary``.
 
     ``dictionary`` has unique ``key`` and a ``value``; ``ids`` identify a row. Rows without
@@ -32,55 +35,81 @@ def attach_matches(
     return df.join(hits, ids, "left").withColumn(out, F.coalesce(out, F.create_map().cast(kind)))
 
 
-def replace_tokens(df: DataFrame, ids: Sequence[str], tokens: str, replacements: DataFrame) -> DataFrame:
+def _with_lookup(df: DataFrame, ids: Sequence[str], keys: Column, dictionary: DataFrame, max_entries: int):
+    """The frame and a function key -> value: in place for a bounded dictionary, else by a join."""
+    lookup = bounded_lookup(dictionary, max_entries)
+    if lookup:
+        return df, lookup.find
+    joined = attach_matches(saved_copy(df.withColumn("_keys", keys), "tokens"), ids, "_keys", dictionary)
+    return joined.drop("_keys"), lambda key: F.try_element_at("_found", key)
+
+
+def replace_tokens(
+    df: DataFrame, ids: Sequence[str], tokens: str, replacements: DataFrame, max_entries: int = MAX_ENTRIES
+) -> DataFrame:
     """H4: each token to its canonical form by its lower case, unknown kept, order and repeats kept.
 
     ``replacements`` has lower-case ``key`` and ``value``.
     """
-    lowered = df.withColumn("_lower", F.transform(tokens, F.lower))
-    found = attach_matches(lowered, ids, "_lower", replacements)
-    return found.withColumn(
-        tokens, F.transform(tokens, lambda t: F.coalesce(F.try_element_at("_found", F.lower(t)), t))
-    ).drop("_lower", "_found")
+    rows, find = _with_lookup(df, ids, F.transform(tokens, F.lower), replacements, max_entries)
+    return rows.withColumn(tokens, F.transform(tokens, lambda t: F.coalesce(find(F.lower(t)), t))).select(*df.columns)
+
+
+def _phrase_table(terms: DataFrame, longest: int) -> DataFrame:
+    """Terms of two to ``longest`` words, as keys."""
+    phrases = terms.select(F.lower(F.trim("term")).alias("key")).distinct()
+    n = F.size(F.split("key", " "))
+    return phrases.filter((n > 1) & (n <= longest)).withColumn("value", n)
 
 
 def dictionary_tokenize(
     df: DataFrame, ids: Sequence[str], text: str, terms: DataFrame, stop_words: Sequence[str] = (),
-    pattern: str = K.WORD_RUN, longest: int = 4, out: str = "tokens",
+    pattern: str = K.WORD_RUN, longest: int = 4, out: str = "tokens", max_entries: int = MAX_ENTRIES,
 ) -> DataFrame:
     """H3: text to tokens; dictionary terms of several words stay whole, stop words go.
 
     At each place the longest term wins, then the scan goes on behind it. ``terms`` has a
-    column ``term``; ``longest`` is the greatest number of words in a term. Word groups of
-    two to ``longest`` are looked up by an equi-join; the texts themselves are not exploded
-    into the shuffle, only the groups that are terms.
+    column ``term``; ``longest`` is the greatest number of words in a term.
     """
     ids = list(ids)
     rows = df.withColumn("_words", words(text, pattern))
-    phrases = (
-        terms.select(F.lower(F.trim("term")).alias("term"))
-        .filter(F.size(F.split("term", " ")) > 1).distinct()
-    )
     w = F.col("_words")
-
-    def groups_of(n: int) -> Column:
-        """The n words from each place, picked one by one: no array is copied."""
-        starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(
-            (i + 1).alias("at"), F.lit(n).alias("n"), F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]).alias("term")
-        ))
-
-    groups = F.flatten(F.array(*[groups_of(n) for n in range(2, longest + 1)]))
-    hits = (
-        rows.select(*ids, F.inline(groups))
-        .join(phrases, "term")
-        .groupBy(*ids, "at").agg(F.max("n").alias("n"))
-        .groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("_hits"))
-    )
+    phrases = _phrase_table(terms, longest)
+    lookup = bounded_lookup(phrases, max_entries)
+    counts = range(2, longest + 1)
+
+    def term(i, n):
+        """The n words from place i (counted from 0), picked one by one: no array is copied."""
+        return F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)])
+
+    def starts(n):
+        return F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+
+    if lookup:
+        opening = phrases.groupBy(F.substring_index("key", " ", 1).alias("key")).agg(F.max("value").alias("value"))
+        first = bounded_lookup(opening, max_entries)
+        places = F.filter(starts(2), lambda i: first.find(F.get(w, i)).isNotNull())
+        # concat_ws skips the nulls behind the last word, so a term found there is shorter than n.
+        longest_at = lambda i: F.coalesce(*[
+            F.when(i + n <= F.size(w), lookup.find(term(i, n))) for n in reversed(counts)
+        ])
+        hit = F.transform(places, lambda i: F.struct((i + 1).alias("at"), longest_at(i).alias("n")))
+        rows = rows.withColumn("_hits", F.filter(hit, lambda h: h["n"].isNotNull()))
+    else:
+        rows = saved_copy(rows, "words")
+        groups = F.flatten(F.array(*[
+            F.transform(starts(n), (lambda n: lambda i: F.struct((i + 1).alias("at"), term(i, n).alias("key")))(n)) for n in counts
+        ]))
+        hits = (
+            rows.select(*ids, F.inline(groups)).join(phrases, "key")
+            .groupBy(*ids, "at").agg(F.max("value").alias("n"))
+            .groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("_hits"))
+        )
+        rows = rows.join(hits, ids, "left")
 
     # Fold the few hits of a row into the cut list: accepted hits with the place before them.
     empty = F.array().cast("array<struct<from:int,at:int,n:int>>")
-    start = F.struct(F.lit(1).alias("next"), empty.alias("cuts"))
+    begin = F.struct(F.lit(1).alias("next"), empty.alias("cuts"))
 
     def accept(state, hit):
         cut = F.struct(state["next"].alias("from"), hit["at"].alias("at"), hit["n"].alias("n"))
@@ -89,13 +118,12 @@ def dictionary_tokenize(
             F.struct((hit["at"] + hit["n"]).alias("next"), F.array_append(state["cuts"], cut).alias("cuts")),
         ).otherwise(state)
 
-    folded = F.aggregate("_hits", start, accept)
     s = F.col("_cut")
 
     def span(first, last):
         return F.when(
             last >= first, F.transform(F.sequence(first, last), lambda i: F.get(w, i - 1))
-        ).otherwise(F.array().cast("array<string>"))
+        ).otherwise(F.array().cast(_STRINGS))
 
     pieces = F.flatten(
         F.transform(
@@ -105,63 +133,58 @@ def dictionary_tokenize(
             ),
         )
     )
-    tail = span(s["next"], F.size(w))
-    merged = F.when(s.isNull(), w).otherwise(F.concat(pieces, tail))
+    merged = F.when(s.isNull() | (F.size(s["cuts"]) == 0), w).otherwise(F.concat(pieces, span(s["next"], F.size(w))))
     tokens = merged if not stop_words else F.filter(merged, lambda t: ~t.isin(list(stop_words)))
-    return (
-        rows.join(hits, ids, "left").withColumn("_cut", folded)
-        .withColumn(out, tokens).drop("_words", "_hits", "_cut")
-    )
+    return rows.withColumn("_cut", F.aggregate("_hits", begin, accept)).withColumn(out, tokens).drop("_words", "_hits", "_cut")
 
 
 def classify_tokens_multi(
     df: DataFrame, ids: Sequence[str], tokens: str, dictionary: DataFrame,
-    categories: Sequence[str] = K.CATEGORIES, prefix: str = "",
+    categories: Sequence[str] = K.CATEGORIES, prefix: str = "", max_entries: int = MAX_ENTRIES,
 ) -> DataFrame:
     """H6: per category the sorted distinct canonical names found, joined; '' when none.
 
     ``dictionary`` has category, key, name. Tokens are normalised before the lookup; give
     ``normalized_dictionary(...)`` to normalise the keys too, so that names of several words match.
     """
-    ids = list(ids)
-    found = (
-        df.select(*ids, F.explode(F.array_distinct(F.transform(tokens, normalize_token))).alias("key"))
-        .join(dictionary.select("category", "key", "name"), "key")
-        .groupBy(*ids)
-        .agg(*[
-            F.array_join(F.sort_array(F.collect_set(F.when(F.col("category") == c, F.col("name")))), ", ").alias(prefix + c)
-            for c in categories
-        ])
+    entries = dictionary.filter(F.col("category").isin(list(categories))).groupBy("key").agg(
+        F.collect_set(F.struct("category", "name")).alias("value")
     )
-    return df.join(found, ids, "left").fillna("", [prefix + c for c in categories])
+    keys = F.array_distinct(F.transform(tokens, normalize_token))
+    rows, find = _with_lookup(df.withColumn("_norm", keys), ids, F.col("_norm"), entries, max_entries)
+    none = F.array().cast("array<struct<category:string,name:string>>")
+    rows = rows.withColumn("_hit", F.flatten(F.transform("_norm", lambda t: F.coalesce(find(t), none))))
+
+    def cell(c):
+        names = F.transform(F.filter("_hit", lambda h: h["category"] == c), lambda h: h["name"])
+        return F.coalesce(F.array_join(F.sort_array(F.array_distinct(names)), ", "), F.lit(""))
+
+    return rows.withColumns({prefix + c: cell(c) for c in categories}).select(*df.columns, *[prefix + c for c in categories])
 
 
 def classify_tokens_first_match(
     df: DataFrame, ids: Sequence[str], tokens: str, dictionary: DataFrame,
-    categories: Sequence[str] = K.CATEGORY_ORDER, rest: str = "oov",
+    categories: Sequence[str] = K.CATEGORY_ORDER, rest: str = "oov", max_entries: int = MAX_ENTRIES,
 ) -> DataFrame:
     """H7: each token to the first category that lists it, else ``rest``; sorted, repeats kept.
 
     ``dictionary`` has category and name.
     """
-    ids = list(ids)
     rank = F.array_position(F.array(*[F.lit(c) for c in categories]), F.col("category")).cast("int")
     first = (
         dictionary.withColumn("ord", rank).filter("ord > 0")
-        .groupBy(F.col("name").alias("token")).agg(F.min("ord").alias("ord"))
-    )
-    counted = (
-        df.select(*ids, F.explode(tokens).alias("token")).groupBy(*ids, "token").agg(F.count("*").cast("int").alias("n"))
-        .join(first, "token", "left")
+        .groupBy(F.col("name").alias("key")).agg(F.min("ord").alias("value"))
     )
-    lists = {c: F.col("ord") == i + 1 for i, c in enumerate(categories)}
-    lists[rest] = F.col("ord").isNull()
-    found = counted.groupBy(*ids).agg(*[
-        F.sort_array(F.collect_list(F.when(test, F.struct("token", "n")))).alias(c) for c, test in lists.items()
-    ])
-    empty = F.array().cast("array<string>")
-    repeat = lambda c: F.flatten(F.transform(c, lambda t: F.array_repeat(t["token"], t["n"])))
-    return df.join(found, ids, "left").withColumns({c: F.coalesce(repeat(F.col(c)), empty) for c in lists})
+    rows, find = _with_lookup(df, ids, F.col(tokens), first, max_entries)
+    placed = F.transform(F.sort_array(tokens), lambda t: F.struct(t.alias("token"), F.coalesce(find(t), F.lit(0)).alias("ord")))
+    rows = rows.withColumn("_placed", placed)
+
+    def of(position):
+        names = F.transform(F.filter("_placed", lambda p: p["ord"] == position), lambda p: p["token"])
+        return F.coalesce(names, F.array().cast(_STRINGS))
+
+    lists = {c: of(i + 1) for i, c in enumerate(categories)} | {rest: of(0)}
+    return rows.withColumns(lists).select(*df.columns, *lists)
 
 
 def token_counts(df: DataFrame, tokens: str, out: str = "token") -> DataFrame:
@@ -175,22 +198,20 @@ def unmapped_report(df: DataFrame, tokens: str, dictionary: DataFrame, key: str
 
 
 def normalize_multivalue(
-    df: DataFrame, ids: Sequence[str], column: str, reverse: DataFrame, marker: str = K.DELETE_MARKER
+    df: DataFrame, ids: Sequence[str], column: str, reverse: DataFrame, marker: str = K.DELETE_MARKER,
+    max_entries: int = MAX_ENTRIES,
 ) -> DataFrame:
     """H8: comma list to the sorted distinct canonical values; none left gives null.
 
     ``reverse`` has ``word`` and ``target``; a target may list several values by ', ', and
     the marker value is dropped.
     """
-    ids = list(ids)
-    values = (
-        df.select(*ids, F.explode(F.transform(F.split(column, r"\s*,\s*"), lambda t: F.trim(t))).alias("word"))
-        .join(reverse, "word")
-        .select(*ids, F.explode(F.split("target", ", ")).alias("value"))
-        .filter(F.col("value") != marker)
-        .groupBy(*ids).agg(F.array_join(F.sort_array(F.collect_set("value")), ", ").alias("_value"))
-    )
-    return df.join(values, ids, "left").withColumn(column, F.col("_value")).select(*df.columns)
+    entries = reverse.select(F.col("word").alias("key"), F.split("target", ", ").alias("value"))
+    parts = F.transform(F.split(column, r"\s*,\s*"), lambda t: F.trim(t))
+    rows, find = _with_lookup(df, ids, parts, entries, max_entries)
+    targets = F.flatten(F.transform(parts, lambda t: F.coalesce(find(t), F.array().cast(_STRINGS))))
+    kept = F.sort_array(F.array_distinct(F.filter(targets, lambda t: t != marker)))
+    return rows.withColumn(column, F.nullif(F.array_join(kept, ", "), F.lit(""))).select(*df.columns)
 
 
 def reverse_synonyms(elements: DataFrame) -> DataFrame:
@@ -202,6 +223,7 @@ def reverse_synonyms(elements: DataFrame) -> DataFrame:
 def annotate_tokens(
     df: DataFrame, ids: Sequence[str], tokens: str, dictionary: DataFrame,
     order: Sequence[str] = ("languages", "frameworks", "libraries", "tools"), out: str = "tags",
+    max_entries: int = MAX_ENTRIES,
 ) -> DataFrame:
     """L1: token to B-<CATEGORY> (the later category in ``order`` wins), else O.
 
@@ -213,9 +235,9 @@ def annotate_tokens(
         .groupBy(F.col("name").alias("key")).agg(F.max("value").alias("value"))
     )
     labels = F.array(*[F.lit("B-" + c.upper()) for c in order])
-    found = attach_matches(df, ids, tokens, last)
-    tag = lambda t: F.coalesce(F.get(labels, F.try_element_at("_found", t) - 1), F.lit(K.OUTSIDE))
-    return found.withColumn(out, F.transform(tokens, tag)).drop("_found")
+    rows, find = _with_lookup(df, ids, F.col(tokens), last, max_entries)
+    tag = lambda t: F.coalesce(F.get(labels, find(t) - 1), F.lit(K.OUTSIDE))
+    return rows.withColumn(out, F.transform(tokens, tag)).select(*df.columns, out)
 
 
 def promote_dictionary_tools(

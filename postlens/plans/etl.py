@@ -10,11 +10,12 @@ from postlens.functions.text import combined_text
 from postlens.functions.tokens import degree_requirement, filter_latin, language_requirement
 from postlens.operators.joins import drop_incomplete_rows
 from postlens.operators.sets import drop_duplicate_rows, union_missing_columns
-from postlens.operators.tokens import classify_tokens_multi, dictionary_tokenize, normalize_multivalue, replace_tokens
+from postlens.operators.tokens import (
+    classify_tokens_multi, dictionary_tokenize, normalize_multivalue, replace_tokens, reverse_synonyms,
+)
 from postlens.sources.dictionaries import (
     build_synonym_dictionary, normalized_dictionary, replacement_map,
 )
-from postlens.operators.tokens import reverse_synonyms
 from postlens.sources.json_docs import flatten_posting_json_a, flatten_posting_json_b, with_career_and_region
 
 SECTIONS = ["description", "requirement", "preferredExperience"]
@@ -34,8 +35,9 @@ def clean_feed_a(rows: DataFrame) -> DataFrame:
 
 def postings_from_feeds(feed_a: DataFrame, feed_b: DataFrame, duties: DataFrame, crawling_dt: str | None = None) -> DataFrame:
     """Both feeds' documents (``text``) to one posting table with canonical duties."""
-    a = drop_duplicate_rows(clean_feed_a(with_career_and_region(flatten_posting_json_a(feed_a, crawling_dt=crawling_dt))))
-    b = drop_duplicate_rows(flatten_posting_json_b(feed_b, crawling_dt=crawling_dt))
+    # A flattened row keeps its text, so equal rows are equal texts: drop them before the work.
+    a = clean_feed_a(with_career_and_region(flatten_posting_json_a(drop_duplicate_rows(feed_a.select("text")), crawling_dt=crawling_dt)))
+    b = flatten_posting_json_b(drop_duplicate_rows(feed_b.select("text")), crawling_dt=crawling_dt)
     both = union_missing_columns(a, b)
     return normalize_multivalue(both, ["id", "url"], "duty", reverse_synonyms(duties))
 
