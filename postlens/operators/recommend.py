@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlens import constants as K
 from postlens.functions.lists import bind, overlaps_list
+from postlens.functions.lookup import MAX_ENTRIES, Lookup, bounded_lookup
 from postlens.functions.text import matches_ignore_case
 from postlens.operators.joins import optional_equality
 from postlens.operators.sets import first_per_key
+from postlens.session import saved_copy
 
 
 def _term_counts(text: str, pattern: str, stop_words: Sequence[str]) -> Column:
@@ -27,9 +29,12 @@ def _term_counts(text: str, pattern: str, stop_words: Sequence[str]) -> Column:
     return bind(F.sort_array(terms), runs)
 
 
+MAX_PROFILES = 500
+
+
 def recommend_postings_tfidf(
     postings: DataFrame, profiles: DataFrame, k: int = 10, stop_words: Sequence[str] = (),
-    pattern: str = K.TERM_PATTERN, digits: int = 9,
+    pattern: str = K.TERM_PATTERN, digits: int = 9, max_profiles: int = MAX_PROFILES, max_entries: int = MAX_ENTRIES,
 ) -> DataFrame:
     """The k postings most like each profile by TF-IDF cosine over skill texts.
 
@@ -39,62 +44,105 @@ def recommend_postings_tfidf(
     corrected for the profile's terms. Only postings that share a term are scored; where they
     are fewer than k the lowest other ids follow with score 0. Scores are rounded to
     ``digits`` before ranking, so equal texts tie whatever order their sums were added in.
+
+    ``postings`` is read twice, for the term statistics and for the scores; give a stored table.
+    Few profiles and a bounded vocabulary are scored inside each posting's row: the only
+    shuffle is of the k best rows per profile and partition. Otherwise terms are joined.
     """
     docs = postings.select("id", _term_counts("skills", pattern, stop_words).alias("terms"))
-    terms = docs.select("id", F.inline("terms"))
-    n = docs.agg((F.count("*") + 2).cast("double")).scalar()
-    frequency = terms.groupBy("term").agg(F.count("*").alias("df"))
-    idf = frequency.select(
-        "term",
-        (F.log(n / (F.col("df") + 1)) + 1).alias("idf"),
-        (F.log(n / (F.col("df") + 2)) + 1).alias("idf_own"),
-    )
-
-    wanted = profiles.select("profile_id", F.inline(_term_counts("skills", pattern, stop_words))).withColumnRenamed("tf", "ptf")
+    seen = docs.select(F.explode_outer("terms.term").alias("term"), "id").filter(F.col("term").isNotNull())
+    # Written once: a row per term of the vocabulary.
+    frequency = saved_copy(seen.groupBy("term").agg(F.count("*").alias("df")), "vocabulary")
+    n = postings.agg((F.count("*") + 2).cast("double")).scalar()
+    idf = saved_copy(frequency.select(
+        "term", (F.log(n / (F.col("df") + 1)) + 1).alias("idf"), (F.log(n / (F.col("df") + 2)) + 1).alias("idf_own"),
+    ), "idf")
+
+    wanted = profiles.select(
+        "profile_id", F.inline_outer(_term_counts("skills", pattern, stop_words))
+    ).filter(F.col("term").isNotNull()).withColumnRenamed("tf", "ptf")
     own = wanted.join(idf.select("term", "idf_own"), "term", "left").withColumn(
         "idf_own", F.coalesce("idf_own", F.log(n / 2) + 1)
     )
-    norms = own.groupBy("profile_id").agg(F.sum(F.pow(F.col("ptf") * F.col("idf_own"), 2)).alias("pnorm2"))
-    weights = own.join(norms, "profile_id").select("profile_id", "term", "ptf", "pnorm2")
-
-    # One shuffle by posting id: norms and term lists come together, and scoring a posting
-    # against the profiles afterwards needs no other exchange for it.
-    sized = (
-        terms.join(idf, "term")
-        .groupBy("id")
-        .agg(
-            F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).alias("norm2"),
-            F.collect_list(F.struct("term", "tf", "idf", "idf_own")).alias("terms"),
-        )
-    )
-    parts = sized.select("id", "norm2", F.inline("terms")).join(weights, "term")
-    own_weight = F.col("tf") * F.col("idf_own")
-    scores = (
-        parts.groupBy("id", "profile_id")
-        .agg(
-            F.sum(own_weight * F.col("ptf") * F.col("idf_own")).alias("dot"),
-            F.sum(F.pow(own_weight, 2) - F.pow(F.col("tf") * F.col("idf"), 2)).alias("shift"),
-            F.first("norm2").alias("norm2"), F.first("pnorm2").alias("pnorm2"),
-        )
-        .select(
-            "profile_id", "id",
-            F.round(F.col("dot") / F.sqrt((F.col("norm2") + F.col("shift")) * F.col("pnorm2")), digits).alias("score"),
-        )
+    norms = own.groupBy("profile_id").agg(F.sqrt(F.sum(F.pow(F.col("ptf") * F.col("idf_own"), 2))).alias("pnorm"))
+    weights = saved_copy(
+        own.join(norms, "profile_id").select("profile_id", "term", (F.col("ptf") * F.col("idf_own") / F.col("pnorm")).alias("weight")),
+        "weights",
     )
+
+    few = weights.select("profile_id").distinct().limit(max_profiles + 1).count() <= max_profiles
+    terms = bounded_lookup(idf.select(F.col("term").alias("key"), F.struct("idf", "idf_own").alias("value")), max_entries) if few else None
+    loads = bounded_lookup(_profile_rows(weights), max_entries) if terms else None
+    scores = _scores_in_row(docs, terms, loads) if loads else _scores_by_join(docs, idf, weights)
+    scores = scores.withColumn("score", F.round("score", digits))
     order = [F.desc("score"), F.asc("id")]
     best = first_per_key(scores, ["profile_id"], order, k)
 
     # A profile with c < k scored ids needs k - c others: they are among the k lowest ids.
     lowest = postings.select("id").orderBy("id").limit(k).agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    scored = profiles.select("profile_id").join(
-        best.groupBy("profile_id").agg(F.collect_list("id").alias("_ids")), "profile_id", "left"
-    )
-    have = F.coalesce("_ids", F.array().cast(postings.select(F.array("id")).schema[0].dataType))
+    have = F.coalesce("_ids", F.array().cast(f"array<{postings.schema['id'].dataType.simpleString()}>"))
     fill = F.slice(F.array_except(lowest.scalar(), have), F.lit(1), F.greatest(F.lit(k) - F.size(have), F.lit(0)))
-    filler = scored.select("profile_id", F.explode(fill).alias("id"), F.lit(0.0).alias("score"))
-    both = best.unionByName(filler)
-    place = Window.partitionBy("profile_id").orderBy(*order)
-    return both.withColumn("place", F.row_number().over(place))
+    # The k best rows per profile come as one list; with the fillers behind it they are placed in it.
+    lists = profiles.select("profile_id").join(
+        best.groupBy("profile_id").agg(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id")).alias("_best")), "profile_id", "left"
+    ).withColumn("_ids", F.transform("_best", lambda b: b["id"])).withColumn("_fill", fill)
+    filler = F.transform("_fill", lambda i: F.struct(F.lit(-0.0).alias("minus"), i.alias("id")))
+    ranked = F.sort_array(F.concat(F.coalesce("_best", F.slice(filler, 1, 0)), filler))
+    return lists.select("profile_id", F.posexplode(ranked).alias("place", "b")).select(
+        "profile_id", F.col("b.id").alias("id"), (-F.col("b.minus")).alias("score"), (F.col("place") + 1).alias("place")
+    )
+
+
+def _profile_rows(weights: DataFrame) -> DataFrame:
+    """One entry: all profiles with their term weights."""
+    one = weights.groupBy("profile_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("terms"))
+    return one.select(F.col("profile_id").cast("string").alias("key"), F.struct("profile_id", "terms").alias("value"))
+
+
+def _scores_in_row(docs: DataFrame, terms: Lookup, loads: Lookup) -> DataFrame:
+    """profile_id, id, score from constants only: nothing is joined or shuffled."""
+    known = F.transform("terms", lambda t: F.struct(
+        t["term"].alias("term"), t["tf"].alias("tf"), terms.find(t["term"]).alias("f")))
+    rows = docs.withColumn("_t", known)
+    square = lambda x: x * x
+    rows = rows.withColumn("_norm2", F.aggregate("_t", F.lit(0.0), lambda s, t: s + square(t["tf"] * t["f"]["idf"])))
+    zero = F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("shift"))
+
+    def one(profile):
+        def add(s, t):
+            weight = F.try_element_at(profile["terms"], t["term"])
+            own = t["tf"] * t["f"]["idf_own"]
+            return F.when(weight.isNotNull(), F.struct(
+                (s["dot"] + own * weight).alias("dot"), (s["shift"] + square(own) - square(t["tf"] * t["f"]["idf"])).alias("shift"),
+            )).otherwise(s)
+
+        score = lambda s: F.when(s["dot"] > 0, s["dot"] / F.sqrt(F.col("_norm2") + s["shift"]))
+        return F.struct(profile["profile_id"].alias("profile_id"), F.aggregate("_t", zero, add, score).alias("score"))
+
+    scored = F.filter(F.transform(loads.values(), one), lambda r: r["score"].isNotNull())
+    return rows.select("id", F.inline_outer(scored)).filter(F.col("score").isNotNull())
+
+
+def _scores_by_join(docs: DataFrame, idf: DataFrame, weights: DataFrame) -> DataFrame:
+    """The same by joins on the term.
+
+    A hot term makes a skewed join key, which adaptive execution splits. After the one shuffle
+    by posting id, the scores of a posting need no other exchange.
+    """
+    terms = docs.select("id", F.inline_outer("terms")).filter(F.col("term").isNotNull())
+    own = F.col("tf") * F.col("idf_own")
+    sized = (
+        terms.join(idf.hint("shuffle_merge"), "term").groupBy("id")
+        .agg(F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).alias("norm2"),
+             F.collect_list(F.struct("term", "tf", "idf", "idf_own")).alias("terms"))
+    )
+    parts = sized.select("id", "norm2", F.inline("terms")).join(weights.hint("shuffle_merge"), "term")
+    return (
+        parts.groupBy("id", "profile_id")
+        .agg(F.sum(own * F.col("weight")).alias("dot"),
+             F.sum(F.pow(own, 2) - F.pow(F.col("tf") * F.col("idf"), 2)).alias("shift"), F.first("norm2").alias("norm2"))
+        .select("profile_id", "id", (F.col("dot") / F.sqrt(F.col("norm2") + F.col("shift"))).alias("score"))
+    )
 
 
 def cosine(a: Column, b: Column) -> Column:

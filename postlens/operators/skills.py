@@ -39,7 +39,7 @@ def baskets_from_postings(postings: DataFrame, categories: Sequence[str] = K.CAT
         for c in categories
     ])
     duties = postings.select("id", F.explode(F.split("duty", ", ")).alias("duty"), pairs.alias("_pairs"))
-    rows = duties.select("id", "duty", F.inline("_pairs"))
+    rows = duties.select("id", "duty", F.inline_outer("_pairs"))
     return rows.filter((F.size("required") > 0) | (F.size("preferred") > 0))
 
 

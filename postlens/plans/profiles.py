@@ -43,7 +43,7 @@ def profile_groups(profiles: DataFrame) -> DataFrame:
     groups = F.array(*[F.named_struct(F.lit("category"), F.lit(c), F.lit("owned_skills"), F.sort_array(_list(n)))
                        for c, n in PROFILE_LISTS.items()])
     jobs = profiles.select("profile_id", F.explode("jobs").alias("duty"), groups.alias("_groups"))
-    return jobs.select("profile_id", "duty", F.inline("_groups"))
+    return jobs.select("profile_id", "duty", F.inline_outer("_groups"))
 
 
 def profile_skills(profiles: DataFrame) -> DataFrame:

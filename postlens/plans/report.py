@@ -49,7 +49,7 @@ def duty_summary_rows(profiles: DataFrame, summaries: DataFrame) -> DataFrame:
         )
         for part in splitters
     ])
-    rows = summaries.select("duty", F.inline(cells)).filter(F.size("cell") >= 2)
+    rows = summaries.select("duty", F.inline_outer(cells)).filter(F.size("cell") >= 2)
     text = F.get("cell", F.lit(1))
     sentences = None
     for part, split in splitters.items():

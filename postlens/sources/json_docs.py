@@ -35,7 +35,8 @@ def _decoded_roots(df: DataFrame, schema, root: str, text: str) -> DataFrame:
     names = schema[root].dataType.names
     decoded = F.array(F.from_json(F.col(text), schema, {"mode": "PERMISSIVE"})[root])
     usable = F.filter(decoded, lambda p: reduce(lambda x, y: x | y, [p[n].isNotNull() for n in names]))
-    return df.select(F.col(text).alias("text"), F.explode(usable).alias("p"))
+    # The outer form: for the plain one Spark would add a test of the array below the generator.
+    return df.select(F.col(text).alias("text"), F.explode_outer(usable).alias("p")).filter(F.col("p").isNotNull())
 
 
 def flatten_posting_json_a(df: DataFrame, text: str = "text", crawling_dt: str | None = None) -> DataFrame:
@@ -110,7 +111,7 @@ def serving_rows(df: DataFrame, text: str = "text") -> DataFrame:
     decoded = F.array(F.from_json(F.col(text), shape, {"columnNameOfCorruptRecord": "_corrupt_record"}))
     readable = F.filter(decoded, lambda d: d.isNotNull() & d["_corrupt_record"].isNull())
     others = [c for c in df.columns if c != text]
-    rows = df.select(*others, F.explode(readable).alias("_doc")).select(
+    rows = df.select(*others, F.explode_outer(readable).alias("_doc")).filter(F.col("_doc").isNotNull()).select(
         *others, F.coalesce(F.col("_doc.jobPosition"), F.create_map().cast(_ROOT_KEYS)).alias("_p")
     )
 
