@@ -26,14 +26,13 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> Data
 def write_csv_table(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
     """Chosen columns with a header, one file per partition.
 
-    A null cell is written as an empty one and read back as null, an empty text as "".
+    Null and empty cells both come back as null.
     """
     out = df.select(*columns) if columns else df
     (
         out.write.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
-        .option("emptyValue", '""')
         .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss")
         .csv(path)
     )
