@@ -24,6 +24,13 @@ def _(spark, folder):
     return annotated(spark, folder).select("conv_id", "turn", F.array_join("tokens", " ").alias("tokens"), F.array_join("tags", ",").alias("tags"))
 
 
+@query("l03_flatten_token_tags", with_ctes(V8_SQL, body="SELECT conv_id, turn, array_to_string(tokens, ' ') AS spaced, array_to_string(tokens, ',') AS commas FROM v8"))
+def _(spark, folder):
+    from postlens.functions.lists import join_list
+
+    return v8_tokens(spark, folder).select("conv_id", "turn", join_list("tokens", " ").alias("spaced"), join_list("tokens", ",").alias("commas"))
+
+
 @query("l02_expand_multiword_tags", with_ctes(V2_SQL, V2_LISTS_SQL, body="""
 SELECT id, array_to_string(skills, ' ') AS tokens, array_to_string(list_transform(flatten([CASE CAST(substr(s, 7) AS INTEGER) % 4
   WHEN 0 THEN ['B-LANGUAGES', 'I-LANGUAGES'] WHEN 1 THEN ['B-FRAMEWORKS', 'I-FRAMEWORKS'] ELSE ['O', 'O'] END FOR s IN skills]), lambda x: x), ',') AS tags FROM lists"""))
@@ -130,7 +137,8 @@ def _(spark, folder):
 
 
 @query("l14_masked_token_accuracy", """
-SELECT round(avg(a), 6) AS accuracy, count(*) AS batches FROM (SELECT doc_id // 4 AS b, avg(CASE WHEN quality = 1 - toxic THEN 1.0 ELSE 0.0 END) AS a FROM labels WHERE doc_id % 3 <> 0 GROUP BY 1)""")
+SELECT round(avg(a), 6) AS accuracy, count(*) AS batches FROM (SELECT b, avg(CASE WHEN label = predicted THEN 1.0 ELSE 0.0 END) AS a
+FROM (SELECT doc_id // 4 AS b, CASE WHEN doc_id % 3 = 0 THEN -100 ELSE quality END AS label, 1 - toxic AS predicted FROM labels) WHERE label <> -100 GROUP BY b)""")
 def _(spark, folder):
     rows = table(spark, folder, "labels").select(
         F.expr("doc_id div 4").alias("batch"), F.when(F.col("doc_id") % 3 == 0, -100).otherwise(F.col("quality")).alias("label"), (1 - F.col("toxic")).alias("predicted"))

@@ -18,7 +18,7 @@ base AS (SELECT id, sum((tf * idf) ** 2) AS norm FROM pt JOIN idf USING (term) G
 raw AS (SELECT ow.profile_id, pt.id, sum(ptf * ow.own * tf * ow.own) AS dot, sum((tf * ow.own) ** 2 - (tf * idf.idf) ** 2) AS shift
   FROM pt JOIN ow ON pt.term = ow.term JOIN idf ON pt.term = idf.term GROUP BY ow.profile_id, pt.id),
 best AS (SELECT raw.profile_id, raw.id, round(dot / sqrt((norm + shift) * pnorm), 9) AS score FROM raw JOIN base ON raw.id = base.id JOIN pn ON raw.profile_id = pn.profile_id),
-every AS (SELECT profile_id, id, score FROM best UNION ALL SELECT v.profile_id, l.id, 0.0 FROM v7 v, (SELECT id FROM lists ORDER BY id LIMIT 400) l
+every AS (SELECT profile_id, id, score FROM best UNION ALL SELECT v.profile_id, l.id, 0.0 FROM v7 v, lists l
   WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.profile_id = v.profile_id AND b.id = l.id))"""
 
 

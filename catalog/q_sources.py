@@ -18,6 +18,15 @@ def _(spark, folder):
     return tables.read_csv_table(spark, path, docs.schema)
 
 
+@query("s02_write_csv_table", "SELECT doc_id, source FROM documents")
+def _(spark, folder):
+    """Chosen columns only."""
+    path = scratch_path(spark, "csv")
+    tables.write_csv_table(table(spark, folder, "documents"), path, ["source", "doc_id"])
+    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("doc_id", T.LongType())])
+    return tables.read_csv_table(spark, path, schema)
+
+
 @query("s03_scan_relational_tables", """
 SELECT n_name, count(*) AS customers FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY n_name""")
 def _(spark, folder):

@@ -1,4 +1,8 @@
-"""HTML columns. Browsers' tag rules need a parser, so these are Arrow-batched."""
+"""HTML columns. Tag rules need a parser, so these run in Python on Arrow batches.
+
+They are marked non-deterministic only to keep Spark from moving a filter on their result
+below them, where it would parse every page a second time.
+"""
 
 from collections.abc import Sequence
 from html.parser import HTMLParser
@@ -93,7 +97,7 @@ def strip_html(c) -> Column:
     def run(html: pd.Series) -> pd.Series:
         return html.map(one)
 
-    return run(_col(c))
+    return run.asNondeterministic()(_col(c))
 
 
 def html_sections(
@@ -140,4 +144,4 @@ def html_sections(
     def run(html: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(h) for h in html], columns=names, dtype="object")
 
-    return run(_col(c))
+    return run.asNondeterministic()(_col(c))

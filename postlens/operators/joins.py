@@ -152,14 +152,16 @@ def wildcard_match(requests: DataFrame, rows: DataFrame, on: str, columns: Seque
     def masked(c, i, mask):
         return F.when(F.getbit(mask, F.lit(i)) == 1, F.lit("")).otherwise(F.col(c)).alias(c)
 
+    # The pattern of a request's empty values; only patterns that occur are built for the rows.
+    mask = sum((F.when(F.col(c) == "", F.lit(2 ** i)).otherwise(F.lit(0)) for i, c in enumerate(columns)), F.lit(0))
+    used = requests.select(mask.alias("_mask")).distinct()
     live = rows.na.drop(subset=columns).select(on, *columns, order)
     patterns = (
-        live.withColumn("_mask", F.explode(masks))
+        live.withColumn("_mask", F.explode(masks)).join(used, "_mask", "left_semi")
         .select(on, "_mask", *[masked(c, i, F.col("_mask")) for i, c in enumerate(columns)], order)
         .groupBy(on, "_mask", *columns)
         .agg(F.count("*").alias("matches"), F.min(order).alias(f"first_{order}"))
     )
-    mask = sum((F.when(F.col(c) == "", F.lit(2 ** i)).otherwise(F.lit(0)) for i, c in enumerate(columns)), F.lit(0))
     return (
         requests.withColumn("_mask", mask)
         .join(patterns, [on, "_mask", *columns], "left")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from postlens import constants as K
 from postlens.functions.lists import literal_map
 from postlens.operators.sets import hash_bucket, hash_positions
+from postlens.session import saved_copy
 
 
 def split_train_val_test(
@@ -19,16 +20,16 @@ def split_train_val_test(
     """
     bucket, digest = hash_bucket(F.col(key), seed)
     rows = df.withColumn("_bucket", bucket)
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # At most 65,536 bucket rows, whatever the size of the table, so one window over all is small.
     counts = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    train = F.bround(total * fractions[0])
-    rest = total - train
-    val = train + F.bround(rest * (fractions[1] / (fractions[1] + fractions[2])))
-    # At most 65,536 bucket rows, whatever the size of the table.
-    borders = counts.withColumn("_end", F.sum("_n").over(before)).select(
-        "_bucket", (F.col("_end") - F.col("_n")).alias("_start"), "_end",
-        train.cast("long").alias("_train"), val.cast("long").alias("_val"),
+    so_far = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.sum("_n").over(Window.partitionBy())
+    borders = (
+        counts.withColumn("_end", F.sum("_n").over(so_far)).withColumn("_total", total)
+        .withColumn("_train", F.bround(F.col("_total") * fractions[0]).cast("long"))
+        .withColumn("_val", F.col("_train") + F.bround(
+            (F.col("_total") - F.col("_train")) * (fractions[1] / (fractions[1] + fractions[2]))).cast("long"))
+        .select("_bucket", (F.col("_end") - F.col("_n")).alias("_start"), "_end", "_train", "_val")
     )
 
     def part_of(first, last):
@@ -137,9 +138,10 @@ def entity_report(tags: DataFrame, gold: str = "gold", predicted: str = "predict
     true = _entities(tags, gold, block).withColumn("g", F.lit(1))
     found = _entities(tags, predicted, block).withColumn("p", F.lit(1))
     matched = true.join(found, keys, "full_outer").fillna(0, ["g", "p"])
-    per_type = matched.groupBy("type").agg(
+    # A row per entity type, written once: four results are made from it.
+    per_type = saved_copy(matched.groupBy("type").agg(
         F.sum(F.col("g") * F.col("p")).alias("tp"), F.sum("p").alias("pred"), F.sum("g").alias("support")
-    )
+    ), "entity_counts")
 
     def ratio(a, b):
         return F.when(b == 0, F.lit(0.0)).otherwise(a / b)

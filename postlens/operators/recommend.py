@@ -10,7 +10,7 @@ from postlens.functions.lookup import MAX_ENTRIES, Lookup, bounded_lookup
 from postlens.functions.text import matches_ignore_case
 from postlens.operators.joins import optional_equality
 from postlens.operators.sets import first_per_key
-from postlens.session import saved_copy
+from postlens.session import broadcast_if_small, saved_copy
 
 
 def _term_counts(text: str, pattern: str, stop_words: Sequence[str]) -> Column:
@@ -30,6 +30,7 @@ def _term_counts(text: str, pattern: str, stop_words: Sequence[str]) -> Column:
 
 
 MAX_PROFILES = 500
+MAX_BROADCAST_VECTORS = 2_000
 
 
 def recommend_postings_tfidf(
@@ -181,14 +182,17 @@ def filtered_vector_search(items: DataFrame, queries: DataFrame, on: Sequence[st
 
     ``items`` has id, embedding and the columns ``on``; ``queries`` has query_id, vector and
     ``on``. The metadata is the join key, so an item meets only the requests it can answer,
-    and each partition keeps k rows per request before the shuffle.
+    and each partition keeps k rows per request before the shuffle. Requests are sent to the
+    items while they are few; more of them meet the items in a shuffled join.
     """
     # Norms once per vector, not once per pair.
     def norm2(c):
         return F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
 
     left = items.select("id", *on, "embedding", norm2("embedding").alias("_n1"))
-    right = queries.select("query_id", *on, "vector", norm2("vector").alias("_n2"))
+    right = broadcast_if_small(
+        queries.select("query_id", *on, "vector", norm2("vector").alias("_n2")), MAX_BROADCAST_VECTORS, "requests"
+    )
     dot = F.aggregate(
         F.zip_with("embedding", "vector", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v
     )

@@ -106,18 +106,21 @@ def skill_set_support(baskets: DataFrame, totals: DataFrame, min_support: float
     not reported; skills under it cannot be part of a reported set and are taken out first.
     Triples are built from distinct baskets only, weighted with the number of postings.
     """
-    weighted = weighted_baskets(baskets)
-    required = weighted.groupBy("duty", "category", F.col("required").alias("items")).agg(F.sum("n").alias("n"))
+    zero, n = F.lit(0).cast("long"), F.col("n")
+    sides = F.array(
+        F.named_struct(F.lit("items"), F.col("required"), F.lit("req"), n, F.lit("pre"), zero),
+        F.named_struct(F.lit("items"), F.col("preferred"), F.lit("req"), zero, F.lit("pre"), n),
+    )
+    both = (
+        weighted_baskets(baskets).select("duty", "category", F.inline_outer(sides)).filter(F.size("items") > 2)
+        .groupBy("duty", "category", "items").agg(F.sum("req").alias("req"), F.sum("pre").alias("pre"))
+    )
     if min_support > 0:
         frequent = (
             skill_support(baskets, totals).filter(F.col("probability") >= min_support)
             .groupBy("duty", "category").agg(F.collect_set("skill").alias("_keep"))
         )
-        required = required.join(frequent, ["duty", "category"]).withColumn("items", F.array_intersect("items", "_keep"))
-    preferred = weighted.groupBy("duty", "category", F.col("preferred").alias("items")).agg(F.sum("n").alias("n"))
-    both = required.select("duty", "category", "items", F.col("n").alias("req"), F.lit(0).alias("pre")).unionByName(
-        preferred.select("duty", "category", "items", F.lit(0).alias("req"), F.col("n").alias("pre"))
-    )
+        both = both.join(frequent, ["duty", "category"]).withColumn("items", F.array_intersect("items", "_keep"))
     counts = (
         both.select("duty", "category", "req", "pre", F.explode(_triples(F.col("items"))).alias("triple"))
         .groupBy("duty", "category", F.array_join("triple", ", ").alias("skill"))

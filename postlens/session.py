@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -54,6 +54,12 @@ def saved_copy(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int, label: str) -> DataFrame:
+    """A stored copy, marked for broadcast only when it has at most ``max_rows`` rows."""
+    stored = saved_copy(df, label)
+    return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows of an input that comes in fewer pieces than there are cores, dealt out to all of them.
 
