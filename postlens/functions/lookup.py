@@ -20,10 +20,6 @@ class Lookup:
         self.size = len(buckets)
         self.table = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), f"array<map<string,{value_type}>>")
 
-    def values(self) -> Column:
-        """All values, as an array."""
-        return F.flatten(F.transform(self.table, F.map_values))
-
     def find(self, key: Column) -> Column:
         return F.try_element_at(F.get(self.table, F.pmod(F.hash(key), F.lit(self.size))), key)
 

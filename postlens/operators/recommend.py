@@ -71,10 +71,13 @@ def recommend_postings_tfidf(
         "weights",
     )
 
-    few = weights.select("profile_id").distinct().limit(max_profiles + 1).count() <= max_profiles
-    terms = bounded_lookup(idf.select(F.col("term").alias("key"), F.struct("idf", "idf_own").alias("value")), max_entries) if few else None
-    loads = bounded_lookup(_profile_rows(weights), max_entries) if terms else None
-    scores = _scores_in_row(docs, terms, loads) if loads else _scores_by_join(docs, idf, weights)
+    terms = loads = None
+    ids = [r[0] for r in weights.select("profile_id").distinct().limit(max_profiles + 1).collect()]
+    if len(ids) <= max_profiles:
+        loads = bounded_lookup(_dense_weights(weights, ids), max_entries)
+    if loads:
+        terms = bounded_lookup(idf.select(F.col("term").alias("key"), F.struct("idf", "idf_own").alias("value")), max_entries)
+    scores = _scores_in_row(docs, terms, loads, ids) if terms else _scores_by_join(docs, idf, weights)
     scores = scores.withColumn("score", F.round("score", digits))
     order = [F.desc("score"), F.asc("id")]
     best = first_per_key(scores, ["profile_id"], order, k)
@@ -94,34 +97,37 @@ def recommend_postings_tfidf(
     )
 
 
-def _profile_rows(weights: DataFrame) -> DataFrame:
-    """One entry: all profiles with their term weights."""
-    one = weights.groupBy("profile_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("terms"))
-    return one.select(F.col("profile_id").cast("string").alias("key"), F.struct("profile_id", "terms").alias("value"))
+def _id_array(ids: list) -> Column:
+    return F.array(*[F.lit(i) for i in ids])
 
 
-def _scores_in_row(docs: DataFrame, terms: Lookup, loads: Lookup) -> DataFrame:
-    """profile_id, id, score from constants only: nothing is joined or shuffled."""
+def _dense_weights(weights: DataFrame, ids: list) -> DataFrame:
+    """Per term the weights of all profiles, in the order of ``ids``, 0 where the profile lacks it."""
+    by_term = weights.groupBy(F.col("term").alias("key")).agg(
+        F.map_from_entries(F.collect_list(F.struct("profile_id", "weight"))).alias("_w"))
+    return by_term.select("key", F.transform(
+        _id_array(ids), lambda i: F.coalesce(F.try_element_at("_w", i), F.lit(0.0))).alias("value"))
+
+
+def _scores_in_row(docs: DataFrame, terms: Lookup, loads: Lookup, ids: list) -> DataFrame:
+    """profile_id, id, score: vectors over the profiles are summed inside the row, nothing is shuffled."""
     known = F.transform("terms", lambda t: F.struct(
-        t["term"].alias("term"), t["tf"].alias("tf"), terms.find(t["term"]).alias("f")))
-    rows = docs.withColumn("_t", known)
+        t["tf"].alias("tf"), terms.find(t["term"]).alias("f"), loads.find(t["term"]).alias("w")))
     square = lambda x: x * x
-    rows = rows.withColumn("_norm2", F.aggregate("_t", F.lit(0.0), lambda s, t: s + square(t["tf"] * t["f"]["idf"])))
-    zero = F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("shift"))
-
-    def one(profile):
-        def add(s, t):
-            weight = F.try_element_at(profile["terms"], t["term"])
-            own = t["tf"] * t["f"]["idf_own"]
-            return F.when(weight.isNotNull(), F.struct(
-                (s["dot"] + own * weight).alias("dot"), (s["shift"] + square(own) - square(t["tf"] * t["f"]["idf"])).alias("shift"),
-            )).otherwise(s)
-
-        score = lambda s: F.when(s["dot"] > 0, s["dot"] / F.sqrt(F.col("_norm2") + s["shift"]))
-        return F.struct(profile["profile_id"].alias("profile_id"), F.aggregate("_t", zero, add, score).alias("score"))
-
-    scored = F.filter(F.transform(loads.values(), one), lambda r: r["score"].isNotNull())
-    return rows.select("id", F.inline_outer(scored)).filter(F.col("score").isNotNull())
+    plain = lambda t: square(t["tf"] * t["f"]["idf"])
+    rows = docs.withColumn("_t", known).select(
+        "id",
+        F.aggregate("_t", F.lit(0.0), lambda s, t: s + plain(t)).alias("_norm2"),
+        F.transform(F.filter("_t", lambda t: t["w"].isNotNull()), lambda t: F.struct(
+            t["w"].alias("w"), (t["tf"] * t["f"]["idf_own"]).alias("x"),
+            (square(t["tf"] * t["f"]["idf_own"]) - plain(t)).alias("shift"))).alias("_m"),
+    )
+    zeros = F.array_repeat(F.lit(0.0), len(ids))
+    dot = F.aggregate("_m", zeros, lambda s, t: F.zip_with(s, t["w"], lambda a, w: a + t["x"] * w))
+    shift = F.aggregate("_m", zeros, lambda s, t: F.zip_with(s, t["w"], lambda a, w: F.when(w > 0, a + t["shift"]).otherwise(a)))
+    score = F.zip_with(dot, shift, lambda d, s: F.when(d > 0, d / F.sqrt(F.col("_norm2") + s)))
+    scored = rows.select("id", F.posexplode_outer(score).alias("_at", "score")).filter(F.col("score").isNotNull())
+    return scored.select(F.get(_id_array(ids), F.col("_at")).alias("profile_id"), "id", "score")
 
 
 def _scores_by_join(docs: DataFrame, idf: DataFrame, weights: DataFrame) -> DataFrame:
