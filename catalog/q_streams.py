@@ -43,7 +43,7 @@ def _(spark, folder):
 
     run = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
-    rows = spark.read.schema("bucket timestamp, keyword string, mentions long, batch_id long").parquet(store)
+    rows = spark.read.parquet(store)
     last = rows.groupBy("bucket", "keyword").agg(F.max_by("mentions", "batch_id").alias("mentions"))
     return last.withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd"))
 

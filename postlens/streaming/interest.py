@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 
 def keyword_counts(events: DataFrame, ts: str, keyword: str, width: str = "7 days", offset: str = "4 days") -> DataFrame:
@@ -10,7 +10,7 @@ def keyword_counts(events: DataFrame, ts: str, keyword: str, width: str = "7 day
 
     The default offset starts weekly buckets on Mondays.
     """
-    bucket = F.window(F.col(ts).cast("timestamp"), width, startTime=offset)
+    bucket = F.window(F.col(ts), width, startTime=offset)
     return events.groupBy(bucket.alias("bucket"), F.col(keyword).alias("keyword")).agg(F.count("*").alias("mentions")).select(
         F.col("bucket.start").alias("bucket"), "keyword", "mentions"
     )
@@ -39,6 +39,14 @@ def stream_keyword_counts(events: DataFrame, ts: str, keyword: str, lateness: st
     """X1, streaming: the watermark bounds the state to the open buckets.
 
     Write it in update mode to include the open bucket, in append mode for closed ones only.
+    A watermark needs instants; times without a zone are taken as UTC on the way in and given
+    back without a zone, so buckets begin at the same clock time in every session.
     """
-    timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
-    return keyword_counts(timed, ts, keyword, width, offset)
+    zone = F.current_timezone()
+    zoneless = events.schema[ts].dataType == T.TimestampNTZType()
+    if zoneless:
+        events = events.withColumn(ts, F.from_utc_timestamp(F.col(ts).cast("timestamp"), zone))
+    counts = keyword_counts(events.withWatermark(ts, lateness), ts, keyword, width, offset)
+    if zoneless:
+        counts = counts.withColumn("bucket", F.to_utc_timestamp("bucket", zone).cast("timestamp_ntz"))
+    return counts
