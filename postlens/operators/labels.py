@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from postlens import constants as K
 from postlens.functions.lists import literal_map
 from postlens.operators.sets import hash_bucket, hash_positions
-from postlens.session import saved_copy
+from postlens.session import broadcast_if_small, saved_copy
+
+
+MAX_LABELS = 10_000
 
 
 def split_train_val_test(
@@ -39,7 +42,8 @@ def split_train_val_test(
             .when(first >= F.col("_val"), "test")
         )
 
-    placed = rows.join(borders, "_bucket").withColumn(out, part_of(F.col("_start"), F.col("_end")))
+    # Bounded by the number of buckets, so it is sent to the rows, which stay where they are.
+    placed = rows.join(F.broadcast(borders), "_bucket").withColumn(out, part_of(F.col("_start"), F.col("_end")))
     clear = placed.filter(F.col(out).isNotNull()).select(*df.columns, out)
     inside = Window.partitionBy("_bucket").orderBy(digest, key)
     mixed = placed.filter(F.col(out).isNull()).withColumn("_pos", F.col("_start") + F.row_number().over(inside) - 1)
@@ -53,7 +57,8 @@ def _with_copies(df: DataFrame, key: str, label: str, needs: DataFrame, seed: in
     ``needs`` has the label, its row count ``_have`` and ``need``; each row gets
     need div have copies, the first need mod have rows one more. ``copy`` is 0 for the original.
     """
-    placed = hash_positions(df.join(needs, label), key, seed, by=[label])
+    few = broadcast_if_small(needs, MAX_LABELS, "label_counts")
+    placed = hash_positions(df.join(few, label), key, seed, by=[label])
     extra = (F.col("need") / F.col("_have")).cast("long") + F.when(F.col("pos") < F.col("need") % F.col("_have"), 1).otherwise(0)
     return placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), extra))).select(*df.columns, "copy")
 

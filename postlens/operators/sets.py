@@ -64,7 +64,8 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], name: str = "seq",
 
     The rows are range-sorted and written once, so that each partition has fixed rows; its
     offset is the number of rows in the partitions before it. No window sees more than one
-    row per partition.
+    row per partition. Let the order end in a unique column: it settles ties, and rows with
+    equal keys would all lie in one partition.
     """
     fixed = cut_lineage(df.orderBy(*order))
     local = F.monotonically_increasing_id()
@@ -76,7 +77,7 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], name: str = "seq",
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     first = F.lit(start) if isinstance(start, int) else start
     return (
-        placed.join(offsets, "_part")
+        placed.join(F.broadcast(offsets), "_part")  # one row per partition
         .withColumn(name, (F.col("_offset") + F.col("_pos") + first).cast("long"))
         .drop("_part", "_pos", "_offset")
     )
@@ -95,7 +96,7 @@ def hash_positions(df: DataFrame, key: str, seed: int, by: Sequence[str] = ()) -
     """0-based position ``pos`` of each row in the seeded hash order, within ``by`` groups.
 
     Positions come from bucket counts plus the rank inside a bucket, so neither a group
-    nor the table is ever sorted in one task.
+    nor the table is ever sorted in one task. ``key`` identifies a row.
     """
     by = list(by)
     bucket, digest = hash_bucket(F.col(key), seed)
