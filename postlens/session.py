@@ -1,7 +1,10 @@
 """Session helpers: defaults for a local run, shared scratch space, lineage cuts."""
 
+import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -31,14 +34,45 @@ def shared_folder(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else None
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="postlens-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the stored copies this application has made; frames that read them end with it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(job_folder(spark))
+    path.getFileSystem(conf).delete(path, True)
+
+
+def job_folder(spark: SparkSession) -> str:
+    """One folder for each application below the shared folder."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, as a zip made by the driver."""
+    context = spark.sparkContext
+    if getattr(context, "_postlens_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="postlens-zip-"), "postlens_package.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(path)
+    context._postlens_shipped = True
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path below the application's part of the shared folder."""
+    return f"{job_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
