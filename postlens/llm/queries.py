@@ -4,8 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlens.llm import packing, simhash, token_files
-from postlens.llm.common import read
+from postlens.llm import decontaminate, language, linededup, packing, pii, quality, simhash, token_files, toxicity
+from postlens.llm.common import read, remainder
 from postlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,11 +22,54 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_decontamination", """
+WITH item AS (SELECT coalesce(item_id::VARCHAR, '') AS item,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+win AS (SELECT item, least(len(w), 13) AS size, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda i: array_to_string(w[i:i + 12], ' '))) AS win FROM item WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM win),
+doc AS (SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM documents),
+place AS (SELECT r, size, unnest(range(1, len(w) - size + 2)) AS s, w FROM doc, sizes WHERE len(w) >= size),
+hit AS (SELECT p.r, p.s, p.size, win.item FROM place p JOIN win ON win.size = p.size AND array_to_string(p.w[p.s:p.s + p.size - 1], ' ') = win.win),
+word AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(s, s + size)) AS pos FROM hit) GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN word USING (r) LEFT JOIN ids USING (r)""")
+def op1(spark, folder):
+    found = decontaminate.decontaminate(read(spark, folder, "documents").select("doc_id", "text"), read(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+@query("op2_language_id")
+def op2(spark, folder):
+    docs = read(spark, folder, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = language.learn(docs.filter(~held_out))
+    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query("op3_best_fit_packing")
 def op3(spark, folder):
     return packing.pack_documents(read(spark, folder, "documents"))
 
 
+@query("op5_quality_rules")
+def op5(spark, folder):
+    return quality.judge(read(spark, folder, "documents"))
+
+
+@query("op6_line_dedup")
+def op6(spark, folder):
+    cut = linededup.dedupe(read(spark, folder, "documents"))
+    spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    words = F.aggregate("removed", F.lit(0), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", words.cast("long").alias("n_removed"), F.concat_ws(",", spans).alias("removed"), F.md5("text").alias("text_md5"))
+
+
 @query("op7_simhash_near_dedup")
 def op7(spark, folder):
     return simhash.near_duplicates(read(spark, folder, "documents"))
@@ -37,3 +80,26 @@ def op9(spark, folder):
     path = scratch_path(spark, "token-blocks")
     token_files.write_token_blocks(read(spark, folder, "documents"), path)
     return token_files.read_token_documents(spark, path)
+
+
+TOXIC_FROM = 0.3
+
+
+def toxicity_model(spark: SparkSession, folder: str) -> toxicity.Model:
+    """Learned from the labelled documents that are not held out."""
+    known = read(spark, folder, "labels").filter(remainder(F.col("doc_id"), 4) != 2).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    return toxicity.learn(read(spark, folder, "documents").select("doc_id", "text").join(known, "doc_id"))
+
+
+@query("op8_toxicity")
+def op8(spark, folder):
+    docs = read(spark, folder, "documents")
+    scored = toxicity.score(docs, toxicity_model(spark, folder), "doc_id")
+    return scored.select(
+        "doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
+    )
+
+
+@query("op10_pii")
+def op10(spark, folder):
+    return pii.digests(pii.personal_data(read(spark, folder, "documents")))

@@ -14,9 +14,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from postlens.llm.common import components, pieces, prepare, stored, text_bytes
+from postlens.llm.common import NO_ID, components, pieces, prepare, stored, text_bytes
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -43,18 +43,23 @@ def fingerprint(text: bytes, n: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def with_fingerprints(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """(doc_id, digest, fp): the fingerprint as a signed long; the text's digest is null if not asked for."""
     prepare(docs)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("fp", pa.int64())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 1_000):
-                fps = np.array([fingerprint(t) for t in text_bytes(part.column(1))], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], schema=schema)
+                fps = np.array([fingerprint(t) for t in text_bytes(part.column(2))], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hashed, "doc_id long, fp long")
+    mark = text_digest() if digest else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("long"), mark.alias("digest"), F.col("text").cast("string")).mapInArrow(hashed, "doc_id long, digest string, fp long")
+
+
+def text_digest() -> Column:
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def _masks(bits: int, radius: int) -> np.ndarray:
@@ -185,6 +190,14 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, pairwise: int = PAIRWISE) ->
     return small.union(proved)
 
 
+def group_firsts(marked: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, first): the first row of each fingerprint's component, as (no id, doc_id, digest)."""
+    nodes = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("low"))
+    roots = components(links(nodes.select("fp"), max_bits), "a", "b", "simhash-components")
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("low").alias("first")), "root").select("fp", "first")
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row.
 
@@ -194,11 +207,19 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     an empty table gives no rows.
     """
     marked = stored(with_fingerprints(docs), "simhash")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(links(nodes.select("fp"), max_bits), "a", "b", "simhash-components")
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = rooted.join(lowest, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    return marked.join(group_firsts(marked, max_bits), "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id")
     )
+
+
+def one_of_each_group(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of the documents, all columns, with one row of each near-duplicate group.
+
+    The row with the smallest doc_id stays; a null id comes last, and of rows with equal ids
+    the one with the smallest digest of its text. Of rows equal in both, any one stays.
+    """
+    marked = stored(with_fingerprints(docs, digest=True), "simhash")
+    stay = stored(group_firsts(marked, max_bits).select("first").distinct(), "simhash-stay")
+    keys = stay.select(F.coalesce("first.doc_id", F.lit(NO_ID)).alias("_id"), F.col("first.digest").alias("_digest"))
+    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_digest", text_digest())
+    return own.join(keys, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).drop("_id", "_digest")
