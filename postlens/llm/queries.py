@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlens.llm import decontaminate, language, linededup, packing, pii, quality, simhash, token_files, toxicity
+from postlens.llm import decontaminate, language, linededup, lm, packing, pii, quality, simhash, token_files, toxicity
 from postlens.llm.common import read, remainder
 from postlens.session import scratch_path
 
@@ -57,6 +57,12 @@ def op3(spark, folder):
     return packing.pack_documents(read(spark, folder, "documents"))
 
 
+@query("op4_lm_scoring")
+def op4(spark, folder):
+    docs = read(spark, folder, "documents")
+    return lm.score(docs.select("doc_id", (remainder(F.col("doc_id"), 10) == 0).alias("held_out"), "text"))
+
+
 @query("op5_quality_rules")
 def op5(spark, folder):
     return quality.judge(read(spark, folder, "documents"))
