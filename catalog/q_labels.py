@@ -11,7 +11,7 @@ IDS = "MAP {'O': 0, 'B-LANGUAGES': 1, 'B-FRAMEWORKS': 2, 'B-LIBRARIES': 3, 'B-TO
 
 
 def annotated(spark, folder):
-    return T.annotate_tokens(v8_tokens(spark, folder), ["conv_id", "turn"], "tokens", v8_dictionary(spark, folder))
+    return T.annotate_tokens(v8_tokens(spark, folder), "tokens", v8_dictionary(spark, folder))
 
 
 TAG_LISTS_SQL = """tl AS (SELECT v8.conv_id, v8.turn, v8.tokens, coalesce(tags, []) AS tags FROM v8 LEFT JOIN
@@ -37,7 +37,7 @@ SELECT id, array_to_string(skills, ' ') AS tokens, array_to_string(list_transfor
 def _(spark, folder):
     names = v2_rows(spark, folder).select("skill", "category").distinct().select(
         F.col("skill").alias("name"), F.when(F.col("category") == "it_language", "languages").when(F.col("category") == "framework", "frameworks").alias("category"))
-    rows = T.annotate_tokens(v2_skill_lists(spark, folder).select("id", "skills"), ["id"], "skills", names)
+    rows = T.annotate_tokens(v2_skill_lists(spark, folder).select("id", "skills"), "skills", names)
     spread = rows.select("id", K.expand_multiword_tags("skills", "tags").alias("x"))
     return spread.select("id", F.array_join("x.token", " ").alias("tokens"), F.array_join("x.tag", ",").alias("tags"))
 
@@ -53,7 +53,7 @@ def _(spark, folder):
 SELECT conv_id, turn, array_to_string(flatten([CASE WHEN length(x[1]) > 3 THEN [coalesce({IDS}[x[2]], 0), -100] ELSE [coalesce({IDS}[x[2]], 0)] END FOR x IN [[tokens[i], tags[i]] FOR i IN range(1, len(tokens) + 1)]]), ',') AS labels FROM tl"""))
 def _(spark, folder):
     pieces = F.flatten(F.transform("tokens", lambda t: F.when(
-        F.length(t) > 3, F.array(F.substring(t, 1, 3), F.concat(F.lit("##"), F.substring(t, 4, 1000)))).otherwise(F.array(t))))
+        F.length(t) > 3, F.array(F.substring(t, 1, 3), F.concat(F.lit("##"), F.substr(t, F.lit(4))))).otherwise(F.array(t))))
     rows = annotated(spark, folder).select("conv_id", "turn", pieces.alias("pieces"), K.encode_labels("tags").alias("ids"))
     return rows.select("conv_id", "turn", F.array_join(K.mask_subwords("pieces", "ids").cast("array<string>"), ",").alias("labels"))
 

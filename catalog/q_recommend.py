@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from catalog.views import V2_LISTS_SQL, V2_SQL, V6_SQL, V7_SQL, v2_skill_lists, v6_items, v6_queries, v7, with_ctes
+from catalog.views import V2_LISTS_SQL, V2_SQL, V6_SQL, V7_SQL, pick, table, v2_skill_lists, v6_items, v6_queries, v7, with_ctes
 from postlens.operators import recommend as R
 from postlens.plans.profiles import profile_texts
 from postlens.session import saved_copy
@@ -32,10 +32,33 @@ def _(spark, folder):
 
 @query("c05_filtered_vector_search", with_ctes(V6_SQL, body="SELECT query_id, id, round(score, 6) AS score, place FROM hits"))
 def _(spark, folder):
-    hits = R.filtered_vector_search(v6_items(spark, folder), v6_queries(spark, folder), ["label"])
+    hits = R.filtered_vector_search(v6_items(spark, folder), v6_queries(spark, folder), R.matches_filters(equal=["label"]))
     return hits.withColumn("score", F.round("score", 6))
 
 
+@query("c05_mixed_filters", """
+WITH items AS (SELECT vec_id AS id, embedding, ['Data AI', 'Backend', 'Data Ops'][label % 3 + 1] AS duty, vec_id % 4 AS career, label % 3 AS degree,
+  ['c, java', 'go', 'Python , c', 'rust'][vec_id % 4 + 1] AS it_language FROM embeddings),
+requests AS (SELECT vec_id AS query_id, embedding AS vector, ['data', '', 'BACK', NULL][vec_id % 4 + 1] AS duty, vec_id % 4 AS career, CAST(vec_id % 2 AS INTEGER) AS degree,
+  [['java', 'go'], [], ['python']][vec_id % 3 + 1] AS it_language FROM embeddings WHERE vec_id % 100 = 0),
+scored AS (SELECT query_id, id, round(list_cosine_similarity(i.embedding::DOUBLE[], r.vector::DOUBLE[]), 9) AS score FROM items i, requests r
+  WHERE (coalesce(r.duty, '') = '' OR contains(lower(i.duty), lower(r.duty))) AND i.career = r.career AND (r.degree = 0 OR i.degree = r.degree)
+    AND (len(r.it_language) = 0 OR list_has_any(regexp_split_to_array(lower(i.it_language), '\\s*,\\s*'), r.it_language)))
+SELECT query_id, id, round(score, 6) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS place FROM scored) WHERE place <= 5""")
+def _(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    number, label = F.col("vec_id"), F.col("label")
+    items = vectors.select(
+        number.alias("id"), "embedding", pick(label % 3, ("Data AI", "Backend", "Data Ops")).alias("duty"), (number % 4).alias("career"),
+        (label % 3).alias("degree"), pick(number % 4, ("c, java", "go", "Python , c", "rust")).alias("it_language"))
+    wanted = F.array(F.array(F.lit("java"), F.lit("go")), F.array().cast("array<string>"), F.array(F.lit("python")))
+    requests = vectors.filter(number % 100 == 0).select(
+        number.alias("query_id"), F.col("embedding").alias("vector"), pick(number % 4, ("data", "", "BACK", None)).alias("duty"),
+        (number % 4).alias("career"), (number % 2).cast("int").alias("degree"), F.get(wanted, (number % 3).cast("int")).alias("it_language"))
+    match = R.matches_filters(equal=["career"], contains=["duty"], optional=["degree"], overlap=["it_language"])
+    return R.filtered_vector_search(items, requests, match, block=7).withColumn("score", F.round("score", 6))
+
+
 @query("c05_single_request", """
 SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], [CAST(i AS DOUBLE) - 20 FOR i IN range(64)]), 6) AS score FROM embeddings WHERE label = 3
 ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], [CAST(i AS DOUBLE) - 20 FOR i IN range(64)]), 9) DESC, vec_id LIMIT 5""")
@@ -49,6 +72,6 @@ def _(spark, folder):
 SELECT query_id, string_agg('label: ' || label || chr(10) || 'item: ' || id || chr(10) || 'odd: ' || CASE WHEN id % 2 = 1 THEN 'yes' ELSE 'N/A' END, chr(10) || chr(10) ORDER BY place) AS context
 FROM (SELECT query_id, query_id AS label, id, place FROM hits) GROUP BY query_id"""))
 def _(spark, folder):
-    hits = R.filtered_vector_search(v6_items(spark, folder), v6_queries(spark, folder), ["label"])
+    hits = R.filtered_vector_search(v6_items(spark, folder), v6_queries(spark, folder), R.matches_filters(equal=["label"]))
     rows = hits.withColumn("label", F.col("query_id")).withColumn("odd", F.when(F.col("id") % 2 == 1, "yes"))
     return R.nearest_context_rows(rows, {"label": "label", "item": "id", "odd": "odd"})

@@ -132,27 +132,54 @@ def _(spark, folder):
     return S.top_duties(fit_scores(spark, folder))
 
 
-SUGGEST_SQL = """open AS (SELECT g.profile_id, s.duty, s.category, s.skill, s.probability, r.skill AS rskill, r.probability AS rprobability, r.rank AS rrank,
+def suggest_ctes(limit: int = 2, per_rank: int = 2, strict: bool = False) -> str:
+    ends = " OR len([x FOR x IN string_split(s.skill, ', ') IF ends_with(x, ' ' || r.skill)]) > 0" if strict else ""
+    return f"""open AS (SELECT g.profile_id, s.duty, s.category, s.skill, s.probability, r.skill AS rskill, r.probability AS rprobability, r.rank AS rrank,
   CAST(row_number() OVER (PARTITION BY g.profile_id, s.duty, s.category, r.rank ORDER BY s.probability DESC, s.pre_probability DESC, s.skill) AS INTEGER) AS rn
-  FROM groups g JOIN stats3 s ON g.duty = s.duty AND g.category = s.category JOIN ranked r ON s.duty = r.duty AND s.category = r.category AND r.rank <= 2
-    AND list_contains(string_split(s.skill, ', '), r.skill)
+  FROM groups g JOIN stats3 s ON g.duty = s.duty AND g.category = s.category JOIN ranked r ON s.duty = r.duty AND s.category = r.category AND r.rank <= {limit}
+    AND (list_contains(string_split(s.skill, ', '), r.skill){ends})
   WHERE s.probability >= 0.03 AND len([x FOR x IN string_split(s.skill, ', ') IF NOT list_contains(g.owned, x)]) > 0),
-cut AS (SELECT * FROM open WHERE rrank <> 1 OR rn <= 2),
+alls AS (SELECT profile_id, duty, category, array_to_string(list_sort(list(DISTINCT rskill)), ', ') AS whole FROM open GROUP BY ALL),
+numbered AS (SELECT o.*, row_number() OVER (PARTITION BY profile_id, duty, category, rrank ORDER BY rn) AS nth FROM open o JOIN alls USING (profile_id, duty, category) WHERE skill <> whole),
+cut AS (SELECT * FROM numbered WHERE rrank <> 1 OR nth <= 2),
 once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile_id, duty, category, skill ORDER BY rrank, rn) AS a FROM cut) WHERE a = 1),
-suggested AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile_id, duty, category, rrank ORDER BY rn) AS b FROM once) WHERE b <= 2)"""
-SUGGEST = with_ctes(V2_STATS_SQL, V2_SETS_SQL, V7_SQL, SUGGEST_SQL, body="")
+suggested AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile_id, duty, category, rrank ORDER BY rn) AS b FROM once) WHERE b <= {per_rank})"""
 
 
-def suggestions(spark, folder):
-    return S.suggest_skill_sets(profile_groups(v7(spark, folder)), both_units(spark, folder), probability=SET_SHARE)
+def suggest_sql(*options) -> str:
+    return with_ctes(V2_STATS_SQL, V2_SETS_SQL, V7_SQL, suggest_ctes(*options), body="")
 
 
-@query("c03_suggest_skill_sets", SUGGEST + """SELECT profile_id, duty, category, skill, round(probability, 2) AS probability, rskill,
-  round(rprobability, 2) AS rprobability, rrank, rn FROM suggested""")
+SUGGEST_SQL = suggest_ctes()
+SUGGEST = suggest_sql()
+SUGGESTED = """SELECT profile_id, duty, category, skill, round(probability, 2) AS probability, rskill,
+  round(rprobability, 2) AS rprobability, rrank, rn FROM suggested"""
+
+
+def suggestions(spark, folder, **options):
+    return S.suggest_skill_sets(profile_groups(v7(spark, folder)), both_units(spark, folder), probability=SET_SHARE, **options)
+
+
+@query("c03_suggest_skill_sets", SUGGEST + SUGGESTED)
 def _(spark, folder):
     return suggestions(spark, folder)
 
 
+@query("c03_three_ranks", suggest_sql(3) + SUGGESTED)
+def _(spark, folder):
+    return suggestions(spark, folder, limit=3)
+
+
+@query("c03_five_per_rank", suggest_sql(2, 5) + SUGGESTED)
+def _(spark, folder):
+    return suggestions(spark, folder, per_rank=5)
+
+
+@query("c03_strict_like", suggest_sql(2, 2, True) + SUGGESTED)
+def _(spark, folder):
+    return suggestions(spark, folder, strict_like=True)
+
+
 @query("w06_first_n_per_group", with_ctes(V2_STATS_SQL, V2_SETS_SQL, body="""
 SELECT duty, category, skill FROM (SELECT *, row_number() OVER (PARTITION BY duty, category ORDER BY probability DESC, pre_probability DESC, skill) AS n FROM stats3) WHERE n <= 2"""))
 def _(spark, folder):

@@ -241,8 +241,7 @@ def _(spark, folder):
 SELECT category, '{"' || category || '":{' || string_agg('"' || canonical || '":["' || items || '"]', ',' ORDER BY canonical) || '}}' AS value
 FROM (SELECT category, canonical, string_agg(synonym, '","' ORDER BY pos) AS items FROM syn GROUP BY category, canonical) GROUP BY category"""))
 def _(spark, folder):
-    rows = _synonym_rows(spark, folder)
-    return D.synonym_json(rows.withColumn("group", F.col("category")), by=["group"]).withColumnRenamed("group", "category")
+    return D.synonym_json(_synonym_rows(spark, folder))
 
 
 @query("h10_merge_synonym_dictionaries", with_ctes(SYNONYM_SQL, body="""
@@ -255,6 +254,12 @@ def _(spark, folder):
     return D.merge_synonym_dictionaries(base, known.unionByName(unknown)).select("category", "canonical", "pos", "synonym")
 
 
+@query("h11_category_names", """
+SELECT category, CAST(row_number() OVER (PARTITION BY category ORDER BY name) - 1 AS INTEGER) AS pos, name FROM (SELECT DISTINCT p_type AS category, trim(p_name) AS name FROM part)""")
+def _(spark, folder):
+    return D.category_names(table(spark, folder, "part"), "p_type", "p_name")
+
+
 @query("h11_dictionary_by_category", """
 SELECT p_type AS category, string_agg(name, '|' ORDER BY name) AS names FROM (SELECT DISTINCT p_type, trim(p_name) AS name FROM part) GROUP BY p_type""")
 def _(spark, folder):

@@ -8,6 +8,16 @@ from postlens.functions.html import html_sections, strip_html
 from postlens.operators import tokens as T
 from postlens.sources import dictionaries as D
 
+def both_ways(name, sql):
+    """Register a query with the dictionary looked up in the row, and with it joined."""
+    def add(fn):
+        query(name, sql)(fn)
+        query(name.split("_")[0] + "_joined", sql)(lambda spark, folder: fn(spark, folder, max_entries=0))
+        return fn
+
+    return add
+
+
 CATS = ("languages", "frameworks", "libraries", "tools")
 
 
@@ -47,24 +57,35 @@ def _(spark, folder):
     return table(spark, folder, "pages").select("page_id", strip_html("html").alias("text"))
 
 
-@query("h03_dictionary_tokenize", with_ctes(V1_SQL, body=r"""
+H03_SQL = (with_ctes(V1_SQL, body=r"""
 SELECT doc_id, array_to_string([t FOR t IN [replace(replace(m, '||', ' '), '|', '') FOR m IN regexp_extract_all('|' || array_to_string(tokens, '||') || '|',
   '\|of\|\|the\|\|and\||\|of\|\|the\||\|the\|\|and\||\|to\|\|the\||\|de\|\|la\||\|[a-z0-9#+]+\|')] IF t NOT IN ('le', 'und', 'to the')], '/') AS tokens FROM v1"""))
-def _(spark, folder):
+
+
+def tokenized(spark, folder, **options):
     terms = spark.createDataFrame([("of the",), ("the and",), ("Of the and",), ("to the",), ("de la",), ("single",)], "term string")
-    out = T.dictionary_tokenize(table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"], "text", terms,
-                                ("le", "und", "to the"), longest=3)
+    out = T.dictionary_tokenize(table(spark, folder, "documents").select("doc_id", "text"), "text", terms, ("le", "und", "to the"), **options)
     return out.select("doc_id", F.array_join("tokens", "/").alias("tokens"))
 
 
-@query("h04_replace_synonyms", with_ctes(V1_SQL, V8_SQL, body="""
+@query("h03_dictionary_tokenize", H03_SQL)
+def _(spark, folder):
+    return tokenized(spark, folder)
+
+
+@query("h03_joined", H03_SQL)
+def _(spark, folder):
+    return tokenized(spark, folder, max_entries=0)
+
+
+@both_ways("h04_replace_synonyms", with_ctes(V1_SQL, V8_SQL, body="""
 SELECT v1.doc_id, coalesce(joined, '') AS tokens FROM v1 LEFT JOIN (
   SELECT doc_id, string_agg(coalesce('<' || upper(d.name) || '>', t.token), ' ' ORDER BY pos) AS joined
   FROM (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM v1) t LEFT JOIN dict d ON t.token = d.name GROUP BY doc_id) j ON v1.doc_id = j.doc_id"""))
-def _(spark, folder):
+def _(spark, folder, **options):
     replacements = v8_dictionary(spark, folder).select(F.col("name").alias("key"), F.concat(F.lit("<"), F.upper("name"), F.lit(">")).alias("value"))
     rows = v1_tokens(spark, folder).select("doc_id", "tokens")
-    return T.replace_tokens(rows, ["doc_id"], "tokens", replacements).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+    return T.replace_tokens(rows, "tokens", replacements, **options).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query("h05_build_synonym_dictionary", """
@@ -89,7 +110,7 @@ def _(spark, folder):
     return D.replacement_map(elements)
 
 
-@query("h06_classify_tokens_multi", with_ctes(V1_SQL, V8_SQL, body="""
+@both_ways("h06_classify_tokens_multi", with_ctes(V1_SQL, V8_SQL, body="""
 SELECT v1.doc_id, coalesce(languages, '') AS languages, coalesce(frameworks, '') AS frameworks, coalesce(libraries, '') AS libraries, coalesce(tools, '') AS tools
 FROM v1 LEFT JOIN (SELECT doc_id, string_agg(name, ', ' ORDER BY name) FILTER (category = 'languages') AS languages,
   string_agg(name, ', ' ORDER BY name) FILTER (category = 'frameworks') AS frameworks, string_agg(name, ', ' ORDER BY name) FILTER (category = 'libraries') AS libraries,
@@ -97,14 +118,14 @@ FROM v1 LEFT JOIN (SELECT doc_id, string_agg(name, ', ' ORDER BY name) FILTER (c
   FROM (SELECT DISTINCT doc_id, e.category, e.name FROM (SELECT doc_id, unnest(tokens) AS token FROM v1) t JOIN
     (SELECT category, name AS key, substr(name, 1, 4) AS name FROM dict UNION ALL SELECT 'tools', name, 'long' FROM dict WHERE length(name) > 7) e ON t.token = e.key) GROUP BY doc_id) j
 ON v1.doc_id = j.doc_id"""))
-def _(spark, folder):
+def _(spark, folder, **options):
     base = v8_dictionary(spark, folder)
     both = base.select("category", F.col("name").alias("key"), F.substring("name", 1, 4).alias("name")).unionByName(
         base.filter(F.length("name") > 7).select(F.lit("tools").alias("category"), F.col("name").alias("key"), F.lit("long").alias("name")))
-    return T.classify_tokens_multi(v1_tokens(spark, folder).select("doc_id", "tokens"), ["doc_id"], "tokens", both, CATS).drop("tokens")
+    return T.classify_tokens_multi(v1_tokens(spark, folder).select("doc_id", "tokens"), "tokens", both, CATS, **options).drop("tokens")
 
 
-@query("h07_classify_tokens_first_match", with_ctes(V1_SQL, V8_SQL, body="""
+@both_ways("h07_classify_tokens_first_match", with_ctes(V1_SQL, V8_SQL, body="""
 , f AS (SELECT name, min(CASE category WHEN 'languages' THEN 1 WHEN 'frameworks' THEN 2 WHEN 'libraries' THEN 3 ELSE 4 END) AS ord
   FROM (SELECT * FROM dict UNION ALL SELECT 'frameworks', name FROM dict WHERE length(name) > 6) GROUP BY name),
 t AS (SELECT doc_id, token, coalesce(ord, 5) AS ord FROM (SELECT doc_id, unnest(tokens) AS token FROM v1) LEFT JOIN f ON token = name)
@@ -112,22 +133,22 @@ SELECT v1.doc_id, coalesce(a, '') AS languages, coalesce(b, '') AS frameworks, c
 SELECT doc_id, string_agg(token, ' ' ORDER BY token) FILTER (ord = 1) AS a, string_agg(token, ' ' ORDER BY token) FILTER (ord = 2) AS b,
   string_agg(token, ' ' ORDER BY token) FILTER (ord = 3) AS c, string_agg(token, ' ' ORDER BY token) FILTER (ord = 4) AS d,
   string_agg(token, ' ' ORDER BY token) FILTER (ord = 5) AS e FROM t GROUP BY doc_id) j ON v1.doc_id = j.doc_id""").replace("\n\n, f", ",\nf"))
-def _(spark, folder):
+def _(spark, folder, **options):
     base = v8_dictionary(spark, folder)
     both = base.unionByName(base.filter(F.length("name") > 6).select(F.lit("frameworks").alias("category"), "name"))
-    rows = T.classify_tokens_first_match(v1_tokens(spark, folder).select("doc_id", "tokens"), ["doc_id"], "tokens", both, CATS)
+    rows = T.classify_tokens_first_match(v1_tokens(spark, folder).select("doc_id", "tokens"), "tokens", both, CATS, **options)
     return rows.select("doc_id", *[F.array_join(c, " ").alias(c) for c in (*CATS, "oov")])
 
 
-@query("h08_normalize_multivalue_category", with_ctes(V3_SQL, body="""
+@both_ways("h08_normalize_multivalue_category", with_ctes(V3_SQL, body="""
 , m AS (SELECT * FROM (VALUES ('URGENT', 'b'), ('URGENT', 'a'), ('HIGH', 'b'), ('BUILDING', 'c'), ('MACHINERY', 'a'), ('MACHINERY', 'c'), ('LOW', 'd')) x(word, target))
 SELECT v3.id, targets AS duty FROM v3 LEFT JOIN (SELECT id, string_agg(target, ', ' ORDER BY target) AS targets
   FROM (SELECT DISTINCT id, target FROM (SELECT id, unnest(string_split(duty, ', ')) AS word FROM v3) JOIN m USING (word)) GROUP BY id) t ON v3.id = t.id""").replace("\n\n, m", ",\nm"))
-def _(spark, folder):
+def _(spark, folder, **options):
     names = [("a, c", "MACHINERY"), ("b", "HIGH"), ("c", "BUILDING"), ("삭제", "MEDIUM"), ("b, a", "URGENT"), ("삭제, d", "LOW")]
     reverse = T.reverse_synonyms(spark.createDataFrame(names, "name string, synonym string"))
     rows = v3(spark, folder).select("id", F.replace("duty", F.lit(", "), F.lit(" ,  ")).alias("duty"))
-    return T.normalize_multivalue(rows, ["id"], "duty", reverse)
+    return T.normalize_multivalue(rows, "duty", reverse, **options)
 
 
 @query("h09_unmapped_report", with_ctes(V1_SQL, V8_SQL, body="""

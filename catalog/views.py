@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlens.functions.tokens import words
 from postlens.operators.skills import baskets_from_rows
-from postlens.session import spread
 
 CATEGORY_OF = ("it_language", "framework", "library", "tool")
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -25,9 +24,7 @@ WEIGHTS = {
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    frame = spark.read.parquet(f"{folder}/{name}.parquet")
-    # The text tables are one file each here; work on texts wants all cores.
-    return spread(frame) if name in ("documents", "pages", "conversations") else frame
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def pick(index, values):
@@ -187,16 +184,16 @@ def v8_tokens(spark, folder):
 
 
 def v8_dictionary(spark, folder):
-    """Distinct benchmark tokens of four or more letters, category by length."""
+    """Distinct benchmark tokens, category by length."""
     token = table(spark, folder, "benchmark").select(F.explode(words("text")).alias("name")).distinct()
-    return token.filter(F.length("name") >= 4).select(
+    return token.select(
         pick(F.length("name") % 4, ("languages", "frameworks", "libraries", "tools")).alias("category"), "name"
     )
 
 
 V8_SQL = """v8 AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9#+]+') AS tokens FROM conversations),
 dict AS (SELECT DISTINCT ['languages','frameworks','libraries','tools'][length(name) % 4 + 1] AS category, name
-  FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9#+]+')) AS name FROM benchmark) WHERE length(name) >= 4),
+  FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9#+]+')) AS name FROM benchmark)),
 tok AS (SELECT conv_id, turn, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM v8),
 tagged AS (SELECT t.*, CASE WHEN d.category IS NULL THEN 'O' ELSE 'B-' || upper(d.category) END AS tag
   FROM tok t LEFT JOIN dict d ON t.token = d.name)"""

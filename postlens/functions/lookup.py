@@ -2,13 +2,17 @@
 
 A dictionary within the bound becomes one constant: an array of small maps, addressed by the
 hash of the key, so a lookup costs the same however many entries there are. Work on token
-arrays then needs neither an explode nor a shuffle. Beyond the bound callers join instead.
+arrays then needs neither an explode nor a shuffle. Beyond the bound the dictionary is stored
+and joined. Both forms hold the same entries: keys and values that aren't null, and of equal
+keys the one with the greatest value.
 """
 
 import json
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from postlens.session import saved_copy
+
 MAX_ENTRIES = 20_000
 MAX_CHARS = 4_000_000
 
@@ -24,9 +28,14 @@ class Lookup:
         return F.try_element_at(F.get(self.table, F.pmod(F.hash(key), F.lit(self.size))), key)
 
 
+def entries_of(dictionary: DataFrame) -> DataFrame:
+    """One row per key: the greatest value."""
+    return dictionary.filter("key is not null and value is not null").groupBy("key").agg(F.max("value").alias("value"))
+
+
 def bounded_lookup(dictionary: DataFrame, max_entries: int = MAX_ENTRIES, max_chars: int = MAX_CHARS) -> Lookup | None:
-    """A lookup of unique ``key`` to ``value``, or None when the dictionary exceeds the bound."""
-    rows = dictionary.select("key", "value")
+    """A lookup of ``key`` to the greatest ``value``, or None when the dictionary exceeds the bound."""
+    rows = entries_of(dictionary)
     value_type = rows.schema["value"].dataType.simpleString()
     # Sizes are looked at first, so no more than the bound ever reaches the driver.
     sized = rows.limit(max_entries + 1).select(F.length("key") + F.length(F.to_json(F.struct("value"))).alias("n"))
@@ -36,6 +45,17 @@ def bounded_lookup(dictionary: DataFrame, max_entries: int = MAX_ENTRIES, max_ch
     size = max(16, 2 ** (2 * entries).bit_length())
     buckets: list[dict] = [{} for _ in range(size)]
     for row in rows.select(F.pmod(F.hash("key"), F.lit(size)).alias("slot"), "key", "value").collect():
-        if row.key is not None and row.value is not None:
-            buckets[row.slot][row.key] = row.asDict(recursive=True)["value"]
+        buckets[row.slot][row.key] = row.asDict(recursive=True)["value"]
     return Lookup(buckets, value_type)
+
+
+class Dictionary:
+    """(key, value) rows made ready once, for any number of texts: a lookup in the row, or a stored table to join."""
+
+    def __init__(self, rows: DataFrame, max_entries: int = MAX_ENTRIES):
+        self.lookup = bounded_lookup(rows, max_entries)
+        self.table = None if self.lookup else saved_copy(entries_of(rows), "dictionary")
+
+    @classmethod
+    def of(cls, rows: "DataFrame | Dictionary", max_entries: int = MAX_ENTRIES) -> "Dictionary":
+        return rows if isinstance(rows, Dictionary) else cls(rows, max_entries)

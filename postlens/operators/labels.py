@@ -10,7 +10,8 @@ from postlens.operators.sets import hash_bucket, hash_positions
 from postlens.session import broadcast_if_small, saved_copy
 
 
-MAX_LABELS = 10_000
+#: Copies that a row makes by itself.
+COPY_CHUNK = 10_000
 
 
 def split_train_val_test(
@@ -57,10 +58,14 @@ def _with_copies(df: DataFrame, key: str, label: str, needs: DataFrame, seed: in
     ``needs`` has the label, its row count ``_have`` and ``need``; each row gets
     need div have copies, the first need mod have rows one more. ``copy`` is 0 for the original.
     """
-    few = broadcast_if_small(needs, MAX_LABELS, "label_counts")
+    few = broadcast_if_small(needs, "label_counts")
     placed = hash_positions(df.join(few, label), key, seed, by=[label])
     extra = (F.col("need") / F.col("_have")).cast("long") + F.when(F.col("pos") < F.col("need") % F.col("_have"), 1).otherwise(0)
-    return placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), extra))).select(*df.columns, "copy")
+    # Copies come in chunks that are dealt out before they are made: no row holds a long list of them.
+    chunk = placed.withColumn("_extra", extra).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_extra"), F.lit(COPY_CHUNK).cast("long"))))
+    spread = chunk.filter("_extra >= %d" % COPY_CHUNK).repartition(key, "_from").unionByName(chunk.filter("_extra < %d" % COPY_CHUNK))
+    last = F.least(F.col("_from") + COPY_CHUNK - 1, F.col("_extra"))
+    return spread.withColumn("copy", F.explode(F.sequence(F.col("_from"), last))).select(*df.columns, "copy")
 
 
 def oversample_to_largest(df: DataFrame, key: str, label: str, new_rows: DataFrame | None = None, seed: int = 42) -> DataFrame:

@@ -1,6 +1,7 @@
 """Posting recommendation by text similarity and by vectors."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -10,7 +11,7 @@ from postlens.functions.lookup import MAX_ENTRIES, Lookup, bounded_lookup
 from postlens.functions.text import matches_ignore_case
 from postlens.operators.joins import optional_equality
 from postlens.operators.sets import first_per_key
-from postlens.session import broadcast_if_small, saved_copy
+from postlens.session import saved_copy
 
 
 def _term_counts(text: str, pattern: str, stop_words: Sequence[str]) -> Column:
@@ -30,7 +31,6 @@ def _term_counts(text: str, pattern: str, stop_words: Sequence[str]) -> Column:
 
 
 MAX_PROFILES = 500
-MAX_BROADCAST_VECTORS = 2_000
 
 
 def recommend_postings_tfidf(
@@ -183,33 +183,64 @@ def nearest_to_vector(items: DataFrame, vector: Sequence[float], k: int = 5, dig
     ).limit(k)
 
 
-def filtered_vector_search(items: DataFrame, queries: DataFrame, on: Sequence[str], k: int = 5, digits: int = 9) -> DataFrame:
-    """C5 for many requests: the k nearest items among those with the request's metadata.
+#: Requests that one item row meets at once.
+REQUEST_BLOCK = 200
 
-    ``items`` has id, embedding and the columns ``on``; ``queries`` has query_id, vector and
-    ``on``. The metadata is the join key, so an item meets only the requests it can answer,
-    and each partition keeps k rows per request before the shuffle. Requests are sent to the
-    items while they are few; more of them meet the items in a shuffled join.
+
+def filtered_vector_search(
+    items: DataFrame, queries: DataFrame, condition: Callable[[Callable[[str], Column], Column], Column], k: int = 5, digits: int = 9,
+    block: int = REQUEST_BLOCK,
+) -> DataFrame:
+    """C5 for many requests: the k nearest items among those that meet the request's filters.
+
+    ``items`` has id, embedding and metadata; ``queries`` has query_id (unique), vector and its
+    own metadata; ``condition(item, request)`` is a column over ``item("name")`` and
+    ``request["name"]``, as ``matches_filters`` makes it. Requests form blocks; each item meets
+    each block once, whatever its metadata, so no metadata value is a join key and none can be
+    hot. Filters and scores are worked out in the row, only hits leave it, and each partition
+    keeps k rows per request before the only shuffle of hits.
     """
-    # Norms once per vector, not once per pair.
     def norm2(c):
         return F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
 
-    left = items.select("id", *on, "embedding", norm2("embedding").alias("_n1"))
-    right = broadcast_if_small(
-        queries.select("query_id", *on, "vector", norm2("vector").alias("_n2")), MAX_BROADCAST_VECTORS, "requests"
-    )
-    dot = F.aggregate(
-        F.zip_with("embedding", "vector", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v
-    )
-    scored = left.join(right, list(on)).select(
-        "query_id", "id", F.round(dot / F.sqrt(F.col("_n1") * F.col("_n2")), digits).alias("score")
-    )
-    best = first_per_key(scored, ["query_id"], [F.desc("score"), F.asc("id")], k)
+    # Norms once per vector, not once per pair.
+    sized = queries.withColumn("_n2", norm2("vector"))
+    blocks = -(-queries.count() // block)
+    grouped = sized.withColumn("_block", F.pmod(F.hash("query_id"), F.lit(max(1, blocks)))).groupBy("_block").agg(
+        F.collect_list(F.struct(*sized.columns)).alias("_requests"))
+    left = items.withColumn("_n1", norm2("embedding")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))))
+
+    def score(request):
+        dot = F.aggregate(
+            F.zip_with("embedding", request["vector"], lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+        return F.struct(request["query_id"].alias("query_id"), F.round(dot / F.sqrt(F.col("_n1") * request["_n2"]), digits).alias("score"))
+
+    meets = F.filter("_requests", lambda r: F.coalesce(condition(F.col, r), F.lit(False)))
+    hits = left.join(grouped, "_block").withColumn("_hits", F.transform(meets, score)).select("id", F.inline("_hits"))
+    best = first_per_key(hits.select("query_id", "id", "score"), ["query_id"], [F.desc("score"), F.asc("id")], k)
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return best.withColumn("place", F.row_number().over(place))
 
 
+def matches_filters(
+    equal: Sequence[str] = (), contains: Sequence[str] = (), optional: Sequence[str] = (), overlap: Sequence[str] = (),
+) -> Callable[[Callable[[str], Column], Column], Column]:
+    """A condition for ``filtered_vector_search`` by metadata columns of the same name on both sides.
+
+    ``equal``: the values are equal. ``contains``: the request's text, if any, is part of the
+    item's, whatever the case. ``optional``: equal, or the request has null or 0. ``overlap``: the
+    item's ', ' list shares a value with the request's array, or the request has none.
+    """
+    def condition(item, request):
+        parts = [item(c) == request[c] for c in equal]
+        parts += [(F.coalesce(request[c], F.lit("")) == "") | F.contains(F.lower(item(c)), F.lower(request[c])) for c in contains]
+        parts += [(F.coalesce(request[c], F.lit(0)) == 0) | (item(c) == request[c]) for c in optional]
+        parts += [(F.coalesce(F.size(request[c]), F.lit(0)) <= 0) | F.arrays_overlap(F.split(F.lower(item(c)), r"\s*,\s*"), F.transform(request[c], F.lower)) for c in overlap]
+        return reduce(lambda a, b: a & b, parts, F.lit(True))
+
+    return condition
+
+
 def nearest_context_rows(hits: DataFrame, fields: dict[str, str], by: str = "query_id", place: str = "place") -> DataFrame:
     """Hits of a request as one text block; ``fields`` is label -> column, absent values as N/A."""
     lines = [

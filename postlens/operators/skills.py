@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlens import constants as K
 from postlens.operators.joins import contains_element_join
-from postlens.operators.sets import first_per_key
 
 
 def skill_order(prefix: str = "") -> list[Column]:
@@ -82,21 +81,18 @@ def skill_support(baskets: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
-def _triples(items: Column) -> Column:
-    """All 3-element subsets of a sorted array, in order."""
-    n = F.size(items)
+def _sets_of_three(rows: DataFrame, items: str, keep: Sequence[str]) -> DataFrame:
+    """All 3-element subsets of the sorted array, one row each as ``triple``.
 
-    def seconds(i):
-        return F.flatten(F.transform(
-            F.sequence(i + 1, n - 1),
-            lambda j: F.transform(
-                F.slice(items, j + 1, n - j), lambda c: F.array(F.get(items, i - 1), F.get(items, j - 1), c)
-            ),
-        ))
-
-    return F.when(n >= 3, F.flatten(F.transform(F.sequence(F.lit(1), n - 2), seconds))).otherwise(
-        F.array().cast("array<array<string>>")
-    )
+    One element after the other is exploded with what follows it, so a row never holds more
+    than one array of the basket's length, and each stage streams.
+    """
+    keep = list(keep)
+    first = rows.select(*keep, F.posexplode(items).alias("_i", "_a"), F.col(items).alias("_all"))
+    first = first.withColumn("_rest", F.slice("_all", F.col("_i") + 2, F.size("_all"))).filter(F.size("_rest") > 1)
+    second = first.select(*keep, "_a", F.posexplode("_rest").alias("_j", "_b"), "_rest")
+    second = second.withColumn("_last", F.slice("_rest", F.col("_j") + 2, F.size("_rest")))
+    return second.select(*keep, "_a", "_b", F.explode("_last").alias("_c")).select(*keep, F.concat_ws(", ", "_a", "_b", "_c").alias("triple"))
 
 
 def skill_set_support(baskets: DataFrame, totals: DataFrame, min_support: float = 0.0) -> DataFrame:
@@ -122,8 +118,8 @@ def skill_set_support(baskets: DataFrame, totals: DataFrame, min_support: float
         )
         both = both.join(frequent, ["duty", "category"]).withColumn("items", F.array_intersect("items", "_keep"))
     counts = (
-        both.select("duty", "category", "req", "pre", F.explode(_triples(F.col("items"))).alias("triple"))
-        .groupBy("duty", "category", F.array_join("triple", ", ").alias("skill"))
+        _sets_of_three(both, "items", ["duty", "category", "req", "pre"])
+        .groupBy("duty", "category", F.col("triple").alias("skill"))
         .agg(F.sum("req").alias("_req"), F.sum("pre").alias("_pre"))
     )
     stats = counts.join(totals, "duty").select(
@@ -250,9 +246,9 @@ def suggest_skill_sets(profiles: DataFrame, stats: DataFrame, limit: int = 2, pr
     at least ``probability`` percent that hold a top skill; two for rank 1, then of the other
     ranks the first ``per_rank`` not shown yet.
 
-    For ``limit`` of at most 2 a profile meets only the head of each candidate list: k owned
-    skills can rule out at most (k-1)(k-2)/2 sets of a ranked skill, so the best
-    5 + (k-1)(k-2)/2 candidates always hold the answer. A greater limit takes the whole list.
+    The candidates of a duty and category are one sorted array, no longer than the statistics
+    times ``limit``; it meets each profile row once and everything else happens in the row, for
+    any ``limit`` and ``per_rank``. Rows leave only for the sets that are shown.
     """
     keys = ["duty", "category"]
     ranked = top_skills(stats, limit).select(
@@ -261,31 +257,29 @@ def suggest_skill_sets(profiles: DataFrame, stats: DataFrame, limit: int = 2, pr
     sets = stats.filter("unit = 3").filter(F.col("probability") >= probability).select(
         *keys, "skill", "probability", "pre_probability"
     )
-    candidates = row_number_in_rank(contains_element_join(sets, ranked, keys, strict_like), keys)
-    owned = F.size(F.array_distinct("owned_skills"))
-    met = profiles.select("profile_id", *keys, "owned_skills", owned.alias("_k")).join(
-        candidates.withColumnRenamed("rn", "_place"), keys
-    )
-    if limit <= 2:
-        k = F.greatest(F.col("_k"), F.lit(1))
-        met = met.filter(F.col("_place") <= 5 + (k - 1) * F.greatest(k - 2, F.lit(0)) / 2)
-    open_sets = exclude_user_combinations(met)
-
+    placed = row_number_in_rank(contains_element_join(sets, ranked, keys, strict_like), keys)
+    fields = ["rrank", F.col("rn").alias("place"), "skill", "probability", "rskill", "rprobability", F.split("skill", ", ").alias("members")]
+    candidates = placed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_candidates"))
     group = ["profile_id", *keys]
-    whole = Window.partitionBy(*group)
-    by_rank = Window.partitionBy(*group, "rrank").orderBy("_place")
-    joined_ranks = F.array_join(F.sort_array(F.collect_set("rskill").over(whole)), ", ")
-    numbered = (
-        open_sets.withColumn("rn", F.row_number().over(by_rank))
-        .withColumn("_all", joined_ranks).filter(F.col("skill") != F.col("_all"))
-        .withColumn("_at", F.row_number().over(by_rank))
-        .filter((F.col("rrank") != 1) | (F.col("_at") <= 2))
-    )
-    unique = first_per_key(numbered, [*group, "skill"], [F.asc("rrank"), F.asc("rn")])
-    kept = first_per_key(unique, [*group, "rrank"], [F.asc("rn")], per_rank)
-    return kept.select(
-        *group, "skill", F.round("probability", 2).alias("probability"), "rskill",
-        F.round("rprobability", 2).alias("rprobability"), "rrank", "rn",
+    met = profiles.select(*group, F.coalesce("owned_skills", F.array().cast("array<string>")).alias("_owned")).join(candidates, keys)
+    met = met.withColumn("_open", F.filter("_candidates", lambda c: F.size(F.array_except(c["members"], F.col("_owned"))) > 0))
+    met = met.withColumn("_all", F.array_join(F.sort_array(F.array_distinct(F.transform("_open", lambda c: c["rskill"]))), ", "))
+    met = met.withColumn("_seen", F.array().cast("array<string>"))
+    shown = []
+    for rank in range(1, limit + 1):
+        # numbered among the open sets of the rank; the set of all ranked skills is never shown
+        own = F.filter("_open", (lambda rank: lambda c: c["rrank"] == rank)(rank))
+        numbered = F.filter(F.transform(own, lambda c, i: F.struct(c.alias("set"), (i + 1).alias("rn"))), lambda n: n["set"]["skill"] != F.col("_all"))
+        met = met.withColumn(f"_rank{rank}", F.slice(numbered, 1, 2) if rank == 1 else numbered)
+        names = F.transform(f"_rank{rank}", lambda n: n["set"]["skill"])
+        met = met.withColumn(f"_new{rank}", F.slice(F.array_except(names, "_seen"), 1, per_rank))
+        met = met.withColumn("_seen", F.array_union("_seen", names))
+        list_of = f"_rank{rank}"
+        shown.append(F.transform(f"_new{rank}", (lambda list_of: lambda s: F.get(F.filter(list_of, lambda n: n["set"]["skill"] == s), F.lit(0)))(list_of)))
+    rows = met.select(*group, F.explode(F.concat(*shown)).alias("s"))
+    return rows.select(
+        *group, F.col("s.set.skill").alias("skill"), F.round("s.set.probability", 2).alias("probability"), F.col("s.set.rskill").alias("rskill"),
+        F.round("s.set.rprobability", 2).alias("rprobability"), F.col("s.set.rrank").alias("rrank"), F.col("s.rn").alias("rn"),
     )
 
 

@@ -3,7 +3,8 @@
 A posting is one row with an array of tokens. With a dictionary of bounded size each row is
 worked in place. A larger dictionary is joined on exploded tokens: only tokens that hit it are
 shuffled, and they return to their row as a small map. The rows are then written to the shared
-folder first, as both sides of that join read them.
+folder first, with a number of their own, as both sides of that join read them. Both ways give
+the same rows; a ``Dictionary`` made beforehand serves several calls.
 """
 
 from collections.abc import Sequence
@@ -11,72 +12,76 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postlens import constants as K
-from postlens.functions.lookup import MAX_ENTRIES, Lookup, bounded_lookup
+from postlens.functions.lookup import MAX_ENTRIES, Dictionary, bounded_lookup, entries_of
 from postlens.functions.tokens import normalize_token, words
 from postlens.session import saved_copy
 
 _STRINGS = "array<string>"
+_ROW = "_row"
 
 
-def attach_matches(df: DataFrame, ids: Sequence[str], tokens: str, dictionary: DataFrame, out: str = "_found") -> DataFrame:
-    """Add a map token -> value of the row's distinct tokens that are keys of ``dictionary``.
+def _numbered_copy(df: DataFrame, label: str) -> DataFrame:
+    """The stored rows with a number, unique whatever columns or repeats the rows have."""
+    return saved_copy(df.withColumn(_ROW, F.monotonically_increasing_id()), label)
 
-    ``dictionary`` has unique ``key`` and a ``value``; ``ids`` identify a row. Rows without
-    a hit get an empty map.
+
+def attach_matches(df: DataFrame, keys: str, table: DataFrame, out: str = "_found") -> DataFrame:
+    """Add a map key -> value of the row's distinct keys that ``table`` has (unique ``key`` and a ``value``).
+
+    ``df`` is numbered and stored. Rows without a hit get an empty map.
     """
-    ids = list(ids)
     hits = (
-        df.select(*ids, F.explode(F.array_distinct(tokens)).alias("key"))
-        .join(dictionary.select("key", "value"), "key")
-        .groupBy(*ids)
-        .agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias(out))
+        df.select(_ROW, F.explode(F.array_distinct(keys)).alias("key")).join(table, "key")
+        .groupBy(_ROW).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias(out))
     )
-    kind = f"map<string,{dictionary.schema['value'].dataType.simpleString()}>"
-    return df.join(hits, ids, "left").withColumn(out, F.coalesce(out, F.create_map().cast(kind)))
+    kind = f"map<string,{table.schema['value'].dataType.simpleString()}>"
+    return df.join(hits, _ROW, "left").withColumn(out, F.coalesce(out, F.create_map().cast(kind)))
 
 
-def _with_lookup(df: DataFrame, ids: Sequence[str], keys: Column, dictionary: DataFrame, max_entries: int):
+def _with_lookup(df: DataFrame, keys: Column, dictionary: "DataFrame | Dictionary", max_entries: int):
     """The frame and a function key -> value: in place for a bounded dictionary, else by a join."""
-    lookup = bounded_lookup(dictionary, max_entries)
-    if lookup:
-        return df, lookup.find
-    joined = attach_matches(saved_copy(df.withColumn("_keys", keys), "tokens"), ids, "_keys", dictionary)
-    return joined.drop("_keys"), lambda key: F.try_element_at("_found", key)
+    ready = Dictionary.of(dictionary, max_entries)
+    if ready.lookup:
+        return df, ready.lookup.find
+    joined = attach_matches(_numbered_copy(df.withColumn("_keys", keys), "tokens"), "_keys", ready.table)
+    return joined.drop("_keys", _ROW), lambda key: F.try_element_at("_found", key)
 
 
 def replace_tokens(
-    df: DataFrame, ids: Sequence[str], tokens: str, replacements: DataFrame, max_entries: int = MAX_ENTRIES
+    df: DataFrame, tokens: str, replacements: "DataFrame | Dictionary", max_entries: int = MAX_ENTRIES
 ) -> DataFrame:
     """H4: each token to its canonical form by its lower case, unknown kept, order and repeats kept.
 
-    ``replacements`` has lower-case ``key`` and ``value``.
+    ``replacements`` has lower-case ``key`` and ``value``; of equal keys the greatest value counts.
     """
-    rows, find = _with_lookup(df, ids, F.transform(tokens, F.lower), replacements, max_entries)
+    rows, find = _with_lookup(df, F.transform(tokens, F.lower), replacements, max_entries)
     return rows.withColumn(tokens, F.transform(tokens, lambda t: F.coalesce(find(F.lower(t)), t))).select(*df.columns)
 
 
-def _phrase_table(terms: DataFrame, longest: int) -> DataFrame:
-    """Terms of two to ``longest`` words, as keys."""
-    phrases = terms.select(F.lower(F.trim("term")).alias("key")).distinct()
-    n = F.size(F.split("key", " "))
-    return phrases.filter((n > 1) & (n <= longest)).withColumn("value", n)
+class Phrases:
+    """Dictionary terms of several words, made ready once: their lookup or table, first words, greatest length."""
+
+    def __init__(self, terms: DataFrame, max_entries: int = MAX_ENTRIES):
+        rows = terms.select(F.lower(F.trim("term")).alias("key")).withColumn("value", F.size(F.split("key", " "))).filter("value > 1")
+        self.longest = rows.agg(F.max("value")).first()[0] or 0
+        self.found = Dictionary(rows, max_entries)
+        opening = rows.select(F.substring_index("key", " ", 1).alias("key"), "value")
+        self.first = bounded_lookup(opening, max_entries) if self.found.lookup else None
 
 
 def dictionary_tokenize(
-    df: DataFrame, ids: Sequence[str], text: str, terms: DataFrame, stop_words: Sequence[str] = (),
-    pattern: str = K.WORD_RUN, longest: int = 4, out: str = "tokens", max_entries: int = MAX_ENTRIES,
+    df: DataFrame, text: str, terms: "DataFrame | Phrases", stop_words: Sequence[str] = (),
+    pattern: str = K.WORD_RUN, out: str = "tokens", max_entries: int = MAX_ENTRIES,
 ) -> DataFrame:
     """H3: text to tokens; dictionary terms of several words stay whole, stop words go.
 
     At each place the longest term wins, then the scan goes on behind it. ``terms`` has a
-    column ``term``; ``longest`` is the greatest number of words in a term.
+    column ``term``; terms may have any number of words.
     """
-    ids = list(ids)
+    ready = terms if isinstance(terms, Phrases) else Phrases(terms, max_entries)
     rows = df.withColumn("_words", words(text, pattern))
     w = F.col("_words")
-    phrases = _phrase_table(terms, longest)
-    lookup = bounded_lookup(phrases, max_entries)
-    counts = range(2, longest + 1)
+    counts = range(2, ready.longest + 1)
 
     def term(i, n):
         """The n words from place i (counted from 0), picked one by one: no array is copied."""
@@ -85,27 +90,27 @@ def dictionary_tokenize(
     def starts(n):
         return F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
 
-    if lookup:
-        opening = phrases.groupBy(F.substring_index("key", " ", 1).alias("key")).agg(F.max("value").alias("value"))
-        first = bounded_lookup(opening, max_entries)
-        places = F.filter(starts(2), lambda i: first.find(F.get(w, i)).isNotNull())
+    if not counts:
+        rows = rows.withColumn("_hits", F.array().cast("array<struct<at:int,n:int>>"))
+    elif ready.found.lookup:
+        places = F.filter(starts(2), lambda i: ready.first.find(F.get(w, i)).isNotNull())
         # concat_ws skips the nulls behind the last word, so a term found there is shorter than n.
         longest_at = lambda i: F.coalesce(*[
-            F.when(i + n <= F.size(w), lookup.find(term(i, n))) for n in reversed(counts)
+            F.when(i + n <= F.size(w), ready.found.lookup.find(term(i, n))) for n in reversed(counts)
         ])
         hit = F.transform(places, lambda i: F.struct((i + 1).alias("at"), longest_at(i).alias("n")))
         rows = rows.withColumn("_hits", F.filter(hit, lambda h: h["n"].isNotNull()))
     else:
-        rows = saved_copy(rows, "words")
+        rows = _numbered_copy(rows, "words")
         groups = F.flatten(F.array(*[
             F.transform(starts(n), (lambda n: lambda i: F.struct((i + 1).alias("at"), term(i, n).alias("key")))(n)) for n in counts
         ]))
         hits = (
-            rows.select(*ids, F.inline(groups)).join(phrases, "key")
-            .groupBy(*ids, "at").agg(F.max("value").alias("n"))
-            .groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("_hits"))
+            rows.select(_ROW, F.inline(groups)).join(ready.found.table, "key")
+            .groupBy(_ROW, "at").agg(F.max("value").alias("n"))
+            .groupBy(_ROW).agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("_hits"))
         )
-        rows = rows.join(hits, ids, "left")
+        rows = rows.join(hits, _ROW, "left").drop(_ROW)
 
     # Fold the few hits of a row into the cut list: accepted hits with the place before them.
     empty = F.array().cast("array<struct<from:int,at:int,n:int>>")
@@ -138,20 +143,25 @@ def dictionary_tokenize(
     return rows.withColumn("_cut", F.aggregate("_hits", begin, accept)).withColumn(out, tokens).drop("_words", "_hits", "_cut")
 
 
+def category_entries(dictionary: DataFrame, categories: Sequence[str] = K.CATEGORIES) -> DataFrame:
+    """H6's lookup rows: key to its (category, name) pairs."""
+    return dictionary.filter(F.col("category").isin(list(categories))).groupBy("key").agg(
+        F.sort_array(F.collect_set(F.struct("category", "name"))).alias("value")
+    )
+
+
 def classify_tokens_multi(
-    df: DataFrame, ids: Sequence[str], tokens: str, dictionary: DataFrame,
+    df: DataFrame, tokens: str, dictionary: "DataFrame | Dictionary",
     categories: Sequence[str] = K.CATEGORIES, prefix: str = "", max_entries: int = MAX_ENTRIES,
 ) -> DataFrame:
     """H6: per category the sorted distinct canonical names found, joined; '' when none.
 
-    ``dictionary`` has category, key, name. Tokens are normalised before the lookup; give
+    ``dictionary`` has category, key, name (or is made from ``category_entries``). Tokens are normalised before the lookup; give
     ``normalized_dictionary(...)`` to normalise the keys too, so that names of several words match.
     """
-    entries = dictionary.filter(F.col("category").isin(list(categories))).groupBy("key").agg(
-        F.collect_set(F.struct("category", "name")).alias("value")
-    )
+    entries = dictionary if isinstance(dictionary, Dictionary) else category_entries(dictionary, categories)
     keys = F.array_distinct(F.transform(tokens, normalize_token))
-    rows, find = _with_lookup(df.withColumn("_norm", keys), ids, F.col("_norm"), entries, max_entries)
+    rows, find = _with_lookup(df.withColumn("_norm", keys), F.col("_norm"), entries, max_entries)
     none = F.array().cast("array<struct<category:string,name:string>>")
     rows = rows.withColumn("_hit", F.flatten(F.transform("_norm", lambda t: F.coalesce(find(t), none))))
 
@@ -163,7 +173,7 @@ def classify_tokens_multi(
 
 
 def classify_tokens_first_match(
-    df: DataFrame, ids: Sequence[str], tokens: str, dictionary: DataFrame,
+    df: DataFrame, tokens: str, dictionary: DataFrame,
     categories: Sequence[str] = K.CATEGORY_ORDER, rest: str = "oov", max_entries: int = MAX_ENTRIES,
 ) -> DataFrame:
     """H7: each token to the first category that lists it, else ``rest``; sorted, repeats kept.
@@ -175,7 +185,7 @@ def classify_tokens_first_match(
         dictionary.withColumn("ord", rank).filter("ord > 0")
         .groupBy(F.col("name").alias("key")).agg(F.min("ord").alias("value"))
     )
-    rows, find = _with_lookup(df, ids, F.col(tokens), first, max_entries)
+    rows, find = _with_lookup(df, F.col(tokens), first, max_entries)
     placed = F.transform(F.sort_array(tokens), lambda t: F.struct(t.alias("token"), F.coalesce(find(t), F.lit(0)).alias("ord")))
     rows = rows.withColumn("_placed", placed)
 
@@ -198,17 +208,18 @@ def unmapped_report(df: DataFrame, tokens: str, dictionary: DataFrame, key: str
 
 
 def normalize_multivalue(
-    df: DataFrame, ids: Sequence[str], column: str, reverse: DataFrame, marker: str = K.DELETE_MARKER,
+    df: DataFrame, column: str, reverse: DataFrame, marker: str = K.DELETE_MARKER,
     max_entries: int = MAX_ENTRIES,
 ) -> DataFrame:
     """H8: comma list to the sorted distinct canonical values; none left gives null.
 
     ``reverse`` has ``word`` and ``target``; a target may list several values by ', ', and
-    the marker value is dropped.
+    the marker value is dropped. Of equal words the greatest target counts.
     """
-    entries = reverse.select(F.col("word").alias("key"), F.split("target", ", ").alias("value"))
+    last = entries_of(reverse.select(F.col("word").alias("key"), F.col("target").alias("value")))
+    entries = last.select("key", F.split("value", ", ").alias("value"))
     parts = F.transform(F.split(column, r"\s*,\s*"), lambda t: F.trim(t))
-    rows, find = _with_lookup(df, ids, parts, entries, max_entries)
+    rows, find = _with_lookup(df, parts, entries, max_entries)
     targets = F.flatten(F.transform(parts, lambda t: F.coalesce(find(t), F.array().cast(_STRINGS))))
     kept = F.sort_array(F.array_distinct(F.filter(targets, lambda t: t != marker)))
     return rows.withColumn(column, F.nullif(F.array_join(kept, ", "), F.lit(""))).select(*df.columns)
@@ -221,7 +232,7 @@ def reverse_synonyms(elements: DataFrame) -> DataFrame:
 
 
 def annotate_tokens(
-    df: DataFrame, ids: Sequence[str], tokens: str, dictionary: DataFrame,
+    df: DataFrame, tokens: str, dictionary: DataFrame,
     order: Sequence[str] = ("languages", "frameworks", "libraries", "tools"), out: str = "tags",
     max_entries: int = MAX_ENTRIES,
 ) -> DataFrame:
@@ -235,7 +246,7 @@ def annotate_tokens(
         .groupBy(F.col("name").alias("key")).agg(F.max("value").alias("value"))
     )
     labels = F.array(*[F.lit("B-" + c.upper()) for c in order])
-    rows, find = _with_lookup(df, ids, F.col(tokens), last, max_entries)
+    rows, find = _with_lookup(df, F.col(tokens), last, max_entries)
     tag = lambda t: F.coalesce(F.get(labels, find(t) - 1), F.lit(K.OUTSIDE))
     return rows.withColumn(out, F.transform(tokens, tag)).select(*df.columns, out)
 

@@ -5,13 +5,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from postlens import constants as K
+from postlens.functions.lookup import Dictionary
 from postlens.functions.html import html_sections, strip_html
 from postlens.functions.text import combined_text
 from postlens.functions.tokens import degree_requirement, filter_latin, language_requirement
 from postlens.operators.joins import drop_incomplete_rows
 from postlens.operators.sets import drop_duplicate_rows, union_missing_columns
 from postlens.operators.tokens import (
-    classify_tokens_multi, dictionary_tokenize, normalize_multivalue, replace_tokens, reverse_synonyms,
+    Phrases, category_entries, classify_tokens_multi, dictionary_tokenize, normalize_multivalue, replace_tokens, reverse_synonyms,
 )
 from postlens.sources.dictionaries import (
     build_synonym_dictionary, normalized_dictionary, replacement_map,
@@ -39,12 +40,12 @@ def postings_from_feeds(feed_a: DataFrame, feed_b: DataFrame, duties: DataFrame,
     a = clean_feed_a(with_career_and_region(flatten_posting_json_a(drop_duplicate_rows(feed_a.select("text")), crawling_dt=crawling_dt)))
     b = flatten_posting_json_b(drop_duplicate_rows(feed_b.select("text")), crawling_dt=crawling_dt)
     both = union_missing_columns(a, b)
-    return normalize_multivalue(both, ["id", "url"], "duty", reverse_synonyms(duties))
+    return normalize_multivalue(both, "duty", reverse_synonyms(duties))
 
 
 def categorise_postings(
     postings: DataFrame, elements: DataFrame, terms: DataFrame, stop_words: Sequence[str] = (),
-    ids: Sequence[str] = ("id", "url"), word_pattern: str = r"[\p{L}\p{N}#+\-]+", strict: bool = False,
+    word_pattern: str = r"[\p{L}\p{N}#+\-]+", strict: bool = False,
 ) -> DataFrame:
     """Tokens, skills per category, degree and language of each posting, required and preferred.
 
@@ -54,17 +55,19 @@ def categorise_postings(
     dictionary = build_synonym_dictionary(elements)
     if not strict:
         dictionary = normalized_dictionary(dictionary)
-    replacements = replacement_map(elements)
-    whole = terms.select("term").unionByName(elements.select(F.explode(F.split("synonym", ",")).alias("term")))
+    # Each dictionary is made ready once and serves both texts.
+    entries = Dictionary(category_entries(dictionary))
+    replacements = Dictionary(replacement_map(elements))
+    whole = Phrases(terms.select("term").unionByName(elements.select(F.explode(F.split("synonym", ",")).alias("term"))))
     rows = postings.withColumn("combined_text", combined_text("technicalTags", "description", "requirement")).withColumn(
         "preferredExperience", combined_text("preferredExperience")
     )
     for source, morpheme, prefix in (("combined_text", "morpheme", ""), ("preferredExperience", "pre_morpheme", "pre_")):
         english = morpheme + "_eng"
-        rows = dictionary_tokenize(rows, ids, source, whole, stop_words, pattern=word_pattern, out=morpheme)
+        rows = dictionary_tokenize(rows, source, whole, stop_words, pattern=word_pattern, out=morpheme)
         rows = rows.withColumn(english, filter_latin(morpheme))
-        rows = replace_tokens(rows, ids, english, replacements)
-        rows = classify_tokens_multi(rows, ids, english, dictionary, prefix=prefix)
+        rows = replace_tokens(rows, english, replacements)
+        rows = classify_tokens_multi(rows, english, entries, prefix=prefix)
     return rows.withColumn("degree", degree_requirement("morpheme")).withColumn(
         "language", language_requirement("morpheme")
     )

@@ -88,16 +88,19 @@ def saved_copy(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int, label: str) -> DataFrame:
-    """A stored copy, marked for broadcast only when it has at most ``max_rows`` rows."""
-    stored = saved_copy(df, label)
-    return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored
+#: Stored bytes up to which a frame may be sent to every executor.
+BROADCAST_BYTES = 4 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of an input that comes in fewer pieces than there are cores, dealt out to all of them.
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of what is stored at a path."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
 
-    A table of ordinary size has more pieces than that and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+def broadcast_if_small(df: DataFrame, label: str, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A stored copy, marked for broadcast only when its files have at most ``max_bytes``."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    copy = df.sparkSession.read.schema(df.schema).parquet(path)
+    return F.broadcast(copy) if stored_bytes(df.sparkSession, path) <= max_bytes else copy

@@ -37,21 +37,15 @@ def scan_synonym_json(spark: SparkSession, path: str) -> DataFrame:
     return flatten_synonym_json(spark.read.text(path, wholetext=True))
 
 
-def synonym_json(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Synonym rows folded back into one document per ``by`` group (one in all without it)."""
-    by = list(by)
-    lists = rows.groupBy(*by, "category", "canonical").agg(
+def synonym_json(rows: DataFrame) -> DataFrame:
+    """Synonym rows folded back into one document per category, as (category, value)."""
+    lists = rows.groupBy("category", "canonical").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "synonym"))), lambda s: s["synonym"]).alias("synonyms")
     )
-    names = lists.groupBy(*by, "category").agg(
+    names = lists.groupBy("category").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("canonical", "synonyms")))).alias("names")
     )
-    def by_category(a, b):
-        return F.when(a["category"] < b["category"], -1).when(a["category"] > b["category"], 1).otherwise(0)
-
-    return names.groupBy(*by).agg(
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "names")), by_category))).alias("value")
-    )
+    return names.select("category", F.to_json(F.create_map("category", "names")).alias("value"))
 
 
 def build_synonym_dictionary(elements: DataFrame, seq: str = "seq") -> DataFrame:
@@ -100,8 +94,15 @@ def merge_synonym_dictionaries(base: DataFrame, extra: DataFrame) -> DataFrame:
     return base.select(*keys, "pos", "synonym").unionByName(added)
 
 
+def category_names(elements: DataFrame, category: str = "category", name: str = "name") -> DataFrame:
+    """H11 as rows: category, place from 0 and name, the distinct trimmed names in order."""
+    names = elements.select(F.col(category).alias("category"), F.trim(name).alias("name")).filter("name is not null").distinct()
+    place = F.row_number().over(Window.partitionBy("category").orderBy("name")) - 1
+    return names.select("category", place.alias("pos"), "name")
+
+
 def dictionary_by_category(elements: DataFrame, category: str = "category", name: str = "name") -> DataFrame:
-    """Per category the sorted distinct trimmed names."""
+    """Per category the sorted distinct trimmed names in one array, for small dictionaries."""
     return elements.groupBy(category).agg(F.sort_array(F.collect_set(F.trim(name))).alias("names"))
 
 

@@ -5,16 +5,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
-def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv_table(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
     """Delimited file with header; quoted cells may hold commas, quotes and newlines.
 
-    The reader drops a UTF-8 byte order mark itself. ``multiLine`` makes one task per
-    file, so large inputs should come as many files, as ``write_csv_table`` makes them.
+    The reader drops a UTF-8 byte order mark itself. With ``multi_line`` cells may hold line
+    breaks, and each file is one task; without it Spark splits large files.
     """
     return (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("enforceSchema", True)

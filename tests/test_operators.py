@@ -36,7 +36,7 @@ def test_dictionary_tokenize(spark, bound):
     texts = [" ".join(rng.choice("a b c d".split()) for _ in range(rng.randrange(30))) for _ in range(200)] + ["", "a", "a b"]
     terms = ["a b", "b c d", "a b c d", "d d", "c", "A C"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    out = T.dictionary_tokenize(df, ["id"], "text", spark.createDataFrame([(t,) for t in terms], "term string"), ("d", "d d"), max_entries=bound)
+    out = T.dictionary_tokenize(df, "text", spark.createDataFrame([(t,) for t in terms], "term string"), ("d", "d d"), max_entries=bound)
     got = {r.id: r.tokens for r in out.collect()}
     assert got == {i: greedy(t, {x.lower() for x in terms}, {"d", "d d"}) for i, t in enumerate(texts)}
 
@@ -46,22 +46,22 @@ def test_token_dictionaries(spark, bound):
     data = [(1, ["JS", "java", "x", "js", "C++"]), (2, []), (3, ["React Native", "x"])]
     df = spark.createDataFrame(data, "id int, tokens array<string>")
     pairs = spark.createDataFrame([("js", "javascript"), ("c++", "cpp")], "key string, value string")
-    got = {r.id: r.tokens for r in T.replace_tokens(df, ["id"], "tokens", pairs, bound).collect()}
+    got = {r.id: r.tokens for r in T.replace_tokens(df, "tokens", pairs, bound).collect()}
     assert got == {1: ["javascript", "java", "x", "javascript", "cpp"], 2: [], 3: ["React Native", "x"]}
 
     dictionary = D.normalized_dictionary(spark.createDataFrame(
         [("it_language", "js", "javascript"), ("tool", "js", "js tool"), ("framework", "react native", "react native"), ("it_language", "java", "java")],
         "category string, key string, name string"))
-    multi = {r.id: r for r in T.classify_tokens_multi(df, ["id"], "tokens", dictionary, max_entries=bound).collect()}
+    multi = {r.id: r for r in T.classify_tokens_multi(df, "tokens", dictionary, max_entries=bound).collect()}
     assert (multi[1].it_language, multi[1].tool, multi[1].framework) == ("java, javascript", "js tool", "")
     assert (multi[3].framework, multi[2].it_language) == ("react native", "")
 
     names = spark.createDataFrame([("language", "java"), ("tool", "java"), ("tool", "x")], "category string, name string")
-    first = {r.id: r for r in T.classify_tokens_first_match(df, ["id"], "tokens", names, max_entries=bound).collect()}
+    first = {r.id: r for r in T.classify_tokens_first_match(df, "tokens", names, max_entries=bound).collect()}
     assert (first[1].language, first[1].tool, first[1].oov) == (["java"], ["x"], ["C++", "JS", "js"])
     assert (first[2].language, first[2].oov) == ([], [])
 
-    tags = T.annotate_tokens(df, ["id"], "tokens", spark.createDataFrame(
+    tags = T.annotate_tokens(df, "tokens", spark.createDataFrame(
         [("languages", "java"), ("tools", "java"), ("libraries", "x")], "category string, name string"), max_entries=bound)
     assert {r.id: r.tags for r in tags.collect()} == {1: ["O", "B-TOOLS", "B-LIBRARIES", "O", "O"], 2: [], 3: ["O", "B-LIBRARIES"]}
 
@@ -70,10 +70,30 @@ def test_token_dictionaries(spark, bound):
 def test_normalize_multivalue(spark, bound):
     duties = spark.createDataFrame([("백엔드", "서버,웹"), ("백엔드, 프론트", "풀스택"), ("삭제", "영상"), ("A", "a")], "name string, synonym string")
     df = spark.createDataFrame([(1, "웹 ,서버,  풀스택"), (2, "영상"), (3, None), (4, "none, a"), (5, "")], "id int, duty string")
-    got = {r.id: r.duty for r in T.normalize_multivalue(df, ["id"], "duty", T.reverse_synonyms(duties), max_entries=bound).collect()}
+    got = {r.id: r.duty for r in T.normalize_multivalue(df, "duty", T.reverse_synonyms(duties), max_entries=bound).collect()}
     assert got == {1: "백엔드, 프론트", 2: None, 3: None, 4: "A", 5: None}
 
 
+@pytest.mark.parametrize("bound", [20_000, 0])
+def test_dictionaries_with_repeats_and_nulls(spark, bound):
+    """Repeated and null ids, repeated and null keys, and a term of six words: the same for every dictionary size."""
+    df = spark.createDataFrame(
+        [(1, ["js", "x"], "one two three four five six seven"), (1, ["go"], "one two"), (None, ["js"], "six"), (None, ["js"], "six"), (2, None, None)],
+        "id int, tokens array<string>, text string")
+    pairs = spark.createDataFrame([("js", "a"), ("js", "b"), ("go", None), (None, "n")], "key string, value string")
+    got = sorted((r.id is None, r.id or 0, tuple(r.tokens or ["-"])) for r in T.replace_tokens(df, "tokens", pairs, bound).collect())
+    assert got == [(False, 1, ("b", "x")), (False, 1, ("go",)), (False, 2, ("-",)), (True, 0, ("b",)), (True, 0, ("b",))]
+    terms = spark.createDataFrame([("one two three four five six",), ("one two",), (None,), ("One two",)], "term string")
+    out = T.dictionary_tokenize(df, "text", terms, out="found", max_entries=bound).collect()
+    assert sorted(tuple(r.found or ["-"]) for r in out) == [("-",), ("one two",), ("one two three four five six", "seven"), ("six",), ("six",)]
+    reverse = spark.createDataFrame([("js", "a"), ("js", "b, c"), (None, "x")], "word string, target string")
+    cells = spark.createDataFrame([(1, "js"), (1, "js, no"), (None, "js")], "id int, duty string")
+    assert [r.duty for r in T.normalize_multivalue(cells, "duty", reverse, max_entries=bound).collect()] == ["b, c"] * 3
+    names = spark.createDataFrame([("languages", "js"), ("tools", "js"), ("tools", None)], "category string, name string")
+    assert sorted(tuple(r.tags or ["-"]) for r in T.annotate_tokens(df, "tokens", names, max_entries=bound).collect()) == [
+        ("-",), ("B-TOOLS",), ("B-TOOLS",), ("B-TOOLS", "O"), ("O",)]
+
+
 # ---- joins ----
 def test_strict_element_join_equals_like_patterns(spark):
     sets = ["go, react native, vue", "native, go, x", "alternative, b, c", "React Native", "a, b native app, c"]
@@ -354,3 +374,48 @@ def test_byte_order_mark(spark, tmp_path):
     file = tmp_path / "b.csv"
     file.write_text("﻿id,t\n1,x\n", encoding="utf-8")
     assert rows(tables.read_csv_table(spark, str(file), spark.createDataFrame([], "id int, t string").schema)) == [(1, "x")]
+
+
+def test_suggestions_with_many_owned_suffixes(spark):
+    """Every limit and count per rank gives what a plain loop over the sets gives."""
+    native = [f"x{k} native" for k in range(6)]
+    skills = ["native", "go", "vue", *native, *[f"s{k}" for k in range(8)]]
+    stats = [("d", "c", s, 1, 90.0 - k, 1.0) for k, s in enumerate(skills)]
+    rng = random.Random(4)
+    sets = {", ".join(sorted(rng.sample(skills, 3))) for _ in range(150)} | {", ".join(sorted(rng.sample(native, 3))) for _ in range(20)}
+    stats += [("d", "c", s, 3, float(rng.randint(1, 30)), float(k)) for k, s in enumerate(sorted(sets))]
+    frame = spark.createDataFrame(stats, "duty string, category string, skill string, unit int, probability double, pre_probability double")
+    profiles = spark.createDataFrame([(1, "d", "c", native), (2, "d", "c", []), (3, "d", "c", None), (4, "d", "c", skills)], "profile_id int, duty string, category string, owned_skills array<string>")
+    owned = {1: native, 2: [], 3: [], 4: skills}
+    for limit, per_rank, strict in ((2, 2, False), (2, 5, True), (3, 4, True), (3, 6, False)):
+        want = set()
+        for pid, own in owned.items():
+            found = []
+            for rank, top in enumerate(skills[:limit], 1):
+                hit = [s for s in stats if s[3] == 3 and any(e == top or strict and e.endswith(" " + top) for e in s[2].split(", "))]
+                hit = [s for s in sorted(hit, key=lambda s: (-s[4], -s[5], s[2])) if set(s[2].split(", ")) - set(own)]
+                found.append((rank, top, hit))
+            whole = ", ".join(sorted({top for _, top, hit in found if hit}))
+            seen = set()
+            for rank, top, hit in found:
+                left = [(k, s) for k, s in enumerate(hit, 1) if s[2] != whole]
+                left = left[:2] if rank == 1 else left
+                want |= {(pid, s[2], top, rank, k) for k, s in [x for x in left if x[1][2] not in seen][:per_rank]}
+                seen |= {s[2] for _, s in left}
+        got = S.suggest_skill_sets(profiles, frame, limit, 1.0, per_rank, strict)
+        assert {(r.profile_id, r.skill, r.rskill, r.rrank, r.rn) for r in got.collect()} == want
+
+
+def test_large_basket_under_a_least_support(spark):
+    wide = [f"s{k:04d}" for k in range(2_000)]
+    baskets = [(i, "d", "c", wide if i == 0 else wide[:4], []) for i in range(10)]
+    df = spark.createDataFrame(baskets, "id int, duty string, category string, required array<string>, preferred array<string>")
+    totals = spark.createDataFrame([("d", 10)], "duty string, total_jobs long")
+    assert S.skill_set_support(df, totals, 20.0).count() == 4
+    few = df.withColumn("required", F.slice("required", 1, 60))
+    assert S.skill_set_support(few, totals).count() == 60 * 59 * 58 // 6
+
+
+def test_one_row_grown_by_millions(spark):
+    df = spark.createDataFrame([(1, "rare")], "id int, label string")
+    assert L.fill_label_quota(df.limit(0), df, "id", "label", ["rare"], {"rare": 10_000_000}).count() == 10_000_000
