@@ -2,14 +2,18 @@
 
 from pyspark.sql import functions as F
 
+from catalog.q_distribution import DEGREE, LANGUAGE, RATIO
 from catalog.q_joins import WEIGHTS_SQL
+from catalog.q_recommend import TFIDF_SQL
 from catalog.q_skills import NEAR_SQL, SCORES_SQL, SET_SHARE, SUGGEST_SQL, both_units
 from catalog.q_sources import RAW_A_SQL, raw_a, raw_b
 from catalog.registry import query
 from catalog.views import (
-    CATEGORY_OF, V2_SETS_SQL, V2_STATS_SQL, V7_SQL, WEIGHTS, pick, table, v2_skill_lists, v7, with_ctes,
+    CATEGORY_OF, DUTY_NAMES, V2_LISTS_SQL, V2_SETS_SQL, V2_STATS_SQL, V3_SQL, V7_SQL, WEIGHTS, pick, table, v2_skill_lists, v3, v7, with_ctes,
 )
+from postlens.operators.distribution import explode_duties
 from postlens.plans import etl, report
+from postlens.plans.summary import duty_analysis
 from postlens.session import saved_copy
 from postlens.plans.profiles import profile_keys
 from postlens.sources.dictionaries import duty_weights
@@ -80,19 +84,54 @@ def _(spark, folder):
     return report.duty_summary_rows(v7(spark, folder), summaries(spark, folder))
 
 
-@query("c10_profile_report", with_ctes(V2_STATS_SQL, V2_SETS_SQL, V7_SQL, WEIGHTS_SQL, NEAR_SQL, SUGGEST_SQL, SCORES_SQL, SUMMARY_SQL, body="""
-SELECT 'ranks' AS part, profile_id, count(*) AS n FROM marked GROUP BY ALL UNION ALL SELECT 'sets', profile_id, count(*) FROM suggested WHERE category <> 'tool' GROUP BY ALL
-UNION ALL SELECT 'duties', profile_id, least(count(*), 3) FROM (SELECT DISTINCT profile_id, s.duty FROM own o JOIN stats1 s ON o.skill = s.skill WHERE s.probability <> 0) GROUP BY ALL
-UNION ALL SELECT 'postings', profile_id, 10 FROM v7 UNION ALL SELECT 'summaries', profile_id, count(*) FROM v7 JOIN lines l ON v7.duty = l.duty GROUP BY ALL"""))
+def report_rows(parts):
+    """Every row of every part as text, so that contents are compared."""
+    cells = {
+        "ranks": ["duty", "category", "skill", "rank", "owned", "gap_before"], "sets": ["category", "rskill", "skill", "place"],
+        "duties": ["place", "duty"], "postings": ["place", "id"], "summaries": ["duty", "part", "path", "line_no", "line"],
+    }
+    out = None
+    for name, df in parts.items():
+        rows = df.select(F.lit(name).alias("part"), "profile_id", F.concat_ws("|", *[F.col(c).cast("string") for c in cells[name]]).alias("content"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("c10_profile_report", with_ctes(V2_STATS_SQL, V2_LISTS_SQL, V2_SETS_SQL, V7_SQL, WEIGHTS_SQL, NEAR_SQL, SUGGEST_SQL, SCORES_SQL, SUMMARY_SQL, TFIDF_SQL, body="""
+SELECT 'ranks' AS part, profile_id, concat_ws('|', duty, category, skill, rank, owned, coalesce(rank > lag(rank) OVER (PARTITION BY profile_id, duty, category ORDER BY rank) + 1, false)) AS content FROM marked
+UNION ALL SELECT 'sets', profile_id, concat_ws('|', category, rskill, skill, row_number() OVER (PARTITION BY profile_id, duty, category, rskill ORDER BY rrank, rn) - 1) FROM suggested WHERE category <> 'tool'
+UNION ALL SELECT 'duties', profile_id, concat_ws('|', place, duty) FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC NULLS LAST, duty) AS place FROM (
+  SELECT o.profile_id, s.duty, CASE WHEN count(w.weight) = count(*) THEN round(sum(100 * (pow(10, p / 100) - 1) / ((pow(10, p / 100) - 1) + (pow(10, (100 - p) / 100) - 1)) * w.weight), 2) END AS score
+  FROM (SELECT DISTINCT profile_id FROM own) o JOIN (SELECT o.profile_id, s.duty, s.category, sum(s.probability) AS p FROM own o JOIN stats1 s ON o.skill = s.skill WHERE s.probability <> 0 GROUP BY ALL) s USING (profile_id)
+  LEFT JOIN weights w ON s.duty = w.duty AND s.category = w.category GROUP BY ALL)) WHERE place <= 3
+UNION ALL SELECT 'postings', profile_id, concat_ws('|', place, id) FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, id) AS place FROM every) WHERE place <= 10
+UNION ALL SELECT 'summaries', profile_id, concat_ws('|', l.duty, part, path, line_no, line) FROM v7 JOIN lines l ON v7.duty = l.duty"""))
 def _(spark, folder):
     postings = saved_copy(v2_skill_lists(spark, folder).select("id", F.array_join("skills", " ").alias("skills")), "postings")
     parts = report.profile_report(
         v7(spark, folder), both_units(spark, folder), duty_weights(spark, WEIGHTS), postings, summaries(spark, folder), SET_SHARE)
-    counts = [df.groupBy("profile_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "profile_id", "n") for name, df in parts.items()]
-    out = counts[0]
-    for more in counts[1:]:
-        out = out.unionByName(more)
-    return out
+    return report_rows(parts)
+
+
+@query("e03_duty_analysis", with_ctes(V3_SQL, body=f"""
+, old AS (SELECT DISTINCT category AS duty FROM v3d WHERE category <> 'LOW' UNION ALL SELECT 'no postings'),
+lang AS (SELECT category, string_agg('- ' || language_required || ': ' || percentage || '%', chr(10) ORDER BY percentage DESC, language_required) AS t
+  FROM (SELECT category, {LANGUAGE} AS language_required, {RATIO} AS percentage FROM v3d GROUP BY category, language_required) GROUP BY category),
+car AS (SELECT category, string_agg('- ' || CASE WHEN career = 0 THEN '신입사원' ELSE career || '년차' END || ': ' || ratio || '%', chr(10) ORDER BY career) AS t
+  FROM (SELECT category, career, {RATIO} AS ratio FROM v3d GROUP BY category, career) GROUP BY category),
+deg AS (SELECT category, string_agg('- ' || degree_required || ': ' || percentage || '%', chr(10) ORDER BY percentage DESC, degree_required) AS t
+  FROM (SELECT category, {DEGREE} AS degree_required, {RATIO} AS percentage FROM v3d GROUP BY category, degree_required) GROUP BY category)
+SELECT coalesce(old.duty, lang.category) AS duty, concat_ws('|', old.duty || '.png', lang.t) AS language, concat_ws('|', old.duty || '.png', car.t) AS career, concat_ws('|', old.duty || '.png', deg.t) AS degree
+FROM old FULL JOIN lang ON duty = lang.category LEFT JOIN car ON car.category = lang.category LEFT JOIN deg ON deg.category = lang.category""").replace("\n\n, old", ",\nold"))
+def _(spark, folder):
+    """New texts for every duty; one duty is new to the table and one has no postings."""
+    postings = v3(spark, folder)
+    names = explode_duties(postings.select("duty"), known=DUTY_NAMES).select("category").distinct().filter("category <> 'LOW'")
+    names = names.unionByName(spark.createDataFrame([("no postings",)], "category string"))
+    cell = F.array(F.concat("category", F.lit(".png")))
+    old = names.select(F.col("category").alias("duty"), *[cell.alias(c) for c in ("language", "career", "degree")])
+    out = duty_analysis(postings, old, known=DUTY_NAMES)
+    return out.select("duty", *[F.array_join(c, "|").alias(c) for c in ("language", "career", "degree")])
 
 
 DUTY_ELEMENTS = [("백엔드", "서버/백엔드"), ("백엔드, 프론트 엔드", "웹 풀스택"), ("데이터 분석", "데이터 분석"),

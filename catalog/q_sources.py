@@ -94,6 +94,12 @@ def _(spark, folder):
                        "company_name", "career", "max_career")
 
 
+@query("j01_unknown_ids", with_ctes(RAW_A_SQL, body="""
+SELECT CAST(999 AS INTEGER) AS category_id, count(*) AS postings FROM a WHERE NOT broken AND NOT rootless AND o_custkey % 13 = 0 HAVING count(*) > 0"""))
+def _(spark, folder):
+    return json_docs.unknown_category_ids(raw_a(spark, folder))
+
+
 @query("j02_flatten_posting_json_b", with_ctes(V2_SQL, V2_LISTS_SQL, body="""
 SELECT o_orderkey AS id, 'https://www.wanted.co.kr/wd/' || o_orderkey AS url, o_orderpriority AS title, n_name AS location,
   CASE WHEN o_orderstatus <> 'P' THEN 'seg, ' || o_orderstatus END AS duty, array_to_string(skills, ', ') AS "technicalTags",
@@ -291,10 +297,10 @@ def _(spark, folder):
 
 @query("s10_update_column_from_table", """
 SELECT s_suppkey, s_nationkey, coalesce(last_name, s_name) AS s_name FROM supplier LEFT JOIN
-(SELECT c_nationkey, arg_max(c_name, c_custkey) AS last_name FROM customer WHERE c_acctbal > 9000 GROUP BY c_nationkey) ON s_nationkey = c_nationkey""")
+(SELECT c_nationkey + 3 AS c_nationkey, arg_max(c_name, c_custkey) AS last_name FROM customer GROUP BY 1) ON s_nationkey = c_nationkey""")
 def _(spark, folder):
     target = table(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").alias("key"), "s_name")
-    source = table(spark, folder, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("key"), "c_name", "c_custkey")
+    source = table(spark, folder, "customer").select((F.col("c_nationkey") + 3).alias("key"), "c_name", "c_custkey")
     return keyed.update_column_from_table(target, source, "key", "s_name", "c_name", "c_custkey").withColumnRenamed("key", "s_nationkey")
 
 

@@ -70,3 +70,18 @@ def _(spark, folder):
     )
     run.awaitTermination()
     return spark.read.parquet(store).agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+
+
+@query("x02_late_rows", """
+WITH e AS (SELECT *, max(ts) OVER () AS latest FROM events)
+SELECT count(*) FILTER (ts < latest - INTERVAL 5 DAYS) AS rows, count(*) FILTER (ts < latest - INTERVAL 10 DAYS) AS late_rows FROM e""")
+def _(spark, folder):
+    """The newest days come first; what follows is older, and part of it older than the allowed lateness."""
+    events = table(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    border = events.agg(F.max("ts") - F.expr("INTERVAL 5 DAYS")).scalar()
+    crawl, store, counts, state = (scratch_path(spark, n) for n in ("late-crawl", "late-store", "late-counts", "late-state"))
+    for part in (F.col("ts") >= border, F.col("ts") < border):
+        events.filter(part).write.mode("append").parquet(crawl)
+        source = spark.readStream.schema(events.schema).parquet(crawl)
+        ingest.ingest_counting_late(source, store, counts, state, ["event_id"], "ts", "10 DAYS").awaitTermination()
+    return ingest.late_counts(spark, counts).filter("batch_id > 0").agg(F.sum("rows").alias("rows"), F.sum("late_rows").alias("late_rows"))

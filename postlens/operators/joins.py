@@ -12,9 +12,19 @@ def inner_join_by_id(left: DataFrame, right: DataFrame, on: str | Sequence[str])
     return left.join(right, on, "inner")
 
 
+def one_per_key(table: DataFrame, key: Column, *values: str) -> DataFrame:
+    """(_key, values): of rows with equal keys the one whose values are greatest, in their order."""
+    whole = F.struct(*values)
+    rows = table.select(key.alias("_key"), whole.alias("_row")).filter("_key is not null").groupBy("_key").agg(F.max("_row").alias("_row"))
+    return rows.select("_key", "_row.*")
+
+
 def fill_blank_from_other(df: DataFrame, source: DataFrame, on: str, columns: Sequence[str]) -> DataFrame:
-    """P2: '' and null cells take the value of the source row with the same id."""
-    other = source.select(on, *[F.col(c).alias(f"_src_{c}") for c in columns])
+    """P2: '' and null cells take the value of the source row with the same id.
+
+    Of source rows with equal ids the one with the greatest values, in the order of ``columns``, counts.
+    """
+    other = one_per_key(source, F.col(on), *columns).select(F.col("_key").alias(on), *[F.col(c).alias(f"_src_{c}") for c in columns])
     joined = df.join(other, on, "left")
     filled = {c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"_src_{c}")) for c in columns}
     return joined.withColumns(filled).select(*df.columns)
@@ -50,8 +60,8 @@ def join_group_totals(counts: DataFrame, totals: DataFrame, on: str) -> DataFram
 
 
 def lookup_with_default(df: DataFrame, table: DataFrame, key: Column, default: str, out: str) -> DataFrame:
-    """``table`` has columns key, value; a miss gives the default."""
-    named = table.select(F.col("key").alias("_key"), F.col("value").alias("_value"))
+    """``table`` has columns key, value (of equal keys the greatest value counts); a miss gives the default."""
+    named = one_per_key(table, F.col("key"), "value").withColumnRenamed("value", "_value")
     return (
         df.join(named, key == F.col("_key"), "left")
         .withColumn(out, F.coalesce("_value", F.lit(default)))
@@ -87,8 +97,11 @@ def share_of_table(df: DataFrame, by: str) -> DataFrame:
 
 
 def relabel_from_lookup(df: DataFrame, labels: DataFrame, key: str, label: str, outside: str = K.OUTSIDE) -> DataFrame:
-    """Rows labelled outside take a label from (key, new_label); the others and misses stay."""
-    named = labels.select(F.col(key).alias("_key"), F.col("new_label").alias("_new"))
+    """Rows labelled outside take a label from (key, new_label); the others and misses stay.
+
+    Of equal keys the greatest label counts.
+    """
+    named = one_per_key(labels, F.col(key), "new_label").withColumnRenamed("new_label", "_new")
     return (
         df.join(named, F.col(key) == F.col("_key"), "left")
         .withColumn(label, F.when(F.col(label) == outside, F.coalesce("_new", F.lit(outside))).otherwise(F.col(label)))

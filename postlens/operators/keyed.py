@@ -46,9 +46,12 @@ def append_with_next_id(
 def update_list_cell(
     target: DataFrame, source: DataFrame, on: str, column: str, path: str | None = None, text: str | None = None
 ) -> DataFrame:
-    """S13 on a table: element 0 from ``path`` or element 1 from ``text`` of the keyed source."""
+    """S13 on a table: element 0 from ``path`` or element 1 from ``text`` of the keyed source.
+
+    Of source rows with equal keys the greatest value counts.
+    """
     value = path or text
-    keyed = source.select(F.col(on).alias("_on"), F.col(value).cast("string").alias("_value"))
+    keyed = source.groupBy(F.col(on).alias("_on")).agg(F.max(F.col(value).cast("string")).alias("_value"))
     change = update_list_path if path else update_list_text
     assert isinstance(target.schema[column].dataType, T.ArrayType)
     return (

@@ -65,6 +65,13 @@ def flatten_posting_json_a(df: DataFrame, text: str = "text", crawling_dt: str |
     )
 
 
+def unknown_category_ids(df: DataFrame, text: str = "text", names=K.JOB_CATEGORY_NAMES) -> DataFrame:
+    """(category_id, postings) of the ids that no name is known for and that J1 therefore leaves out."""
+    ids = _decoded_roots(df, schemas.RAW_POSTING_A, "jobPosition", text).select(F.explode(F.array_distinct("p.jobCategoryIds")).alias("category_id"))
+    unknown = ids.filter(~F.coalesce(F.col("category_id").isin(list(names)), F.lit(False)))
+    return unknown.groupBy("category_id").agg(F.count("*").alias("postings"))
+
+
 def with_career_and_region(df: DataFrame) -> DataFrame:
     """P6 and P7 on flattened rows of the first feed."""
     span = career_range("career_all")
