@@ -4,6 +4,7 @@ They are marked non-deterministic only to keep Spark from moving a filter on the
 below them, where it would parse every page a second time.
 """
 
+from collections import Counter
 from collections.abc import Sequence
 from html.parser import HTMLParser
 
@@ -29,12 +30,14 @@ class _TextPieces(HTMLParser):
         self.pieces: list[str] = []
         self.elements: list[list] = []  # [tag, first piece, end piece or None]
         self._open: list[tuple[str, list | None]] = []
+        self._depth: Counter[str] = Counter()  # open elements by tag, so no stack is walked per piece
+        self._silent = 0
         self._buffer: list[str] = []
 
     def _flush(self):
         text = "".join(self._buffer).strip()
         self._buffer.clear()
-        if text and not any(tag in _NO_TEXT for tag, _ in self._open):
+        if text and not self._silent:
             self.pieces.append(text)
 
     def handle_starttag(self, tag, attrs):
@@ -48,6 +51,8 @@ class _TextPieces(HTMLParser):
                 entry[2] = len(self.pieces)
         else:
             self._open.append((tag, entry))
+            self._depth[tag] += 1
+            self._silent += tag in _NO_TEXT
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -55,10 +60,12 @@ class _TextPieces(HTMLParser):
 
     def handle_endtag(self, tag):
         self._flush()
-        if not any(name == tag for name, _ in self._open):
+        if not self._depth[tag]:
             return
         while self._open:
             name, entry = self._open.pop()
+            self._depth[name] -= 1
+            self._silent -= name in _NO_TEXT
             if entry:
                 entry[2] = len(self.pieces)
             if name == tag:

@@ -133,3 +133,14 @@ def test_raw_documents(spark):
 def test_sentences_like_the_regular_expression(spark, values):
     want = [[p.strip() for p in re.split(r"(?<!\d)\.\s+|- ", v) if p.strip()] for v in values]
     assert one_column(spark, values, "string", X.split_sentences_dash) == want
+
+
+def test_bad_page_takes_linear_time():
+    import time
+
+    from postlens.functions.html import _TextPieces
+
+    page = "<div><b>x" * 40_000 + "</i>y" * 40_000
+    start = time.perf_counter()
+    assert len(_TextPieces(frozenset(("b",))).parse(page).pieces) == 80_000
+    assert time.perf_counter() - start < 10
