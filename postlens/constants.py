@@ -119,3 +119,10 @@ SPACED_SUFFIXES = ("db", "sql", "js")
 LATIN_TOKEN = r"^[a-zA-Z0-9#+\-\s]+$"
 WORD_RUN = "[a-z0-9#+]+"
 TERM_PATTERN = r"(?U)\b\w\w+\b"
+
+# --- fixed values: patterns of career spans, single years, sentence ends, numbering and tuple text ---
+CAREER_SPAN = r"(\d+)\s*~\s*(\d+)"
+CAREER_YEARS = r"(\d+)"
+SENTENCE_END = r"(?<!\d)\.\s+|- "
+INLINE_NUMBER = r"\d+\.\s+"
+TUPLE_TEXT = r"\('(.+)', '(.+)'\)"

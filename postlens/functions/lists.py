@@ -44,11 +44,10 @@ def parse_list_literal(c) -> Column:
 
 def parse_tuple_literal(c) -> Column:
     """J10: "('tag', 'LABEL')" to struct(tag, ner_label); null where the shape differs."""
-    pattern = r"\('(.+)', '(.+)'\)"
     text = _col(c)
     return F.struct(
-        F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).alias("tag"),
-        F.nullif(F.regexp_extract(text, pattern, 2), F.lit("")).alias("ner_label"),
+        F.nullif(F.regexp_extract(text, K.TUPLE_TEXT, 1), F.lit("")).alias("tag"),
+        F.nullif(F.regexp_extract(text, K.TUPLE_TEXT, 2), F.lit("")).alias("ner_label"),
     )
 
 

@@ -22,10 +22,6 @@ def combined_text(*columns) -> Column:
     return F.lower(F.replace(F.replace(joined, F.lit("."), F.lit("")), F.lit("/"), F.lit(", ")))
 
 
-def blank_to_null(c) -> Column:
-    return F.nullif(_col(c), F.lit(""))
-
-
 def upper_country(c) -> Column:
     """P5"""
     return F.upper(_col(c))
@@ -34,9 +30,9 @@ def upper_country(c) -> Column:
 def career_range(c, any_career: str = K.ANY_CAREER, newcomer: str = K.NEWCOMER) -> Column:
     """Free text to struct(career, max_career) in years."""
     text = F.coalesce(_col(c), F.lit(""))
-    low = F.regexp_extract(text, r"(\d+)\s*~\s*(\d+)", 1)
-    high = F.regexp_extract(text, r"(\d+)\s*~\s*(\d+)", 2)
-    single = F.regexp_extract(text, r"(\d+)", 1)
+    low = F.regexp_extract(text, K.CAREER_SPAN, 1)
+    high = F.regexp_extract(text, K.CAREER_SPAN, 2)
+    single = F.regexp_extract(text, K.CAREER_YEARS, 1)
 
     def years(first, last):
         first, last = (F.lit(v) if isinstance(v, int) else v.try_cast("int") for v in (first, last))
@@ -145,12 +141,12 @@ def _split_pieces(c, pattern: str) -> Column:
 
 def split_sentences_dash(c) -> Column:
     """Pieces between sentence ends (not after a digit) and '- '."""
-    return _split_pieces(c, r"(?<!\d)\.\s+|- ")
+    return _split_pieces(c, K.SENTENCE_END)
 
 
 def split_numbered_inline(c) -> Column:
     """Pieces between 'N. ' marks."""
-    return _split_pieces(c, r"\d+\.\s+")
+    return _split_pieces(c, K.INLINE_NUMBER)
 
 
 def spaced_variant(c, suffixes: Sequence[str] = K.SPACED_SUFFIXES) -> Column:

@@ -24,10 +24,6 @@ def normalize_token(t: Column) -> Column:
     return F.translate(F.lower(t), ". ", "")
 
 
-def normalize_tokens(c) -> Column:
-    return F.transform(_col(c), normalize_token)
-
-
 def _any_of(tokens: Column, names: Sequence[str]) -> Column:
     return F.arrays_overlap(tokens, F.array(*[F.lit(n) for n in names]))
 

@@ -71,8 +71,3 @@ def scan_database_table(
 def drop_columns_if_present(df: DataFrame, *columns: str) -> DataFrame:
     """P4"""
     return df.drop(*columns)
-
-
-def parse_crawl_time(column) -> F.Column:
-    """Crawl stamp 'yyyy-MM-dd-HH' to a timestamp."""
-    return F.try_to_timestamp(column, F.lit("yyyy-MM-dd-HH"))
