@@ -150,7 +150,7 @@ def test_synonym_file(spark):
     from postlens.session import scratch_path
     from postlens.sources import dictionaries as D
 
-    rows = spark.createDataFrame([("tool", "git", 0, "git scm"), ("tool", "git", 1, "깃"), ("library", "x", 0, "y")], "category string, canonical string, pos int, synonym string")
+    rows = spark.createDataFrame([("tool", "git", 0, "git scm"), ("tool", "git", 1, "깃"), ("tool", "x", 0, "y")], "category string, canonical string, pos int, synonym string")
     path = scratch_path(spark, "synonyms")
     D.synonym_json(rows).select("value").write.text(path)
     assert sorted(map(tuple, D.scan_synonym_json(spark, path).collect())) == sorted(map(tuple, rows.collect()))
