@@ -6,6 +6,8 @@ from catalog.registry import query
 from catalog.views import V2_LISTS_SQL, V2_SQL, V8_SQL, V9_SQL, table, v2_rows, v2_skill_lists, v8_dictionary, v8_tokens, v9, with_ctes
 from postlens.functions import tokens as K
 from postlens.operators import labels as L, tokens as T
+from postlens.plans.labelled import labelled_tokens
+from postlens.session import saved_copy
 
 IDS = "MAP {'O': 0, 'B-LANGUAGES': 1, 'B-FRAMEWORKS': 2, 'B-LIBRARIES': 3, 'B-TOOLS': 4}"
 
@@ -143,3 +145,21 @@ def _(spark, folder):
     rows = table(spark, folder, "labels").select(
         F.expr("doc_id div 4").alias("batch"), F.when(F.col("doc_id") % 3 == 0, -100).otherwise(F.col("quality")).alias("label"), (1 - F.col("toxic")).alias("predicted"))
     return L.masked_token_accuracy(rows, "batch", "label", "predicted").withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("e05_labelled_tokens", with_ctes(V8_SQL, body="""
+, named AS (SELECT DISTINCT token, CASE WHEN tag = 'O' AND length(token) = 6 THEN 'B-LIBRARIES' ELSE tag END AS label FROM tagged),
+rows AS (SELECT * FROM named WHERE label <> 'B-TOOLS' UNION SELECT name, 'B-TOOLS' FROM dict WHERE category = 'tools'),
+sizes AS (SELECT label, count(*) AS c FROM rows GROUP BY label), largest AS (SELECT max(c) AS m, count(*) * max(c) AS total FROM sizes),
+cut AS (SELECT total, CAST(round_even(total * 0.8, 0) AS BIGINT) AS train FROM largest)
+SELECT 'label' AS kind, label AS value, m AS n FROM sizes, largest UNION ALL SELECT 'distinct', label, c FROM sizes
+UNION ALL SELECT 'part', 'train', train FROM cut UNION ALL SELECT 'part', 'val', CAST(round_even((total - train) * 0.5, 0) AS BIGINT) FROM cut
+UNION ALL SELECT 'part', 'test', total - train - CAST(round_even((total - train) * 0.5, 0) AS BIGINT) FROM cut""").replace("\n\n, named", ",\nnamed"))
+def _(spark, folder):
+    """Counts of the labelled tokens: per label with and without copies, and per part."""
+    texts, names = v8_tokens(spark, folder), v8_dictionary(spark, folder)
+    six = texts.select(F.explode("tokens").alias("token")).filter(F.length("token") == 6).distinct()
+    tools = names.filter("category = 'tools'").select(F.col("name").alias("token"), F.lit("B-TOOLS").alias("label"))
+    rows = saved_copy(labelled_tokens(texts, "tokens", names, six.withColumn("new_label", F.lit("B-LIBRARIES")), F.col("label") == "B-TOOLS", tools), "labelled")
+    count = lambda kind, column, df: df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "value", "n")
+    return count("label", "label", rows).unionByName(count("distinct", "label", rows.filter("copy = 0"))).unionByName(count("part", "part", rows))
