@@ -32,16 +32,17 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class LineHashes:
-    """Polynomial hashes of all lines of a text at once; the power tables grow with the longest text met."""
+    """Polynomial hashes of all lines of a list of words at once; the power tables grow with the longest list met."""
 
     def __init__(self):
         self.up, self.down = _powers(_BASE, 1 << 14), _powers(_INVERSE, 1 << 14)
 
     def __call__(self, words: list[bytes], line_words: int) -> np.ndarray:
-        raw = np.frombuffer(b" ".join(words), np.uint8).astype(np.uint64)
+        raw = np.frombuffer(b" ".join(words), np.uint8)
         if len(raw) >= len(self.up):
             self.up, self.down = _powers(_BASE, 2 * len(raw)), _powers(_INVERSE, 2 * len(raw))
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * self.up[: len(raw)])))
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw + np.uint64(1)) * self.up[: len(raw)], out=total[1:])
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - line_words + 1]
         x = (total[ends[line_words - 1 :]] - total[starts]) * self.down[starts]
@@ -50,43 +51,118 @@ class LineHashes:
         return x ^ (x >> np.uint64(31))
 
 
-def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Places of the smallest hash of every window, the first of equal ones; none if there is no whole window."""
+def winnow(hashes: np.ndarray, window: int, text: np.ndarray | None = None, line_words: int = 1) -> np.ndarray:
+    """Places of the smallest hash of every window, the first of equal ones; none if there is no whole window.
+
+    ``text`` tells the text of each word, where several texts follow one another; windows that
+    reach from one into the next don't count.
+    """
     if len(hashes) < window:
         return np.empty(0, np.int64)
     smallest = np.lib.stride_tricks.sliding_window_view(hashes, window).argmin(axis=1) + np.arange(len(hashes) - window + 1)
+    if text is not None:
+        last = line_words + window - 2
+        smallest = smallest[text[: len(smallest)] == text[last : last + len(smallest)]]
     return np.unique(smallest)
 
 
+def repeats_within(words: list[bytes], places: np.ndarray, hashes: np.ndarray, least: int) -> list[list[int]]:
+    """Word spans of one text that repeat the words a fixed distance before, for at least ``least`` words.
+
+    Distances are those between equal fingerprints that follow one another; a text with a short
+    period repeats itself from its second period on.
+    """
+    order = np.argsort(hashes, kind="stable")
+    same = np.flatnonzero(hashes[order][1:] == hashes[order][:-1])
+    apart = np.unique(places[order][same + 1] - places[order][same])
+    if not len(apart):
+        return []
+    known: dict[bytes, int] = {}
+    numbers = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    spans = []
+    for d in apart.tolist():
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], (numbers[d:] == numbers[:-d]).astype(np.int8), [0]))))
+        spans += [[d + a, d + b] for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()) if b - a >= least]
+    return united(spans)
+
+
+def united(spans: list[list[int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows with (_id, _mark): a null id comes first; rows equal in id and text are one place."""
     return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_mark", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
-def fingerprints(docs: DataFrame, line_words: int = LINE_WORDS, window: int = WINDOW_LINES) -> DataFrame:
-    """(h, id, mark, at): selected line hashes with their text and first word."""
+#: Bytes of text that are hashed at once; a longer text is hashed alone.
+BLOCK_BYTES = 1_000_000
+
+
+def fingerprints(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+    """(h, id, mark, at, until): selected line hashes with their text and first word.
+
+    Rows with ``until`` and no ``h`` are spans that repeat words of the same text; fingerprints
+    inside them are left out, as they are cut anyway.
+    """
     prepare(docs)
-    schema = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("at", pa.int32())])
+    window = least_words - line_words + 1
+    kind = "h long, id long, mark long, at int, until int"
+    schema = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("at", pa.int32()), ("until", pa.int32())])
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         line_hashes = LineHashes()
+
+        def block(keys: list[tuple], texts: list[list[bytes]]) -> pa.RecordBatch:
+            sizes = np.array([len(t) for t in texts])
+            first = np.cumsum(sizes) - sizes
+            text = np.repeat(np.arange(len(texts)), sizes)
+            words = [w for t in texts for w in t]
+            hashes = line_hashes(words, line_words)
+            places = winnow(hashes, window, text, line_words)
+            found, own = hashes[places], text[places]
+            at = places - first[own]
+            order = np.lexsort((found, own))
+            twice = np.flatnonzero((found[order][1:] == found[order][:-1]) & (own[order][1:] == own[order][:-1]))
+            cuts, keep = [], np.ones(len(at), bool)
+            for k in np.unique(own[order][twice]).tolist():
+                here = slice(*np.searchsorted(own, [k, k + 1]))
+                for a, b in repeats_within(texts[k], at[here], found[here], least_words):
+                    cuts.append((*keys[k], a, b))
+                    keep[here] &= (at[here] < a) | (at[here] + line_words > b)
+            own, at, found = own[keep], at[keep], found[keep]
+            ids, marks = (np.array([key[n] for key in keys], np.int64) for n in (0, 1))
+            columns = [found.view(np.int64), ids[own], marks[own], at.astype(np.int32)]
+            arrays = [pa.array(c) for c in columns] + [pa.nulls(len(at), pa.int32())]
+            rows = pa.RecordBatch.from_arrays(arrays, schema=schema)
+            if not cuts:
+                return rows
+            i, m, a, b = zip(*cuts)
+            more = pa.RecordBatch.from_pydict({"h": [None] * len(cuts), "id": i, "mark": m, "at": a, "until": b}, schema=schema)
+            return pa.Table.from_batches([rows, more]).combine_chunks().to_batches()[0]
+
         for batch in batches:
-            for part in pieces(batch, 500):
-                h, ids, marks, at = [], [], [], []
-                for i, m, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), text_bytes(part.column(2))):
-                    words = text.split()
-                    if len(words) >= line_words + window - 1:
-                        found = line_hashes(words, line_words)
-                        places = winnow(found, window)
-                        h.append(found[places].view(np.int64))
-                        at.append(places.astype(np.int32))
-                        ids.append(np.full(len(places), i))
-                        marks.append(np.full(len(places), m))
-                if h:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h, ids, marks, at)], schema=schema)
+            keys, texts, held = [], [], 0
+            for i, m, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2))):
+                words = text.split()
+                if len(words) >= least_words:
+                    keys.append((i, m))
+                    texts.append(words)
+                    held += len(text)
+                if held >= BLOCK_BYTES:
+                    yield block(keys, texts)
+                    keys, texts, held = [], [], 0
+            if texts:
+                yield block(keys, texts)
 
     own = _keyed(docs).select("_id", "_mark", F.col("text").cast("string"))
-    return own.mapInArrow(select, "h long, id long, mark long, at int")
+    return own.mapInArrow(select, kind)
 
 
 _RUN = "id long, mark long, start int, from_id long, from_mark long, from_start int, from_end int"
@@ -141,21 +217,25 @@ def source_slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(words: list[bytes], slices: list[dict], least: int) -> list[list[int]]:
-    """Word spans [start, end) that equal their sources for at least ``least`` words, united."""
+    """Word spans [start, end) that equal their sources for at least ``least`` words, united.
+
+    A slice without words is a span already compared.
+    """
     spans = []
     for s in slices:
-        source, start = s["words"].split(), s["start"]
-        n = min(len(source), len(words) - start)
-        equal = np.fromiter((a == b for a, b in zip(source, words[start : start + n])), bool, n)
+        start = s["start"]
+        if s["words"] is None:
+            spans.append([start, s["until"]])
+            continue
+        source = s["words"].split()
+        own = words[start : start + len(source)]
+        if own == source:
+            spans.append([start, start + len(own)])
+            continue
+        equal = np.fromiter(map(bytes.__eq__, own, source), bool, min(len(own), len(source)))
         edge = np.flatnonzero(np.diff(np.concatenate(([0], equal.astype(np.int8), [0]))))
-        spans += [[start + a, start + b] for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()) if b - a >= least]
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+        spans += [[start + a, start + b] for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist())]
+    return united([s for s in spans if s[1] - s[0] >= least])
 
 
 def without(text: bytes, spans: list[list[int]]) -> bytes:
@@ -176,7 +256,8 @@ def dedupe(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LI
     The first place of a passage, by doc_id and then by position, stays; a null id comes first.
     A run is compared with the first place of its fingerprints: words beside it that equal only
     a second place of them (fewer than a window) stay.
-    Rows equal in id and text are one place and are treated alike. Spans count words between
+    Within a text a repeat may overlap what it repeats, so of a text with a short period one
+    period stays. Rows equal in id and text are one place and are treated alike. Spans count words between
     ASCII white space. Texts of fewer than ``least_words`` words can't hold a passage and stay
     as they are, null and empty ones too. A ``removed`` column of the input is replaced.
 
@@ -186,19 +267,20 @@ def dedupe(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LI
     window = least_words - line_words + 1
     prepare(docs)
     docs = docs.drop("removed")
-    found = stored(fingerprints(docs, line_words, window), "winnowed")
+    found = stored(fingerprints(docs, least_words, line_words), "winnowed")
+    lines = found.filter("until is null")
     place = F.struct("id", "mark", "at")
-    firsts = found.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
-    later = found.join(firsts, "h").filter(
-        (place > F.col("first")) & ((F.col("id") != F.col("first.id")) | (F.col("mark") != F.col("first.mark")) | (F.col("at") >= F.col("first.at") + line_words))
-    )
+    firsts = lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
+    later = lines.join(firsts, "h").filter((F.col("id") != F.col("first.id")) | (F.col("mark") != F.col("first.mark")))
     match = F.struct("at", F.col("first.id").alias("from_id"), F.col("first.mark").alias("from_mark"), F.col("first.at").alias("from_at"))
     by_text = later.groupBy("id", "mark").agg(F.collect_set(match).alias("found"))
     wanted = stored(runs(by_text, line_words, window), "repeat-runs")
     on = ["from_id", "from_mark", "from_start", "from_end"]
     slices = source_slices(docs, wanted.select(*on).distinct())
-    cuts = wanted.join(slices, on).groupBy("id", "mark").agg(F.collect_list(F.struct("start", "words")).alias("_slices"))
-    cuts = cuts.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "_slices")
+    across = wanted.join(slices, on).select("id", "mark", "start", F.lit(None).cast("int").alias("until"), "words")
+    within = found.filter("until is not null").select("id", "mark", F.col("at").alias("start"), "until", F.lit(None).cast("binary").alias("words"))
+    cuts = across.unionByName(within).groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(
+        F.collect_list(F.struct("start", "until", "words")).alias("_slices"))
 
     columns = docs.columns
     number = columns.index("text")
