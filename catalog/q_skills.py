@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog.q_joins import WEIGHTS_SQL, stats1, stats3
 from catalog.registry import query
 from catalog.views import V2_SETS_SQL, V2_SQL, V2_STATS_SQL, V7_SQL, WEIGHTS, v2_baskets, v2_cells, v2_totals, v7, with_ctes
+from postlens.operators.sets import first_per_key
 from postlens.operators import skills as S
 from postlens.plans.profiles import profile_groups, profile_skills
 from postlens.plans.report import skill_rank_report
@@ -183,14 +184,14 @@ def _(spark, folder):
 @query("w06_first_n_per_group", with_ctes(V2_STATS_SQL, V2_SETS_SQL, body="""
 SELECT duty, category, skill FROM (SELECT *, row_number() OVER (PARTITION BY duty, category ORDER BY probability DESC, pre_probability DESC, skill) AS n FROM stats3) WHERE n <= 2"""))
 def _(spark, folder):
-    return S.first_per_key(stats3(spark, folder), ["duty", "category"], S.skill_order(), 2).select("duty", "category", "skill")
+    return first_per_key(stats3(spark, folder), ["duty", "category"], S.skill_order(), 2).select("duty", "category", "skill")
 
 
 @query("w07_keep_first_by_key", with_ctes(V2_STATS_SQL, V2_SETS_SQL, body="""
 SELECT skill, duty, category FROM (SELECT *, row_number() OVER (PARTITION BY skill ORDER BY probability DESC, pre_probability DESC, duty) AS n FROM stats3) WHERE n = 1"""))
 def _(spark, folder):
     order = [F.desc("probability"), F.desc("pre_probability"), F.asc("duty")]
-    return S.first_per_key(stats3(spark, folder), ["skill"], order).select("skill", "duty", "category")
+    return first_per_key(stats3(spark, folder), ["skill"], order).select("skill", "duty", "category")
 
 
 @query("c08_set_groups_report", SUGGEST + """SELECT profile_id, duty, category, rskill, skill,
