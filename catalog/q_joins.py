@@ -113,8 +113,15 @@ WHERE len([x FOR x IN string_split(s.skill, ', ') IF NOT list_contains(g.owned |
 def _(spark, folder):
     more = F.array(*[F.lit(f"brand {n}") for n in (5, 9, 13)])
     groups = profile_groups(v7(spark, folder)).withColumn("owned_skills", F.concat("owned_skills", more))
-    met = stats3(spark, folder).join(groups, ["duty", "category"])
-    return S.exclude_user_combinations(met).groupBy("profile_id", "category").agg(F.count("*").alias("sets"))
+    rows = S.open_sets(groups, stats3(spark, folder)).select("profile_id", "category", F.size("open").cast("long").alias("sets"))
+    return rows.filter("sets > 0")
+
+
+@query("p18_on_joined_sets", with_ctes(V2_STATS_SQL, V2_SETS_SQL, body="""
+SELECT duty, category, skill FROM stats3 WHERE len([x FOR x IN string_split(skill, ', ') IF NOT list_contains(['brand 1', 'brand 5', 'brand 9', 'brand 13'], x)]) > 0"""))
+def _(spark, folder):
+    own = F.array(*[F.lit(f"brand {n}") for n in (1, 5, 9, 13)])
+    return S.exclude_user_combinations(stats3(spark, folder).withColumn("owned_skills", own)).select("duty", "category", "skill")
 
 
 @query("p25_match_set_to_text", with_ctes(V2_STATS_SQL, V2_SETS_SQL, body="""

@@ -203,6 +203,17 @@ def exclude_user_combinations(sets: DataFrame, owned: str = "owned_skills", skil
     return sets.filter(missing > 0)
 
 
+def open_sets(profiles: DataFrame, sets: DataFrame, keys: Sequence[str] = ("duty", "category"), owned: str = "owned_skills") -> DataFrame:
+    """P18 for many profiles: each profile row with the sets of its keys that it doesn't wholly own, as ``open``.
+
+    The sets of a key are one sorted array that meets a profile row once; no row per set and profile is made.
+    """
+    listed = sets.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("skill", F.split("skill", ", ").alias("members")))).alias("_sets"))
+    have = F.coalesce(F.col(owned), F.array().cast("array<string>"))
+    left = F.filter("_sets", lambda s: F.size(F.array_except(s["members"], have)) > 0)
+    return profiles.join(listed, list(keys)).withColumn("open", F.transform(left, lambda s: s["skill"])).drop("_sets")
+
+
 def duty_fit_score(profile_skills: DataFrame, stats: DataFrame, weights: DataFrame,
                    excluded_duty: str = K.LANGUAGE_DUTY) -> DataFrame:
     """Weighted score of each duty for each profile, two decimals; null for a duty without weights.
