@@ -98,7 +98,6 @@ def pack_documents(
     """
     prepare(docs)
     tokenizer = tokenizer or tokens.default_path()
-    n_parts = docs.rdd.getNumPartitions()
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, known, end = TaskContext.get().partitionId(), tokens.encoder(tokenizer), np.array([end_id], "<u4").tobytes()
@@ -121,7 +120,7 @@ def pack_documents(
         if full:
             yield pa.RecordBatch.from_pydict(dict(zip(_PIECE.names, zip(*full))), schema=_PIECE)
         if items:
-            yield pa.RecordBatch.from_pydict(_placed(items, capacity, part, 0, n_parts <= 1), schema=_PIECE)
+            yield pa.RecordBatch.from_pydict(_placed(items, capacity, part, 0, False), schema=_PIECE)
 
     def later_round(base: int, last: bool):
         def again(rows: pa.Table) -> pa.Table:
@@ -132,14 +131,15 @@ def pack_documents(
         return again
 
     rows = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(first_round, PIECE_SCHEMA), "packed")
-    kept, waiting, parts, base = [rows.filter("not open")], rows.filter("open"), n_parts, n_parts
+    kept, waiting = [rows.filter("not open")], rows.filter("open")
+    base = parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
     while parts > 1:
         parts = -(-parts // FAN_IN)
         again = waiting.groupBy(F.expr(f"part div {FAN_IN}")).applyInArrow(later_round(base, parts == 1), PIECE_SCHEMA)
         packed = stored(again, "packed")
         kept.append(packed.filter("not open"))
         waiting, base = packed.filter("open"), base + parts
-    out = kept[0]
-    for more in kept[1:]:
+    out = waiting  # of a single task its own bins; else none are left open
+    for more in kept:
         out = out.unionByName(more)
     return out.drop("open", "part")
