@@ -190,8 +190,10 @@ class Model:
 def learn(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """From (doc_id, text, toxic): the lexicon from all rows, the logistic function from at most
     ``fit_rows`` of them, the first ones by the hash of their id."""
-    lexicon = learn_lexicon(labelled)
-    own = labelled.filter("toxic is not null")
+    prepare(labelled)
+    # Stored once: the texts of labelled rows are joined to their labels a single time.
+    own = stored(labelled.filter("toxic is not null").select("doc_id", F.col("text").cast("string"), F.col("toxic").cast("int")), "toxic-labelled")
+    lexicon = learn_lexicon(own)
     rows = channel_sums(own.withColumn("rank", F.xxhash64("doc_id")), lexicon, "rank", "toxic").orderBy("rank").limit(fit_rows).toPandas()
     if not len(rows):
         return Model(lexicon, np.concatenate(([-3.0], np.zeros(2 * len(CHANNELS)))))
