@@ -3,8 +3,9 @@
 A line is ``LINE_WORDS`` consecutive words, starting at any word, so that a passage need not
 begin where a line break stands. The smallest hash of every window of consecutive lines is a
 fingerprint; any passage of ``LEAST_WORDS`` words that two texts share has one in common.
-Fingerprints meet at their first place in the corpus; runs of them are extended both ways by
-comparing the words, and later repeats of at least ``LEAST_WORDS`` words are cut out.
+A fingerprint speaks for the windows whose smallest hash it is, and so for all places of these
+windows. Where all places of a fingerprint agree in them, the later ones are cut; where they
+differ, each window is hashed by itself and looked up at its own first place.
 """
 
 import re
@@ -38,52 +39,56 @@ class LineHashes:
         self.up, self.down = _powers(_BASE, 1 << 14), _powers(_INVERSE, 1 << 14)
 
     def __call__(self, words: list[bytes], line_words: int) -> np.ndarray:
+        first = np.arange(len(words) - line_words + 1)
+        return self.spans(self.sums(words), first, first + line_words)
+
+    def sums(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums up to every byte, and where each word starts and ends."""
         raw = np.frombuffer(b" ".join(words), np.uint8)
         if len(raw) >= len(self.up):
             self.up, self.down = _powers(_BASE, 2 * len(raw)), _powers(_INVERSE, 2 * len(raw))
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw + np.uint64(1)) * self.up[: len(raw)], out=total[1:])
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - line_words + 1]
-        x = (total[ends[line_words - 1 :]] - total[starts]) * self.down[starts]
+        return total, np.concatenate(([0], ends[:-1] + 1)), ends
+
+    def spans(self, sums: tuple[np.ndarray, np.ndarray, np.ndarray], first: np.ndarray, until: np.ndarray) -> np.ndarray:
+        """The hash of each span of words [first, until)."""
+        total, starts, ends = sums
+        x = (total[ends[until - 1]] - total[starts[first]]) * self.down[starts[first]]
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
         return x ^ (x >> np.uint64(31))
 
 
-def winnow(hashes: np.ndarray, window: int, text: np.ndarray | None = None, line_words: int = 1) -> np.ndarray:
-    """Places of the smallest hash of every window, the first of equal ones; none if there is no whole window.
+def smallest_lines(hashes: np.ndarray, window: int, text: np.ndarray | None = None, line_words: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The first lines of all whole windows, in order, and the place of each one's smallest hash, the first of equal ones.
 
     ``text`` tells the text of each word, where several texts follow one another; windows that
     reach from one into the next don't count.
     """
     if len(hashes) < window:
-        return np.empty(0, np.int64)
-    smallest = np.lib.stride_tricks.sliding_window_view(hashes, window).argmin(axis=1) + np.arange(len(hashes) - window + 1)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    starts = np.arange(len(hashes) - window + 1)
+    smallest = np.lib.stride_tricks.sliding_window_view(hashes, window).argmin(axis=1) + starts
     if text is not None:
         last = line_words + window - 2
-        smallest = smallest[text[: len(smallest)] == text[last : last + len(smallest)]]
-    return np.unique(smallest)
+        whole = text[: len(smallest)] == text[last : last + len(smallest)]
+        return starts[whole], smallest[whole]
+    return starts, smallest
 
 
-def repeats_within(words: list[bytes], places: np.ndarray, hashes: np.ndarray, least: int) -> list[list[int]]:
-    """Word spans of one text that repeat the words a fixed distance before, for at least ``least`` words.
+def winnow(hashes: np.ndarray, window: int, text: np.ndarray | None = None, line_words: int = 1) -> np.ndarray:
+    """Places of the smallest hash of every window; none if there is no whole window."""
+    return np.unique(smallest_lines(hashes, window, text, line_words)[1])
 
-    Distances are those between equal fingerprints that follow one another; a text with a short
-    period repeats itself from its second period on.
-    """
-    order = np.argsort(hashes, kind="stable")
-    same = np.flatnonzero(hashes[order][1:] == hashes[order][:-1])
-    apart = np.unique(places[order][same + 1] - places[order][same])
-    if not len(apart):
-        return []
-    known: dict[bytes, int] = {}
-    numbers = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
-    spans = []
-    for d in apart.tolist():
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], (numbers[d:] == numbers[:-d]).astype(np.int8), [0]))))
-        spans += [[d + a, d + b] for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()) if b - a >= least]
-    return united(spans)
+
+def second_places(keys: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which keys, in the order of their places, stand earlier in the same text."""
+    order = np.lexsort((keys, text))
+    out = np.zeros(len(keys), bool)
+    out[order[1:]] = (keys[order][1:] == keys[order][:-1]) & (text[order][1:] == text[order][:-1])
+    return out
 
 
 def united(spans: list[list[int]]) -> list[list[int]]:
@@ -106,15 +111,17 @@ BLOCK_BYTES = 1_000_000
 
 
 def fingerprints(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
-    """(h, id, mark, at, until): selected line hashes with their text and first word.
+    """(h, id, mark, at, start, until, context): selected line hashes with their text and first word.
 
-    Rows with ``until`` and no ``h`` are spans that repeat words of the same text; fingerprints
-    inside them are left out, as they are cut anyway.
+    ``start`` to ``until`` are the words of all windows whose smallest hash this one is, and
+    ``context`` is their hash. Rows without ``h`` are spans that repeat words of the same text;
+    a fingerprint all of whose windows are such repeats is left out.
     """
     prepare(docs)
     window = least_words - line_words + 1
-    kind = "h long, id long, mark long, at int, until int"
-    schema = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("at", pa.int32()), ("until", pa.int32())])
+    kind = "h long, id long, mark long, at int, start int, until int, context long"
+    long, short = pa.int64(), pa.int32()
+    schema = pa.schema([("h", long), ("id", long), ("mark", long), ("at", short), ("start", short), ("until", short), ("context", long)])
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         line_hashes = LineHashes()
@@ -124,28 +131,30 @@ def fingerprints(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: in
             first = np.cumsum(sizes) - sizes
             text = np.repeat(np.arange(len(texts)), sizes)
             words = [w for t in texts for w in t]
-            hashes = line_hashes(words, line_words)
-            places = winnow(hashes, window, text, line_words)
-            found, own = hashes[places], text[places]
-            at = places - first[own]
-            order = np.lexsort((found, own))
-            twice = np.flatnonzero((found[order][1:] == found[order][:-1]) & (own[order][1:] == own[order][:-1]))
-            cuts, keep = [], np.ones(len(at), bool)
-            for k in np.unique(own[order][twice]).tolist():
-                here = slice(*np.searchsorted(own, [k, k + 1]))
-                for a, b in repeats_within(texts[k], at[here], found[here], least_words):
-                    cuts.append((*keys[k], a, b))
-                    keep[here] &= (at[here] < a) | (at[here] + line_words > b)
-            own, at, found = own[keep], at[keep], found[keep]
-            ids, marks = (np.array([key[n] for key in keys], np.int64) for n in (0, 1))
-            columns = [found.view(np.int64), ids[own], marks[own], at.astype(np.int32)]
-            arrays = [pa.array(c) for c in columns] + [pa.nulls(len(at), pa.int32())]
-            rows = pa.RecordBatch.from_arrays(arrays, schema=schema)
-            if not cuts:
-                return rows
-            i, m, a, b = zip(*cuts)
-            more = pa.RecordBatch.from_pydict({"h": [None] * len(cuts), "id": i, "mark": m, "at": a, "until": b}, schema=schema)
-            return pa.Table.from_batches([rows, more]).combine_chunks().to_batches()[0]
+            sums, line = line_hashes.sums(words), np.arange(len(words) - line_words + 1)
+            hashes = line_hashes.spans(sums, line, line + line_words)
+            starts, smallest = smallest_lines(hashes, window, text, line_words)
+            again = second_places(line_hashes.spans(sums, starts, starts + least_words), text[starts])
+            # The windows of a fingerprint follow one another.
+            places, begin, n = np.unique(smallest, return_index=True, return_counts=True)
+            keep = np.add.reduceat(~again, begin, dtype=np.int64) > 0
+            places, start, until = places[keep], starts[begin][keep], (starts[begin] + n - 1 + least_words)[keep]
+            context = line_hashes.spans(sums, start, until)
+            # Runs of repeats inside the text, as spans.
+            s = starts[again]
+            edge = np.flatnonzero((np.diff(s) > least_words) | (np.diff(text[s]) != 0)) + 1 if len(s) else np.empty(0, np.int64)
+            a = s[np.concatenate(([0], edge))] if len(s) else s
+            b = (s[np.concatenate((edge - 1, [-1]))] if len(s) else s) + least_words
+            own = np.concatenate((text[places], text[a]))
+            ids, marks = (np.array([key[k] for key in keys], np.int64)[own] for k in (0, 1))
+            none = np.zeros(len(a), np.int64)
+            absent = np.arange(len(own)) >= len(places)
+            from_first = lambda x, y: (np.concatenate((x, y)) - first[own]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate((hashes[places].view(np.int64), none)), mask=absent), pa.array(ids), pa.array(marks),
+                pa.array(from_first(places, a)), pa.array(from_first(start, a)), pa.array(from_first(until, b)),
+                pa.array(np.concatenate((context.view(np.int64), none)), mask=absent),
+            ], schema=schema)
 
         for batch in batches:
             keys, texts, held = [], [], 0
@@ -165,77 +174,28 @@ def fingerprints(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: in
     return own.mapInArrow(select, kind)
 
 
-_RUN = "id long, mark long, start int, from_id long, from_mark long, from_start int, from_end int"
-
-
-def runs(matches: DataFrame, line_words: int, window: int) -> DataFrame:
-    """Matches of a text with one source at one distance, close to each other, as one run with room to extend.
-
-    One row per text, with its matches as an array (at most one for each of its fingerprints).
-    """
-    names = [c.split()[0] for c in _RUN.split(", ")]
-    schema = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.int32()) for c in _RUN.split(", ")])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = {n: [] for n in names}
-            for row in batch.to_pylist():
-                own = sorted((m["from_id"], m["from_mark"], m["at"] - m["from_at"], m["at"]) for m in row["found"])
-                begin = 0
-                for k in range(1, len(own) + 1):
-                    if k == len(own) or own[k][:3] != own[k - 1][:3] or own[k][3] - own[k - 1][3] > line_words + window:
-                        from_id, from_mark, apart, first = own[begin]
-                        room = min(window, first, first - apart)
-                        start, end = first - room, own[k - 1][3] + line_words + window
-                        values = (row["id"], row["mark"], start, from_id, from_mark, start - apart, end - apart)
-                        for n, v in zip(names, values):
-                            out[n].append(v)
-                        begin = k
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-    return matches.mapInArrow(merge, _RUN)
-
-
-def source_slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(from_id, from_mark, from_start, from_end, words): the wanted stretches of the sources."""
-    asked = wanted.groupBy("from_id", "from_mark").agg(F.collect_set(F.struct("from_start", "from_end")).alias("asked"))
-    own = _keyed(docs).select(F.col("_id").alias("from_id"), F.col("_mark").alias("from_mark"), F.col("text").cast("string"))
-    kind = "from_id long, from_mark long, from_start int, from_end int, words binary"
-    schema = pa.schema([("from_id", pa.int64()), ("from_mark", pa.int64()), ("from_start", pa.int32()), ("from_end", pa.int32()), ("words", pa.binary())])
+def window_hashes(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
+    """(h, w, id, mark, at): every window of the wanted fingerprints (h, id, mark, start, until) with its hash."""
+    asked = wanted.groupBy("id", "mark").agg(F.collect_set(F.struct("h", "start", "until")).alias("asked"))
+    own = _keyed(docs).select(F.col("_id").alias("id"), F.col("_mark").alias("mark"), F.col("text").cast("string"))
+    kind = "h long, w long, id long, mark long, at int"
+    schema = pa.schema([("h", pa.int64()), ("w", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("at", pa.int32())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line_hashes = LineHashes()
         for batch in batches:
             for part in pieces(batch, 200):
-                rows = []
+                rows = [[] for _ in schema]
                 for i, m, text, asked in zip(*(part.column(k).to_pylist() if k != 2 else text_bytes(part.column(2)) for k in range(4))):
-                    words = text.split()
-                    rows += [(i, m, a["from_start"], a["from_end"], b" ".join(words[a["from_start"] : a["from_end"]])) for a in asked]
-                yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*rows))), schema=schema)
-
-    found = own.join(asked, ["from_id", "from_mark"]).select("from_id", "from_mark", "text", "asked").mapInArrow(cut, kind)
-    return found.dropDuplicates(["from_id", "from_mark", "from_start", "from_end"])
+                    h, start, until = (np.array([a[c] for a in asked], np.int64) for c in ("h", "start", "until"))
+                    n = until - start - least_words + 1
+                    at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    w = line_hashes.spans(line_hashes.sums(text.split()), at, at + least_words).view(np.int64)
+                    for k, values in enumerate((np.repeat(h, n), w, np.full(len(at), i), np.full(len(at), m), at)):
+                        rows[k].append(values)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(f.type.to_pandas_dtype())) for x, f in zip(rows, schema)], schema=schema)
 
-
-def verified(words: list[bytes], slices: list[dict], least: int) -> list[list[int]]:
-    """Word spans [start, end) that equal their sources for at least ``least`` words, united.
-
-    A slice without words is a span already compared.
-    """
-    spans = []
-    for s in slices:
-        start = s["start"]
-        if s["words"] is None:
-            spans.append([start, s["until"]])
-            continue
-        source = s["words"].split()
-        own = words[start : start + len(source)]
-        if own == source:
-            spans.append([start, start + len(own)])
-            continue
-        equal = np.fromiter(map(bytes.__eq__, own, source), bool, min(len(own), len(source)))
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], equal.astype(np.int8), [0]))))
-        spans += [[start + a, start + b] for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist())]
-    return united([s for s in spans if s[1] - s[0] >= least])
+    return own.join(asked, ["id", "mark"]).select("id", "mark", "text", "asked").mapInArrow(cut, kind)
 
 
 def without(text: bytes, spans: list[list[int]]) -> bytes:
@@ -253,34 +213,35 @@ def without(text: bytes, spans: list[list[int]]) -> bytes:
 def dedupe(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """Every row, all columns, with later repeats cut out of ``text`` and their word spans in ``removed``.
 
-    The first place of a passage, by doc_id and then by position, stays; a null id comes first.
-    A run is compared with the first place of its fingerprints: words beside it that equal only
-    a second place of them (fewer than a window) stay.
+    A word goes if it lies in ``least_words`` words that stand at an earlier place, by doc_id and
+    then by position; a null id comes first. Words count as the same where two hashes of 64 bits
+    are, that of the fingerprint and that of the words (inside one text the latter alone).
     Within a text a repeat may overlap what it repeats, so of a text with a short period one
     period stays. Rows equal in id and text are one place and are treated alike. Spans count words between
     ASCII white space. Texts of fewer than ``least_words`` words can't hold a passage and stay
     as they are, null and empty ones too. A ``removed`` column of the input is replaced.
 
-    Two joins move texts: one for the sources of matches, one for the cuts. A passage that any
-    share of the texts repeat is a hot key only where Spark can split the join.
+    Two joins move texts: one for the fingerprints whose places differ, one for the cuts. A passage
+    that any share of the texts repeat is a hot key only where Spark can split the join.
     """
-    window = least_words - line_words + 1
     prepare(docs)
     docs = docs.drop("removed")
     found = stored(fingerprints(docs, least_words, line_words), "winnowed")
-    lines = found.filter("until is null")
-    place = F.struct("id", "mark", "at")
-    firsts = lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
-    later = lines.join(firsts, "h").filter((F.col("id") != F.col("first.id")) | (F.col("mark") != F.col("first.mark")))
-    match = F.struct("at", F.col("first.id").alias("from_id"), F.col("first.mark").alias("from_mark"), F.col("first.at").alias("from_at"))
-    by_text = later.groupBy("id", "mark").agg(F.collect_set(match).alias("found"))
-    wanted = stored(runs(by_text, line_words, window), "repeat-runs")
-    on = ["from_id", "from_mark", "from_start", "from_end"]
-    slices = source_slices(docs, wanted.select(*on).distinct())
-    across = wanted.join(slices, on).select("id", "mark", "start", F.lit(None).cast("int").alias("until"), "words")
-    within = found.filter("until is not null").select("id", "mark", F.col("at").alias("start"), "until", F.lit(None).cast("binary").alias("words"))
-    cuts = across.unionByName(within).groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(
-        F.collect_list(F.struct("start", "until", "words")).alias("_slices"))
+    place, words = F.struct("id", "mark", "at"), F.struct("context", F.col("at") - F.col("start"), F.col("until") - F.col("start"))
+    lines = found.filter("h is not null")
+    groups = lines.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), (F.min(words) != F.max(words)).alias("mixed"))
+    shared = groups.filter("first != last").select("h", "first", "mixed")
+    met = stored(lines.join(shared, "h").filter(F.col("mixed") | (place != F.col("first"))).select("h", "id", "mark", "start", "until", "mixed"), "repeats")
+    windows = stored(window_hashes(docs, met.filter("mixed"), least_words), "repeat-windows")
+    firsts = windows.groupBy("h", "w").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("h", "w", "first")
+    later = windows.join(firsts, ["h", "w"]).filter(place != F.col("first"))
+    spans = [
+        later.select("id", "mark", F.col("at").alias("start"), (F.col("at") + least_words).alias("until")),
+        met.filter("not mixed").select("id", "mark", "start", "until"),
+        found.filter("h is null").select("id", "mark", "start", "until"),
+    ]
+    cuts = spans[0].unionByName(spans[1]).unionByName(spans[2]).groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(
+        F.collect_set(F.struct("start", "until")).alias("_slices"))
 
     columns = docs.columns
     number = columns.index("text")
@@ -295,11 +256,9 @@ def dedupe(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LI
                     texts = part.column(number).to_pylist()
                     for k, some in enumerate(slices):
                         if some:
-                            raw = texts[k].encode()
-                            spans = verified(raw.split(), some, least_words)
-                            if spans:
-                                texts[k] = without(raw, spans).decode()
-                                removed[k] = [{"start": a, "end": b} for a, b in spans]
+                            spans = united([[x["start"], x["until"]] for x in some])
+                            texts[k] = without(texts[k].encode(), spans).decode()
+                            removed[k] = [{"start": a, "end": b} for a, b in spans]
                     part = part.set_column(number, part.schema.field(number), pa.array(texts, part.schema.field(number).type))
                 arrays = [part.column(k) for k in range(len(columns))] + [pa.array(removed, spans_type)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "removed"])

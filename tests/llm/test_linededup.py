@@ -73,6 +73,25 @@ def test_planted_passages_go_whole(spark):
     assert got[99] == []
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_repeats_equal_brute_force(spark, seed):
+    """Earlier texts hold pieces of the passages, so many fingerprints have a first place that shares no passage."""
+    rng = random.Random(20 + seed)
+    passages = [words(rng, n) for n in (50, 52, 60, 75, 130)]
+    rows = corpus(seed)[4:]
+    for k in range(60):
+        passage = rng.choice(passages)
+        a = rng.randrange(26)
+        piece = passage[a : a + rng.randint(25, 60)] if k < 30 else passage
+        rows.append((200 + k, " ".join(words(rng, 30) + piece + words(rng, 40)), "en"))
+    x, own = words(rng, 80), words(rng, 30)
+    rows.append((300, " ".join(x[:60] + own + x[10:45] + own[::-1] + x), "en"))  # and inside one text
+    got = {r["doc_id"]: {p for s in r["removed"] for p in range(s["start"], s["end"])} for r in L.dedupe(frame(spark, rows).repartition(4)).collect()}
+    want = brute(rows, L.LEAST_WORDS)
+    for k, (i, _, _) in enumerate(rows):
+        assert got[i] == want[k], i
+
+
 def test_repeated_rows_and_long_texts(spark):
     rows = odd_documents()
     got = L.dedupe(frame(spark, rows)).collect()
