@@ -53,12 +53,35 @@ _SPELLED_ONE = re.compile(rf"(?i)\b(?:{_DIGIT})\b")
 _BRACKETED = re.compile(r"(?i)\s?(?:[\(\[\{<]\s?(at|@|dot|punkt|point|punto|\.)\s?[\)\]\}>])\s?")
 _SAID = re.compile(r"(?i)(?<![\w.%+-])[a-z0-9._%+-]+( at )[a-z0-9-]+(?: dot [a-z0-9-]+)*( dot )[a-z]{2,}\b")
 _DOT = re.compile(r"(?i) dot ")
+
+
+def _plain(c: str) -> str:
+    """What a character beyond ASCII becomes: nothing, ASCII characters, or itself."""
+    if c in INVISIBLE:
+        return ""
+    new = LOOK_ALIKES.get(c) or unicodedata.normalize("NFKC", c)
+    return new if new.isascii() else c
+
+
+def _rewritten() -> str:
+    """A character class of all that ``_plain`` changes, as ranges."""
+    ranges = []
+    for k in range(0x80, 0x110000):
+        if not 0xD800 <= k <= 0xDFFF and _plain(chr(k)) != chr(k):
+            if ranges and ranges[-1][1] == k - 1:
+                ranges[-1][1] = k
+            else:
+                ranges.append([k, k])
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]"
+
+
+# White space as Python's \s has it; the class of the gate's own engine is narrower.
+_SPACE = "[\x09-\x0d\x1c-\x20\x85\u1680\u2028\u2029]?"
 #: Texts without any of these have no disguise; the rest are normalised.
 DISGUISES = (
-    "[­​-‍⁠﻿Ͱ-ϿЀ-ԯ⁰-ₜ℀-⅏①-⓿！-～ı‐-–․∕"
-    "\U0001d400-\U0001d7ff]"
-    r"|(?i:[\(\[\{<]\s?(?:at|@|dot|punkt|point|punto|\.)\s?[\)\]\}>])|(?i: dot )"
-    rf"|(?i:(?:{_DIGIT})[ ,-]{{1,2}}(?:{_DIGIT})[ ,-]{{1,2}}(?:{_DIGIT}))"
+    _rewritten()
+    + rf"|(?i:[\(\[\{{<]{_SPACE}(?:at|@|dot|punkt|point|punto|\.){_SPACE}[\)\]\}}>])|(?i: dot )"
+    + rf"|(?i:(?:{_DIGIT})[ ,-]{{1,2}}(?:{_DIGIT})[ ,-]{{1,2}}(?:{_DIGIT}))"
 )
 
 
@@ -111,14 +134,7 @@ class Tape:
 def plain_characters(text: str) -> Tape:
     out, starts, ends = [], [], []
     for k, c in enumerate(text):
-        if c < "\x80":
-            new = c
-        elif c in INVISIBLE:
-            continue
-        else:
-            new = LOOK_ALIKES.get(c) or unicodedata.normalize("NFKC", c)
-            if not new.isascii():
-                new = c
+        new = c if c < "\x80" else _plain(c)
         out.append(new)
         starts += [k] * len(new)
         ends += [k + 1] * len(new)

@@ -70,5 +70,22 @@ def test_query_equals_brute_force(spark):
     assert sum(bool(r["spans"]) and not any(r[f"n_{k}"] for k in pii.KINDS) for r in got) == len(DISGUISED)
 
 
+def test_gate_equals_transducer():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    points = [chr(k) for k in range(0x80, 0x110000) if not 0xD800 <= k <= 0xDFFF]
+    let_in = pc.match_substring_regex(pa.array(points), pii.DISGUISES).to_pylist()
+    assert let_in == [pii.plain_characters(c).text != c for c in points]
+
+
+def test_single_disguises_are_found(spark):
+    texts = [f"card {s.join(['4111', '1111', '1111', '1111'])} end" for s in "\u00a0\u2009\u202f\u3000"]
+    texts += ["call +49\u00a0170\u00a0123\u00a04567 now", "mail john\ufe6bexample.com ok", "mail john@example\ufe52com ok", "ip 10.0.0.\u00b9 end", "mail \ufb01n(\x0bat\x0b)example.com", "mail john(\x85at)example.com"]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(frame(spark, [(k, t, "en") for k, t in enumerate(texts)])).collect()}
+    kinds = ["card"] * 4 + ["phone", "email", "email", "ip", "email", "email"]
+    assert [[(s["kind"], s["disguised"]) for s in got[k]] for k in range(len(texts))] == [[(kind, True)] for kind in kinds]
+
+
 def test_empty(spark):
     assert pii.digests(pii.personal_data(frame(spark, []))).count() == 0
