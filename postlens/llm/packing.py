@@ -12,9 +12,11 @@ from postlens.llm import tokens
 from postlens.llm.common import pieces, prepare, stored
 
 CAPACITY = 1024
-#: Bins a task may hand on to the next round, the emptiest first.
-HANDED_ON = 256
-#: Tasks whose handed-on bins are packed together in the next round.
+#: Pieces of a group, about; what a task holds at once.
+GROUP_PIECES = 20_000
+#: A bin goes on to the next round if its gap is more than this share of the capacity.
+LEAST_GAP = 1 / 64
+#: Groups become fewer by this factor from round to round, as long as they keep their size.
 FAN_IN = 32
 NEVER = 1 << 60
 
@@ -57,19 +59,16 @@ def sum_of_squares(sizes: list[int], capacity: int) -> list[int]:
 
 
 def _placed(items: list[tuple], capacity: int, part: int, base: int, last: bool) -> dict:
-    """Rows of one task's items (doc_id, piece, start, length, crc), packed from the longest down.
+    """Rows of one group's items (doc_id, piece, start, length, crc), packed from the longest down.
 
-    ``part`` numbers the tasks of a round, ``base`` those of all earlier rounds.
+    ``part`` numbers the groups of a round, ``base`` those of all earlier rounds.
     """
-    items.sort(key=lambda x: (-x[3], x[0] is not None, x[0] or 0, x[1]))
+    items.sort(key=lambda x: (-x[3], x[0] is not None, x[0] or 0, x[1], x[4]))
     bins = np.array(sum_of_squares([x[3] for x in items], capacity), np.int64)
     lengths = np.array([x[3] for x in items], np.int64)
     filled = np.bincount(bins, lengths, minlength=1).astype(np.int64)
     gaps = capacity - filled
-    handed = np.zeros(len(filled), bool)
-    if not last:
-        order = np.argsort(-gaps, kind="stable")[:HANDED_ON]
-        handed[order] = gaps[order] > 0
+    handed = (gaps > LEAST_GAP * capacity) & (not last)
     at = np.zeros(len(filled), np.int64)
     offsets = np.empty(len(items), np.int64)
     for k, (b, n) in enumerate(zip(bins.tolist(), lengths.tolist())):
@@ -89,10 +88,12 @@ def pack_documents(
 
     A document is its ids and the end id; only those longer than ``capacity`` are cut, into
     pieces of that length with the remainder first, so all but one piece of a document fill a
-    sequence by themselves. Each scan task packs its own remainders from the longest down. The
-    emptiest bins of a task, ``HANDED_ON`` at most, are packed anew together with those of
-    ``FAN_IN`` tasks, round by round, until one group is left: every round is a fraction of the
-    one before, and what a task holds is bounded. The texts are not shuffled.
+    pieces of that length with the remainder first, so all but one piece of a document fill a
+    sequence by themselves. The remainders are dealt by a hash of what they are to groups of about
+    ``GROUP_PIECES``, so each group has the corpus's mix of lengths however the table is laid out,
+    and packed from the longest down. All bins with a gap beyond ``LEAST_GAP`` are taken apart and
+    dealt anew with another hash, round by round, until one group is left or a round leaves more
+    than half of its pieces in such bins, when no mix fills them. The texts are not shuffled.
     Null texts are empty (one end id); repeated rows are packed each by itself; other columns
     are not read. An empty table gives no rows.
     """
@@ -114,32 +115,39 @@ def pack_documents(
                         n_full += 1
                         sequence = (part << 32) + (1 << 32) - n_full
                         full.append((doc_id, piece, start, capacity, zlib.crc32(raw[4 * start : 4 * (start + capacity)]), sequence, 0, False, part))
+                if len(items) > 5_000:
+                    heads = [(*x, None, None, True, part) for x in items]
+                    yield pa.RecordBatch.from_pydict(dict(zip(_PIECE.names, zip(*heads))), schema=_PIECE)
+                    items = []
                 if len(full) > 5_000:
                     yield pa.RecordBatch.from_pydict(dict(zip(_PIECE.names, zip(*full))), schema=_PIECE)
                     full = []
         if full:
             yield pa.RecordBatch.from_pydict(dict(zip(_PIECE.names, zip(*full))), schema=_PIECE)
         if items:
-            yield pa.RecordBatch.from_pydict(_placed(items, capacity, part, 0, False), schema=_PIECE)
+            heads = [(*x, None, None, True, part) for x in items]
+            yield pa.RecordBatch.from_pydict(dict(zip(_PIECE.names, zip(*heads))), schema=_PIECE)
 
     def later_round(base: int, last: bool):
         def again(rows: pa.Table) -> pa.Table:
             table = rows.to_pydict()
             items = list(zip(*(table[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32"))))
-            return pa.Table.from_pydict(_placed(items, capacity, table["part"][0] // FAN_IN, base, last), schema=_PIECE)
+            return pa.Table.from_pydict(_placed(items, capacity, table["part"][0], base, last), schema=_PIECE)
 
         return again
 
     rows = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(first_round, PIECE_SCHEMA), "packed")
-    kept, waiting = [rows.filter("not open")], rows.filter("open")
-    base = parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
-    while parts > 1:
-        parts = -(-parts // FAN_IN)
-        again = waiting.groupBy(F.expr(f"part div {FAN_IN}")).applyInArrow(later_round(base, parts == 1), PIECE_SCHEMA)
-        packed = stored(again, "packed")
-        kept.append(packed.filter("not open"))
-        waiting, base = packed.filter("open"), base + parts
-    out = waiting  # of a single task its own bins; else none are left open
-    for more in kept:
-        out = out.unionByName(more)
+    out, waiting = rows.filter("not open"), rows.filter("open")
+    base, left = rows.agg(F.max("part") + 1, F.count_if("open")).first()
+    base, groups, before, rounds = base or 0, left, None, 0
+    while left:
+        groups = max(-(-left // GROUP_PIECES), -(-groups // FAN_IN) if rounds else 1)
+        last = groups == 1 or before is not None and 2 * left > before
+        # A null id tells nothing of its row, whose place stands in for it.
+        identity = [F.coalesce("doc_id", F.monotonically_increasing_id()), F.col("start"), F.col("length"), F.col("ids_crc32")]
+        dealt = waiting.withColumn("part", F.pmod(F.xxhash64(F.lit(rounds), *identity), F.lit(groups)))
+        packed = stored(dealt.groupBy("part").applyInArrow(later_round(base, last), PIECE_SCHEMA), "packed")
+        out, waiting = out.unionByName(packed.filter("not open")), packed.filter("open")
+        base, before, rounds = base + groups, left, rounds + 1
+        left = 0 if last else waiting.count()
     return out.drop("open", "part")

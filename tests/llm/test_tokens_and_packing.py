@@ -122,5 +122,15 @@ def test_packing(spark, plain, monkeypatch):
     assert total <= -(-sum(w[3] for w in want) // 256) * 1.1 + 2
 
 
+def test_packing_of_a_table_sorted_by_length(spark, plain, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 500, raising=False)
+    long, short = "word " * 90, "word " * 60
+    capacity = len(ids_of(plain, long)) + len(ids_of(plain, short))
+    docs = frame(spark, [(k, long if k < 900 else short, "en") for k in range(1_800)]).repartitionByRange(2, "doc_id")
+    got = packing.pack_documents(docs, capacity=capacity)
+    assert got.count() == 1_800 and got.select("sequence_id").distinct().count() <= 900 * 1.02
+    assert got.groupBy("sequence_id").sum("length").filter(f"`sum(length)` > {capacity}").count() == 0
+
+
 def test_packing_empty(spark):
     assert packing.pack_documents(frame(spark, [])).count() == 0
