@@ -27,6 +27,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return saved_copy(df, label)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def remainder(doc_id: Column, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo ``parts``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlens.llm import decontaminate, language, linededup, lm, packing, pii, quality, simhash, token_files, toxicity
+from postlens.llm import decontaminate, language, linededup, lm, packing, pii, quality, sharding, simhash, token_files, toxicity
 from postlens.llm.common import read, remainder
 from postlens.session import scratch_path
 
@@ -109,3 +109,15 @@ def op8(spark, folder):
 @query("op10_pii")
 def op10(spark, folder):
     return pii.digests(pii.personal_data(read(spark, folder, "documents")))
+
+
+SHARDS = 40
+ROW_BYTES = 16
+
+
+@query("op11_sharding")
+def op11(spark, folder):
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = read(spark, folder, "documents").select("doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    dealt = sharding.uniform_shards(rows, SHARDS)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
