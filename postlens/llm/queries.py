@@ -4,8 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlens.llm import decontaminate, language, linededup, lm, packing, pii, quality, sharding, simhash, token_files, toxicity
-from postlens.llm.common import read, remainder
+from postlens.llm import decontaminate, language, linededup, lm, packing, pii, quality, sharding, simhash, token_files, toxicity, trie
+from postlens.llm.common import read, remainder, stored
 from postlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,40 @@ def op11(spark, folder):
     rows = read(spark, folder, "documents").select("doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     dealt = sharding.uniform_shards(rows, SHARDS)
     return dealt.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+LONGEST_OPENING = 5
+
+
+@query("op12_conversation_trie", """
+WITH ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+plan AS (SELECT conv_id, conv_id - conv_id % 100 AS source, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+    lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END), 4294967295) % 6 AS h FROM ids),
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS mark, length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id AS source, count(*) AS n FROM turns GROUP BY 1),
+rebuilt AS (SELECT p.conv_id, t.pos, t.mark, t.chars FROM plan p JOIN turns t ON t.conv_id = p.source WHERE t.pos <= p.h
+    UNION ALL SELECT p.conv_id, t.pos - p.h + least(p.h, coalesce(n, 0)), t.mark, t.chars FROM plan p LEFT JOIN sizes USING (source) JOIN turns t ON t.conv_id = p.conv_id WHERE t.pos > p.h),
+paths AS (SELECT conv_id, string_agg(mark, '' ORDER BY pos) OVER (PARTITION BY conv_id ORDER BY pos) AS key, chars FROM rebuilt UNION ALL SELECT conv_id, '', 0 FROM ids),
+nodes AS (SELECT key, length(key) // 32 AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars FROM paths GROUP BY key),
+above AS (SELECT left(key, length(key) - 32) AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+whole AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN above USING (key)),
+up AS (SELECT left(key, 32 * i) AS key, n_children, (n_convs - 1) * chars AS saved FROM whole, unnest(range(0, depth + 1)) AS u(i)),
+sums AS (SELECT key, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved FROM up GROUP BY key),
+last AS (SELECT conv_id, max_by(key, length(key)) AS key FROM paths GROUP BY conv_id),
+ends AS (SELECT key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS listed FROM last GROUP BY key)
+SELECT w.conv_id, w.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(listed, '')) AS ends_sha256
+FROM whole w JOIN sums USING (key) LEFT JOIN ends USING (key) LEFT JOIN nodes p ON w.depth > 0 AND p.key = left(w.key, length(w.key) - 32)""")
+def op12(spark, folder):
+    turns = stored(trie.ordered_turns(read(spark, folder, "conversations")), "trie-turns")
+    conversations = turns.filter("pos = 1").select("conv_id")
+    c = F.col("conv_id")
+    opening = F.crc32(c.cast("string")) % (LONGEST_OPENING + 1)
+    rebuilt = stored(trie.with_openings(turns, conversations, c - c % 100, opening, LONGEST_OPENING), "trie-rebuilt")
+    found = trie.prefix_trie(rebuilt, conversations)
+    nodes = found.nodes.join(trie.list_digests(found.ends), "node", "left")
+    return nodes.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"),
+        F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )
