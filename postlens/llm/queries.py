@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlens.llm import decontaminate, language, linededup, lm, packing, pii, quality, sharding, simhash, token_files, toxicity, trie
+from postlens.llm import decontaminate, language, linededup, lm, packing, pii, quality, ranked, sharding, simhash, token_files, toxicity, trie
 from postlens.llm.common import read, remainder, stored
 from postlens.session import scratch_path
 
@@ -158,3 +158,19 @@ def op12(spark, folder):
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"),
         F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
     )
+
+
+@query("op13_ranked_search", """
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM documents),
+item AS (SELECT row_number() OVER () AS i, item_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+total AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM doc WHERE len(w) > 0),
+asked AS (SELECT i, term, count(*) AS repeats FROM (SELECT i, unnest(w) AS term FROM item) GROUP BY i, term),
+posting AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM doc) SEMI JOIN asked USING (term) GROUP BY ALL),
+weighed AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM posting, total GROUP BY term, n_docs),
+part AS (SELECT r, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))) AS value FROM posting JOIN weighed USING (term), total),
+scored AS (SELECT i, r, doc_id, sum(repeats * value)::BIGINT AS score FROM asked JOIN part USING (term) GROUP BY i, r, doc_id HAVING sum(repeats * value) > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM scored) JOIN item USING (i) WHERE rank <= 20""")
+def op13(spark, folder):
+    return ranked.search(ranked.build_index(read(spark, folder, "documents")), read(spark, folder, "benchmark"))
