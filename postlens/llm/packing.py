@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from postlens.llm import tokens
-from postlens.llm.common import pieces, prepare, stored
+from postlens.llm.common import prepare, stored
 
 CAPACITY = 1024
 #: Pieces of a group, about; what a task holds at once.
@@ -88,7 +88,6 @@ def pack_documents(
 
     A document is its ids and the end id; only those longer than ``capacity`` are cut, into
     pieces of that length with the remainder first, so all but one piece of a document fill a
-    pieces of that length with the remainder first, so all but one piece of a document fill a
     sequence by themselves. The remainders are dealt by a hash of what they are to groups of about
     ``GROUP_PIECES``, so each group has the corpus's mix of lengths however the table is laid out,
     and packed from the longest down. All bins with a gap beyond ``LEAST_GAP`` are taken apart and
@@ -104,8 +103,8 @@ def pack_documents(
         part, known, end = TaskContext.get().partitionId(), tokens.encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         items, full, n_full = [], [], 0
         for batch in batches:
-            for some in pieces(batch, 500):
-                for doc_id, raw in zip(some.column(0).to_pylist(), known.encode([t or "" for t in some.column(1).to_pylist()])):
+            for some in tokens.batches_of_bytes(batch, 1):
+                for doc_id, raw in zip(some.column(0).to_pylist(), known.encode(some.column(1))):
                     raw += end
                     total = len(raw) // 4
                     head = total % capacity or capacity

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from postlens.llm import tokens
-from postlens.llm.common import pieces, prepare
+from postlens.llm.common import prepare
 
 BLOCK_IDS = 65_536
 ZSTD_LEVEL = 3
@@ -95,9 +95,9 @@ def write_token_blocks(
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _BLOCK)], schema=_BLOCK)
 
         for batch in batches:
-            for part in pieces(batch, 500):
+            for part in tokens.batches_of_bytes(batch, 1):
                 ids = part.column(0).to_pylist()
-                for doc_id, raw in zip(ids, known.encode([t or "" for t in part.column(1).to_pylist()])):
+                for doc_id, raw in zip(ids, known.encode(part.column(1))):
                     raw += end
                     done, total = 0, len(raw) // 4
                     while done < total:

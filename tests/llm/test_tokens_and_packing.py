@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from postlens.llm import packing, token_files, tokens
@@ -29,8 +30,8 @@ def test_lookup_equals_tokenizer(plain):
     rng = random.Random(3)
     parts = ["a", "b c", "\n", " ", "'s", "1", "é", "<|endoftext|>", "\t", "!", "\x1c", "don't", "\n\n", "漢字", "\x85", "Word,", "x.\nY"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3_000)]
-    known = tokens.Encoder(tokens.default_path())
-    for text, raw in zip(texts, known.encode(texts)):
+    known = tokens.encoder(tokens.default_path())
+    for text, raw in zip(texts, known.encode(pa.array(texts))):
         assert np.frombuffer(raw, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
