@@ -93,8 +93,8 @@ TOXIC_FROM = 0.3
 
 def toxicity_model(spark: SparkSession, folder: str) -> toxicity.Model:
     """Learned from the labelled documents that are not held out."""
-    known = read(spark, folder, "labels").filter(remainder(F.col("doc_id"), 4) != 2).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    return toxicity.learn(read(spark, folder, "documents").select("doc_id", "text").join(known, "doc_id"))
+    known = read(spark, folder, "labels").filter(remainder(F.col("doc_id"), 4) != 2).select("doc_id", "toxic")
+    return toxicity.learn(toxicity.labelled_texts(read(spark, folder, "documents"), known))
 
 
 @query("op8_toxicity")
