@@ -236,87 +236,85 @@ class LexiconTable:
         return Lexicon({r["key"]: r["weight"] for r in rows if not r["stem"]}, {r["key"]: r["weight"] for r in rows if r["stem"]})
 
 
-@dataclass
-class Counts:
-    """By fold k of the texts: ``words`` (word, tk, nk), how many toxic and other texts have the word;
-    ``places`` (word, before, after, ck), the two words on either side in toxic texts; ``toxic`` and ``other`` texts."""
+def fold_of() -> Column:
+    return F.pmod(F.xxhash64("digest"), F.lit(FOLDS))
 
-    words: DataFrame
-    places: DataFrame
-    toxic: list[int]
-    other: list[int]
 
+#: The sets of folds that a lexicon is learned from: all, and all but one of them.
+VARIANTS = [list(range(FOLDS))] + [[k for k in range(FOLDS) if k != out] for out in range(FOLDS)]
 
-def fold_of() -> Column:
-    return F.pmod(F.xxhash64("digest"), F.lit(FOLDS))
 
+def _by_variant(df: DataFrame, *letters: str, **sizes: list[int]) -> DataFrame:
+    """A row for each variant, its number in ``variant``, with the sums of its folds' columns and sizes."""
+    def one(number: int, folds: list[int]) -> Column:
+        sums = [reduce(Column.__add__, [F.col(f"{letter}{k}") for k in folds]).alias(letter) for letter in letters]
+        return F.struct(F.lit(number).alias("variant"), *sums, *[F.lit(sum(of[k] for k in folds)).alias(name) for name, of in sizes.items()])
+
+    kept = [c for c in df.columns if not re.fullmatch(f"[{''.join(letters)}][0-9]+", c)]
+    every = F.explode(F.array(*[one(k, folds) for k, folds in enumerate(VARIANTS)])).alias("by")
+    return df.select(*kept, every).select(*kept, "by.*").filter(" + ".join(letters) + " > 0")
 
-def _sum(letter: str, folds: list[int]) -> Column:
-    return reduce(Column.__add__, [F.col(f"{letter}{k}") for k in folds])
 
+def _weight() -> Column:
+    """The log-ratio of a word's shares of toxic and of other texts; columns t, n, toxic, other."""
+    return F.log((F.col("t") + 0.5) / (F.col("toxic") + 1.0)) - F.log((F.col("n") + 0.5) / (F.col("other") + 1.0))
 
-def _favoured(counts: Counts, folds: list[int], t: Column, n: Column) -> tuple[Column, Column]:
-    """Whether t toxic and n other texts speak for a word, and its weight."""
-    toxic, other = sum(counts.toxic[k] for k in folds) + 1.0, sum(counts.other[k] for k in folds) + 1.0
-    weight = F.log((t + 0.5) / toxic) - F.log((n + 0.5) / other)
-    part, both = toxic / (toxic + other), t + n
-    evidence = 2 * (t * F.log(t / (both * part)) + F.when(n > 0, n * F.log(n / (both * (1 - part)))).otherwise(0.0))
-    return (t >= LEAST_CONTEXTS) & (weight >= LEAST_WEIGHT) & (evidence >= LEAST_EVIDENCE), weight
 
+def _favoured() -> Column:
+    """Whether t toxic and n other texts are enough for an entry."""
+    t, n, toxic, other = F.col("t"), F.col("n"), F.col("toxic") + 1.0, F.col("other") + 1.0
+    expected = (t + n) / (toxic + other)
+    evidence = 2 * (t * F.log(t / (expected * toxic)) + F.when(n > 0, n * F.log(n / (expected * other))).otherwise(0.0))
+    return (t >= LEAST_CONTEXTS) & (_weight() >= LEAST_WEIGHT) & (evidence >= LEAST_EVIDENCE)
 
-def _fold_sets() -> list[list[int]]:
-    """All folds, and all but one of them."""
-    every = list(range(FOLDS))
-    return [every] + [[k for k in every if k != out] for out in every]
 
+def learn_lexicons(labelled: DataFrame) -> list[LexiconTable]:
+    """From ``distinct_texts``: words and stems that toxic texts favour, for each of ``VARIANTS``.
 
-def count_words(labelled: DataFrame) -> Counts:
-    """From ``distinct_texts``: counts over all labelled texts, each different one once, in two scans."""
+    Counts cover all labelled texts, each different one once. What a word owes to near copies is
+    taken off, too: all its places in toxic texts that share the most frequent two words before it
+    or the most frequent two after it count as one. A stem speaks for words that aren't in the
+    lexicon, and is judged by what such words of the training texts show.
+    """
     folds = range(FOLDS)
     rows = labelled.select("toxic", fold_of().alias("fold"), F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+").alias("words"))
     own = [F.coalesce(F.sum(F.when(F.col("fold") == k, value)), F.lit(0)).alias(f"{letter}{k}") for letter, value in (("t", F.col("toxic")), ("n", 1 - F.col("toxic"))) for k in folds]
-    words = stored(rows.select("toxic", "fold", F.explode(F.array_distinct("words")).alias("word")).filter("word <> ''").groupBy("word").agg(*own), "toxic-words")
+    counts = stored(rows.select("toxic", "fold", F.explode(F.array_distinct("words")).alias("word")).filter("word <> ''").groupBy("word").agg(*own), "toxic-words")
     size = rows.agg(*own).first()
-    counts = Counts(words, words, [size[f"t{k}"] for k in folds], [size[f"n{k}"] for k in folds])
-    likely = stored(words.filter(reduce(Column.__or__, [_favoured(counts, some, _sum("t", some), _sum("n", some))[0] for some in _fold_sets()])).select("word"), "toxic-likely")
+    sizes = {"toxic": [size[f"t{k}"] for k in folds], "other": [size[f"n{k}"] for k in folds]}
+    likely = stored(_by_variant(counts, "t", "n", **sizes).filter(_favoured()), "toxic-likely")
+
     at = lambda k: F.coalesce(F.get("words", k), F.lit(""))
     around = F.transform("words", lambda w, k: F.struct(w.alias("word"), F.concat_ws(" ", at(k - 2), at(k - 1)).alias("before"), F.concat_ws(" ", at(k + 1), at(k + 2)).alias("after")))
     places = rows.filter("toxic = 1").select("fold", F.explode(around).alias("p")).select("fold", "p.*")
     seen = [F.count_if(F.col("fold") == k).alias(f"c{k}") for k in folds]
-    counts.places = stored(BloomFilter.of(likely, "word").keep(places, "word").groupBy("word", "before", "after").agg(*seen), "toxic-places")
-    return counts
-
-
-def learn_lexicon(counts: Counts, without: int | None = None) -> LexiconTable:
-    """Words and stems that toxic texts favour, from all folds or all but one.
-
-    What a word owes to near copies is taken off: all its places in toxic texts that share the most
-    frequent two words before it or the most frequent two after it count as one. A stem speaks for words
-    that aren't in the lexicon, and is judged by what such words of the training texts show.
-    """
-    folds = [k for k in range(FOLDS) if k != without]
-    all_words = counts.words.select("word", _sum("t", folds).alias("t"), _sum("n", folds).alias("n"))
-    favoured, weight = _favoured(counts, folds, F.col("t"), F.col("n"))
-    places = counts.places.select("word", "before", "after", _sum("c", folds).alias("c"))
+    places = BloomFilter.of(likely, "word").keep(places, "word").groupBy("word", "before", "after").agg(*seen)
+    places = stored(_by_variant(places, "c"), "toxic-places")
 
     def commonest(side: str) -> DataFrame:
-        sums = places.groupBy("word", side).agg(F.sum("c").alias("c"))
-        return sums.groupBy("word").agg(F.max(F.struct("c", side))[side].alias(f"top_{side}"))
-
-    others = places.join(commonest("before"), "word").join(commonest("after"), "word").filter("before <> top_before and after <> top_after")
-    varied = others.groupBy("word").agg((F.sum("c") + 1).alias("seen"))
-    likely = all_words.filter(favoured).join(varied, "word").withColumn("t", F.least("t", "seen"))
-    entries = stored(likely.filter(favoured).select("word", weight.alias("weight")), "toxic-entries")
-    table = entries.select(F.col("word").alias("key"), F.lit(False).alias("stem"), "weight")
-    rest = all_words.join(entries.select("word"), "word", "left_anti")
-    for length in STEM_LENGTHS:
-        stem = F.substring("word", 1, length).alias("stem")
-        shared = entries.filter(F.length("word") > length).groupBy(stem).agg(F.count("*").alias("k")).filter(F.col("k") >= LEAST_STEM_WORDS)
-        good = rest.groupBy(stem).agg(F.sum("t").alias("t"), F.sum("n").alias("n")).join(shared, "stem").filter(favoured)
-        table = table.unionByName(good.select(F.col("stem").alias("key"), F.lit(True).alias("stem"), weight.alias("weight")))
-    kept = stored(table, "toxic-lexicon")
-    files = kept.inputFiles()
-    return LexiconTable(kept, stored_bytes(kept.sparkSession, files[0].rsplit("/", 1)[0]) if files else 0)
+        sums = places.groupBy("variant", "word", side).agg(F.sum("c").alias("c"))
+        return sums.groupBy("variant", "word").agg(F.max(F.struct("c", side))[side].alias(f"top_{side}"))
+
+    key = ["variant", "word"]
+    others = places.join(commonest("before"), key).join(commonest("after"), key).filter("before <> top_before and after <> top_after")
+    varied = others.groupBy(*key).agg((F.sum("c") + 1).alias("seen"))
+    entries = stored(likely.join(varied, key).withColumn("t", F.least("t", "seen")).filter(_favoured()).select(*key, _weight().alias("weight")), "toxic-entries")
+
+    def stems(least: int) -> Column:
+        """The beginnings of a word with ``least`` more letters after them."""
+        return F.explode(F.array_compact(F.array(*[F.when(F.length("word") >= k + least, F.substring("word", 1, k)) for k in STEM_LENGTHS]))).alias("stem")
+
+    shared = stored(entries.select("variant", stems(1)).groupBy("variant", "stem").agg(F.count("*").alias("k")).filter(F.col("k") >= LEAST_STEM_WORDS).drop("k"), "toxic-stems")
+    like = BloomFilter.of(shared, "stem").keep(counts.select("*", stems(0)), "stem")
+    rest = _by_variant(like, "t", "n").join(shared, ["variant", "stem"], "left_semi").join(entries, key, "left_anti")
+    spark = labelled.sparkSession
+    known = spark.createDataFrame([(k, *(sum(of[f] for f in folds) for of in sizes.values())) for k, folds in enumerate(VARIANTS)], "variant int, toxic long, other long")
+    good = rest.groupBy("variant", "stem").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).join(F.broadcast(known), "variant").filter(_favoured())
+    table = entries.select("variant", F.col("word").alias("key"), F.lit(False).alias("stem"), "weight")
+    table = stored(table.unionByName(good.select("variant", F.col("stem").alias("key"), F.lit(True).alias("stem"), _weight().alias("weight"))), "toxic-lexicon")
+    files = table.inputFiles()
+    held = stored_bytes(spark, files[0].rsplit("/", 1)[0]) if files else 0
+    return [LexiconTable(table.filter(F.col("variant") == k).drop("variant"), held) for k in range(len(VARIANTS))]
 
 
 def with_hits(docs: DataFrame, table: LexiconTable) -> tuple[DataFrame, str]:
@@ -381,14 +379,14 @@ def learn(texts_with_labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     that the texts of each fold get from a lexicon of the other folds.
     """
     prepare(texts_with_labels)
-    counts = count_words(texts_with_labels)
+    lexicons = learn_lexicons(texts_with_labels)
     sample = stored(texts_with_labels.withColumn("rank", F.xxhash64("digest")).orderBy("rank").limit(fit_rows), "toxic-sample")
     sums = []
     for fold in range(FOLDS):
-        others = learn_lexicon(counts, fold)
+        others = lexicons[1 + fold]
         sums.append(channel_sums(sample.filter(fold_of() == fold), others.local(), others, "rank", "toxic"))
-    rows = reduce(DataFrame.unionByName, sums).orderBy("rank").toPandas()
-    table = learn_lexicon(counts)
+    rows = reduce(DataFrame.unionByName, sums).toPandas().sort_values("rank")
+    table = lexicons[0]
     if not len(rows):
         return Model(table, np.concatenate(([-3.0], np.zeros(2 * len(CHANNELS)))))
     return Model(table, fit_logistic(features(rows[list(CHANNELS)].to_numpy()), rows["toxic"].to_numpy(float)))

@@ -142,14 +142,14 @@ def test_copies_do_not_change_the_lexicon(spark):
     copies = [(5_000 + k, " ".join(text), 1) for k in range(5_000)] + [(20_000 + k, t, 1) for k, t in enumerate(near)]
 
     def learned(rows):
-        table = toxicity.learn_lexicon(toxicity.count_words(toxicity.distinct_texts(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))))
+        table = toxicity.learn_lexicons(toxicity.distinct_texts(spark.createDataFrame(rows, "doc_id long, text string, toxic int")))[0]
         return set(table.local().words)
 
     assert learned(rows) == learned(rows + copies) == {"you", "moron"}
 
 
 def test_large_lexicon_meets_texts_in_a_join(spark, monkeypatch):
-    table = toxicity.learn_lexicon(toxicity.count_words(toxicity.distinct_texts(labelled(spark))))
+    table = toxicity.learn_lexicons(toxicity.distinct_texts(labelled(spark)))[0]
     lexicon = table.local()
     assert lexicon.stems
     docs = frame(spark, [*odd_documents(), (900, "such a moron, you tocaxnew", "en"), (901, "kill you all", "en")], ["row", "hits"])
@@ -167,7 +167,7 @@ def test_large_lexicon_meets_texts_in_a_join(spark, monkeypatch):
 def test_clean_documents_keeps_rows_as_they_are(spark):
     docs = frame(spark, [*odd_documents(), (900, "you moron", "en"), (900, "you moron", "en")], ["row", "score"])
     weights = np.concatenate(([-3.0], np.full(2 * len(toxicity.CHANNELS), 2.0)))
-    model = toxicity.Model(toxicity.learn_lexicon(toxicity.count_words(toxicity.distinct_texts(labelled(spark)))), weights)
+    model = toxicity.Model(toxicity.learn_lexicons(toxicity.distinct_texts(labelled(spark)))[0], weights)
     kept = toxicity.clean_documents(docs, model, 0.3)
     assert kept.dtypes == docs.dtypes
     assert sorted(map(repr, kept.collect())) == sorted(repr(r) for r in docs.collect() if r["doc_id"] != 900)
