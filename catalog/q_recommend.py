@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.views import V2_LISTS_SQL, V2_SQL, V6_SQL, V7_SQL, pick, table, v2_skill_lists, v6_items, v6_queries, v7, with_ctes
-from postlens.operators import recommend as R
+from postlens.operators import cells as C, recommend as R
 from postlens.plans.profiles import profile_texts
 from postlens.session import saved_copy
 
@@ -36,7 +36,7 @@ def _(spark, folder):
     return hits.withColumn("score", F.round("score", 6))
 
 
-@query("c05_mixed_filters", """
+MIXED_SQL = """
 WITH items AS (SELECT vec_id AS id, embedding, ['Data AI', 'Backend', 'Data Ops'][label % 3 + 1] AS duty, vec_id % 4 AS career, label % 3 AS degree,
   ['c, java', 'go', 'Python , c', 'rust'][vec_id % 4 + 1] AS it_language FROM embeddings),
 requests AS (SELECT vec_id AS query_id, embedding AS vector, ['data', '', 'BACK', NULL][vec_id % 4 + 1] AS duty, vec_id % 4 AS career, CAST(vec_id % 2 AS INTEGER) AS degree,
@@ -44,8 +44,11 @@ requests AS (SELECT vec_id AS query_id, embedding AS vector, ['data', '', 'BACK'
 scored AS (SELECT query_id, id, round(list_cosine_similarity(i.embedding::DOUBLE[], r.vector::DOUBLE[]), 9) AS score FROM items i, requests r
   WHERE (coalesce(r.duty, '') = '' OR contains(lower(i.duty), lower(r.duty))) AND i.career = r.career AND (r.degree = 0 OR i.degree = r.degree)
     AND (len(r.it_language) = 0 OR list_has_any(regexp_split_to_array(lower(i.it_language), '\\s*,\\s*'), r.it_language)))
-SELECT query_id, id, round(score, 6) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS place FROM scored) WHERE place <= 5""")
-def _(spark, folder):
+SELECT query_id, id, round(score, 6) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS place FROM scored) WHERE place <= 5"""
+
+
+def mixed_requests(spark, folder):
+    """Items and requests with metadata for every kind of filter, and the condition."""
     vectors = table(spark, folder, "embeddings")
     number, label = F.col("vec_id"), F.col("label")
     items = vectors.select(
@@ -56,7 +59,33 @@ def _(spark, folder):
         number.alias("query_id"), F.col("embedding").alias("vector"), pick(number % 4, ("data", "", "BACK", None)).alias("duty"),
         (number % 4).alias("career"), (number % 2).cast("int").alias("degree"), F.get(wanted, (number % 3).cast("int")).alias("it_language"))
     match = R.matches_filters(equal=["career"], contains=["duty"], optional=["degree"], overlap=["it_language"])
-    return R.filtered_vector_search(items, requests, match, block=7).withColumn("score", F.round("score", 6))
+    return items, requests, match
+
+
+@query("c05_mixed_filters", MIXED_SQL)
+def _(spark, folder):
+    return R.filtered_vector_search(*mixed_requests(spark, folder), block=7).withColumn("score", F.round("score", 6))
+
+
+@query("c05_cell_search_exact", MIXED_SQL)
+def _(spark, folder):
+    items, requests, match = mixed_requests(spark, folder)
+    return C.cell_search(C.build_cells(items), requests, match, exact=True).withColumn("score", F.round("score", 6))
+
+
+@query("c05_cell_search_recall", """
+SELECT count(*) AS requests, least(count(*), 1) * 5 AS found, true AS reached FROM embeddings WHERE vec_id % 100 = 0""")
+def _(spark, folder):
+    """Recall at 5 of the approximate search, against all rows, for the requests whose id is divisible by 100."""
+    vectors = table(spark, folder, "embeddings")
+    items = vectors.select(F.col("vec_id").alias("id"), "embedding")
+    requests = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    index = C.build_cells(items)
+    near = C.cell_search(index, requests, R.matches_filters(), probes=C.probes_for(index))
+    exact = R.filtered_vector_search(items, requests, R.matches_filters())
+    both = exact.select("query_id", "id").join(near.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    each = both.groupBy("query_id").agg(F.sum("hit").alias("hits"), F.count("*").alias("n"))
+    return each.agg(F.count("*").alias("requests"), F.max("n").alias("found"), (F.sum("hits") >= 0.9 * F.sum("n")).alias("reached"))
 
 
 @query("c05_single_request", """
