@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from catalog.views import V2_LISTS_SQL, V2_SQL, V6_SQL, V7_SQL, pick, table, v2_skill_lists, v6_items, v6_queries, v7, with_ctes
+from catalog.views import V2_LISTS_SQL, V2_SQL, V6_SQL, V7_SQL, pick, table, v2_rows, v2_skill_lists, v6_items, v6_queries, v7, with_ctes
 from postlens.operators import cells as C, recommend as R
 from postlens.plans.profiles import profile_texts
 from postlens.session import saved_copy
@@ -30,6 +30,18 @@ def _(spark, folder):
     return best.withColumn("score", F.round("score", 6))
 
 
+@query("c01_recommend_to_customers", with_ctes(V2_SQL, V2_LISTS_SQL, """own AS (SELECT DISTINCT o_custkey AS profile_id, skill FROM v2 JOIN orders ON o_orderkey = id)""",
+    TFIDF_SQL[:TFIDF_SQL.index(",\nevery AS")], body="""
+SELECT profile_id, id, round(score, 6) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, id) AS INTEGER) AS place FROM best) WHERE place <= 10"""))
+def _(spark, folder):
+    """Every customer with orders is a profile, of the skills in its orders; each posting shares a term with each."""
+    rows = saved_copy(v2_rows(spark, folder).select("id", "skill"), "skill-rows")
+    postings = saved_copy(rows.groupBy("id").agg(F.array_join(F.collect_set("skill"), " ").alias("skills")), "postings")
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("profile_id"))
+    own = rows.join(orders, "id").groupBy("profile_id").agg(F.array_join(F.collect_set("skill"), " ").alias("skills"))
+    return R.recommend_postings_tfidf(postings, own).withColumn("score", F.round("score", 6))
+
+
 @query("c05_filtered_vector_search", with_ctes(V6_SQL, body="SELECT query_id, id, round(score, 6) AS score, place FROM hits"))
 def _(spark, folder):
     hits = R.filtered_vector_search(v6_items(spark, folder), v6_queries(spark, folder), R.matches_filters(equal=["label"]))

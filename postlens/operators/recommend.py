@@ -7,11 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlens import constants as K
 from postlens.functions.lists import bind, overlaps_list
-from postlens.functions.lookup import MAX_ENTRIES, Lookup, bounded_lookup
 from postlens.functions.text import matches_ignore_case
+from postlens.operators import tfidf
 from postlens.operators.joins import optional_equality
 from postlens.operators.sets import first_per_key
-from postlens.session import saved_copy
 
 
 def _term_counts(text: str, pattern: str, stop_words: Sequence[str]) -> Column:
@@ -30,12 +29,9 @@ def _term_counts(text: str, pattern: str, stop_words: Sequence[str]) -> Column:
     return bind(F.sort_array(terms), runs)
 
 
-MAX_PROFILES = 500
-
-
 def recommend_postings_tfidf(
     postings: DataFrame, profiles: DataFrame, k: int = 10, stop_words: Sequence[str] = (),
-    pattern: str = K.TERM_PATTERN, digits: int = 9, max_profiles: int = MAX_PROFILES, max_entries: int = MAX_ENTRIES,
+    pattern: str = K.TERM_PATTERN, digits: int = 9, index: tfidf.TfidfIndex | None = None,
 ) -> DataFrame:
     """The k postings most like each profile by TF-IDF cosine over skill texts.
 
@@ -46,41 +42,13 @@ def recommend_postings_tfidf(
     are fewer than k the lowest other ids follow with score 0. Scores are rounded to
     ``digits`` before ranking, so equal texts tie whatever order their sums were added in.
 
-    ``postings`` is read twice, for the term statistics and for the scores; give a stored table.
-    Few profiles and a bounded vocabulary are scored inside each posting's row: the only
-    shuffle is of the k best rows per profile and partition. Otherwise terms are joined.
+    There is one way for any number of profiles and terms, see ``tfidf``. An index of the same
+    postings, ``tfidf_index``, may be given to be used again.
     """
-    docs = postings.select("id", _term_counts("skills", pattern, stop_words).alias("terms"))
-    seen = docs.select(F.explode_outer("terms.term").alias("term"), "id").filter(F.col("term").isNotNull())
-    # Written once: a row per term of the vocabulary.
-    frequency = saved_copy(seen.groupBy("term").agg(F.count("*").alias("df")), "vocabulary")
-    n = postings.agg((F.count("*") + 2).cast("double")).scalar()
-    idf = saved_copy(frequency.select(
-        "term", (F.log(n / (F.col("df") + 1)) + 1).alias("idf"), (F.log(n / (F.col("df") + 2)) + 1).alias("idf_own"),
-    ), "idf")
-
-    wanted = profiles.select(
-        "profile_id", F.inline_outer(_term_counts("skills", pattern, stop_words))
-    ).filter(F.col("term").isNotNull()).withColumnRenamed("tf", "ptf")
-    own = wanted.join(idf.select("term", "idf_own"), "term", "left").withColumn(
-        "idf_own", F.coalesce("idf_own", F.log(n / 2) + 1)
-    )
-    norms = own.groupBy("profile_id").agg(F.sqrt(F.sum(F.pow(F.col("ptf") * F.col("idf_own"), 2))).alias("pnorm"))
-    weights = saved_copy(
-        own.join(norms, "profile_id").select("profile_id", "term", (F.col("ptf") * F.col("idf_own") / F.col("pnorm")).alias("weight")),
-        "weights",
-    )
-
-    terms = loads = None
-    ids = [r[0] for r in weights.select("profile_id").distinct().limit(max_profiles + 1).collect()]
-    if len(ids) <= max_profiles:
-        loads = bounded_lookup(_dense_weights(weights, ids), max_entries)
-    if loads:
-        terms = bounded_lookup(idf.select(F.col("term").alias("key"), F.struct("idf", "idf_own").alias("value")), max_entries)
-    scores = _scores_in_row(docs, terms, loads, ids) if terms else _scores_by_join(docs, idf, weights)
-    scores = scores.withColumn("score", F.round("score", digits))
-    order = [F.desc("score"), F.asc("id")]
-    best = first_per_key(scores, ["profile_id"], order, k)
+    index = index or tfidf_index(postings, stop_words, pattern)
+    weights = tfidf.profile_weights(index, profiles.select("profile_id", _term_counts("skills", pattern, stop_words).alias("terms")))
+    scores = tfidf.best_postings(index, weights, k, digits)
+    best = first_per_key(scores, ["profile_id"], [F.desc("score"), F.asc("id")], k)
 
     # A profile with c < k scored ids needs k - c others: they are among the k lowest ids.
     lowest = postings.select("id").orderBy("id").limit(k).agg(F.sort_array(F.collect_list("id")).alias("ids"))
@@ -97,59 +65,9 @@ def recommend_postings_tfidf(
     )
 
 
-def _id_array(ids: list) -> Column:
-    return F.array(*[F.lit(i) for i in ids])
-
-
-def _dense_weights(weights: DataFrame, ids: list) -> DataFrame:
-    """Per term the weights of all profiles, in the order of ``ids``, 0 where the profile lacks it."""
-    by_term = weights.groupBy(F.col("term").alias("key")).agg(
-        F.map_from_entries(F.collect_list(F.struct("profile_id", "weight"))).alias("_w"))
-    return by_term.select("key", F.transform(
-        _id_array(ids), lambda i: F.coalesce(F.try_element_at("_w", i), F.lit(0.0))).alias("value"))
-
-
-def _scores_in_row(docs: DataFrame, terms: Lookup, loads: Lookup, ids: list) -> DataFrame:
-    """profile_id, id, score: vectors over the profiles are summed inside the row, nothing is shuffled."""
-    known = F.transform("terms", lambda t: F.struct(
-        t["tf"].alias("tf"), terms.find(t["term"]).alias("f"), loads.find(t["term"]).alias("w")))
-    square = lambda x: x * x
-    plain = lambda t: square(t["tf"] * t["f"]["idf"])
-    rows = docs.withColumn("_t", known).select(
-        "id",
-        F.aggregate("_t", F.lit(0.0), lambda s, t: s + plain(t)).alias("_norm2"),
-        F.transform(F.filter("_t", lambda t: t["w"].isNotNull()), lambda t: F.struct(
-            t["w"].alias("w"), (t["tf"] * t["f"]["idf_own"]).alias("x"),
-            (square(t["tf"] * t["f"]["idf_own"]) - plain(t)).alias("shift"))).alias("_m"),
-    )
-    zeros = F.array_repeat(F.lit(0.0), len(ids))
-    dot = F.aggregate("_m", zeros, lambda s, t: F.zip_with(s, t["w"], lambda a, w: a + t["x"] * w))
-    shift = F.aggregate("_m", zeros, lambda s, t: F.zip_with(s, t["w"], lambda a, w: F.when(w > 0, a + t["shift"]).otherwise(a)))
-    score = F.zip_with(dot, shift, lambda d, s: F.when(d > 0, d / F.sqrt(F.col("_norm2") + s)))
-    scored = rows.select("id", F.posexplode_outer(score).alias("_at", "score")).filter(F.col("score").isNotNull())
-    return scored.select(F.get(_id_array(ids), F.col("_at")).alias("profile_id"), "id", "score")
-
-
-def _scores_by_join(docs: DataFrame, idf: DataFrame, weights: DataFrame) -> DataFrame:
-    """The same by joins on the term.
-
-    A hot term makes a skewed join key, which adaptive execution splits. After the one shuffle
-    by posting id, the scores of a posting need no other exchange.
-    """
-    terms = docs.select("id", F.inline_outer("terms")).filter(F.col("term").isNotNull())
-    own = F.col("tf") * F.col("idf_own")
-    sized = (
-        terms.join(idf.hint("shuffle_merge"), "term").groupBy("id")
-        .agg(F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).alias("norm2"),
-             F.collect_list(F.struct("term", "tf", "idf", "idf_own")).alias("terms"))
-    )
-    parts = sized.select("id", "norm2", F.inline("terms")).join(weights.hint("shuffle_merge"), "term")
-    return (
-        parts.groupBy("id", "profile_id")
-        .agg(F.sum(own * F.col("weight")).alias("dot"),
-             F.sum(F.pow(own, 2) - F.pow(F.col("tf") * F.col("idf"), 2)).alias("shift"), F.first("norm2").alias("norm2"))
-        .select("profile_id", "id", (F.col("dot") / F.sqrt(F.col("norm2") + F.col("shift"))).alias("score"))
-    )
+def tfidf_index(postings: DataFrame, stop_words: Sequence[str] = (), pattern: str = K.TERM_PATTERN) -> tfidf.TfidfIndex:
+    """The stored index of C1 for postings with id and skills."""
+    return tfidf.build_index(postings.select("id", _term_counts("skills", pattern, stop_words).alias("terms")))
 
 
 def cosine(a: Column, b: Column) -> Column:

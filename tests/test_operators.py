@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlens import constants as C
-from postlens.operators import joins as J, labels as L, recommend as R, sets as U, skills as S, tokens as T
+from postlens.operators import joins as J, labels as L, recommend as R, sets as U, skills as S, tokens as T, tfidf
 from postlens.operators import keyed
 from postlens.plans import profiles as P, report
 from postlens.sources import dictionaries as D, tables
@@ -270,15 +270,17 @@ def brute_tfidf(postings, profile, k):
     return [(i, s) for s, i in sorted(scores, key=lambda x: (-x[0], x[1]))[:k]]
 
 
-@pytest.mark.parametrize("in_row", [True, False])
-def test_recommendation(spark, in_row):
+@pytest.mark.parametrize("block,entries,chunk", [(256, 500_000, 512), (7, 3, 2)])
+def test_recommendation(spark, monkeypatch, block, entries, chunk):
+    for name, value in (("BLOCK_ROWS", block), ("PASS_ENTRIES", entries), ("CHUNK", chunk)):
+        monkeypatch.setattr(tfidf, name, value)
     rng = random.Random(6)
     words = "python java c++ react vue spring docker go r kafka common".split()
     postings = [(i, "common " * (i % 3 > 0) + " ".join(rng.choices(words[:10], k=rng.randrange(5)))) for i in range(120)]
     profiles = {1: "python react", 2: "kafka kafka unknown", 3: "", 4: "absent", 5: "common go"}
     got = R.recommend_postings_tfidf(
         spark.createDataFrame(postings, "id int, skills string"), spark.createDataFrame(list(profiles.items()), "profile_id int, skills string"),
-        k=7, max_profiles=500 if in_row else 0)
+        k=7)
     found = {}
     for r in sorted(got.collect(), key=lambda r: (r.profile_id, r.place)):
         found.setdefault(r.profile_id, []).append((r.id, r.score))
@@ -288,6 +290,25 @@ def test_recommendation(spark, in_row):
         assert all(abs(a - b) < 1e-8 for (_, a), (_, b) in zip(found[pid], want))
 
 
+def test_recommendation_of_copies_and_text_ids(spark):
+    """A third of all postings are alike, so their scores tie; ids that are texts are ranked as texts."""
+    postings = [(f"p{i:04}", "python react") for i in range(400)] + [(f"q{i:04}", f"word{i} python" + " java" * (i % 3)) for i in range(800)]
+    profiles = {f"u{i}": f"python word{i} java" for i in range(40)} | {"same": "python react"}
+    found = {}
+    got = R.recommend_postings_tfidf(spark.createDataFrame(postings, "id string, skills string").repartition(5), spark.createDataFrame(list(profiles.items()), "profile_id string, skills string"), k=5)
+    for r in sorted(got.collect(), key=lambda r: (r.profile_id, r.place)):
+        found.setdefault(r.profile_id, []).append(r.id)
+    assert found["same"] == [f"p{i:04}" for i in range(5)]
+    for pid in ("u0", "u1", "u7", "u39"):
+        assert found[pid] == [i for i, _ in brute_tfidf(postings, profiles[pid], 5)], pid
+
+
+def test_recommendation_with_empty_tables(spark):
+    postings, profiles = spark.createDataFrame([(1, "java"), (2, None)], "id int, skills string"), spark.createDataFrame([(1, "java"), (2, None)], "profile_id int, skills string")
+    assert R.recommend_postings_tfidf(postings.limit(0), profiles).collect() == [] == R.recommend_postings_tfidf(postings, profiles.limit(0)).collect()
+    assert sorted((r.profile_id, r.id, r.place) for r in R.recommend_postings_tfidf(postings, profiles).collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 2, 2)]
+
+
 def test_nearest(spark):
     items = spark.createDataFrame([(i, [float(i), 1.0], i % 2, "AI, 데이터", "c, java") for i in range(10)], "id int, embedding array<float>, career int, duty string, it_language string")
     near = R.nearest_to_vector(R.filter_items(items, duty="ai", career=0, degree=0, lists={"it_language": ["java"]}), [1.0, 0.0], 3)
