@@ -36,25 +36,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Keys with a larger share of the rows than one in so many are joined apart; there can't be more of them.
-HOT_KEYS = 1_000
-
-
-def join_hot(rows: DataFrame, lookup: DataFrame, key: str, weight: str) -> DataFrame:
-    """Left join of many rows with one row a key, also where a key holds any share of the rows.
-
-    ``weight`` counts the rows of each key and doesn't come along. Keys with more than
-    1 / ``HOT_KEYS`` of all are fewer than that, so their rows meet a broadcast table of proven
-    size and stay where they are; the others are joined as usual.
-    """
-    total = lookup.agg(F.sum(weight)).first()[0] or 0
-    hot = F.broadcast(lookup.filter(F.col(weight) * HOT_KEYS > total))
-    cold = lookup.filter(F.col(weight) * HOT_KEYS <= total)
-    apart = rows.join(hot.drop(weight), key)
-    others = rows.join(hot.select(key), key, "left_anti").join(cold.drop(weight), key, "left")
-    return apart.unionByName(others)
-
-
 def remainder(doc_id: Column, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo ``parts``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts
