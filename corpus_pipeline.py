@@ -1,4 +1,10 @@
-"""The corpus pipeline: documents in, packed token sequences out, in five stages."""
+"""The corpus pipeline: documents in, packed token sequences out, in five stages.
+
+Every stage takes any columns beside doc_id and text, whatever their names. Null and empty texts
+pass as texts without words (near duplicates of one another), repeated rows are judged each by
+itself but for the near-duplicate stage, where one row of a group stays, and a null doc_id comes
+first or last as the operators state. An empty table stays empty.
+"""
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,7 +21,9 @@ def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def repeated_passages_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: later repeats of passages are cut out of the texts; every row stays."""
     cut = linededup.dedupe(docs)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(docs.columns)
 
 
 def near_duplicates_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
