@@ -8,7 +8,7 @@ and what is left is compared word by word with the text.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from postlens.llm.common import prepare, stored
+from postlens.llm.common import free_name, prepare, stored
 
 WINDOW_WORDS = 13
 #: A text is contaminated if at least one in so many of its words is hit.
@@ -109,15 +109,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -
     rarest = stored(rarest_terms(windows, document_frequency(docs, stored(terms, "test-terms"))), "test-rarest")
     index = stored(build_index(docs, rarest.select("term").distinct()), "test-index")
     found = intersect(index, rarest).join(windows, "window")
-    by_text = found.groupBy("key").agg(F.collect_list(F.struct("start", "words", "items")).alias("_found"))
-
     names = {"n_words", "n_hit", "items", "contaminated"}
-    own = docs.drop(*names).withColumn("_key", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    df = own.join(by_text.withColumnRenamed("key", "_key"), "_key", "left").withColumn("_words", words_of(F.col("text")))
-    df = df.withColumn("n_words", F.size("_words").cast("long"))
-    df = df.withColumn("_true", F.filter("_found", lambda f: F.slice("_words", f["start"] + 1, F.size(f["words"])) == f["words"]))
-    df = df.withColumn("_spans", F.transform("_true", lambda f: F.struct(f["start"].alias("start"), (f["start"] + F.size(f["words"])).alias("end"))))
-    df = df.withColumn("n_hit", F.coalesce(_covered(F.col("_spans")), F.lit(0)).cast("long"))
-    df = df.withColumn("items", F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("_true", lambda f: f["items"])))), F.array().cast("array<string>")))
+    own = docs.drop(*names)
+    key, hits, words, true, spans = (free_name(own, name) for name in ("key", "found", "words", "true", "spans"))
+    by_text = found.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("start", "words", "items")).alias(hits))
+
+    own = own.withColumn(key, F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    df = own.join(by_text, key, "left").withColumn(words, words_of(F.col("text")))
+    df = df.withColumn("n_words", F.size(words).cast("long"))
+    df = df.withColumn(true, F.filter(hits, lambda f: F.slice(words, f["start"] + 1, F.size(f["words"])) == f["words"]))
+    df = df.withColumn(spans, F.transform(true, lambda f: F.struct(f["start"].alias("start"), (f["start"] + F.size(f["words"])).alias("end"))))
+    df = df.withColumn("n_hit", F.coalesce(_covered(F.col(spans)), F.lit(0)).cast("long"))
+    df = df.withColumn("items", F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform(true, lambda f: f["items"])))), F.array().cast("array<string>")))
     df = df.withColumn("contaminated", (F.col("n_hit") > 0) & (HIT_SHARE * F.col("n_hit") >= F.col("n_words")))
-    return df.drop("_key", "_found", "_words", "_true", "_spans")
+    return df.drop(key, hits, words, true, spans)

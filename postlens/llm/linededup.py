@@ -13,9 +13,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from postlens.llm.common import NO_ID, pieces, prepare, stored, text_bytes
+from postlens.llm.common import NO_ID, free_name, pieces, prepare, stored, text_bytes
 
 LEAST_WORDS = 50
 LINE_WORDS = 25
@@ -101,9 +101,9 @@ def united(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with (_id, _mark): a null id comes first; rows equal in id and text are one place."""
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_mark", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+def _place() -> tuple[Column, Column]:
+    """A text's id and mark: a null id comes first; rows equal in id and text are one place."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
@@ -158,26 +158,28 @@ def fingerprints(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: in
 
         for batch in batches:
             keys, texts, held = [], [], 0
-            for i, m, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2))):
-                words = text.split()
-                if len(words) >= least_words:
-                    keys.append((i, m))
-                    texts.append(words)
-                    held += len(text)
-                if held >= BLOCK_BYTES:
-                    yield block(keys, texts)
-                    keys, texts, held = [], [], 0
+            for part in pieces(batch, 200):
+                for i, m, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), text_bytes(part.column(2))):
+                    words = text.split()
+                    if len(words) >= least_words:
+                        keys.append((i, m))
+                        texts.append(words)
+                        held += len(text)
+                    if held >= BLOCK_BYTES:
+                        yield block(keys, texts)
+                        keys, texts, held = [], [], 0
             if texts:
                 yield block(keys, texts)
 
-    own = _keyed(docs).select("_id", "_mark", F.col("text").cast("string"))
-    return own.mapInArrow(select, kind)
+    own_id, mark = _place()
+    return docs.select(own_id.alias("id"), mark.alias("mark"), F.col("text").cast("string")).mapInArrow(select, kind)
 
 
 def window_hashes(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
     """(h, w, id, mark, at): every window of the wanted fingerprints (h, id, mark, start, until) with its hash."""
     asked = wanted.groupBy("id", "mark").agg(F.collect_set(F.struct("h", "start", "until")).alias("asked"))
-    own = _keyed(docs).select(F.col("_id").alias("id"), F.col("_mark").alias("mark"), F.col("text").cast("string"))
+    own_id, mark = _place()
+    own = docs.select(own_id.alias("id"), mark.alias("mark"), F.col("text").cast("string"))
     kind = "h long, w long, id long, mark long, at int"
     schema = pa.schema([("h", pa.int64()), ("w", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("at", pa.int32())])
 
@@ -240,8 +242,9 @@ def dedupe(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LI
         met.filter("not mixed").select("id", "mark", "start", "until"),
         found.filter("h is null").select("id", "mark", "start", "until"),
     ]
-    cuts = spans[0].unionByName(spans[1]).unionByName(spans[2]).groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(
-        F.collect_set(F.struct("start", "until")).alias("_slices"))
+    own_id, own_mark, slices_of = (free_name(docs, name) for name in ("id", "mark", "slices"))
+    cuts = spans[0].unionByName(spans[1]).unionByName(spans[2]).groupBy(F.col("id").alias(own_id), F.col("mark").alias(own_mark)).agg(
+        F.collect_set(F.struct("start", "until")).alias(slices_of))
 
     columns = docs.columns
     number = columns.index("text")
@@ -263,7 +266,8 @@ def dedupe(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LI
                 arrays = [part.column(k) for k in range(len(columns))] + [pa.array(removed, spans_type)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "removed"])
 
-    joined = _keyed(docs).join(cuts, ["_id", "_mark"], "left").select(*columns, "_slices")
+    keyed = docs.withColumns(dict(zip((own_id, own_mark), _place())))
+    joined = keyed.join(cuts, [own_id, own_mark], "left").select(*columns, slices_of)
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     kind = T.StructType([*docs.schema.fields, T.StructField("removed", T.ArrayType(span))])
     return joined.mapInArrow(cut, kind)

@@ -11,6 +11,7 @@ import re
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -165,11 +166,12 @@ def disguised_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[
     if tape.text == text:
         return []
     taken = sorted((a, b) for _, a, b in plain)
-    begins, found = [a for a, _ in taken], []
+    # Of the plain spans that begin before a place, the one that reaches farthest tells whether any touches it.
+    begins, farthest, found = [a for a, _ in taken], list(accumulate((b for _, b in taken), max)), []
     for kind, a, b in plain_spans(tape.text):
         a, b = tape.starts[a], tape.ends[b - 1]
         k = bisect_left(begins, b)
-        if not any(end > a for _, end in taken[max(0, k - 8) : k]):
+        if not k or farthest[k - 1] <= a:
             found.append((kind, a, b))
     return found
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postlens.llm.common import NO_ID, components, pieces, prepare, stored, text_bytes
+from postlens.llm.common import NO_ID, components, free_name, pieces, prepare, stored, text_bytes
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -220,6 +220,7 @@ def one_of_each_group(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """
     marked = stored(with_fingerprints(docs, digest=True), "simhash")
     stay = stored(group_firsts(marked, max_bits).select("first").distinct(), "simhash-stay")
-    keys = stay.select(F.coalesce("first.doc_id", F.lit(NO_ID)).alias("_id"), F.col("first.digest").alias("_digest"))
-    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_digest", text_digest())
-    return own.join(keys, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).drop("_id", "_digest")
+    own_id, digest = free_name(docs, "id"), free_name(docs, "digest")
+    keys = stay.select(F.coalesce("first.doc_id", F.lit(NO_ID)).alias(own_id), F.col("first.digest").alias(digest))
+    own = docs.withColumns({own_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), digest: text_digest()})
+    return own.join(keys, [own_id, digest], "left_semi").dropDuplicates([own_id, digest]).drop(own_id, digest)

@@ -89,3 +89,15 @@ def test_single_disguises_are_found(spark):
 
 def test_empty(spark):
     assert pii.digests(pii.personal_data(frame(spark, []))).count() == 0
+
+
+@pytest.mark.parametrize("ips", [0, 2, 12, 40])
+def test_plain_spans_cover_what_lies_inside_them(ips):
+    """An e-mail whose host holds many IPs and ends in a spelled-out phone number: nothing is added inside it."""
+    host = "".join(f"1.2.3.{k}." for k in range(ips)) + "example.org"
+    text = f"a@{host} and +49 one two three four five six seven eight nine"
+    plain = pii.plain_spans(text)
+    added = pii.disguised_spans(text, plain)
+    assert all(b <= x or y <= a for _, a, b in added for _, x, y in plain)
+    longer = f"a@1.1.1.1.2.2.2.2.{'x' * 5}.org"
+    assert pii.disguised_spans(longer.replace("x", "\u0445"), pii.plain_spans(longer.replace("x", "\u0445"))) is not None

@@ -1,6 +1,8 @@
 import corpus_pipeline as P
 from postlens.llm import packing
 from postlens.llm.common import read
+from postlens.session import scratch_path
+from tests.llm.helpers import frame, odd_documents
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -27,3 +29,32 @@ def test_stages_in_turn(spark):
 def test_run_has_the_packing_columns(spark):
     got = P.run(spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() > 0
+
+
+CLASHING = ("_key", "_found", "_words", "_true", "_spans", "_id", "_mark", "_slices", "_digest", "row", "hits", "_row", "_hits")
+
+
+def folder_with(spark, docs):
+    """A folder with these documents and the other tables of the smallest size."""
+    folder = scratch_path(spark, "tables")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        read(spark, "/root/testdata/sf0.001", name).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+def test_nulls_repeats_and_clashing_names(spark):
+    rows = odd_documents() + [(30, "x y z", "en"), (30, "x y z", "en"), (31, None, None), (32, "", None)]
+    docs = frame(spark, rows, CLASHING).drop("n_chars", "source")
+    now, folder = docs, folder_with(spark, docs)
+    for name, stage in P.STAGES[:-1]:
+        now = P.stored(stage(spark, now, folder), "test-odd")
+        assert now.dtypes == docs.dtypes, name
+        assert {tuple(r[c] for c in CLASHING) for r in now.collect()} == {("clash",) * len(CLASHING)}, name
+    kept = [(r["doc_id"], r["text"]) for r in now.collect()]
+    assert len(kept) == len(set(kept)) and [i for i, _ in kept].count(30) <= 1
+    assert P.run(spark, folder).count() >= len(kept)
+
+
+def test_empty_table(spark):
+    assert P.run(spark, folder_with(spark, frame(spark, []))).collect() == []
