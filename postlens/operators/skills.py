@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlens import constants as K
 from postlens.operators.joins import contains_element_join
+from postlens.session import saved_copy
 
 
 def skill_order(prefix: str = "") -> list[Column]:
@@ -95,11 +96,40 @@ def _sets_of_three(rows: DataFrame, items: str, keep: Sequence[str]) -> DataFram
     return second.select(*keep, "_a", "_b", F.explode("_last").alias("_c")).select(*keep, F.concat_ws(", ", "_a", "_b", "_c").alias("triple"))
 
 
+def _sets_of_two(rows: DataFrame, items: str, keep: Sequence[str]) -> DataFrame:
+    """All pairs ``_a`` < ``_b`` of the sorted array, one row each."""
+    first = rows.select(*keep, F.posexplode(items).alias("_i", "_a"), F.col(items).alias("_all"))
+    return first.select(*keep, "_a", F.explode(F.slice("_all", F.col("_i") + 2, F.size("_all"))).alias("_b"))
+
+
+def frequent_triples(baskets: DataFrame, totals: DataFrame, min_support: float) -> DataFrame:
+    """(duty, category, req, pre, triple): the triples of each basket all of whose pairs have the least support.
+
+    ``baskets`` has sorted ``items`` and the weights req and pre. Pairs are counted first. A basket
+    is then projected on each of its skills, that is on the later skills that make a frequent pair
+    with it, and only there are pairs put to triples, of which the third pair must be frequent,
+    too. A triple with the least support is never lost, as no pair of it is rarer than it.
+    """
+    weights = ["duty", "category", "req", "pre"]
+    numbered = saved_copy(baskets.select(*weights, "items").withColumn("_basket", F.monotonically_increasing_id()), "baskets")
+    pairs = _sets_of_two(numbered, "items", ["_basket", *weights])
+    pair = ["duty", "category", "_a", "_b"]
+    frequent = saved_copy(
+        pairs.groupBy(*pair).agg(F.sum("req").alias("_n")).join(totals, "duty")
+        .filter(_percent(F.col("_n")) >= min_support).select(*pair), "frequent-pairs",
+    )
+    kept = pairs.join(frequent, pair, "left_semi")
+    projected = kept.groupBy("_basket", *weights, "_a").agg(F.sort_array(F.collect_list("_b")).alias("_later")).filter(F.size("_later") > 1)
+    later = _sets_of_two(projected.withColumnRenamed("_a", "_first"), "_later", ["_first", *weights])
+    return later.join(frequent, pair, "left_semi").select(*weights, F.concat_ws(", ", "_first", "_a", "_b").alias("triple"))
+
+
 def skill_set_support(baskets: DataFrame, totals: DataFrame, min_support: float = 0.0) -> DataFrame:
     """The same shares for 3-skill sets, unit 3, members sorted and joined by ', '.
 
     Exact: no basket is cut. Sets under ``min_support`` percent (of the required share) are
-    not reported; skills under it cannot be part of a reported set and are taken out first.
+    not reported; skills and then pairs under it cannot be part of a reported set and are taken
+    out before any triple is made, see ``frequent_triples``.
     Triples are built from distinct baskets only, weighted with the number of postings.
     """
     zero, n = F.lit(0).cast("long"), F.col("n")
@@ -116,10 +146,12 @@ def skill_set_support(baskets: DataFrame, totals: DataFrame, min_support: float
             skill_support(baskets, totals).filter(F.col("probability") >= min_support)
             .groupBy("duty", "category").agg(F.collect_set("skill").alias("_keep"))
         )
-        both = both.join(frequent, ["duty", "category"]).withColumn("items", F.array_intersect("items", "_keep"))
+        both = both.join(frequent, ["duty", "category"]).withColumn("items", F.array_intersect("items", "_keep")).drop("_keep")
+        triples = frequent_triples(both, totals, min_support)
+    else:
+        triples = _sets_of_three(both, "items", ["duty", "category", "req", "pre"])
     counts = (
-        _sets_of_three(both, "items", ["duty", "category", "req", "pre"])
-        .groupBy("duty", "category", F.col("triple").alias("skill"))
+        triples.groupBy("duty", "category", F.col("triple").alias("skill"))
         .agg(F.sum("req").alias("_req"), F.sum("pre").alias("_pre"))
     )
     stats = counts.join(totals, "duty").select(

@@ -1,10 +1,12 @@
 """Token tables: dictionary tokenising, synonyms, classification, annotation.
 
 A posting is one row with an array of tokens. With a dictionary of bounded size each row is
-worked in place. A larger dictionary is joined on exploded tokens: only tokens that hit it are
-shuffled, and they return to their row as a small map. The rows are then written to the shared
-folder first, with a number of their own, as both sides of that join read them. Both ways give
-the same rows; a ``Dictionary`` made beforehand serves several calls.
+worked in place. A larger dictionary is joined on exploded tokens. A Bloom filter of its keys is
+looked up first, where the tokens lie, so only tokens that hit it, and few others, are shuffled;
+hot tokens meet a broadcast table and aren't shuffled at all. Hits return to their row as a small
+map. The rows are then written to the shared folder first, with a number of their own, as both
+sides of that join read them. Both ways give the same rows; a ``Dictionary`` made beforehand
+serves several calls.
 """
 
 from collections.abc import Sequence
@@ -12,8 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postlens import constants as K
+from postlens.functions.bloom import BloomFilter
 from postlens.functions.lookup import MAX_ENTRIES, Dictionary, bounded_lookup, entries_of
 from postlens.functions.tokens import normalize_token, words
+from postlens.operators.joins import join_hot
 from postlens.session import saved_copy
 
 _STRINGS = "array<string>"
@@ -25,15 +29,24 @@ def _numbered_copy(df: DataFrame, label: str) -> DataFrame:
     return saved_copy(df.withColumn(_ROW, F.monotonically_increasing_id()), label)
 
 
+def hits_of(tokens: DataFrame, table: DataFrame) -> DataFrame:
+    """The tokens (any columns and ``key``) that ``table`` has (unique ``key``), with their ``value``.
+
+    What passes the Bloom filter is written down and counted by key, which tells the hot ones.
+    """
+    likely = saved_copy(BloomFilter.of(table, "key").keep(tokens, "key"), "hits")
+    counts = likely.groupBy("key").agg(F.count("*").alias("_n"))
+    known = saved_copy(table.join(counts, "key"), "hit-keys")
+    return join_hot(likely, known, "key", "_n").filter(F.col("value").isNotNull())
+
+
 def attach_matches(df: DataFrame, keys: str, table: DataFrame, out: str = "_found") -> DataFrame:
     """Add a map key -> value of the row's distinct keys that ``table`` has (unique ``key`` and a ``value``).
 
     ``df`` is numbered and stored. Rows without a hit get an empty map.
     """
-    hits = (
-        df.select(_ROW, F.explode(F.array_distinct(keys)).alias("key")).join(table, "key")
-        .groupBy(_ROW).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias(out))
-    )
+    tokens = df.select(_ROW, F.explode(F.array_distinct(keys)).alias("key"))
+    hits = hits_of(tokens, table).groupBy(_ROW).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias(out))
     kind = f"map<string,{table.schema['value'].dataType.simpleString()}>"
     return df.join(hits, _ROW, "left").withColumn(out, F.coalesce(out, F.create_map().cast(kind)))
 
@@ -67,6 +80,7 @@ class Phrases:
         self.found = Dictionary(rows, max_entries)
         opening = rows.select(F.substring_index("key", " ", 1).alias("key"), "value")
         self.first = bounded_lookup(opening, max_entries) if self.found.lookup else None
+        self.opening = None if self.found.lookup else BloomFilter.of(opening.select("key").distinct(), "key")
 
 
 def dictionary_tokenize(
@@ -102,11 +116,12 @@ def dictionary_tokenize(
         rows = rows.withColumn("_hits", F.filter(hit, lambda h: h["n"].isNotNull()))
     else:
         rows = _numbered_copy(rows, "words")
-        groups = F.flatten(F.array(*[
-            F.transform(starts(n), (lambda n: lambda i: F.struct((i + 1).alias("at"), term(i, n).alias("key")))(n)) for n in counts
-        ]))
+        # Only places whose word opens a term go on, with the words that a term may take; of these, the groups that may be one.
+        runs = F.transform(starts(2), lambda i: F.struct((i + 1).alias("at"), F.get(w, i).alias("key"), F.slice(w, i + 1, ready.longest).alias("_run")))
+        places = ready.opening.keep(rows.select(_ROW, F.inline(runs)), "key")
+        groups = F.transform(F.sequence(F.lit(2), F.size("_run")), lambda n: F.array_join(F.slice("_run", F.lit(1), n), " "))
         hits = (
-            rows.select(_ROW, F.inline(groups)).join(ready.found.table, "key")
+            hits_of(places.select(_ROW, "at", F.explode(groups).alias("key")), ready.found.table)
             .groupBy(_ROW, "at").agg(F.max("value").alias("n"))
             .groupBy(_ROW).agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("_hits"))
         )
