@@ -39,6 +39,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return saved_copy(df, label)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now.
+
+    It does so when the driver's collector finds that no plan holds them, which on a large heap may
+    be long after the last reader; a job of several large steps would pile them up until then.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the frame doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from postlens.llm.common import NO_ID, free_name, pieces, prepare, stored, text_bytes
+from postlens.llm.common import NO_ID, drop_shuffles, free_name, pieces, prepare, stored, text_bytes
 
 LEAST_WORDS = 50
 LINE_WORDS = 25
@@ -61,6 +61,21 @@ class LineHashes:
         return x ^ (x >> np.uint64(31))
 
 
+def window_minima(hashes: np.ndarray, window: int) -> np.ndarray:
+    """The place of the smallest hash of each window, the first of equal ones.
+
+    Two windows that overlap or touch make a longer one, so lengths double up to the window's.
+    """
+    place, value, length = np.arange(len(hashes)), hashes, 1
+    while length < window:
+        step = min(length, window - length)
+        left = value[:-step] <= value[step:]
+        place = np.where(left, place[:-step], place[step:])
+        value = np.minimum(value[:-step], value[step:])
+        length += step
+    return place
+
+
 def smallest_lines(hashes: np.ndarray, window: int, text: np.ndarray | None = None, line_words: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The first lines of all whole windows, in order, and the place of each one's smallest hash, the first of equal ones.
 
@@ -70,7 +85,7 @@ def smallest_lines(hashes: np.ndarray, window: int, text: np.ndarray | None = No
     if len(hashes) < window:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     starts = np.arange(len(hashes) - window + 1)
-    smallest = np.lib.stride_tricks.sliding_window_view(hashes, window).argmin(axis=1) + starts
+    smallest = window_minima(hashes, window)
     if text is not None:
         last = line_words + window - 2
         whole = text[: len(smallest)] == text[last : last + len(smallest)]
@@ -226,15 +241,20 @@ def dedupe(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LI
     Two joins move texts: one for the fingerprints whose places differ, one for the cuts. A passage
     that any share of the texts repeat is a hot key only where Spark can split the join.
     """
-    prepare(docs)
+    spark = prepare(docs)
+    drop_shuffles(spark)
     docs = docs.drop("removed")
     found = stored(fingerprints(docs, least_words, line_words), "winnowed")
     place, words = F.struct("id", "mark", "at"), F.struct("context", F.col("at") - F.col("start"), F.col("until") - F.col("start"))
     lines = found.filter("h is not null")
     groups = lines.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), (F.min(words) != F.max(words)).alias("mixed"))
-    shared = groups.filter("first != last").select("h", "first", "mixed")
+    # Each step's result is written, so that its shuffle files can go before the next step's are made.
+    shared = stored(groups.filter("first != last").select("h", "first", "mixed"), "repeated-lines")
+    drop_shuffles(spark)
     met = stored(lines.join(shared, "h").filter(F.col("mixed") | (place != F.col("first"))).select("h", "id", "mark", "start", "until", "mixed"), "repeats")
+    drop_shuffles(spark)
     windows = stored(window_hashes(docs, met.filter("mixed"), least_words), "repeat-windows")
+    drop_shuffles(spark)
     firsts = windows.groupBy("h", "w").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("h", "w", "first")
     later = windows.join(firsts, ["h", "w"]).filter(place != F.col("first"))
     spans = [
@@ -243,8 +263,9 @@ def dedupe(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LI
         found.filter("h is null").select("id", "mark", "start", "until"),
     ]
     own_id, own_mark, slices_of = (free_name(docs, name) for name in ("id", "mark", "slices"))
-    cuts = spans[0].unionByName(spans[1]).unionByName(spans[2]).groupBy(F.col("id").alias(own_id), F.col("mark").alias(own_mark)).agg(
-        F.collect_set(F.struct("start", "until")).alias(slices_of))
+    cuts = stored(spans[0].unionByName(spans[1]).unionByName(spans[2]).groupBy(F.col("id").alias(own_id), F.col("mark").alias(own_mark)).agg(
+        F.collect_set(F.struct("start", "until")).alias(slices_of)), "repeat-cuts")
+    drop_shuffles(spark)
 
     columns = docs.columns
     number = columns.index("text")

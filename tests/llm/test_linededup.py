@@ -135,3 +135,11 @@ def test_line_hashes_depend_on_content_alone():
 
 def test_empty(spark):
     assert L.dedupe(frame(spark, [])).count() == 0
+
+
+def test_window_minima_equal_a_plain_search():
+    rng = np.random.default_rng(2)
+    for window in (1, 2, 3, 7, 16, 26):
+        hashes = rng.integers(0, 40, 300).astype(np.uint64)  # many are equal
+        plain = [int(k + hashes[k : k + window].argmin()) for k in range(len(hashes) - window + 1)]
+        assert L.window_minima(hashes, window).tolist() == plain
