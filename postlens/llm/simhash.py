@@ -22,6 +22,8 @@ SHINGLE_WORDS = 4
 MAX_BITS = 4
 #: Fingerprints of one variant that are compared pair by pair; larger groups take the other way.
 PAIRWISE = 2_048
+#: Pairs of several groups that are compared together, about.
+PAIRS_AT_ONCE = 1 << 21
 
 
 def fingerprint(text: bytes, n: int = SHINGLE_WORDS) -> int:
@@ -143,9 +145,11 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, pairwise: int = PAIRWISE) ->
                 yield rows(fps[a:b], None)
             # groups of about the same size go together, so that the steps end soon
             for least, most in ((1, 2), (2, 8), (8, 64), (64, pairwise)):
-                some = (size > least) & (size <= most)
-                if some.any():
-                    a, b = _linked(fps, starts[some], ends[some], max_bits)
+                some = np.flatnonzero((size > least) & (size <= most))
+                # so many groups at once that their pairs take little memory
+                part = np.cumsum(size[some] ** 2) // PAIRS_AT_ONCE
+                for own in np.split(some, np.flatnonzero(np.diff(part)) + 1):
+                    a, b = _linked(fps, starts[own], ends[own], max_bits)
                     if len(a):
                         yield rows(a, b)
 
