@@ -34,6 +34,12 @@ N_SCRIPTS = len(SCRIPT_STARTS)
 
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("A") : ord("Z") + 1] = _LETTER[ord("a") : ord("z") + 1] = _LETTER[0x80:] = True
+#: Letters among the characters of three lead bytes that are mostly signs and pictures: the lead
+#: byte's characters in order, two bytes (C2), three (E2) and four.
+_RARE_LETTERS = {
+    lead: (length, np.array([chr(first + k).isalpha() for k in range(1 << 6 * (length - 1))]))
+    for lead, length, first in ((0xC2, 2, 0x80), (0xE2, 3, 0x2000), (0xF0, 4, 0))
+}
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -45,11 +51,16 @@ class Words:
         raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
         text_ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
         letter = _LETTER[raw]
-        # signs, punctuation and pictures beyond ASCII: U+0080-BF, U+2000-2FFF and above U+FFFF
-        for lead, length in ((0xC2, 2), (0xE2, 3), (0xF0, 4)):
+        # signs, punctuation and pictures of U+0080-BF, U+2000-2FFF and above U+FFFF; their letters stay
+        for lead, (length, is_letter) in _RARE_LETTERS.items():
             at = np.flatnonzero(raw == lead)
-            for k in range(length):
-                letter[np.minimum(at + k, len(raw) - 1)] = False
+            if not len(at):
+                continue
+            places = np.minimum(at[:, None] + np.arange(length), len(raw) - 1)
+            code = np.zeros(len(at), np.int64)
+            for k in range(1, length):
+                code = code << 6 | (raw[places[:, k]] & 0x3F)
+            letter[places[~is_letter[code]]] = False
         low = _LOWER[raw]
         capital = np.flatnonzero((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E)) + 1
         low[capital] |= 0x20

@@ -57,6 +57,18 @@ def test_words():
     assert words.script.tolist() == [0, 0, 0, 0, 2]
 
 
+def test_letters_of_every_script_are_words(spark):
+    """Each letter beyond ASCII is in a word; signs of the lead bytes shared with letters are in none."""
+    letters = [chr(c) for c in [*range(0x80, 0x100), *range(0x2000, 0x3000), *range(0x10000, 0x40000, 37)] if c not in (0xD7, 0xF7)]
+    words = language.Words([c.encode() for c in letters])
+    assert set(words.doc.tolist()) == {k for k, c in enumerate(letters) if c.isalpha()}
+    coptic, gothic, rare = "ⲁⲃⲅ", "𐌰𐌱𐌲", "𠀀𠀁"
+    model = language.learn(frame(spark, corpus() + [(900, (coptic + " ") * 9, "cop")]))
+    got = {r["doc_id"]: r for r in language.identify(frame(spark, [(1, coptic, None), (2, gothic, None), (3, rare, None), (4, "—“😀”", None)]), model).collect()}
+    assert got[1]["lang_pred"] == "cop" and got[4]["lang_pred"] == "und" and got[4]["score"] == 0
+    assert all(got[k]["lang_pred"] in model.langs and got[k]["score"] > 0 for k in (1, 2, 3))
+
+
 def test_identify(spark):
     model = language.learn(frame(spark, corpus() + odd_documents()[:3] + [(9, None, "aa")]))
     assert [x for x in model.langs if x in LETTERS] == list(LETTERS)
