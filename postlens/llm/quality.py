@@ -6,6 +6,8 @@ within a Jensen-Shannon distance of some language's references; a histogram of t
 is not judged.
 """
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postlens.llm.common import prepare, stored
@@ -23,8 +25,6 @@ CLASSES = {"capital": "[A-Z]", "digit": "[0-9]", "stop": "[.,;:!?'\"()-]", "sign
 CLASS_DISTANCE, WORD_DISTANCE = 0.18, 0.28
 #: Characters and words from which the histograms are judged.
 LEAST_CHARACTERS, LEAST_WORDS = 100, 40
-#: Languages with references, those with most texts first; a bound for what the driver holds.
-MAX_LANGUAGES = 256
 
 _BLANK = r"[\x20\x09-\x0D]+"
 _WORDS = [w for line in COMMON_WORDS.values() for w in line.split()]
@@ -94,6 +94,7 @@ def shares(counts: Column) -> Column:
 def references(counted: DataFrame) -> list[tuple[list[float], list[float]]]:
     """Both histograms for each language: the median share of every bin over its texts.
 
+    Every language has one, whatever their number; a few dozen numbers of each reach the driver.
     Medians (as exact as 10,000 buckets of ``approx_percentile``) over all texts long enough to
     be judged; unlike sums they don't bend towards the texts that are to be found.
     """
@@ -102,7 +103,7 @@ def references(counted: DataFrame) -> list[tuple[list[float], list[float]]]:
     middle += [F.percentile_approx(F.col("_q")[k], 0.5).alias(f"w{k}") for k in range(n_words)]
     rows = (
         counted.filter("lang is not null and not base_failed").filter((F.col("_length") >= LEAST_CHARACTERS) & (F.col("n_words") >= LEAST_WORDS))
-        .groupBy("lang").agg(F.count("*").alias("n"), *middle).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+        .groupBy("lang").agg(*middle).orderBy("lang").collect()
     )
     out = []
     for r in rows:
@@ -127,7 +128,8 @@ def judge(docs: DataFrame) -> DataFrame:
     df = counted.withColumn("_p", shares(F.col("_classes"))).withColumn("_q", shares(F.col("_histogram")))
     known = references(df)
     if known:
-        lists = F.array(*[F.struct(F.array(*map(F.lit, c)).alias("c"), F.array(*map(F.lit, w)).alias("w")) for c, w in known])
+        # one constant for any number of languages
+        lists = F.from_json(F.lit(json.dumps([{"c": c, "w": w} for c, w in known])), "array<struct<c:array<double>,w:array<double>>>")
         df = df.withColumn("_all", F.transform(lists, lambda r: F.struct(divergence(F.col("_p"), r["c"]).alias("c"), divergence(F.col("_q"), r["w"]).alias("w"))))
         df = df.withColumn("_near", F.array_min(F.transform("_all", lambda d: F.struct(F.greatest(d["c"] / CLASS_DISTANCE, d["w"] / WORD_DISTANCE).alias("far"), d["c"].alias("c"), d["w"].alias("w")))))
         df = df.withColumn("class_distance", F.col("_near.c")).withColumn("word_distance", F.col("_near.w"))

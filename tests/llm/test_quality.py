@@ -62,6 +62,14 @@ def test_no_language_and_empty(spark):
     assert quality.judge(frame(spark, [])).count() == 0
 
 
+def test_any_number_of_languages(spark):
+    """The last of 300 languages in any order counts as much as the first."""
+    text = lambda c: " ".join([c * 5] * 3 + [f"{c}{k}" for k in range(60)])
+    rows = [(k, text("ab"), f"l{k:03}") for k in range(299)] + [(299, " ".join("漢字漢字%d" % k for k in range(60)), "zz")]
+    got = {r["doc_id"]: r for r in quality.judge(frame(spark, rows)).collect()}
+    assert len(got) == 300 and got[0]["kept"] and got[299]["kept"] and got[299]["class_distance"] < 0.01
+
+
 def test_labelled_quality(spark):
     from postlens.llm.queries import QUERIES
 
