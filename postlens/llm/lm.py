@@ -2,13 +2,18 @@
 
 Texts are kept as blocks: a block's words once, and its tokens as numbers of those. Counts of
 all words in the training texts come from one shuffle of the blocks' word lists and go back to
-the blocks by number. The most frequent words are classes of a log-bilinear model over the two
-tokens before; every other word is its share, by count, of one further class. Each task trains
-its copy of the parameters on its blocks and the copies are averaged, round by round. For
-scores, a block's different contexts go through matrix products once, so every probability is
-normalised over all classes.
+the blocks by number. The classes of a log-bilinear model over the two tokens before are the most
+frequent words and, for all others, groups of words with like endings; a word of a group is its
+share of it by count, so both levels are normalised. Both kinds of class grow with the square root
+of the vocabulary. Each task trains its copy of the parameters on its blocks and the copies are
+averaged, round by round, until every training token has been learned from once. For scores, a
+block's different contexts go through matrix products once, so every probability is normalised
+over all classes.
 """
 
+import math
+import zlib
+
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,12 +25,13 @@ from postlens.llm.common import pieces, prepare, stored, text_bytes
 
 #: Tokens after which a block is closed (at the end of a text).
 BLOCK_TOKENS = 2_000_000
-#: Words that are classes by themselves; dimensions of their vectors.
-CLASSES, DIMENSIONS = 512, 32
-#: Rounds of training and averaging, and the stride of the positions that a round learns from:
-#: all blocks take part, so what is learned from grows with the corpus.
-ROUNDS, STRIDE = 2, 8
-BATCH, NOISE, RATE = 512, 64, 0.1
+#: Least number of words that are classes by themselves; dimensions of the vectors.
+CLASSES, DIMENSIONS = 256, 32
+#: Bytes at the end of a word that choose its group.
+ENDING = 3
+#: Rounds of training and averaging; the training tokens are dealt to the rounds in turn.
+ROUNDS = 2
+BATCH, NOISE, RATE = 2_048, 64, 0.3
 #: The word that ends a text; no real word is empty.
 END = b""
 SMOOTHING = 0.1
@@ -79,25 +85,40 @@ def blocks_of(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
 
 
 def word_counts(blocks: DataFrame) -> DataFrame:
-    """(block, number, c, first): the training count of each word of each block; ``first`` marks one
-    place of each word. A word is in a block's list once, so no key has more rows than there are blocks."""
+    """(block, number, c, first, ending): the training count of each word of each block; ``first`` marks
+    one place of each word, ``ending`` is a checksum of its last bytes. A word is in a block's list once, so no key has more rows than there are blocks."""
     listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("number", "w")).select(
         "block", "number", F.col("w.words").alias("word"), F.col("w.counts").alias("n")
     ).repartition("word")
     summed = listed.groupBy("word").agg(F.sum("n").alias("c"), F.min("block").alias("home"))
-    return listed.join(summed, "word").select("block", "number", "c", (F.col("block") == F.col("home")).alias("first"))
+    return listed.join(summed, "word").select(
+        "block", "number", "c", (F.col("block") == F.col("home")).alias("first"), F.crc32(F.substring("word", -ENDING, ENDING)).alias("ending")
+    )
+
+
+class Classes:
+    """The class of each word: its own for the frequent ones, then the groups by ending."""
+
+    def __init__(self, frequent: list[bytes], groups: int):
+        self.own = {word: k for k, word in enumerate(frequent)}
+        self.groups = groups
+        self.n = len(frequent) + groups
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        own, base, groups = self.own.get, len(self.own), self.groups
+        found = ((own(w), w) for w in words)
+        return np.fromiter((base + zlib.crc32(w[-ENDING:]) % groups if k is None else k for k, w in found), np.int32, len(words))
 
 
 class Parameters:
     """Context vectors, target vectors, position weights and target biases, as one table of rows.
 
-    Classes: the frequent words by rank, then the class of all others, then (in contexts only)
-    the place before a text.
+    Rows: the frequent words by rank, then the groups, then (in contexts only) the place before a text.
     """
 
     def __init__(self, classes: int, dimensions: int, noise: np.ndarray, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.n, self.d, self.noise = classes, dimensions, noise  # noise: share of each class but the last
+        self.n, self.d, self.noise = classes, dimensions, noise  # noise: share of each class
         self.context = rng.normal(0, 0.1, (classes + 1, dimensions)).astype(np.float32)
         self.target = rng.normal(0, 0.1, (classes, dimensions)).astype(np.float32)
         self.place = np.ones((2, dimensions), np.float32)
@@ -124,25 +145,30 @@ class Parameters:
         steps[-1] = 1.0
         for at in range(0, len(word), BATCH):
             a, b, w = one[at : at + BATCH], two[at : at + BATCH], word[at : at + BATCH]
-            h = self.hidden(a, b)
+            far, near, target = self.context[b], self.context[a], self.target[w]
+            h = near * self.place[0] + far * self.place[1]
             false = np.searchsorted(steps, rng.random(NOISE))
+            noise = self.target[false]
             # the derivative of the objective by the score of the true and of the noise words
-            true_by = 1 - _sigmoid((h * self.target[w]).sum(axis=1) + self.bias[w] - log_noise[w])
-            false_by = -_sigmoid(h @ self.target[false].T + self.bias[false] - log_noise[false])
-            by_h = true_by[:, None] * self.target[w] + false_by @ self.target[false]
+            true_by = 1 - _sigmoid(np.einsum("ij,ij->i", h, target) + self.bias[w] - log_noise[w])
+            false_by = -_sigmoid(h @ noise.T + (self.bias[false] - log_noise[false]))
+            by_h = true_by[:, None] * target + false_by @ noise
+            by_target = np.column_stack((true_by[:, None] * h, true_by))  # the bias is a last dimension
+            by_noise = np.column_stack((false_by.T @ h, false_by.sum(axis=0)))
             changes = {
-                "target": (np.concatenate((w, false)), np.concatenate((true_by[:, None] * h, false_by.T @ h))),
-                "bias": (np.concatenate((w, false)), np.concatenate((true_by, false_by.sum(axis=0)))),
+                "target": (np.concatenate((w, false)), np.concatenate((by_target, by_noise))),
                 "context": (np.concatenate((a, b)), np.concatenate((by_h * self.place[0], by_h * self.place[1]))),
-                "place": (np.array([0, 1]), np.stack(((by_h * self.context[a]).sum(axis=0), (by_h * self.context[b]).sum(axis=0)))),
+                "place": (np.array([0, 1]), np.stack((np.einsum("ij,ij->j", by_h, near), np.einsum("ij,ij->j", by_h, far)))),
             }
             for name, (rows, change) in changes.items():
-                table = getattr(self, name)
                 order = np.argsort(rows, kind="stable")
-                cuts = np.flatnonzero(np.diff(rows[order], prepend=-1))
-                own, total = rows[order][cuts], np.add.reduceat(change[order], cuts, axis=0) / len(w)
-                squares[name][own] += total * total
-                table[own] += RATE * total / np.sqrt(squares[name][own])
+                rows = rows[order]
+                cuts = np.flatnonzero(np.diff(rows, prepend=-1))
+                own, total = rows[cuts], np.add.reduceat(change[order], cuts, axis=0) / np.float32(len(w))
+                for table, part in ((name, total),) if name != "target" else (("target", total[:, :-1]), ("bias", total[:, -1])):
+                    square = squares[table][own] + part * part
+                    squares[table][own] = square
+                    getattr(self, table)[own] += RATE * part / np.sqrt(square)
 
     def fresh_squares(self) -> dict:
         return {name: np.full_like(getattr(self, name), 1e-6) for name in ("target", "bias", "context", "place")}
@@ -153,10 +179,11 @@ class Parameters:
         codes, where = np.unique(one.astype(np.int64) * width + two, return_inverse=True)
         h = self.hidden(codes // width, codes % width)
         total = np.empty(len(codes), np.float32)
-        for at in range(0, len(codes), 2_048):
-            scores = h[at : at + 2_048] @ self.target.T + self.bias
+        some = max(1, (1 << 20) // self.n)  # a bounded table of scores
+        for at in range(0, len(codes), some):
+            scores = h[at : at + some] @ self.target.T + self.bias
             top = scores.max(axis=1)
-            total[at : at + 2_048] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+            total[at : at + some] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
         out = np.empty(len(word), np.float64)
         for at in range(0, len(word), 65_536):
             k, w = where[at : at + 65_536], word[at : at + 65_536]
@@ -171,68 +198,76 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Block:
     """Tokens of one block row as classes, with their contexts."""
 
-    def __init__(self, words: list[bytes], lengths: list[int], ids: bytes, class_of: dict[bytes, int]):
+    def __init__(self, words: list[bytes], lengths: list[int], ids: bytes, classes: Classes):
         import zstandard
 
         self.ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), np.int32)
         self.lengths = np.array(lengths, np.int64)
-        other = len(class_of)
-        self.local = np.fromiter((class_of.get(w, other) for w in words), np.int32, len(words))
+        self.local = classes.of(words)
         self.word = self.local[self.ids]
         first = np.cumsum(self.lengths) - self.lengths
-        start = other + 1
+        start = classes.n
         self.one = np.concatenate(([start], self.word[:-1]))
         self.one[first] = start
         self.two = np.concatenate(([start], self.one[:-1]))
         self.two[first] = start
 
 
-def train(blocks: DataFrame, class_of: dict[bytes, int], noise: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE) -> Parameters:
-    """Parameters averaged over tasks, by the tokens each has learned from; one small table reaches the driver a round."""
+def learned(blocks: DataFrame, classes: Classes, model: Parameters, number: int, rounds: int) -> DataFrame:
+    """(row, weight, p0, ...): the parameters of each task after its share of round ``number``, times
+    the tokens it has learned from. Block by block, in an order that depends on the block alone."""
     spark = prepare(blocks)
-    n = len(class_of) + 1
-    model = Parameters(n, DIMENSIONS, noise)
+    n = classes.n
+    schema = pa.schema([("row", pa.int32()), ("weight", pa.float64())] + [(f"p{k}", pa.float64()) for k in range(DIMENSIONS)])
+    shared = spark.sparkContext.broadcast((classes, model))  # like the square root of the vocabulary
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, now = shared.value
+        own = Parameters(n, DIMENSIONS, now.noise).load(now.rows())
+        squares, seen = own.fresh_squares(), 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, words, held, lengths, ids = (batch.column(c)[k].as_py() for c in range(5))
+                b = Block(words, lengths, ids, classes)
+                places = np.flatnonzero(np.repeat(~np.array(held, bool), b.lengths))[number::rounds]
+                rng = np.random.default_rng((block, number))
+                rng.shuffle(places)
+                own.train(b.one[places], b.two[places], b.word[places], rng, squares)
+                seen += len(places)
+        if seen:
+            rows = own.rows().astype(np.float64) * seen
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(np.full(len(rows), float(seen)))] + [pa.array(rows[:, k]) for k in range(DIMENSIONS)], schema=schema
+            )
+
+    kind = "row int, weight double, " + ", ".join(f"p{k} double" for k in range(DIMENSIONS))
+    return blocks.select("block", "words", "held_out", "length", "ids").mapInArrow(learn, kind)
+
+
+def train(blocks: DataFrame, classes: Classes, noise: np.ndarray, rounds: int = ROUNDS) -> Parameters:
+    """Every training token is learned from in one of the rounds. Parameters are averaged over tasks by
+    the tokens each has learned from; one table of two rows a class reaches the driver a round."""
+    model = Parameters(classes.n, DIMENSIONS, noise)
     columns = [f"p{k}" for k in range(DIMENSIONS)]
-    schema = pa.schema([("row", pa.int32()), ("weight", pa.float64())] + [(c, pa.float64()) for c in columns])
-    source = blocks.select("block", "words", "held_out", "length", "ids")
-    classes = spark.sparkContext.broadcast(class_of)  # CLASSES words
     for number in range(rounds):
-        now = spark.sparkContext.broadcast(model)  # a few thousand rows of DIMENSIONS
-
-        def learn(batches: Iterator[pa.RecordBatch], number=number, now=now) -> Iterator[pa.RecordBatch]:
-            own = Parameters(n, DIMENSIONS, now.value.noise).load(now.value.rows())
-            squares, seen = own.fresh_squares(), 0
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    block, words, held, lengths, ids = (batch.column(c)[k].as_py() for c in range(5))
-                    b = Block(words, lengths, ids, classes.value)
-                    places = np.flatnonzero(np.repeat(~np.array(held, bool), b.lengths))[number % stride :: stride]
-                    rng = np.random.default_rng((block, number))
-                    rng.shuffle(places)
-                    own.train(b.one[places], b.two[places], b.word[places], rng, squares)
-                    seen += len(places)
-            if seen:
-                rows = own.rows().astype(np.float64) * seen
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(np.full(len(rows), float(seen)))] + [pa.array(rows[:, k]) for k in range(DIMENSIONS)], schema=schema
-                )
-
-        kind = "row int, weight double, " + ", ".join(f"{c} double" for c in columns)
-        mean = source.mapInArrow(learn, kind).groupBy("row").agg(*[(F.sum(c) / F.sum("weight")).alias(c) for c in columns])
+        tasks = learned(blocks, classes, model, number, rounds)
+        mean = tasks.groupBy("row").agg(*[(F.sum(c) / F.sum("weight")).alias(c) for c in columns])
         table = mean.orderBy("row").toPandas()
         if not len(table):
             break
-        model = Parameters(n, DIMENSIONS, noise).load(table[columns].to_numpy())
+        model = Parameters(classes.n, DIMENSIONS, noise).load(table[columns].to_numpy())
     return model
 
 
-def score(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, stride: int = STRIDE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def score(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """From (doc_id, held_out, text): (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Rows held out teach nothing. Null texts are empty: one end. Each row is a text of its own,
     repeated ones too; other columns are not read. Without any training text all counts are 0.
     ``base_score`` smooths counts by 0.1 for every known word and one unknown; ``score`` is the
-    log10 probability of the text by the model, which spreads its class of other words the same way.
+    log10 probability of the text by the model, which shares out a group's probability the same way,
+    with one unknown word in each group. ``classes`` is the least number of frequent words with a class
+    of their own; with n known words there are max(classes, √n) of them and √n groups.
     """
     prepare(docs)
     blocks = stored(blocks_of(docs, block_tokens), "lm-blocks")
@@ -240,33 +275,38 @@ def score(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, stride:
     known = counts.filter("first and c > 0")
     row = known.agg(F.sum("c"), F.count("*")).first()
     n_train, n_words = row[0] or 0, row[1]
-    top = known.orderBy(F.desc("c"), "block", "number").limit(classes)
+    root = max(1, math.isqrt(n_words))
+    top = known.orderBy(F.desc("c"), "block", "number").limit(max(classes, root))
     words = top.join(blocks.select("block", "words"), "block").select(F.col("words")[F.col("number")].alias("word"), "c").collect()
     ranked = sorted(((r["c"], bytes(r["word"])) for r in words), key=lambda x: (-x[0], x[1]))
-    class_of = {word: k for k, (_, word) in enumerate(ranked)}
-    class_counts = np.array([c for c, _ in ranked], np.float64)
-    other = n_train - class_counts.sum()
-    share = np.concatenate((class_counts, [other])) + SMOOTHING
-    model = train(blocks, class_of, share / share.sum(), rounds, stride)
+    all_classes = Classes([word for _, word in ranked], root)
+    grouped = np.zeros((root, 2))  # tokens and words of each group, the frequent words taken off
+    for r in known.groupBy((F.col("ending") % root).cast("int").alias("g")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+        grouped[r["g"]] = r["c"], r["n"]
+    for c, word in ranked:
+        grouped[zlib.crc32(word[-ENDING:]) % root] -= c, 1
+    share = np.concatenate((np.array([c for c, _ in ranked], np.float64), grouped[:, 0])) + SMOOTHING
+    model = train(blocks, all_classes, share / share.sum(), rounds)
 
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((class_of, model))
+    shared = spark.sparkContext.broadcast((all_classes, model))
     log_base = float(np.log10(n_train + SMOOTHING * (n_words + 1)))
-    log_other = float(np.log10(other + SMOOTHING * (n_words - len(class_of) + 1)))
+    log_group = np.log10(grouped[:, 0] + SMOOTHING * (grouped[:, 1] + 1))
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def block_scores(left: pa.Table, right: pa.Table) -> pa.Table:
-        class_of, model = shared.value
+        classes, model = shared.value
         out = []
         number, count = right["number"].to_numpy(), right["c"].to_numpy()
         for k in range(left.num_rows):
             words, doc_id, held, lengths, ids = (left[c][k].as_py() for c in ("words", "doc_id", "held_out", "length", "ids"))
-            b = Block(words, lengths, ids, class_of)
+            b = Block(words, lengths, ids, classes)
             c = np.zeros(len(words), np.int64)
             c[number] = count
             logs = np.log10(c + SMOOTHING)
-            inside = np.where(b.local == len(class_of), logs - log_other, 0.0)
+            group = b.local - len(classes.own)
+            inside = np.where(group >= 0, logs - log_group[np.maximum(group, 0)], 0.0)
             by_token = np.stack(((c > 0)[b.ids].astype(np.float64), logs[b.ids] - log_base, model.log_probability(b.one, b.two, b.word) / np.log(10) + inside[b.ids]), axis=1)
             sums = np.add.reduceat(by_token, np.cumsum(b.lengths) - b.lengths, axis=0)
             out.append(pa.Table.from_arrays([

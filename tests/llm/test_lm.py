@@ -31,7 +31,7 @@ def test_counts_and_base_score(spark, block_tokens):
     rng = random.Random(3)
     rows = odd_documents() + [(100 + k, " ".join(rng.choice(["The", "cat", "sat", "x%d" % k]) for _ in range(rng.randint(0, 40))), "en") for k in range(60)]
     docs = table(spark, rows, "coalesce(doc_id % 10 = 0, false)").repartition(4)
-    got = lm.score(docs, classes=16, stride=2, block_tokens=block_tokens).collect()
+    got = lm.score(docs, classes=16, block_tokens=block_tokens).collect()
     want = brute(rows, [i is not None and i % 10 == 0 for i, _, _ in rows])
     key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
     have = sorted(map(tuple, got), key=key)
@@ -63,6 +63,33 @@ def test_training_learns_the_context():
     assert model.log_probability(one, two, word).mean() > -0.3 > before
 
 
+def test_every_word_has_a_class_and_both_levels_sum_to_one(spark):
+    """Over all known words and one unknown of each group, the probability after any context is one."""
+    rng = random.Random(8)
+    known = [f"{rng.choice('abcdef')}{k}" for k in range(400)]
+    docs = table(spark, [(k + 1, " ".join(rng.choice(known[: 40 * (k % 9 + 1)]) for _ in range(50)), "en") for k in range(200)], "false").repartition(3)
+    words = sorted({w for r in docs.collect() for w in r["text"].split()})
+    alone = [(10_000 + k, w, "en") for k, w in enumerate(words)] + [(20_000, "", "en")]
+    both = docs.unionByName(table(spark, alone, "true"))
+    got = {r["doc_id"]: r for r in lm.score(both, classes=5).collect()}
+    # P(w | start) = P(w, end) / P(end | w): compare with the classes' own sums instead
+    classes = lm.Classes([b"", b"a"], 7)
+    assert classes.n == 9 and classes.of([b"a", b"", b"xyzab", b"zab"]).tolist()[:2] == [1, 0]
+    assert classes.of([b"xyzab"])[0] == classes.of([b"1yzab"])[0] >= 2
+    assert all(got[i]["n_known"] == 2 and got[i]["train_tokens"] == 200 * 51 for i, _, _ in alone[:-1])
+    total = sum(10 ** got[i]["score"] for i, _, _ in alone)
+    assert 0 < total <= 1 + 1e-6  # texts of one word or none are disjoint events
+
+
+def test_training_visits_every_token_once(spark, monkeypatch):
+    docs = table(spark, [(k, "a b c d e f g", "en") for k in range(1, 40)], "doc_id % 10 = 0").coalesce(1)
+    blocks = lm.blocks_of(docs, 100)
+    classes = lm.Classes([b"a", b""], 3)
+    seen = [r["weight"] for n in range(2) for r in lm.learned(blocks, classes, lm.Parameters(5, lm.DIMENSIONS, np.full(5, 0.2)), n, 2).groupBy().agg({"weight": "sum", "row": "max"}).withColumnRenamed("sum(weight)", "weight").collect()]
+    rows = len(lm.Parameters(5, lm.DIMENSIONS, np.full(5, 0.2)).rows())
+    assert sum(seen) / rows == 36 * 8  # 39 texts, 3 held out, seven words and the end
+
+
 def test_empty_and_nothing_to_learn_from(spark):
     assert lm.score(table(spark, [], "false")).count() == 0
     got = lm.score(table(spark, [(1, "a b", None), (2, None, None)], "true")).collect()
