@@ -113,7 +113,7 @@ WHERE len([x FOR x IN string_split(s.skill, ', ') IF NOT list_contains(g.owned |
 def _(spark, folder):
     more = F.array(*[F.lit(f"brand {n}") for n in (5, 9, 13)])
     groups = profile_groups(v7(spark, folder)).withColumn("owned_skills", F.concat("owned_skills", more))
-    rows = S.open_sets(groups, stats3(spark, folder)).select("profile_id", "category", F.size("open").cast("long").alias("sets"))
+    rows = S.open_sets(groups, stats3(spark, folder)).groupBy("profile_id", "category").agg(F.sum(F.size("open")).alias("sets"))
     return rows.filter("sets > 0")
 
 

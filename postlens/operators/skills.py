@@ -235,12 +235,22 @@ def exclude_user_combinations(sets: DataFrame, owned: str = "owned_skills", skil
     return sets.filter(missing > 0)
 
 
-def open_sets(profiles: DataFrame, sets: DataFrame, keys: Sequence[str] = ("duty", "category"), owned: str = "owned_skills") -> DataFrame:
+#: Sets of a key that lie in one array; larger keys are dealt to several rows.
+BLOCK_SETS = 1_000
+
+
+def open_sets(profiles: DataFrame, sets: DataFrame, keys: Sequence[str] = ("duty", "category"), owned: str = "owned_skills",
+              block_sets: int = BLOCK_SETS) -> DataFrame:
     """P18 for many profiles: each profile row with the sets of its keys that it doesn't wholly own, as ``open``.
 
-    The sets of a key are one sorted array that meets a profile row once; no row per set and profile is made.
+    The sets of a key are dealt by a hash to ``block``s of about ``block_sets``; a profile row comes
+    once for each block of its key, so that no array grows with the key and no row per set is made.
     """
-    listed = sets.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("skill", F.split("skill", ", ").alias("members")))).alias("_sets"))
+    distinct = sets.select(*keys, "skill").distinct()
+    blocks = distinct.groupBy(*keys).agg(F.ceil(F.count("*") / block_sets).alias("_blocks"))
+    member = F.struct("skill", F.split("skill", ", ").alias("members"))
+    dealt = distinct.join(blocks, list(keys)).withColumn("block", F.pmod(F.xxhash64("skill"), F.col("_blocks")))
+    listed = dealt.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(member)).alias("_sets"))
     have = F.coalesce(F.col(owned), F.array().cast("array<string>"))
     left = F.filter("_sets", lambda s: F.size(F.array_except(s["members"], have)) > 0)
     return profiles.join(listed, list(keys)).withColumn("open", F.transform(left, lambda s: s["skill"])).drop("_sets")
@@ -281,7 +291,7 @@ def top_duties(scores: DataFrame, n: int = 3) -> DataFrame:
 
 
 def suggest_skill_sets(profiles: DataFrame, stats: DataFrame, limit: int = 2, probability: float = 1.0,
-                       per_rank: int = 2, strict_like: bool = False) -> DataFrame:
+                       per_rank: int = 2, strict_like: bool = False, block_sets: int = BLOCK_SETS) -> DataFrame:
     """Sets around the top skills of the profile's duty that the profile does not own yet.
 
     ``profiles`` has profile_id, duty, category and ``owned_skills`` (the skills chosen in that
@@ -289,43 +299,87 @@ def suggest_skill_sets(profiles: DataFrame, stats: DataFrame, limit: int = 2, pr
     at least ``probability`` percent that hold a top skill; two for rank 1, then of the other
     ranks the first ``per_rank`` not shown yet.
 
-    The candidates of a duty and category are one sorted array, no longer than the statistics
-    times ``limit``; it meets each profile row once and everything else happens in the row, for
-    any ``limit`` and ``per_rank``. Rows leave only for the sets that are shown.
+    A profile, duty and category counts once. The candidates of a rank lie in blocks of
+    ``block_sets`` in their order. A profile meets the first block, and only where too few of it are
+    open the next ones, twice as many each time, so no array grows with a key and few sets meet a profile.
     """
     keys = ["duty", "category"]
+    group = ["profile_id", *keys]
     ranked = top_skills(stats, limit).select(
         *keys, F.col("skill").alias("rskill"), F.col("probability").alias("rprobability"), F.col("rank").alias("rrank")
     )
     sets = stats.filter("unit = 3").filter(F.col("probability") >= probability).select(
         *keys, "skill", "probability", "pre_probability"
     )
-    placed = row_number_in_rank(contains_element_join(sets, ranked, keys, strict_like), keys)
-    fields = ["rrank", F.col("rn").alias("place"), "skill", "probability", "rskill", "rprobability", F.split("skill", ", ").alias("members")]
-    candidates = placed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_candidates"))
-    group = ["profile_id", *keys]
-    met = profiles.select(*group, F.coalesce("owned_skills", F.array().cast("array<string>")).alias("_owned")).join(candidates, keys)
-    met = met.withColumn("_open", F.filter("_candidates", lambda c: F.size(F.array_except(c["members"], F.col("_owned"))) > 0))
-    met = met.withColumn("_all", F.array_join(F.sort_array(F.array_distinct(F.transform("_open", lambda c: c["rskill"]))), ", "))
-    met = met.withColumn("_seen", F.array().cast("array<string>"))
-    shown = []
-    for rank in range(1, limit + 1):
-        # numbered among the open sets of the rank; the set of all ranked skills is never shown
-        own = F.filter("_open", (lambda rank: lambda c: c["rrank"] == rank)(rank))
-        numbered = F.filter(F.transform(own, lambda c, i: F.struct(c.alias("set"), (i + 1).alias("rn"))), lambda n: n["set"]["skill"] != F.col("_all"))
-        met = met.withColumn(f"_rank{rank}", F.slice(numbered, 1, 2) if rank == 1 else numbered)
-        names = F.transform(f"_rank{rank}", lambda n: n["set"]["skill"])
-        met = met.withColumn(f"_new{rank}", F.slice(F.array_except(names, "_seen"), 1, per_rank))
-        met = met.withColumn("_seen", F.array_union("_seen", names))
-        list_of = f"_rank{rank}"
-        shown.append(F.transform(f"_new{rank}", (lambda list_of: lambda s: F.get(F.filter(list_of, lambda n: n["set"]["skill"] == s), F.lit(0)))(list_of)))
-    rows = met.select(*group, F.explode(F.concat(*shown)).alias("s"))
-    return rows.select(
-        *group, F.col("s.set.skill").alias("skill"), F.round("s.set.probability", 2).alias("probability"), F.col("s.set.rskill").alias("rskill"),
-        F.round("s.set.rprobability", 2).alias("rprobability"), F.col("s.set.rrank").alias("rrank"), F.col("s.rn").alias("rn"),
+    blocks = candidate_blocks(contains_element_join(sets, ranked, keys, strict_like), keys, block_sets)
+    # the set of all ranked skills and two sets of rank 1 may be passed over
+    met = first_open(profiles, blocks, keys, per_rank + 3)
+    within = Window.partitionBy(*group)
+    met = met.withColumn("_all", F.array_join(F.sort_array(F.collect_set(F.when(F.col("n_open") > 0, F.col("rskill"))).over(within)), ", "))
+    rows = met.filter("s is not null").select(
+        *group, "rrank", "rskill", "rprobability", "rn", "s.skill", "s.probability", "_all"
+    ).filter(F.col("skill") != F.col("_all"))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*group, "rrank").orderBy("rn")))
+    rows = rows.filter("rrank > 1 or _nth <= 2")
+    fresh = rows.withColumn("_seen", F.min("rrank").over(Window.partitionBy(*group, "skill"))).filter(F.col("_seen") == F.col("rrank"))
+    fresh = fresh.withColumn("_nth", F.row_number().over(Window.partitionBy(*group, "rrank").orderBy("rn"))).filter(F.col("_nth") <= per_rank)
+    return fresh.select(
+        *group, "skill", F.round("probability", 2).alias("probability"), "rskill", F.round("rprobability", 2).alias("rprobability"), "rrank", "rn",
     )
 
 
+def candidate_blocks(joined: DataFrame, keys: Sequence[str], block_sets: int) -> DataFrame:
+    """(keys, rrank, rskill, rprobability, block, last, sets): the sets of each ranked skill in W4's order.
+
+    ``first`` in a set: no rank from 2 on shows it before this one does. ``last`` marks the last block.
+    """
+    again = Window.partitionBy(*keys, "skill")
+    placed = row_number_in_rank(joined, keys).withColumn(
+        "first", (F.col("rrank") == 1) | (F.col("rrank") == F.min(F.when(F.col("rrank") > 1, F.col("rrank"))).over(again))
+    )
+    dealt = placed.withColumn("block", F.floor((F.col("rn") - 1) / block_sets))
+    one = F.struct(F.col("rn").alias("place"), "skill", "probability", "first", F.split("skill", ", ").alias("members"))
+    listed = dealt.groupBy(*keys, "rrank", "rskill", "rprobability", "block").agg(F.sort_array(F.collect_list(one)).alias("sets"))
+    of_rank = Window.partitionBy(*keys, "rrank")
+    return saved_copy(listed.withColumn("last", F.col("block") == F.max("block").over(of_rank)), "set-blocks")
+
+
+def first_open(profiles: DataFrame, blocks: DataFrame, keys: Sequence[str], need: int) -> DataFrame:
+    """Per profile, key and rank the ``need`` first sets ``s`` that are open and first, with ``rn`` among all open ones.
+
+    ``n_open`` counts the open sets of a met block; a block without a set to show gives one row with null ``s``.
+    """
+    group = ["profile_id", *keys]
+    have = F.array_distinct(F.coalesce("owned_skills", F.array().cast("array<string>")))
+    wanted = profiles.select(*group, have.alias("_owned")).dropDuplicates(group).join(blocks.select(*keys, "rrank").distinct(), list(keys))
+    most = blocks.agg(F.max("block")).first()[0]
+    met, begin, width = None, 0, 1
+    while True:
+        some = blocks.filter((F.col("block") >= begin) & (F.col("block") < begin + width))
+        open_ones = F.filter("sets", lambda c: F.size(F.array_except(c["members"], F.col("_owned"))) > 0)
+        now = wanted.join(some, [*keys, "rrank"]).withColumn("_open", open_ones)
+        shown = F.filter(F.transform("_open", lambda c, i: F.struct(c.alias("s"), (i + 1).alias("nth"))), lambda n: n["s"]["first"])
+        now = now.select(
+            *group, "rrank", "rskill", "rprobability", "block", "last", F.size("_open").alias("n_open"), F.slice(shown, 1, need).alias("_shown")
+        )
+        begin, width = begin + width, 2 * width
+        if most is None or begin > most:
+            met = now if met is None else met.unionByName(now)
+            break
+        now = saved_copy(now, "open-sets")
+        met = now if met is None else met.unionByName(now)
+        short = met.groupBy(*group, "rrank").agg(F.sum(F.size("_shown")).alias("n"), F.max("last").alias("last")).filter((F.col("n") < need) & ~F.col("last"))
+        wanted = wanted.join(short.select(*group, "rrank"), [*group, "rrank"], "left_semi")
+        if wanted.isEmpty():
+            break
+    of_rank = Window.partitionBy(*group, "rrank").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    met = met.withColumn("_before", F.coalesce(F.sum("n_open").over(of_rank), F.lit(0)))
+    rows = met.select(*group, "rrank", "rskill", "rprobability", "n_open", "_before", F.explode_outer("_shown").alias("n"))
+    rows = rows.select("*", "n.s", (F.col("_before") + F.col("n.nth")).cast("int").alias("rn")).drop("n", "_before")
+    inside = Window.partitionBy(*group, "rrank").orderBy(F.asc_nulls_last("rn"))
+    return rows.withColumn("_at", F.row_number().over(inside)).filter((F.col("_at") <= need) | F.col("s").isNull()).drop("_at")
+
+
 def set_groups_report(suggested: DataFrame) -> DataFrame:
     """Suggested sets under the ranked skill that brought them, with their place from 0."""
     order = Window.partitionBy("profile_id", "duty", "category", "rskill").orderBy("rrank", "rn")

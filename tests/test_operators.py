@@ -219,8 +219,8 @@ def brute_suggest(stats, profile, limit, least):
     return set(kept)
 
 
-@pytest.mark.parametrize("limit", [1, 2, 3])
-def test_suggest_skill_sets(spark, limit):
+@pytest.mark.parametrize("limit, block_sets", [(1, 1_000), (2, 1_000), (3, 4), (3, 1_000)])
+def test_suggest_skill_sets(spark, limit, block_sets):
     rng = random.Random(5)
     skills = list("abcdefg")
     stats = [("d", "tool", s, 1, float(rng.randrange(1, 30)), float(rng.randrange(9))) for s in skills]
@@ -229,13 +229,29 @@ def test_suggest_skill_sets(spark, limit):
     got = S.suggest_skill_sets(
         spark.createDataFrame(profiles, "profile_id int, duty string, category string, owned_skills array<string>"),
         spark.createDataFrame(stats, "duty string, category string, skill string, unit int, probability double, pre_probability double"),
-        limit=limit, probability=1.0)
+        limit=limit, probability=1.0, block_sets=block_sets)
     found = {i: set() for i, *_ in profiles}
     for r in got.collect():
         found[r.profile_id].add((r.skill, r.rskill, r.rrank, r.rn))
     assert found == {i: brute_suggest(stats, (d, c, o), limit, 1.0) for i, d, c, o in profiles}
 
 
+def test_many_sets_of_one_key(spark):
+    """1,000 skills in one category: blocks stay bounded, whoever owns the best sets is shown later ones."""
+    n = 1_000
+    stats = [("d", "tool", f"s{k:04}", 1, float(n - k), 0.0) for k in range(n)]
+    stats += [("d", "tool", f"s0000, s{a:04}, s{b:04}", 3, float(n - a - b / n), 0.0) for a in range(1, 40) for b in range(a + 1, n)]
+    frame = spark.createDataFrame(stats, "duty string, category string, skill string, unit int, probability double, pre_probability double")
+    owned = {1: [], 2: [f"s{k:04}" for k in range(600)], 3: [f"s{k:04}" for k in range(n)]}
+    profiles = spark.createDataFrame([(i, "d", "tool", o) for i, o in owned.items()], "profile_id int, duty string, category string, owned_skills array<string>")
+    got = {(r.profile_id, r.skill, r.rrank, r.rn) for r in S.suggest_skill_sets(profiles, frame, 1).collect()}
+    assert got == {(1, "s0000, s0001, s0002", 1, 1), (1, "s0000, s0001, s0003", 1, 2), (2, "s0000, s0001, s0600", 1, 1), (2, "s0000, s0001, s0601", 1, 2)}
+    sets = frame.filter("unit = 3").select("duty", "category", "skill")
+    rows = S.open_sets(profiles, sets).selectExpr("profile_id", "size(open) n").groupBy("profile_id").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()
+    whole = sum(n - a - 1 for a in range(1, 40))
+    assert {r.profile_id: r.n for r in rows} == {1: whole, 2: 39 * 400, 3: 0} and max(r.most for r in rows) < 2 * S.BLOCK_SETS
+
+
 def test_fit_score(spark):
     stats = [("AI", "it_language", "python", 1, 60.0, 0.0), ("AI", "library", "torch", 1, 30.0, 0.0), ("AI", "it_language", "c", 1, 0.0, 1.0),
              ("none", "tool", "torch", 1, 5.0, 0.0), (C.LANGUAGE_DUTY, "tool", "torch", 1, 5.0, 0.0)]
