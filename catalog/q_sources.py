@@ -138,6 +138,13 @@ def _(spark, folder):
     return json_docs.skip_bad_json(raw_a(spark, folder), "jobPosition").select("row_id")
 
 
+@query("j03_rejected_rows", with_ctes(RAW_A_SQL, body="""
+SELECT o_orderkey AS row_id, CASE WHEN broken THEN 'not JSON' WHEN rootless THEN 'no root' ELSE 'kept' END AS channel FROM a"""))
+def _(spark, folder):
+    kept, rejected = json_docs.divert_bad_json(raw_a(spark, folder), "jobPosition", scratch_path(spark, "json-rows"))
+    return kept.select("row_id", F.lit("kept").alias("channel")).unionByName(rejected.select("row_id", F.col("reason").alias("channel")))
+
+
 @query("j04_default_missing_fields", with_ctes(RAW_A_SQL, body="""
 SELECT o_orderkey AS row_id, CASE WHEN rootless OR o_orderstatus = 'F' THEN '제목 없음' ELSE o_orderpriority END AS title,
   CASE WHEN rootless THEN '회사명 없음' ELSE 'Customer ' || o_custkey END AS company,

@@ -26,6 +26,29 @@ def skip_bad_json(df: DataFrame, root: str, text: str = "text") -> DataFrame:
     return df.filter(F.coalesce(F.size(_root_fields(F.col(text), root)), F.lit(0)) > 0)
 
 
+def json_fault(text: Column, root: str) -> Column:
+    """Why a text is skipped: 'no text', 'not JSON', 'no root' or 'empty root'; null for a text that is kept."""
+    kept = F.coalesce(F.size(_root_fields(text, root)), F.lit(0)) > 0
+    return (
+        F.when(kept, F.lit(None).cast("string")).when(F.coalesce(F.trim(text), F.lit("")) == "", "no text")
+        .when(F.try_parse_json(text).isNull(), "not JSON").when(F.get_json_object(text, f"$.{root}").isNull(), "no root")
+        .otherwise("empty root")
+    )
+
+
+def divert_bad_json(df: DataFrame, root: str, path: str, text: str = "text", reason: str = "reason") -> tuple[DataFrame, DataFrame]:
+    """J3, S4 with a channel for bad rows: (kept rows, rejected rows with their ``reason``).
+
+    Every row read is in one of the two. The rows are read once and stored under ``path``, the
+    rejected ones in a folder of their own, so later jobs over either part read no other rows.
+    """
+    fault = json_fault(F.col(text), root)
+    rows = df.select(F.struct(*df.columns).alias("row"), fault.alias("fault")).withColumn("rejected", F.col("fault").isNotNull())
+    rows.write.partitionBy("rejected").parquet(path)
+    stored = df.sparkSession.read.schema(rows.schema).parquet(path)
+    return stored.filter("not rejected").select("row.*"), stored.filter("rejected").select("row.*", F.col("fault").alias(reason))
+
+
 def _decoded_roots(df: DataFrame, schema, root: str, text: str) -> DataFrame:
     """One ``p`` row per document with a non-empty root.
 

@@ -113,6 +113,18 @@ def test_html(spark):
     assert one_column(spark, texts, "string", html.strip_html) == ["ab <c>", "plain  text", None, "xy", "a < b", "z", "onetwo"]
 
 
+def test_bad_rows_go_to_a_side_table(spark, tmp_path):
+    texts = ['{"a": {"x": 1}}', '{"a": {}}', '{"a": null}', '{"b": 1}', '{"a": {"x"', "", " ", None, "[1]", '{"a": 3}', '{"a": {"x": 1}}']
+    df = spark.createDataFrame([(i, t, "clash", True) for i, t in enumerate(texts)], "row int, text string, fault string, rejected boolean")
+    kept, bad = json_docs.divert_bad_json(df, "a", str(tmp_path / "rows"))
+    assert kept.columns == df.columns and bad.columns == [*df.columns, "reason"]
+    assert sorted(r["row"] for r in kept.collect()) == [0, 10] == sorted(r["row"] for r in json_docs.skip_bad_json(df, "a").collect())
+    assert {r["row"]: r["reason"] for r in bad.collect()} == {
+        1: "empty root", 2: "no root", 3: "no root", 4: "not JSON", 5: "no text", 6: "no text", 7: "no text", 8: "no root", 9: "empty root"}
+    none, nothing = json_docs.divert_bad_json(df.limit(0), "a", str(tmp_path / "none"))
+    assert none.count() == nothing.count() == 0
+
+
 def test_raw_documents(spark):
     texts = [
         '{"jobPosition": {"id": 1, "title": null, "technicalTags": [{"name": "c"}, {"x": 1}], "company": {"name": "n"}}}',
