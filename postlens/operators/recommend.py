@@ -9,8 +9,9 @@ from postlens import constants as K
 from postlens.functions.lists import bind, overlaps_list
 from postlens.functions.text import matches_ignore_case
 from postlens.operators import tfidf
-from postlens.operators.joins import optional_equality
+from postlens.operators.joins import join_hot, optional_equality
 from postlens.operators.sets import first_per_key
+from postlens.session import saved_copy
 
 
 def _term_counts(text: str, pattern: str, stop_words: Sequence[str]) -> Column:
@@ -42,25 +43,29 @@ def recommend_postings_tfidf(
     are fewer than k the lowest other ids follow with score 0. Scores are rounded to
     ``digits`` before ranking, so equal texts tie whatever order their sums were added in.
 
-    There is one way for any number of profiles and terms, see ``tfidf``. An index of the same
-    postings, ``tfidf_index``, may be given to be used again.
+    There is one way for any number of profiles and terms, see ``tfidf``. Profiles with the same
+    terms are worked out once, as are such postings. An index of the same postings,
+    ``tfidf_index``, may be given to be used again.
     """
     index = index or tfidf_index(postings, stop_words, pattern)
-    weights = tfidf.profile_weights(index, profiles.select("profile_id", _term_counts("skills", pattern, stop_words).alias("terms")))
-    scores = tfidf.best_postings(index, weights, k, digits)
-    best = first_per_key(scores, ["profile_id"], [F.desc("score"), F.asc("id")], k)
+    own = saved_copy(profiles.select("profile_id", F.sort_array(_term_counts("skills", pattern, stop_words)).alias("terms")), "profile-terms")
+    texts = saved_copy(own.groupBy("terms").agg(F.min("profile_id").alias("profile_id"), F.count("*").alias("profiles")), "profile-texts")
+    ranking = ["profile_id"], [F.desc("score"), F.asc("id")], k
+    scores = tfidf.best_postings(index, tfidf.profile_weights(index, texts), k, digits)
+    best = first_per_key(tfidf.with_copies(index, first_per_key(scores, *ranking), k), *ranking)
 
     # A profile with c < k scored ids needs k - c others: they are among the k lowest ids.
     lowest = postings.select("id").orderBy("id").limit(k).agg(F.sort_array(F.collect_list("id")).alias("ids"))
     have = F.coalesce("_ids", F.array().cast(f"array<{postings.schema['id'].dataType.simpleString()}>"))
     fill = F.slice(F.array_except(lowest.scalar(), have), F.lit(1), F.greatest(F.lit(k) - F.size(have), F.lit(0)))
-    # The k best rows per profile come as one list; with the fillers behind it they are placed in it.
-    lists = profiles.select("profile_id").join(
+    # The k best rows per text come as one list; with the fillers behind it they are placed in it.
+    lists = texts.join(
         best.groupBy("profile_id").agg(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id")).alias("_best")), "profile_id", "left"
     ).withColumn("_ids", F.transform("_best", lambda b: b["id"])).withColumn("_fill", fill)
     filler = F.transform("_fill", lambda i: F.struct(F.lit(-0.0).alias("minus"), i.alias("id")))
     ranked = F.sort_array(F.concat(F.coalesce("_best", F.slice(filler, 1, 0)), filler))
-    return lists.select("profile_id", F.posexplode(ranked).alias("place", "b")).select(
+    lists = saved_copy(lists.select("terms", "profiles", ranked.alias("_ranked")), "profile-lists")
+    return join_hot(own, lists, "terms", "profiles").select("profile_id", F.posexplode("_ranked").alias("place", "b")).select(
         "profile_id", F.col("b.id").alias("id"), (-F.col("b.minus")).alias("score"), (F.col("place") + 1).alias("place")
     )
 

@@ -5,6 +5,10 @@ postings with it, and the greatest share that the term has in any posting's vect
 these over a profile's terms bounds the profile's cosine with every posting of the block, so a
 block is worked out only for profiles that it can still give a better posting. A hot term is an
 entry in each block; its postings never meet its profiles in a join.
+
+Postings with the same terms are one entry, under the lowest of their ids, so the blocks grow with
+the different texts. A posting outside the k best entries of a profile, by score and lowest id, has k
+others before it; the copies of those k are all that ``with_copies`` has to look up.
 """
 
 from collections.abc import Iterator, Sequence
@@ -12,10 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from postlens.operators.joins import join_hot
+from postlens.operators.sets import first_per_key
 from postlens.session import saved_copy, ship_package
 
 #: Postings of a block.
@@ -32,24 +37,27 @@ SLACK = 1e-8
 class TfidfIndex:
     """``blocks`` (ids, norm2, terms, idf, idf_own, greatest, at, doc, tf), a row for each block: its postings and
     their squared norms, its terms with their weights and greatest impact, and the entries (place of the term in
-    ``terms``, place of the posting in ``ids``, tf). ``idf`` (term, idf, idf_own); ``n`` documents and one."""
+    ``terms``, place of the posting in ``ids``, tf). ``idf`` (term, idf, idf_own); ``n`` documents and one.
+    ``docs`` (id, terms): all postings, of which those with equal terms are the one with the lowest id in the blocks."""
 
     blocks: DataFrame
     idf: DataFrame
     n: float
+    docs: DataFrame
 
 
 def build_index(docs: DataFrame) -> TfidfIndex:
     """``docs`` has id and terms, an array of (term, tf). The profile's own text counts as one more document."""
     spark = docs.sparkSession
     ship_package(spark)
-    docs = saved_copy(docs, "posting-terms")
-    entries = docs.select("id", F.inline("terms"))
-    frequency = saved_copy(entries.groupBy("term").agg(F.count("*").alias("df")), "vocabulary")
+    docs = saved_copy(docs.select("id", F.sort_array("terms").alias("terms")), "posting-terms")
+    texts = saved_copy(docs.groupBy("terms").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "posting-texts")
+    entries = texts.select("id", "copies", F.inline("terms"))
+    frequency = saved_copy(entries.groupBy("term").agg(F.sum("copies").alias("df"), F.count("*").alias("texts")), "vocabulary")
     n = docs.count() + 2.0
-    idf = frequency.select("term", "df", (F.log(n / (F.col("df") + 1)) + 1).alias("idf"), (F.log(n / (F.col("df") + 2)) + 1).alias("idf_own"))
+    idf = frequency.select("term", "texts", (F.log(n / (F.col("df") + 1)) + 1).alias("idf"), (F.log(n / (F.col("df") + 2)) + 1).alias("idf_own"))
     idf = saved_copy(idf, "idf")
-    sized = join_hot(entries, idf, "term", "df")
+    sized = join_hot(entries.drop("copies"), idf, "term", "texts")
     rows = sized.groupBy("id").agg(
         F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).alias("norm2"), F.sum(F.pow(F.col("tf") * F.col("idf_own"), 2)).alias("floor2"),
         F.collect_list(F.struct("term", "tf", "idf", "idf_own")).alias("terms"),
@@ -86,7 +94,7 @@ def build_index(docs: DataFrame) -> TfidfIndex:
                 yield pa.RecordBatch.from_arrays(lists, names=["ids", "norm2", "terms", "idf", "idf_own", "greatest", "at", "doc", "tf"])
 
     blocks = rows.select("id", "norm2", "floor2", "terms").mapInArrow(blocked, schema)
-    return TfidfIndex(saved_copy(blocks, "posting-blocks"), idf.select("term", "idf", "idf_own"), n)
+    return TfidfIndex(saved_copy(blocks, "posting-blocks"), idf.select("term", "idf", "idf_own"), n, docs)
 
 
 class _Profiles:
@@ -171,7 +179,7 @@ def _meet(profiles: _Profiles, best: _Best, block: dict, digits: int) -> None:
 
 
 def best_postings(index: TfidfIndex, weights: DataFrame, k: int, digits: int) -> DataFrame:
-    """(profile_id, id, score): at least the ``k`` best postings of each profile, of each part of the blocks.
+    """(profile_id, id, score): at least the ``k`` best entries of each profile, of each part of the blocks.
 
     ``weights`` has profile_id, term and weight, whose squares sum to 1. Profiles go in passes of
     about ``PASS_ENTRIES`` weights; a pass tells them to every task and reads the blocks once.
@@ -205,6 +213,13 @@ def best_postings(index: TfidfIndex, weights: DataFrame, k: int, digits: int) ->
     return out
 
 
+def with_copies(index: TfidfIndex, best: DataFrame, k: int) -> DataFrame:
+    """(profile_id, id, score) of entries as the postings that they stand for, of each the ``k`` lowest ids."""
+    copies = first_per_key(index.docs, ["terms"], [F.asc("id")], k)  # k of each text in a partition are shuffled
+    named = copies.select(F.min("id").over(Window.partitionBy("terms")).alias("_entry"), "id")
+    return best.withColumnRenamed("id", "_entry").join(named, "_entry").select("profile_id", "id", "score")
+
+
 def profile_weights(index: TfidfIndex, profiles: DataFrame) -> DataFrame:
     """(profile_id, term, weight) of ``profiles`` (profile_id and terms, an array of (term, tf)), of length 1."""
     wanted = profiles.select("profile_id", F.inline("terms"))

@@ -319,6 +319,21 @@ def test_recommendation_of_copies_and_text_ids(spark):
         assert found[pid] == [i for i, _ in brute_tfidf(postings, profiles[pid], 5)], pid
 
 
+def test_recommendation_works_out_equal_texts_once(spark):
+    """Copies of postings and of profiles, in any order of their words, add no entries and no weights."""
+    texts = ["python react", "react python", "python", "java java go", "", "go java java", "vue"]
+    postings = [(i, texts[i % 7]) for i in range(70)]
+    profiles = [(i, ("go python", "python go", "unknown", "")[i % 4]) for i in range(40)]
+    index = R.tfidf_index(spark.createDataFrame(postings, "id int, skills string"))
+    assert sorted(i for r in index.blocks.collect() for i in r.ids) == [0, 2, 3, 6]
+    got = R.recommend_postings_tfidf(
+        spark.createDataFrame(postings, "id int, skills string"), spark.createDataFrame(profiles, "profile_id int, skills string"), k=25, index=index)
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: (r.profile_id, r.place)):
+        found.setdefault(r.profile_id, []).append(r.id)
+    assert found == {p: [i for i, _ in brute_tfidf(postings, text, 25)] for p, text in profiles}
+
+
 def test_recommendation_with_empty_tables(spark):
     postings, profiles = spark.createDataFrame([(1, "java"), (2, None)], "id int, skills string"), spark.createDataFrame([(1, "java"), (2, None)], "profile_id int, skills string")
     assert R.recommend_postings_tfidf(postings.limit(0), profiles).collect() == [] == R.recommend_postings_tfidf(postings, profiles.limit(0)).collect()
