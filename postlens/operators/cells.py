@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from postlens.operators.nearest import nearest_items
 from postlens.operators.sets import first_per_key
 from postlens.session import saved_copy, scratch_path, ship_package
 
@@ -20,7 +21,7 @@ from postlens.session import saved_copy, scratch_path, ship_package
 SAMPLE_ROWS = 20_000
 MOST_CELLS = 1_024
 ROUNDS = 10
-#: Items of a cell that meet its requests under one join key, about.
+#: Items of a cell that are written by one task, about.
 BLOCK_ROWS = 20_000
 #: Slack of a bound, beyond the rounding of scores and angles.
 SLACK = 1e-6
@@ -96,48 +97,37 @@ def cell_search(
     ``probes`` nearest cells are looked into; with it the result is that of a comparison with all
     items. Requests without a direction find nothing.
 
-    Requests and items are joined on (cell, block): a large cell is dealt to blocks of about
-    ``BLOCK_ROWS``, each of which meets all the cell's requests, so no key grows with a cell.
+    Items stay in their cells; requests are told to the tasks with the cells that they look into,
+    see ``nearest``.
     """
     ship_package(queries.sparkSession)
     asked = saved_copy(queries.withColumn("_n2", norm2("vector")).filter("_n2 > 0"), "requests")
     centroids, radius, rows = index.centroids, index.radius, index.rows
-    blocks = F.array(*[F.lit(int(b)) for b in np.maximum(1, -(-rows // BLOCK_ROWS))])
 
-    def angles(vectors: pd.Series) -> np.ndarray:
-        angle = np.arccos(np.clip(_unit(np.stack(vectors).astype(float)) @ centroids.T, -1, 1))
+    def angles(vectors: np.ndarray) -> np.ndarray:
+        if not rows.any():
+            return np.full((len(vectors), len(rows)), np.inf)
+        angle = np.arccos(np.clip(vectors @ centroids.T, -1, 1))
         return np.where(rows > 0, angle, np.inf)  # empty cells come last
 
-    @F.pandas_udf("array<int>")
-    def nearest(vectors: pd.Series) -> pd.Series:
-        angle = angles(vectors)
-        order = np.argsort(angle, axis=1, kind="stable")[:, :probes]
-        return pd.Series([[c for c in o.tolist() if np.isfinite(a[c])] for o, a in zip(order, angle)])
+    def nearest(angle: np.ndarray) -> np.ndarray:
+        near = np.zeros(angle.shape, bool)
+        np.put_along_axis(near, np.argsort(angle, axis=1, kind="stable")[:, :probes], True, axis=1)
+        return near & np.isfinite(angle)
 
-    @F.pandas_udf("array<int>")
-    def promising(vectors: pd.Series, least: pd.Series) -> pd.Series:
-        """Cells beyond the nearest that can hold a score of ``least`` or more."""
+    def promising(requests: list, vectors: np.ndarray) -> np.ndarray:
+        """Cells beyond the nearest that can hold a score as good as the k-th found."""
         angle = angles(vectors)
         bound = np.where(np.isfinite(angle), np.cos(np.maximum(angle - radius, 0)), -np.inf) + SLACK
-        order = np.argsort(angle, axis=1, kind="stable")[:, probes:]
-        return pd.Series([[c for c in o.tolist() if b[c] >= t] for o, b, t in zip(order, bound, least)])
-
-    def look(requests: DataFrame, cells: Column) -> DataFrame:
-        request = F.struct(*queries.columns, "_n2").alias("_r")
-        wanted = requests.select(request, F.explode(cells).alias("cell"))
-        wanted = wanted.withColumn("_block", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("cell")) - 1)))
-        items = index.items.withColumn("_block", F.pmod(F.xxhash64("id"), F.get(blocks, F.col("cell")).cast("long")).cast("int"))
-        met = items.join(wanted, ["cell", "_block"]).filter(F.coalesce(condition(F.col, F.col("_r")), F.lit(False)))
-        dot = F.aggregate(F.zip_with("embedding", F.col("_r.vector"), lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-        hits = met.select(F.col("_r.query_id").alias("query_id"), "id", F.round(dot / F.sqrt(F.col("_n2") * F.col("_r._n2")), digits).alias("score"))
-        return first_per_key(hits, ["query_id"], [F.desc("score"), F.asc("id")], k)
-
-    found = look(asked, nearest("vector"))
+        return ~nearest(angle) & (bound >= np.array([r["_least"] for r in requests])[:, None])
+
+    found = nearest_items(index.items, asked, condition, k, digits, lambda requests, vectors: nearest(angles(vectors)))
     if exact:
         found = saved_copy(found, "nearest")
         least = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(-2.0)).alias("_least"))
         more = asked.join(least, "query_id", "left").withColumn("_least", F.coalesce("_least", F.lit(-2.0)))
-        found = first_per_key(found.unionByName(look(more, promising("vector", "_least"))), ["query_id"], [F.desc("score"), F.asc("id")], k)
+        others = nearest_items(index.items, more, condition, k, digits, promising, ["_least"])
+        found = first_per_key(found.unionByName(others), ["query_id"], [F.desc("score"), F.asc("id")], k)
     return found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
 
 
@@ -149,7 +139,9 @@ def probes_for(index: CellIndex, recall: float = 0.95, k: int = 5, requests: int
     """
     some = index.items.select(F.col("id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector")).orderBy(F.xxhash64("query_id"), "query_id").limit(requests)
     some = saved_copy(some, "sample")
-    found = cell_search(index, some, lambda item, request: item("id") != request["query_id"], k, exact=True)
+    # Without the item itself k of the k + 1 nearest are left, or k + 1 where it isn't among them.
+    found = cell_search(index, some, lambda item, request: F.lit(True), k + 1, exact=True).filter("id <> query_id")
+    found = first_per_key(found, ["query_id"], [F.asc("place")], k)
     where = found.join(index.items.select("id", "cell"), "id").join(some, "query_id").select("vector", "cell").collect()
     if not where:
         return 1

@@ -10,6 +10,7 @@ from postlens.functions.lists import bind, overlaps_list
 from postlens.functions.text import matches_ignore_case
 from postlens.operators import tfidf
 from postlens.operators.joins import join_hot, optional_equality
+from postlens.operators.nearest import nearest_items
 from postlens.operators.sets import first_per_key
 from postlens.session import saved_copy
 
@@ -106,7 +107,7 @@ def nearest_to_vector(items: DataFrame, vector: Sequence[float], k: int = 5, dig
     ).limit(k)
 
 
-#: Requests that one item row meets at once.
+#: Least number of requests for which items are dealt out anew before they are compared.
 REQUEST_BLOCK = 200
 
 
@@ -118,29 +119,16 @@ def filtered_vector_search(
 
     ``items`` has id, embedding and metadata; ``queries`` has query_id (unique), vector and its
     own metadata; ``condition(item, request)`` is a column over ``item("name")`` and
-    ``request["name"]``, as ``matches_filters`` makes it. Requests form blocks; each item meets
-    each block once, whatever its metadata, so no metadata value is a join key and none can be
-    hot. Filters and scores are worked out in the row, only hits leave it, and each partition
-    keeps k rows per request before the only shuffle of hits.
+    ``request["name"]``, as ``matches_filters`` makes it. Requests are told to every task in
+    passes, so no metadata value is a join key and none can be hot; filters and scores are worked
+    out where the items lie, and each task keeps k rows per request before the only shuffle of
+    hits, see ``nearest``. More than ``block`` requests are worth dealing the items to all cores.
+    Vectors without a direction score null.
     """
-    def norm2(c):
-        return F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-
-    # Norms once per vector, not once per pair.
-    sized = queries.withColumn("_n2", norm2("vector"))
-    blocks = -(-queries.count() // block)
-    grouped = sized.withColumn("_block", F.pmod(F.hash("query_id"), F.lit(max(1, blocks)))).groupBy("_block").agg(
-        F.collect_list(F.struct(*sized.columns)).alias("_requests"))
-    left = items.withColumn("_n1", norm2("embedding")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))))
-
-    def score(request):
-        dot = F.aggregate(
-            F.zip_with("embedding", request["vector"], lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-        return F.struct(request["query_id"].alias("query_id"), F.round(dot / F.sqrt(F.col("_n1") * request["_n2"]), digits).alias("score"))
-
-    meets = F.filter("_requests", lambda r: F.coalesce(condition(F.col, r), F.lit(False)))
-    hits = left.join(grouped, "_block").withColumn("_hits", F.transform(meets, score)).select("id", F.inline("_hits"))
-    best = first_per_key(hits.select("query_id", "id", "score"), ["query_id"], [F.desc("score"), F.asc("id")], k)
+    spread = items
+    if queries.count() > block:
+        spread = items.repartition(items.sparkSession.sparkContext.defaultParallelism)
+    best = nearest_items(spread, queries, condition, k, digits)
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return best.withColumn("place", F.row_number().over(place))
 

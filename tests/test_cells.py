@@ -74,3 +74,30 @@ def test_requests_read_their_cells_only(spark):
     index = C.build_cells(items)
     plan = index.items.filter("cell = 3")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "(cell#" in plan.split("PartitionFilters")[1][:120]
+
+
+@pytest.mark.parametrize("limits", [{}, {"PASS_REQUESTS": 7, "CHUNK_SCORES": 40}])
+def test_comparison_makes_no_rows_of_pairs(spark, monkeypatch, limits):
+    """Against brute force, with copies, texts as ids and vectors without a direction; no pair of item and request is a row."""
+    from postlens.operators import nearest as N
+
+    for name, value in limits.items():
+        monkeypatch.setattr(N, name, value)
+    vectors = clustered(7, 150)
+    rows = [(f"i{k:03}", v.tolist(), k % 3) for k, v in enumerate(vectors)] + [(f"c{k:03}", vectors[0].tolist(), 1) for k in range(60)]
+    rows += [("zero", [0.0] * 16, 1), ("none", None, 1), ("short", [1.0], 2)]
+    items = spark.createDataFrame(rows, "id string, embedding array<float>, degree int").repartition(3)
+    requests = [(k, v.tolist(), k % 3) for k, v in enumerate(clustered(8, 20))] + [(90, vectors[0].tolist(), None)]
+    asked = spark.createDataFrame(requests, "query_id long, vector array<float>, degree int")
+    got = R.filtered_vector_search(items, asked, R.matches_filters(optional=["degree"]), k=65)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "zip_with" not in plan
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: r.place):
+        found.setdefault(r.query_id, []).append((r.id, r.score))
+    unit = lambda v: np.array(v, float) / np.linalg.norm(v)
+    for q, vector, degree in requests:
+        scored = [(i, round(float(unit(v) @ unit(vector)), 9) if v and len(v) == 16 and any(v) else None) for i, v, d in rows if not degree or d == degree]
+        want = sorted(scored, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))[:65]
+        assert [i for i, _ in found[q]] == [i for i, _ in want], q
+        assert all(a == b or abs(a - b) < 2e-9 for (_, a), (_, b) in zip(found[q], want))
