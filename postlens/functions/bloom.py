@@ -17,7 +17,9 @@ _ROW_BITS = 32_768
 
 
 def _positions(key: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(k), key), F.lit(bits)) for k in range(SET)]
+    """The bits of a key, all from one hash: its lower half, then on by its odd upper half."""
+    low, step = F.xxhash64(key).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.xxhash64(key), 32).bitwiseOR(F.lit(1))
+    return [F.pmod(low + k * step, F.lit(bits)) for k in range(SET)]
 
 
 @dataclass
@@ -54,3 +56,28 @@ class BloomFilter:
             return pd.Series(found)
 
         return df.filter(known(*_positions(F.col(key), bits)))
+
+    def places(self, df: DataFrame, keys: Column, out: str) -> DataFrame:
+        """Add the places (from 0) of an array whose keys may be the filter's: looked up in the row, none is made a row.
+
+        The lookup is marked non-deterministic only to keep Spark from moving it into expressions that can't hold Python.
+        """
+        ship_package(df.sparkSession)
+        shared = df.sparkSession.sparkContext.broadcast(self.bitmap)
+        bits = 8 * len(self.bitmap)
+
+        @F.pandas_udf("array<int>")
+        def known(hashes: pd.Series) -> pd.Series:
+            bitmap, found = shared.value, True
+            lists = [np.zeros(0, np.int64) if h is None else h for h in hashes]
+            sizes = np.array([len(h) for h in lists])
+            key = np.concatenate(lists).astype(np.int64).view(np.uint64)
+            low, step = key & np.uint64(0xFFFFFFFF), key >> np.uint64(32) | np.uint64(1)
+            for k in range(SET):
+                at = (low + np.uint64(k) * step) % np.uint64(bits)
+                found = found & (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            row = np.repeat(np.arange(len(lists)), sizes)
+            place = (np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+            return pd.Series(np.split(place[found], np.cumsum(np.bincount(row[found], minlength=len(lists)))[:-1])) if len(key) else pd.Series([place] * len(lists))
+
+        return df.withColumn(out, known.asNondeterministic()(F.transform(keys, lambda key: F.xxhash64(key))))

@@ -32,9 +32,23 @@ def _numbered_copy(df: DataFrame, label: str) -> DataFrame:
 def hits_of(tokens: DataFrame, table: DataFrame) -> DataFrame:
     """The tokens (any columns and ``key``) that ``table`` has (unique ``key``), with their ``value``.
 
-    What passes the Bloom filter is written down and counted by key, which tells the hot ones.
+    Only what passes the Bloom filter goes on.
     """
-    likely = saved_copy(BloomFilter.of(table, "key").keep(tokens, "key"), "hits")
+    return _meet(BloomFilter.of(table, "key").keep(tokens, "key"), table)
+
+
+def hits_in(rows: DataFrame, keys: str, table: DataFrame) -> DataFrame:
+    """(_row, the fields of the elements, value) of the elements of an array column, structs with a field ``key``, that ``table`` has.
+
+    The Bloom filter is looked up in the row, so only what passes it becomes a row.
+    """
+    placed = BloomFilter.of(table, "key").places(rows, F.transform(keys, lambda e: e["key"]), "_likely")
+    return _meet(placed.select(_ROW, F.inline(F.transform("_likely", lambda i: F.get(keys, i)))), table)
+
+
+def _meet(likely: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows joined with the table; they are written down and counted by key, which tells the hot ones."""
+    likely = saved_copy(likely, "hits")
     counts = likely.groupBy("key").agg(F.count("*").alias("_n"))
     known = saved_copy(table.join(counts, "key"), "hit-keys")
     return join_hot(likely, known, "key", "_n").filter(F.col("value").isNotNull())
@@ -45,8 +59,8 @@ def attach_matches(df: DataFrame, keys: str, table: DataFrame, out: str = "_foun
 
     ``df`` is numbered and stored. Rows without a hit get an empty map.
     """
-    tokens = df.select(_ROW, F.explode(F.array_distinct(keys)).alias("key"))
-    hits = hits_of(tokens, table).groupBy(_ROW).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias(out))
+    tokens = df.select(_ROW, F.transform(F.array_distinct(keys), lambda t: F.struct(t.alias("key"))).alias("_tokens"))
+    hits = hits_in(tokens, "_tokens", table).groupBy(_ROW).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias(out))
     kind = f"map<string,{table.schema['value'].dataType.simpleString()}>"
     return df.join(hits, _ROW, "left").withColumn(out, F.coalesce(out, F.create_map().cast(kind)))
 
@@ -117,11 +131,12 @@ def dictionary_tokenize(
     else:
         rows = _numbered_copy(rows, "words")
         # Only places whose word opens a term go on, with the words that a term may take; of these, the groups that may be one.
-        runs = F.transform(starts(2), lambda i: F.struct((i + 1).alias("at"), F.get(w, i).alias("key"), F.slice(w, i + 1, ready.longest).alias("_run")))
-        places = ready.opening.keep(rows.select(_ROW, F.inline(runs)), "key")
-        groups = F.transform(F.sequence(F.lit(2), F.size("_run")), lambda n: F.array_join(F.slice("_run", F.lit(1), n), " "))
+        opened = ready.opening.places(rows.select(_ROW, "_words"), w, "_open").withColumn("_open", F.filter("_open", lambda i: i < F.size(w) - 1))
+        group = lambda i, n: F.struct((i + 1).alias("at"), F.array_join(F.slice(w, i + 1, n), " ").alias("key"))
+        groups = F.flatten(F.transform("_open", lambda i: F.transform(
+            F.sequence(F.lit(2), F.least(F.lit(ready.longest), F.size(w) - i)), lambda n: group(i, n))))
         hits = (
-            hits_of(places.select(_ROW, "at", F.explode(groups).alias("key")), ready.found.table)
+            hits_in(opened.select(_ROW, groups.alias("_groups")), "_groups", ready.found.table)
             .groupBy(_ROW, "at").agg(F.max("value").alias("n"))
             .groupBy(_ROW).agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("_hits"))
         )

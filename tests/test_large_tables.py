@@ -56,6 +56,20 @@ def test_hits_that_are_shuffled_follow_the_hits(spark):
     assert T.hits_of(tokens, table).count() == 1_000 and likely < 1_000 + 0.04 * 199_000
 
 
+def test_tokens_are_filtered_before_they_are_rows(spark):
+    """Places in arrays equal the rows that ``keep`` leaves, with empty and null arrays."""
+    known = spark.range(500).select(F.concat(F.lit("k"), "id").alias("key"))
+    own = BloomFilter.of(known, "key")
+    rows = spark.range(300).select("id", F.when(F.col("id") % 7 > 0, F.transform(F.sequence(F.lit(1), F.col("id") % 5), lambda i: F.concat(F.lit("k"), F.col("id") * i))).alias("keys"))
+    placed = own.places(rows, F.col("keys"), "at").select("id", F.explode(F.transform("at", lambda i: F.get("keys", i))).alias("key"))
+    kept = own.keep(rows.select("id", F.explode("keys").alias("key")), "key")
+    assert sorted(placed.collect()) == sorted(kept.collect()) and placed.count() > 100
+    table = known.withColumn("value", F.lit("x"))
+    hits = T.hits_in(rows.select(F.col("id").alias("_row"), F.transform("keys", lambda k: F.struct(k.alias("key"))).alias("e")), "e", table)
+    assert hits.count() == rows.select(F.explode("keys").alias("key")).join(known, "key", "left_semi").count()
+    assert T.hits_in(rows.limit(0).select(F.col("id").alias("_row"), F.transform("keys", lambda k: F.struct(k.alias("key"))).alias("e")), "e", table).count() == 0
+
+
 def random_baskets(spark, seed, n=150, skills=14):
     rng, rows = random.Random(seed), []
     for k in range(n):
