@@ -22,7 +22,8 @@ def labelled_tokens(
     one; and the rows are split 80 : 10 : 10.
     """
     tagged = annotate_tokens(texts, tokens, dictionary, order).select(F.explode(F.arrays_zip(F.col(tokens).alias("token"), F.col("tags").alias("label"))).alias("t"))
-    rows = relabel_from_lookup(tagged.select("t.token", "t.label"), relabels, "token", "label").select("token", "label")
+    # Equal rows are relabelled alike, so one of them is enough from here on.
+    rows = relabel_from_lookup(drop_duplicate_rows(tagged.select("t.token", "t.label")), relabels, "token", "label").select("token", "label")
     unique = drop_duplicate_rows(union_replace_subset(rows, subset, replacement.select("token", "label")))
     grown = oversample_to_largest(unique.withColumn("_id", F.concat_ws("|", "label", "token")), "_id", "label", seed=seed)
     numbered = grown.withColumn("_row", F.concat_ws("|", "_id", F.col("copy").cast("string")))
