@@ -43,6 +43,14 @@ class BloomFilter:
 
     def keep(self, df: DataFrame, key: str) -> DataFrame:
         """The rows whose key may be one of the filter's: all that are, and few others."""
+        return df.filter(self._known(df, key))
+
+    def split(self, df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        """The rows that ``keep`` keeps, and the others, none of which has a key of the filter."""
+        known = self._known(df, key)
+        return df.filter(known), df.filter(~known)
+
+    def _known(self, df: DataFrame, key: str) -> Column:
         ship_package(df.sparkSession)
         shared = df.sparkSession.sparkContext.broadcast(self.bitmap)
         bits = 8 * len(self.bitmap)
@@ -55,7 +63,7 @@ class BloomFilter:
                 found = found & (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
             return pd.Series(found)
 
-        return df.filter(known(*_positions(F.col(key), bits)))
+        return known(*_positions(F.col(key), bits))
 
     def places(self, df: DataFrame, keys: Column, out: str) -> DataFrame:
         """Add the places (from 0) of an array whose keys may be the filter's: looked up in the row, none is made a row.

@@ -5,7 +5,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from postlens.session import saved_copy, shared_folder, ship_package
+from postlens.session import job_folder, saved_copy, shared_folder, ship_package
 
 #: Rows with a null id take this one's place in joins and orders.
 NO_ID = -(1 << 63)
@@ -39,6 +39,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return saved_copy(df, label)
 
 
+def forget(copy: DataFrame) -> None:
+    """Delete a stored copy that nothing reads any more."""
+    files, jvm = copy.inputFiles(), copy.sparkSession.sparkContext._jvm
+    if files:
+        folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files[0])).getParent()
+        system = folder.getFileSystem(copy.sparkSession.sparkContext._jsc.hadoopConfiguration())
+        job = system.makeQualified(jvm.org.apache.hadoop.fs.Path(job_folder(copy.sparkSession)))
+        if not folder.getParent().equals(job):
+            raise ValueError(f"{folder} is no stored copy of this job")
+        system.delete(folder, True)
+
+
 def drop_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now.
 

@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from postlens.llm.common import NO_ID, drop_shuffles, free_name, pieces, prepare, stored, text_bytes
+from postlens.functions.bloom import BloomFilter
+from postlens.llm.common import NO_ID, drop_shuffles, forget, free_name, pieces, prepare, stored, text_bytes
 
 LEAST_WORDS = 50
 LINE_WORDS = 25
@@ -238,20 +239,28 @@ def dedupe(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LI
     ASCII white space. Texts of fewer than ``least_words`` words can't hold a passage and stay
     as they are, null and empty ones too. A ``removed`` column of the input is replaced.
 
-    Two joins move texts: one for the fingerprints whose places differ, one for the cuts. A passage
+    Two joins move texts: one for the fingerprints whose places differ, one for the cuts; of the latter
+    a Bloom filter of the cut texts holds back the others, which aren't shuffled. A passage
     that any share of the texts repeat is a hot key only where Spark can split the join.
     """
     spark = prepare(docs)
     drop_shuffles(spark)
     docs = docs.drop("removed")
     found = stored(fingerprints(docs, least_words, line_words), "winnowed")
-    place, words = F.struct("id", "mark", "at"), F.struct("context", F.col("at") - F.col("start"), F.col("until") - F.col("start"))
+    place = F.struct("id", "mark", "at")
+    # The windows' words and where the line lies in them; the two lengths as one number.
+    words = [F.col("context"), F.shiftleft((F.col("at") - F.col("start")).cast("long"), 32) + F.col("until") - F.col("start")]
     lines = found.filter("h is not null")
-    groups = lines.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), (F.min(words) != F.max(words)).alias("mixed"))
-    # Each step's result is written, so that its shuffle files can go before the next step's are made.
+    mixed = (F.min(words[0]) != F.max(words[0])) | (F.min(words[1]) != F.max(words[1]))
+    groups = lines.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), mixed.alias("mixed"))
+    # Each step's result is written, so that its shuffle files, and the results that only it reads, can go
+    # before the next step's are made.
     shared = stored(groups.filter("first != last").select("h", "first", "mixed"), "repeated-lines")
     drop_shuffles(spark)
     met = stored(lines.join(shared, "h").filter(F.col("mixed") | (place != F.col("first"))).select("h", "id", "mark", "start", "until", "mixed"), "repeats")
+    own = stored(found.filter("h is null").select("id", "mark", "start", "until"), "own-repeats")
+    forget(shared)
+    forget(found)
     drop_shuffles(spark)
     windows = stored(window_hashes(docs, met.filter("mixed"), least_words), "repeat-windows")
     drop_shuffles(spark)
@@ -260,11 +269,13 @@ def dedupe(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LI
     spans = [
         later.select("id", "mark", F.col("at").alias("start"), (F.col("at") + least_words).alias("until")),
         met.filter("not mixed").select("id", "mark", "start", "until"),
-        found.filter("h is null").select("id", "mark", "start", "until"),
+        own,
     ]
-    own_id, own_mark, slices_of = (free_name(docs, name) for name in ("id", "mark", "slices"))
+    own_id, own_mark, own_key, slices_of = (free_name(docs, name) for name in ("id", "mark", "key", "slices"))
     cuts = stored(spans[0].unionByName(spans[1]).unionByName(spans[2]).groupBy(F.col("id").alias(own_id), F.col("mark").alias(own_mark)).agg(
         F.collect_set(F.struct("start", "until")).alias(slices_of)), "repeat-cuts")
+    for done in (windows, met, own):
+        forget(done)
     drop_shuffles(spark)
 
     columns = docs.columns
@@ -288,7 +299,9 @@ def dedupe(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LI
                 yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "removed"])
 
     keyed = docs.withColumns(dict(zip((own_id, own_mark), _place())))
-    joined = keyed.join(cuts, [own_id, own_mark], "left").select(*columns, slices_of)
+    key = F.xxhash64(own_id, own_mark).alias(own_key)
+    likely, whole = BloomFilter.of(cuts.select(key), own_key).split(keyed.select("*", key), own_key)
+    joined = likely.join(cuts, [own_id, own_mark], "left").select(*columns, slices_of)
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     kind = T.StructType([*docs.schema.fields, T.StructField("removed", T.ArrayType(span))])
-    return joined.mapInArrow(cut, kind)
+    return joined.mapInArrow(cut, kind).unionByName(whole.select(*columns, F.array().cast(kind["removed"].dataType).alias("removed")))

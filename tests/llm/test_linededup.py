@@ -143,3 +143,27 @@ def test_window_minima_equal_a_plain_search():
         hashes = rng.integers(0, 40, 300).astype(np.uint64)  # many are equal
         plain = [int(k + hashes[k : k + window].argmin()) for k in range(len(hashes) - window + 1)]
         assert L.window_minima(hashes, window).tolist() == plain
+
+
+def test_texts_without_cuts_are_not_shuffled(spark):
+    rng = random.Random(8)
+    passage = " ".join(words(rng, 60))
+    rows = [(k, " ".join(words(rng, 80)), "en") for k in range(20)] + [(30, passage, "en"), (31, f"{passage} end", "en"), (32, None, "en")]
+    out = L.dedupe(frame(spark, rows))
+    cut = {r["doc_id"]: (r["text"], len(r["removed"])) for r in out.collect()}
+    assert cut == {k: (t, 0) for k, t, _ in rows if k != 31} | {31: ("end", 1)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.count("Join") == 1, plan
+
+
+def test_only_the_cuts_stay_stored(spark):
+    import os
+
+    from postlens.session import job_folder
+
+    def folders():
+        return set(os.listdir(job_folder(spark))) if os.path.isdir(job_folder(spark)) else set()
+
+    before = folders()
+    assert L.dedupe(frame(spark, corpus(5))).count() == len(corpus(5))
+    assert [name.rsplit("-", 1)[0] for name in folders() - before] == ["repeat-cuts"]
