@@ -3,7 +3,7 @@
 from pyspark.sql import Window, functions as F, types as T
 
 from catalog.registry import query
-from catalog.views import V2_LISTS_SQL, V2_SQL, V8_SQL, pick, table, v2_skill_lists, v8_tokens, with_ctes
+from catalog.views import V2_LISTS_SQL, V2_SQL, V8_SQL, pick, spread, table, v2_skill_lists, v8_tokens, with_ctes
 from postlens.functions import lists as L, text as X
 from postlens.operators import keyed
 from postlens.session import scratch_path
@@ -112,10 +112,12 @@ def _(spark, folder):
 
 
 def raw_b(spark, folder):
+    # The customers first: rows that carry their skills already aren't dealt and sorted by customer.
+    orders = spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"), "o_custkey", folder, "lineitem")
     rows = (
-        table(spark, folder, "orders").join(v2_skill_lists(spark, folder).select("id", "skills"), F.col("o_orderkey") == F.col("id"))
-        .join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        orders.join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(F.broadcast(table(spark, folder, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(v2_skill_lists(spark, folder).select("id", "skills"), F.col("o_orderkey") == F.col("id"))
     )
     named = lambda c: F.struct(c.alias("text"))
     children = F.when(F.col("o_orderstatus") != "P", F.array(named(F.lit("seg")), named(F.col("o_orderstatus")))).otherwise(

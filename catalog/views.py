@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlens.functions.tokens import words
 from postlens.operators.skills import baskets_from_rows
+from postlens.session import stored_bytes
 
 CATEGORY_OF = ("it_language", "framework", "library", "tool")
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -27,6 +28,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Stored bytes of a table whose rows one task sorts: about 150,000 orders or 600,000 line items.
+TASK_BYTES = 8 << 20
+
+
+def spread(df: DataFrame, key: str, folder: str, name: str) -> DataFrame:
+    """Rows dealt by a key to as many tasks as the named table's size asks for, where the session has fewer.
+
+    Joins and groups by that key keep the number, so what a task holds doesn't grow with the table.
+    """
+    tasks = stored_bytes(df.sparkSession, f"{folder}/{name}.parquet") // TASK_BYTES
+    return df.repartition(tasks, key) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def pick(index, values):
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
@@ -52,8 +66,9 @@ def v2_rows(spark, folder):
         "p_partkey", F.lower(F.replace("p_brand", F.lit("#"), F.lit(" "))).alias("skill"), pick(brand % 4, CATEGORY_OF).alias("category")
     )
     orders = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderpriority").alias("duty"))
+    named = spread(spread(line, "l_partkey", folder, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")), "l_orderkey", folder, "lineitem")
     return (
-        line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        named.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(F.col("l_orderkey").alias("id"), "duty", "category", "skill", "required")
     )
 

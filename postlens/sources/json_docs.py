@@ -44,7 +44,14 @@ def divert_bad_json(df: DataFrame, root: str, path: str, text: str = "text", rea
     """
     fault = json_fault(F.col(text), root)
     rows = df.select(F.struct(*df.columns).alias("row"), fault.alias("fault")).withColumn("rejected", F.col("fault").isNotNull())
-    rows.write.partitionBy("rejected").parquet(path)
+    # Two open files a task; otherwise Spark would sort whole rows by the folder before it writes them.
+    conf, writers = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(writers)
+    conf.set(writers, str(max(2, int(before))))
+    try:
+        rows.write.partitionBy("rejected").parquet(path)
+    finally:
+        conf.set(writers, before)
     stored = df.sparkSession.read.schema(rows.schema).parquet(path)
     return stored.filter("not rejected").select("row.*"), stored.filter("rejected").select("row.*", F.col("fault").alias(reason))
 
