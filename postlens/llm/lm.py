@@ -178,16 +178,23 @@ class Parameters:
         width = self.n + 1
         codes, where = np.unique(one.astype(np.int64) * width + two, return_inverse=True)
         h = self.hidden(codes // width, codes % width)
+        both = np.column_stack((h, np.ones(len(h), np.float32)))  # the bias is a last dimension
+        by_class = np.ascontiguousarray(np.column_stack((self.target, self.bias)).T)
         total = np.empty(len(codes), np.float32)
-        some = max(1, (1 << 20) // self.n)  # a bounded table of scores
+        some = max(1, (1 << 17) // self.n)  # a bounded table of scores, written over in place
+        table, ones = np.empty((some, self.n), np.float32), np.ones(self.n, np.float32)
+        # No score is beyond the product of the lengths; up to e^60 a sum of any number of classes is a float.
+        longest = np.sqrt(np.einsum("ij,ij->i", both, both).max(initial=0) * np.einsum("ij,ij->j", by_class, by_class).max(initial=0))
         for at in range(0, len(codes), some):
-            scores = h[at : at + some] @ self.target.T + self.bias
-            top = scores.max(axis=1)
-            total[at : at + some] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+            scores = np.matmul(both[at : at + some], by_class, out=table[: len(codes) - at])
+            top = 0 if longest < 60 else scores.max(axis=1)
+            if longest >= 60:
+                scores -= top[:, None]
+            total[at : at + some] = top + np.log(np.exp(scores, out=scores) @ ones)
         out = np.empty(len(word), np.float64)
         for at in range(0, len(word), 65_536):
             k, w = where[at : at + 65_536], word[at : at + 65_536]
-            out[at : at + 65_536] = (h[k] * self.target[w]).sum(axis=1) + self.bias[w] - total[k]
+            out[at : at + 65_536] = np.einsum("ij,ij->i", h[k], self.target[w]) + self.bias[w] - total[k]
         return out
 
 

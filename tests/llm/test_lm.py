@@ -101,3 +101,20 @@ def test_beats_the_base_on_held_out_texts(spark):
 
     got = QUERIES["op4_lm_scoring"](spark, "/root/testdata/sf0.1").filter("held_out").selectExpr("sum(base_score) b", "sum(score) s", "count(*) n").first()
     assert got["n"] > 800 and got["s"] > got["b"]
+
+
+def test_probabilities_equal_the_plain_formula_for_short_and_long_vectors():
+    import numpy as np
+
+    from postlens.llm import lm
+
+    rng = np.random.default_rng(7)
+    for scale in (1, 40):  # scores beyond e^88 would not be floats
+        model = lm.Parameters(500, lm.DIMENSIONS, np.full(500, 1 / 500))
+        model.target *= scale
+        model.context *= scale
+        one, two, word = rng.integers(0, 501, 3_000), rng.integers(0, 501, 3_000), rng.integers(0, 500, 3_000)
+        scores = model.hidden(one, two).astype(np.float64) @ model.target.T.astype(np.float64) + model.bias
+        top = scores.max(axis=1, keepdims=True)
+        plain = (scores - top - np.log(np.exp(scores - top).sum(axis=1, keepdims=True)))[np.arange(3_000), word]
+        assert np.allclose(model.log_probability(one, two, word), plain, rtol=1e-4, atol=1e-3)
