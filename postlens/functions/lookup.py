@@ -22,6 +22,7 @@ class Lookup:
 
     def __init__(self, buckets: list[dict], value_type: str):
         self.size = len(buckets)
+        self.entries = {key: value for bucket in buckets for key, value in bucket.items()}
         self.table = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), f"array<map<string,{value_type}>>")
 
     def find(self, key: Column) -> Column:

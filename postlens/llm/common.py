@@ -5,33 +5,22 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from postlens.session import job_folder, saved_copy, shared_folder, ship_package
+from postlens.session import bounded_batches, job_folder, saved_copy, shared_folder, ship_package
 
 #: Rows with a null id take this one's place in joins and orders.
 NO_ID = -(1 << 63)
 
 
-#: Bytes of an Arrow batch at most; a task holds a few of them.
-ARROW_BYTES = 16 << 20
-_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def prepare(df: DataFrame) -> SparkSession:
-    """The frame's session, with the package on its workers, a shared folder at hand and Arrow batches of bounded size.
-
-    A batch of 10,000 rows of long texts takes any amount of memory, once in the JVM and again in
-    Python, so the session's bytes for a batch are lowered to ``ARROW_BYTES`` where they are more.
-    """
+    """The frame's session, with the package on its workers, a shared folder at hand and Arrow batches of bounded size."""
     spark = df.sparkSession
     ship_package(spark)
     shared_folder(spark)
-    most = spark.conf.get(_ARROW_BYTES, None)
-    if most is None or not most.isdigit() or int(most) > ARROW_BYTES:
-        spark.conf.set(_ARROW_BYTES, str(ARROW_BYTES))
+    bounded_batches(spark)
     return spark
 
 

@@ -1,7 +1,7 @@
 """Token tables: dictionary tokenising, synonyms, classification, annotation.
 
 A posting is one row with an array of tokens. With a dictionary of bounded size each row is
-worked in place. A larger dictionary is joined on exploded tokens. A Bloom filter of its keys is
+worked in place, tokenising and classifying by Arrow batch. A larger dictionary is joined on exploded tokens. A Bloom filter of its keys is
 looked up first, where the tokens lie, so only tokens that hit it, and few others, are shuffled;
 hot tokens meet a broadcast table and aren't shuffled at all. Hits return to their row as a small
 map. The rows are then written to the shared folder first, with a number of their own, as both
@@ -14,11 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postlens import constants as K
+from postlens.functions.batches import category_cells, whole_terms
 from postlens.functions.bloom import BloomFilter
 from postlens.functions.lookup import MAX_ENTRIES, Dictionary, bounded_lookup, entries_of
 from postlens.functions.tokens import normalize_token, words
 from postlens.operators.joins import join_hot
-from postlens.session import saved_copy
+from postlens.session import bounded_batches, saved_copy
 
 _STRINGS = "array<string>"
 _ROW = "_row"
@@ -86,14 +87,13 @@ def replace_tokens(
 
 
 class Phrases:
-    """Dictionary terms of several words, made ready once: their lookup or table, first words, greatest length."""
+    """Dictionary terms of several words, made ready once: their lookup or table, greatest length."""
 
     def __init__(self, terms: DataFrame, max_entries: int = MAX_ENTRIES):
         rows = terms.select(F.lower(F.trim("term")).alias("key")).withColumn("value", F.size(F.split("key", " "))).filter("value > 1")
         self.longest = rows.agg(F.max("value")).first()[0] or 0
         self.found = Dictionary(rows, max_entries)
         opening = rows.select(F.substring_index("key", " ", 1).alias("key"), "value")
-        self.first = bounded_lookup(opening, max_entries) if self.found.lookup else None
         self.opening = None if self.found.lookup else BloomFilter.of(opening.select("key").distinct(), "key")
 
 
@@ -109,38 +109,28 @@ def dictionary_tokenize(
     ready = terms if isinstance(terms, Phrases) else Phrases(terms, max_entries)
     rows = df.withColumn("_words", words(text, pattern))
     w = F.col("_words")
-    counts = range(2, ready.longest + 1)
-
-    def term(i, n):
-        """The n words from place i (counted from 0), picked one by one: no array is copied."""
-        return F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)])
-
-    def starts(n):
-        return F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
-
-    if not counts:
-        rows = rows.withColumn("_hits", F.array().cast("array<struct<at:int,n:int>>"))
-    elif ready.found.lookup:
-        places = F.filter(starts(2), lambda i: ready.first.find(F.get(w, i)).isNotNull())
-        # concat_ws skips the nulls behind the last word, so a term found there is shorter than n.
-        longest_at = lambda i: F.coalesce(*[
-            F.when(i + n <= F.size(w), ready.found.lookup.find(term(i, n))) for n in reversed(counts)
-        ])
-        hit = F.transform(places, lambda i: F.struct((i + 1).alias("at"), longest_at(i).alias("n")))
-        rows = rows.withColumn("_hits", F.filter(hit, lambda h: h["n"].isNotNull()))
-    else:
-        rows = _numbered_copy(rows, "words")
-        # Only places whose word opens a term go on, with the words that a term may take; of these, the groups that may be one.
-        opened = ready.opening.places(rows.select(_ROW, "_words"), w, "_open").withColumn("_open", F.filter("_open", lambda i: i < F.size(w) - 1))
-        group = lambda i, n: F.struct((i + 1).alias("at"), F.array_join(F.slice(w, i + 1, n), " ").alias("key"))
-        groups = F.flatten(F.transform("_open", lambda i: F.transform(
-            F.sequence(F.lit(2), F.least(F.lit(ready.longest), F.size(w) - i)), lambda n: group(i, n))))
-        hits = (
-            hits_in(opened.select(_ROW, groups.alias("_groups")), "_groups", ready.found.table)
-            .groupBy(_ROW, "at").agg(F.max("value").alias("n"))
-            .groupBy(_ROW).agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("_hits"))
-        )
-        rows = rows.join(hits, _ROW, "left").drop(_ROW)
+
+    def go_on(rows, tokens):
+        kept = tokens if not stop_words else F.filter(tokens, lambda t: ~t.isin(list(stop_words)))
+        return rows.withColumn(out, kept).drop("_words", "_hits", "_cut")
+
+    if ready.longest < 2:
+        return go_on(rows, w)
+    if ready.found.lookup:
+        bounded_batches(df.sparkSession)
+        return go_on(rows.withColumn("_words", whole_terms("_words", ready.found.lookup.entries)), w)
+    rows = _numbered_copy(rows, "words")
+    # Only places whose word opens a term go on, with the words that a term may take; of these, the groups that may be one.
+    opened = ready.opening.places(rows.select(_ROW, "_words"), w, "_open").withColumn("_open", F.filter("_open", lambda i: i < F.size(w) - 1))
+    group = lambda i, n: F.struct((i + 1).alias("at"), F.array_join(F.slice(w, i + 1, n), " ").alias("key"))
+    groups = F.flatten(F.transform("_open", lambda i: F.transform(
+        F.sequence(F.lit(2), F.least(F.lit(ready.longest), F.size(w) - i)), lambda n: group(i, n))))
+    hits = (
+        hits_in(opened.select(_ROW, groups.alias("_groups")), "_groups", ready.found.table)
+        .groupBy(_ROW, "at").agg(F.max("value").alias("n"))
+        .groupBy(_ROW).agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("_hits"))
+    )
+    rows = rows.join(hits, _ROW, "left").drop(_ROW)
 
     # Fold the few hits of a row into the cut list: accepted hits with the place before them.
     empty = F.array().cast("array<struct<from:int,at:int,n:int>>")
@@ -169,8 +159,7 @@ def dictionary_tokenize(
         )
     )
     merged = F.when(s.isNull() | (F.size(s["cuts"]) == 0), w).otherwise(F.concat(pieces, span(s["next"], F.size(w))))
-    tokens = merged if not stop_words else F.filter(merged, lambda t: ~t.isin(list(stop_words)))
-    return rows.withColumn("_cut", F.aggregate("_hits", begin, accept)).withColumn(out, tokens).drop("_words", "_hits", "_cut")
+    return go_on(rows.withColumn("_cut", F.aggregate("_hits", begin, accept)), merged)
 
 
 def category_entries(dictionary: DataFrame, categories: Sequence[str] = K.CATEGORIES) -> DataFrame:
@@ -190,8 +179,13 @@ def classify_tokens_multi(
     ``normalized_dictionary(...)`` to normalise the keys too, so that names of several words match.
     """
     entries = dictionary if isinstance(dictionary, Dictionary) else category_entries(dictionary, categories)
-    keys = F.array_distinct(F.transform(tokens, normalize_token))
-    rows, find = _with_lookup(df.withColumn("_norm", keys), F.col("_norm"), entries, max_entries)
+    entries = Dictionary.of(entries, max_entries)
+    keys = F.transform(tokens, normalize_token)
+    if entries.lookup:
+        bounded_batches(df.sparkSession)
+        rows = df.withColumn("_cells", category_cells(keys, entries.lookup.entries, categories))
+        return rows.select(*df.columns, *[F.col("_cells")[c].alias(prefix + c) for c in categories])
+    rows, find = _with_lookup(df.withColumn("_norm", F.array_distinct(keys)), F.col("_norm"), entries, max_entries)
     none = F.array().cast("array<struct<category:string,name:string>>")
     rows = rows.withColumn("_hit", F.flatten(F.transform("_norm", lambda t: F.coalesce(find(t), none))))
 

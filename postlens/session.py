@@ -70,6 +70,21 @@ def ship_package(spark: SparkSession) -> None:
     context._postlens_shipped = True
 
 
+#: Bytes of an Arrow batch at most; a task holds a few of them.
+ARROW_BYTES = 16 << 20
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bytes of an Arrow batch to ``ARROW_BYTES`` where they are more.
+
+    A batch of 10,000 rows of long texts takes any amount of memory, once in the JVM and again in Python.
+    """
+    most = spark.conf.get(_ARROW_BYTES, None)
+    if most is None or not most.isdigit() or int(most) > ARROW_BYTES:
+        spark.conf.set(_ARROW_BYTES, str(ARROW_BYTES))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the application's part of the shared folder."""
     return f"{job_folder(spark)}/{label}-{uuid.uuid4().hex}"
