@@ -6,9 +6,9 @@ the blocks by number. The classes of a log-bilinear model over the two tokens be
 frequent words and, for all others, groups of words with like endings; a word of a group is its
 share of it by count, so both levels are normalised. Both kinds of class grow with the square root
 of the vocabulary. Each task trains its copy of the parameters on its blocks and the copies are
-averaged, round by round, until every training token has been learned from once. For scores, a
-block's different contexts go through matrix products once, so every probability is normalised
-over all classes.
+averaged, round by round, until every training token has been learned from once. For scores, the
+sums over all classes of a block's different contexts are matrix products of exponentials of words,
+so every probability is normalised over all classes.
 """
 
 import math
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from postlens.llm.common import pieces, prepare, stored, text_bytes
 
@@ -32,6 +32,8 @@ ENDING = 3
 #: Rounds of training and averaging; the training tokens are dealt to the rounds in turn.
 ROUNDS = 2
 BATCH, NOISE, RATE = 2_048, 64, 0.3
+#: Words whose scores of all classes are in memory at a time when scoring.
+TILE = 1_024
 #: The word that ends a text; no real word is empty.
 END = b""
 SMOOTHING = 0.1
@@ -89,10 +91,10 @@ def word_counts(blocks: DataFrame) -> DataFrame:
     one place of each word, ``ending`` is a checksum of its last bytes. A word is in a block's list once, so no key has more rows than there are blocks."""
     listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("number", "w")).select(
         "block", "number", F.col("w.words").alias("word"), F.col("w.counts").alias("n")
-    ).repartition("word")
-    summed = listed.groupBy("word").agg(F.sum("n").alias("c"), F.min("block").alias("home"))
-    return listed.join(summed, "word").select(
-        "block", "number", "c", (F.col("block") == F.col("home")).alias("first"), F.crc32(F.substring("word", -ENDING, ENDING)).alias("ending")
+    )
+    places = Window.partitionBy("word")  # one sort; a join with the sums would sort and read the words twice
+    return listed.select(
+        "block", "number", F.sum("n").over(places).alias("c"), (F.col("block") == F.min("block").over(places)).alias("first"), F.crc32(F.substring("word", -ENDING, ENDING)).alias("ending")
     )
 
 
@@ -136,36 +138,55 @@ class Parameters:
         return self
 
     def hidden(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return self.context[one] * self.place[0] + self.context[two] * self.place[1]
+        near = self.context.take(one, axis=0)
+        near *= self.place[0]
+        far = self.context.take(two, axis=0)
+        far *= self.place[1]
+        near += far
+        return near
 
     def train(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, rng: np.random.Generator, squares: dict) -> None:
         """One pass of noise-contrastive estimation in mini-batches with common noise words, by AdaGrad."""
         log_noise = np.log(NOISE * self.noise).astype(np.float32)
         steps = np.cumsum(self.noise)
         steps[-1] = 1.0
+        narrow = np.uint16 if self.n < 1 << 16 else np.int64
         for at in range(0, len(word), BATCH):
             a, b, w = one[at : at + BATCH], two[at : at + BATCH], word[at : at + BATCH]
-            far, near, target = self.context[b], self.context[a], self.target[w]
-            h = near * self.place[0] + far * self.place[1]
+            # rows are taken and changed in place: temporary tables cost more than the arithmetic
+            far, near, target = self.context.take(b, axis=0), self.context.take(a, axis=0), self.target.take(w, axis=0)
+            h = near * self.place[0]
+            h += far * self.place[1]
             false = np.searchsorted(steps, rng.random(NOISE))
             noise = self.target[false]
             # the derivative of the objective by the score of the true and of the noise words
             true_by = 1 - _sigmoid(np.einsum("ij,ij->i", h, target) + self.bias[w] - log_noise[w])
-            false_by = -_sigmoid(h @ noise.T + (self.bias[false] - log_noise[false]))
-            by_h = true_by[:, None] * target + false_by @ noise
-            by_target = np.column_stack((true_by[:, None] * h, true_by))  # the bias is a last dimension
-            by_noise = np.column_stack((false_by.T @ h, false_by.sum(axis=0)))
+            false_by = h @ noise.T
+            false_by += self.bias[false] - log_noise[false]
+            false_by = _sigmoid(false_by)
+            np.negative(false_by, out=false_by)
+            target *= true_by[:, None]
+            by_h = false_by @ noise
+            by_h += target
+            by_target = np.zeros((len(w) + NOISE, self.d + 2 - self.d % 2), np.float32)  # the bias is one more dimension
+            np.multiply(true_by[:, None], h, out=by_target[: len(w), : self.d])
+            by_target[: len(w), self.d] = true_by
+            np.matmul(false_by.T, h, out=by_target[len(w) :, : self.d])
+            false_by.sum(axis=0, out=by_target[len(w) :, self.d])
+            by_context = np.empty((2 * len(w), self.d), np.float32)
+            np.multiply(by_h, self.place[0], out=by_context[: len(w)])
+            np.multiply(by_h, self.place[1], out=by_context[len(w) :])
             changes = {
-                "target": (np.concatenate((w, false)), np.concatenate((by_target, by_noise))),
-                "context": (np.concatenate((a, b)), np.concatenate((by_h * self.place[0], by_h * self.place[1]))),
+                "target": (np.concatenate((w, false)), by_target),
+                "context": (np.concatenate((a, b)), by_context),
                 "place": (np.array([0, 1]), np.stack((np.einsum("ij,ij->j", by_h, near), np.einsum("ij,ij->j", by_h, far)))),
             }
             for name, (rows, change) in changes.items():
-                order = np.argsort(rows, kind="stable")
+                order = np.argsort(rows.astype(narrow), kind="stable")  # a radix sort for 16 bits
                 rows = rows[order]
                 cuts = np.flatnonzero(np.diff(rows, prepend=-1))
-                own, total = rows[cuts], np.add.reduceat(change[order], cuts, axis=0) / np.float32(len(w))
-                for table, part in ((name, total),) if name != "target" else (("target", total[:, :-1]), ("bias", total[:, -1])):
+                own, total = rows[cuts], _run_sums(change.take(order, axis=0), cuts) / np.float32(len(w))
+                for table, part in ((name, total),) if name != "target" else (("target", total[:, : self.d]), ("bias", total[:, self.d])):
                     square = squares[table][own] + part * part
                     squares[table][own] = square
                     getattr(self, table)[own] += RATE * part / np.sqrt(square)
@@ -173,33 +194,77 @@ class Parameters:
     def fresh_squares(self) -> dict:
         return {name: np.full_like(getattr(self, name), 1e-6) for name in ("target", "bias", "context", "place")}
 
+    def log_totals(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the sum over all classes for each context, given in ascending order of (one, two).
+
+        A class's score is a sum of a part for each of the two words, so its exponential is a product
+        and the sums of many contexts are one matrix product: exponentials are taken for words and
+        classes, not for contexts and classes. Tables hold ``TILE`` words at a time.
+        """
+        def parts(words: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
+            scores = (self.context[words] * self.place[place]) @ self.target.T + (self.bias if place else 0)
+            top = scores.max(axis=1)
+            scores -= top[:, None]
+            return np.exp(scores, out=scores), top
+
+        out = np.empty(len(one), np.float32)
+        starts = np.arange(0, self.n + 1, TILE)
+        for at, end in zip(*np.searchsorted(one, (starts, starts + TILE))):
+            if at == end:
+                continue
+            ones, row = np.unique(one[at:end], return_inverse=True)
+            near, near_top = parts(ones, 0)
+            order = np.argsort((two[at:end] // TILE).astype(np.uint16), kind="stable")
+            cuts = np.searchsorted(two[at:end][order] // TILE, np.arange(len(starts) + 1))
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                if low == high:
+                    continue
+                own = order[low:high]
+                twos, column = np.unique(two[at:end][own], return_inverse=True)
+                far, far_top = parts(twos, 1)
+                r = row[own]
+                if len(own) * 8 > len(ones) * len(twos):
+                    sums = (near @ far.T)[r, column]
+                else:
+                    sums, some = np.empty(len(own), np.float32), max(1, (1 << 18) // self.n)
+                    for k in range(0, len(own), some):
+                        sums[k : k + some] = np.einsum("ij,ij->i", near[r[k : k + some]], far[column[k : k + some]])
+                with np.errstate(divide="ignore"):
+                    out[at + own] = np.log(sums) + near_top[r] + far_top[column]
+                # The greatest scores of the two words lie so far apart that products may have vanished.
+                for k in np.array_split(own[sums < 1e-20], -(-np.count_nonzero(sums < 1e-20) * self.n // (1 << 20)) or 1):
+                    scores = self.hidden(one[at + k], two[at + k]) @ self.target.T + self.bias
+                    top = scores.max(axis=1, initial=-np.inf)
+                    out[at + k] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+        return out
+
     def log_probability(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Normalised natural logarithms; each different context is computed once."""
         width = self.n + 1
         codes, where = np.unique(one.astype(np.int64) * width + two, return_inverse=True)
         h = self.hidden(codes // width, codes % width)
-        both = np.column_stack((h, np.ones(len(h), np.float32)))  # the bias is a last dimension
-        by_class = np.ascontiguousarray(np.column_stack((self.target, self.bias)).T)
-        total = np.empty(len(codes), np.float32)
-        some = max(1, (1 << 17) // self.n)  # a bounded table of scores, written over in place
-        table, ones = np.empty((some, self.n), np.float32), np.ones(self.n, np.float32)
-        # No score is beyond the product of the lengths; up to e^60 a sum of any number of classes is a float.
-        longest = np.sqrt(np.einsum("ij,ij->i", both, both).max(initial=0) * np.einsum("ij,ij->j", by_class, by_class).max(initial=0))
-        for at in range(0, len(codes), some):
-            scores = np.matmul(both[at : at + some], by_class, out=table[: len(codes) - at])
-            top = 0 if longest < 60 else scores.max(axis=1)
-            if longest >= 60:
-                scores -= top[:, None]
-            total[at : at + some] = top + np.log(np.exp(scores, out=scores) @ ones)
+        total = self.log_totals(codes // width, codes % width)
         out = np.empty(len(word), np.float64)
         for at in range(0, len(word), 65_536):
             k, w = where[at : at + 65_536], word[at : at + 65_536]
-            out[at : at + 65_536] = np.einsum("ij,ij->i", h[k], self.target[w]) + self.bias[w] - total[k]
+            out[at : at + 65_536] = np.einsum("ij,ij->i", h.take(k, axis=0), self.target.take(w, axis=0)) + self.bias[w] - total[k]
         return out
 
 
+def _run_sums(table: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows; two columns are added at a time, as one complex number."""
+    if table.shape[1] % 2:
+        return np.add.reduceat(table, cuts, axis=0)
+    return np.add.reduceat(table.view(np.complex64), cuts, axis=0).view(np.float32)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """Written into the table given."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Block:

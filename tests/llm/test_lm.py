@@ -118,3 +118,31 @@ def test_probabilities_equal_the_plain_formula_for_short_and_long_vectors():
         top = scores.max(axis=1, keepdims=True)
         plain = (scores - top - np.log(np.exp(scores - top).sum(axis=1, keepdims=True)))[np.arange(3_000), word]
         assert np.allclose(model.log_probability(one, two, word), plain, rtol=1e-4, atol=1e-3)
+
+
+def test_class_sums_take_exponentials_of_words_not_of_contexts(monkeypatch):
+    """All contexts of 40 words: sums as by the plain formula, in tiles, and few exponentials."""
+    rng, n = np.random.default_rng(6), 39
+    model = lm.Parameters(n, 8, np.full(n, 1 / n))
+    model.target, model.bias = rng.normal(0, 1, (n, 8)).astype(np.float32), rng.normal(0, 1, n).astype(np.float32)
+    model.context = rng.normal(0, 1, (n + 1, 8)).astype(np.float32)
+    one, two = (x.ravel() for x in np.divmod(np.arange((n + 1) ** 2), n + 1))
+    plain = np.log(np.exp((model.hidden(one, two) @ model.target.T + model.bias).astype(np.float64)).sum(axis=1))
+    taken, real = [], np.exp
+    monkeypatch.setattr(lm, "TILE", 16)
+    monkeypatch.setattr(lm.np, "exp", lambda x, **options: (taken.append(np.size(x)), real(x, **options))[1])
+    got = model.log_totals(one, two)
+    sparse = rng.choice(len(one), 60, replace=False)
+    sparse.sort()
+    few = model.log_totals(one[sparse], two[sparse])
+    monkeypatch.undo()
+    assert np.allclose(got, plain, atol=1e-4) and np.allclose(few, plain[sparse], atol=1e-4)
+    assert sum(taken) < len(one) * n / 5
+
+
+def test_run_sums():
+    rows = np.random.default_rng(7).random((50, 6)).astype(np.float32)
+    cuts = np.array([0, 1, 4, 30])
+    for width in (5, 6):
+        table = np.ascontiguousarray(rows[:, :width])
+        assert np.allclose(lm._run_sums(table, cuts), np.add.reduceat(table, cuts, axis=0), rtol=1e-5)
