@@ -3,7 +3,7 @@
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postlens.session import ship_package
@@ -55,13 +55,13 @@ class BloomFilter:
         shared = df.sparkSession.sparkContext.broadcast(self.bitmap)
         bits = 8 * len(self.bitmap)
 
-        @F.pandas_udf("boolean")
-        def known(*places: pd.Series) -> pd.Series:
+        @F.arrow_udf("boolean")
+        def known(*places: pa.Array) -> pa.Array:
             bitmap, found = shared.value, True
             for p in places:
                 at = p.to_numpy()
                 found = found & (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            return pd.Series(found)
+            return pa.array(found)
 
         return known(*_positions(F.col(key), bits))
 
@@ -70,6 +70,8 @@ class BloomFilter:
 
         The lookup is marked non-deterministic only to keep Spark from moving it into expressions that can't hold Python.
         """
+        import pandas as pd  # here, as workers that only need the rest of the module stay smaller without
+
         ship_package(df.sparkSession)
         shared = df.sparkSession.sparkContext.broadcast(self.bitmap)
         bits = 8 * len(self.bitmap)

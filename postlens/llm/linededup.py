@@ -8,15 +8,15 @@ windows. Where all places of a fingerprint agree in them, the later ones are cut
 differ, each window is hashed by itself and looked up at its own first place.
 """
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from postlens.functions.bloom import BloomFilter
-from postlens.llm.common import NO_ID, drop_shuffles, forget, free_name, pieces, prepare, stored, text_bytes
+from postlens.llm.common import NO_ID, drop_shuffles, forget, free_name, prepare, stored, text_bytes
 
 LEAST_WORDS = 50
 LINE_WORDS = 25
@@ -24,7 +24,7 @@ LINE_WORDS = 25
 WINDOW_LINES = LEAST_WORDS - LINE_WORDS + 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -41,17 +41,28 @@ class LineHashes:
 
     def __call__(self, words: list[bytes], line_words: int) -> np.ndarray:
         first = np.arange(len(words) - line_words + 1)
-        return self.spans(self.sums(words), first, first + line_words)
-
-    def sums(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sums up to every byte, and where each word starts and ends."""
-        raw = np.frombuffer(b" ".join(words), np.uint8)
+        return self.spans(self.sums(words)[0], first, first + line_words)
+
+    def sums(self, texts: list[bytes]) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """Sums up to every byte of the words of all texts, one space after each, and where each word
+        starts and ends; and the number of words of each text."""
+        raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        space = _SPACE[raw]
+        end = space.copy()  # the first space after a word
+        end[:1] = False
+        end[1:] &= ~space[:-1]
+        keep = ~space
+        keep |= end
+        sizes = np.searchsorted(np.flatnonzero(end), np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1))
+        raw, ends = raw[keep], np.flatnonzero(end[keep])
+        raw[ends] = 0x20
         if len(raw) >= len(self.up):
-            self.up, self.down = _powers(_BASE, 2 * len(raw)), _powers(_INVERSE, 2 * len(raw))
+            self.up, self.down = _powers(_BASE, len(raw) * 5 // 4), _powers(_INVERSE, len(raw) * 5 // 4)
         total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw + np.uint64(1)) * self.up[: len(raw)], out=total[1:])
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        return total, np.concatenate(([0], ends[:-1] + 1)), ends
+        by_byte = raw + np.uint64(1)
+        by_byte *= self.up[: len(raw)]
+        np.cumsum(by_byte, out=total[1:])
+        return (total, np.concatenate((np.zeros(1, np.int64), ends[:-1] + 1)), ends), np.diff(sizes, prepend=0)
 
     def spans(self, sums: tuple[np.ndarray, np.ndarray, np.ndarray], first: np.ndarray, until: np.ndarray) -> np.ndarray:
         """The hash of each span of words [first, until)."""
@@ -101,20 +112,29 @@ def winnow(hashes: np.ndarray, window: int, text: np.ndarray | None = None, line
 
 def second_places(keys: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Which keys, in the order of their places, stand earlier in the same text."""
-    order = np.lexsort((keys, text))
     out = np.zeros(len(keys), bool)
-    out[order[1:]] = (keys[order][1:] == keys[order][:-1]) & (text[order][1:] == text[order][:-1])
+    # Most keys stand once: equal ones are equal with their text's number mixed in, and only these are ordered by place.
+    both = keys ^ text.astype(np.uint64) * np.uint64(_BASE)
+    ascending = np.sort(both)
+    twice = ascending[1:][ascending[1:] == ascending[:-1]]
+    if len(twice):
+        some = np.flatnonzero(twice[np.searchsorted(twice[:-1], both)] == both)
+        keys, text = keys[some], text[some]
+        order = np.lexsort((keys, text))
+        out[some[order[1:]]] = (keys[order][1:] == keys[order][:-1]) & (text[order][1:] == text[order][:-1])
     return out
 
 
-def united(spans: list[list[int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+def united(row: np.ndarray, start: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of rows, those of a row that overlap or touch as one, in order."""
+    if not len(row):
+        return row, start, until
+    order = np.lexsort((start, row))
+    apart = row[order].astype(np.int64) << 32  # spans of different rows never meet
+    first, last = start[order] + apart, np.maximum.accumulate(until[order] + apart)
+    new = np.concatenate(([True], first[1:] > last[:-1]))
+    ends = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(new) - 1]))
+    return row[order][new], (first - apart)[new], last[ends] - apart[ends]
 
 
 def _place() -> tuple[Column, Column]:
@@ -122,8 +142,18 @@ def _place() -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-#: Bytes of text that are hashed at once; a longer text is hashed alone.
-BLOCK_BYTES = 1_000_000
+#: Bytes of text that are worked on at once; a longer text is taken alone.
+BLOCK_BYTES = 250_000
+
+
+def portions(batch: pa.RecordBatch, text: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of rows with at most ``most`` bytes in their texts, or of one longer text."""
+    sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    until, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(until, until[at] - sizes[at] + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def fingerprints(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
@@ -142,14 +172,15 @@ def fingerprints(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: in
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         line_hashes = LineHashes()
 
-        def block(keys: list[tuple], texts: list[list[bytes]]) -> pa.RecordBatch:
-            sizes = np.array([len(t) for t in texts])
+        def block(part: pa.RecordBatch) -> pa.RecordBatch | None:
+            sums, sizes = line_hashes.sums(text_bytes(part.column(2)))
             first = np.cumsum(sizes) - sizes
-            text = np.repeat(np.arange(len(texts)), sizes)
-            words = [w for t in texts for w in t]
-            sums, line = line_hashes.sums(words), np.arange(len(words) - line_words + 1)
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            line = np.arange(len(text) - line_words + 1)
             hashes = line_hashes.spans(sums, line, line + line_words)
             starts, smallest = smallest_lines(hashes, window, text, line_words)
+            if not len(starts):
+                return None
             again = second_places(line_hashes.spans(sums, starts, starts + least_words), text[starts])
             # The windows of a fingerprint follow one another.
             places, begin, n = np.unique(smallest, return_index=True, return_counts=True)
@@ -162,7 +193,7 @@ def fingerprints(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: in
             a = s[np.concatenate(([0], edge))] if len(s) else s
             b = (s[np.concatenate((edge - 1, [-1]))] if len(s) else s) + least_words
             own = np.concatenate((text[places], text[a]))
-            ids, marks = (np.array([key[k] for key in keys], np.int64)[own] for k in (0, 1))
+            ids, marks = (part.column(k).to_numpy()[own] for k in (0, 1))
             none = np.zeros(len(a), np.int64)
             absent = np.arange(len(own)) >= len(places)
             from_first = lambda x, y: (np.concatenate((x, y)) - first[own]).astype(np.int32)
@@ -173,19 +204,10 @@ def fingerprints(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: in
             ], schema=schema)
 
         for batch in batches:
-            keys, texts, held = [], [], 0
-            for part in pieces(batch, 200):
-                for i, m, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), text_bytes(part.column(2))):
-                    words = text.split()
-                    if len(words) >= least_words:
-                        keys.append((i, m))
-                        texts.append(words)
-                        held += len(text)
-                    if held >= BLOCK_BYTES:
-                        yield block(keys, texts)
-                        keys, texts, held = [], [], 0
-            if texts:
-                yield block(keys, texts)
+            for part in portions(batch, 2, BLOCK_BYTES):
+                found = block(part)
+                if found is not None:
+                    yield found
 
     own_id, mark = _place()
     return docs.select(own_id.alias("id"), mark.alias("mark"), F.col("text").cast("string")).mapInArrow(select, kind)
@@ -202,23 +224,28 @@ def window_hashes(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataF
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         line_hashes = LineHashes()
         for batch in batches:
-            for part in pieces(batch, 200):
-                rows = [[] for _ in schema]
-                for i, m, text, asked in zip(*(part.column(k).to_pylist() if k != 2 else text_bytes(part.column(2)) for k in range(4))):
-                    h, start, until = (np.array([a[c] for a in asked], np.int64) for c in ("h", "start", "until"))
-                    n = until - start - least_words + 1
-                    at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    w = line_hashes.spans(line_hashes.sums(text.split()), at, at + least_words).view(np.int64)
-                    for k, values in enumerate((np.repeat(h, n), w, np.full(len(at), i), np.full(len(at), m), at)):
-                        rows[k].append(values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(f.type.to_pandas_dtype())) for x, f in zip(rows, schema)], schema=schema)
+            for part in portions(batch, 2, BLOCK_BYTES):
+                sums, sizes = line_hashes.sums(text_bytes(part.column(2)))
+                row = np.repeat(np.arange(len(sizes)), part.column(3).value_lengths().to_numpy())
+                flat = part.column(3).flatten()
+                h, start, until = (flat.field(c).to_numpy() for c in ("h", "start", "until"))
+                n = until - start - least_words + 1
+                k = np.repeat(np.arange(len(n)), n)
+                at = start[k] + np.arange(len(k)) - (np.cumsum(n) - n)[k]
+                place = at + (np.cumsum(sizes) - sizes)[row[k]]
+                w = line_hashes.spans(sums, place, place + least_words).view(np.int64)
+                ids, marks = (part.column(c).to_numpy()[row[k]] for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[k], w, ids, marks, at.astype(np.int32))], schema=schema)
 
     return own.join(asked, ["id", "mark"]).select("id", "mark", "text", "asked").mapInArrow(cut, kind)
 
 
-def without(text: bytes, spans: list[list[int]]) -> bytes:
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without the spans of words, each up to the next word that stays."""
-    places = [m.start() for m in _WORD.finditer(text)]
+    space = _SPACE[np.frombuffer(text, np.uint8)]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    places = np.flatnonzero(begins)
     out, at = [], 0
     for a, b in spans:
         out.append(text[at : places[a]])
@@ -284,18 +311,22 @@ def dedupe(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LI
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, 500):
-                slices = part.column(len(columns)).to_pylist()
-                removed = [[] for _ in slices]
-                if any(slices):
-                    texts = part.column(number).to_pylist()
-                    for k, some in enumerate(slices):
-                        if some:
-                            spans = united([[x["start"], x["until"]] for x in some])
-                            texts[k] = without(texts[k].encode(), spans).decode()
-                            removed[k] = [{"start": a, "end": b} for a, b in spans]
+            for part in portions(batch, number, BLOCK_BYTES):
+                slices = part.column(len(columns))
+                some = slices.flatten()
+                row = np.repeat(np.arange(len(slices)), slices.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                row, first, last = united(row, *(some.field(c).to_numpy() for c in ("start", "until")))
+                until = np.cumsum(np.bincount(row, minlength=len(slices)))
+                if len(row):
+                    texts, spans, at = part.column(number).to_pylist(), list(zip(first.tolist(), last.tolist())), 0
+                    for k, end in enumerate(until.tolist()):
+                        if end > at:
+                            texts[k] = without(texts[k].encode(), spans[at:end]).decode()
+                        at = end
                     part = part.set_column(number, part.schema.field(number), pa.array(texts, part.schema.field(number).type))
-                arrays = [part.column(k) for k in range(len(columns))] + [pa.array(removed, spans_type)]
+                pairs = pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(last, pa.int32())], fields=list(spans_type.value_type))
+                removed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], until)), pa.int32()), pairs)
+                arrays = [part.column(k) for k in range(len(columns))] + [removed]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "removed"])
 
     keyed = docs.withColumns(dict(zip((own_id, own_mark), _place())))

@@ -167,3 +167,51 @@ def test_only_the_cuts_stay_stored(spark):
     before = folders()
     assert L.dedupe(frame(spark, corpus(5))).count() == len(corpus(5))
     assert [name.rsplit("-", 1)[0] for name in folders() - before] == ["repeat-cuts"]
+
+
+def test_words_of_many_texts_at_once():
+    rng, h = random.Random(9), L.LineHashes()
+    texts = [b"", b" \n", b" a  b\t", "é x\x0b\r\ny".encode(), b"z"] + [" ".join(words(rng, n)).encode() for n in (3, 70)]
+    sums, sizes = h.sums(texts)
+    split = [t.split() for t in texts]
+    assert sizes.tolist() == list(map(len, split))
+    at = np.arange(sizes.sum())
+    assert h.spans(sums, at, at + 1).tolist() == [h([w], 1)[0] for t in split for w in t]
+
+
+def test_second_places_equal_a_plain_search():
+    rng = np.random.default_rng(7)
+    for most in (3, 40, 2**60):
+        keys, text = rng.integers(0, most, 200).astype(np.uint64), np.sort(rng.integers(0, 5, 200))
+        seen, plain = set(), []
+        for x in zip(text.tolist(), keys.tolist()):
+            plain.append(x in seen)
+            seen.add(x)
+        assert L.second_places(keys, text).tolist() == plain
+
+
+def test_portions_hold_every_row_and_few_bytes():
+    import pyarrow as pa
+
+    texts = ["", None, "abc", "x" * 50, "é" * 3, "", "ab", None]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(8)), "t": texts})
+    parts = [p.to_pydict() for p in L.portions(batch, 1, 10)]
+    assert [k for p in parts for k in p["k"]] == list(range(8))
+    assert all(len(p["t"]) == 1 or sum(len((t or "").encode()) for t in p["t"]) <= 10 for p in parts)
+
+
+def test_workers_are_kept_small():
+    """What a task holds counts twice or more in an executor: no pandas, and small blocks."""
+    import subprocess
+    import sys
+    import tracemalloc
+
+    code = "import sys, postlens.llm.linededup; print('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.strip() == "False"
+    assert L.BLOCK_BYTES <= 250_000
+    text = " ".join(words(random.Random(3), 40_000)).encode()[: L.BLOCK_BYTES]
+    tracemalloc.start()
+    L.LineHashes().sums([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15_000_000, peak
