@@ -5,7 +5,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from postlens.session import bounded_batches, job_folder, saved_copy, shared_folder, ship_package
+from postlens.session import ARROW_BYTES, bounded_batches, job_folder, saved_copy, shared_folder, ship_package
 
 #: Rows with a null id take this one's place in joins and orders.
 NO_ID = -(1 << 63)
@@ -15,12 +15,17 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def prepare(df: DataFrame) -> SparkSession:
+#: Bytes of an Arrow batch where what a task does with a row doesn't depend on the others. A batch stands in the JVM
+#: (twice while its buffer grows) and in Python, on the way there and back, so it counts several times a task.
+ROW_BATCH_BYTES = 2 << 20
+
+
+def prepare(df: DataFrame, batch_bytes: int = ARROW_BYTES) -> SparkSession:
     """The frame's session, with the package on its workers, a shared folder at hand and Arrow batches of bounded size."""
     spark = df.sparkSession
     ship_package(spark)
     shared_folder(spark)
-    bounded_batches(spark)
+    bounded_batches(spark, batch_bytes)
     return spark
 
 

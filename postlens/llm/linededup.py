@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from postlens.functions.bloom import BloomFilter
-from postlens.llm.common import NO_ID, drop_shuffles, forget, free_name, prepare, stored, text_bytes
+from postlens.llm.common import NO_ID, ROW_BATCH_BYTES, drop_shuffles, forget, free_name, prepare, stored, text_bytes
 
 LEAST_WORDS = 50
 LINE_WORDS = 25
@@ -163,7 +163,7 @@ def fingerprints(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: in
     ``context`` is their hash. Rows without ``h`` are spans that repeat words of the same text;
     a fingerprint all of whose windows are such repeats is left out.
     """
-    prepare(docs)
+    prepare(docs, ROW_BATCH_BYTES)
     window = least_words - line_words + 1
     kind = "h long, id long, mark long, at int, start int, until int, context long"
     long, short = pa.int64(), pa.int32()
@@ -270,7 +270,7 @@ def dedupe(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LI
     a Bloom filter of the cut texts holds back the others, which aren't shuffled. A passage
     that any share of the texts repeat is a hot key only where Spark can split the join.
     """
-    spark = prepare(docs)
+    spark = prepare(docs, ROW_BATCH_BYTES)
     drop_shuffles(spark)
     docs = docs.drop("removed")
     found = stored(fingerprints(docs, least_words, line_words), "winnowed")

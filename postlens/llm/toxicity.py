@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postlens.functions.bloom import BloomFilter
-from postlens.llm.common import batch_of, free_name, pieces, prepare, stored, texts
+from postlens.llm.common import ROW_BATCH_BYTES, batch_of, free_name, pieces, prepare, stored, texts
 from postlens.session import stored_bytes
 
 #: A lexicon word stands in so many different surroundings in toxic training texts, ...
@@ -339,7 +339,7 @@ class Model:
 
 def channel_table(docs: DataFrame, lexicon: Lexicon | None, table: LexiconTable, write, schema: str) -> DataFrame:
     """``write(part, sums)`` for parts of the rows and the channels' sums of their texts."""
-    spark = prepare(docs)
+    spark = prepare(docs, ROW_BATCH_BYTES)
     if lexicon is None:
         docs, name = with_hits(docs, table)
         place = docs.columns.index(name)
@@ -378,7 +378,7 @@ def learn(texts_with_labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     A lexicon fits the texts that it was learned from too well. So the function is fitted on sums
     that the texts of each fold get from a lexicon of the other folds.
     """
-    prepare(texts_with_labels)
+    prepare(texts_with_labels, ROW_BATCH_BYTES)
     lexicons = learn_lexicons(texts_with_labels)
     sample = stored(texts_with_labels.withColumn("rank", F.xxhash64("digest")).orderBy("rank").limit(fit_rows), "toxic-sample")
     sums = []

@@ -75,14 +75,14 @@ ARROW_BYTES = 16 << 20
 _ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's bytes of an Arrow batch to ``ARROW_BYTES`` where they are more.
+def bounded_batches(spark: SparkSession, most_bytes: int = ARROW_BYTES) -> None:
+    """Lower the session's bytes of an Arrow batch to ``most_bytes`` where they are more.
 
     A batch of 10,000 rows of long texts takes any amount of memory, once in the JVM and again in Python.
     """
     most = spark.conf.get(_ARROW_BYTES, None)
-    if most is None or not most.isdigit() or int(most) > ARROW_BYTES:
-        spark.conf.set(_ARROW_BYTES, str(ARROW_BYTES))
+    if most is None or not most.isdigit() or int(most) > most_bytes:
+        spark.conf.set(_ARROW_BYTES, str(most_bytes))
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

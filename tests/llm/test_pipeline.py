@@ -58,3 +58,19 @@ def test_nulls_repeats_and_clashing_names(spark):
 
 def test_empty_table(spark):
     assert P.run(spark, folder_with(spark, frame(spark, []))).collect() == []
+
+
+def test_first_stages_lower_arrow_batches(spark):
+    """A batch counts several times in an executor, on top of what earlier stages left in its workers."""
+    from postlens.llm import linededup, toxicity
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    try:
+        for job in (lambda: linededup.fingerprints(docs), lambda: toxicity.channel_sums(docs, toxicity.Lexicon({}, {}), None, "doc_id")):
+            spark.conf.set(key, str(16 << 20))
+            job()
+            assert int(spark.conf.get(key)) <= 2 << 20
+    finally:
+        spark.conf.set(key, before)
